@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, url_filter
+from . import decontaminate, quality, sharding, url_filter
 from .common import table
 
 SHARDS = 8
@@ -25,6 +25,10 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +80,7 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shards": op1_shards,
+        "op6_quality": op6_quality,
         "op8_decontaminate": op8_decontaminate,
         "op10_url_rules": op10_url_rules,
     }
