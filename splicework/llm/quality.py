@@ -39,10 +39,10 @@ H = 0.75
 STEPS = 5
 PRIOR_ROWS = 50
 #: A clean row is rejected about this often if statistics are normal.
-TAIL = 1e-9
+TAIL = 1e-6
 REWEIGHT_TAIL = 0.025
 #: Least standard deviation of each transformed statistic, in its own unit.
-FLOORS = (0.5, 0.06, 0.12, 0.12, 0.12)
+FLOORS = (0.5, 0.06, 0.09, 0.2, 0.2)
 P = len(FLOORS)
 
 _SYMBOLS = lut(b"#*$%&|<>")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, sharding, url_filter
+from . import bpe, decontaminate, quality, sharding, url_filter
 from .common import table
 
 SHARDS = 8
@@ -25,6 +25,17 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS)
 
 
+def tokenizer() -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of the public vocabulary."""
+    import public_tokenizers
+
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), *tokenizer())
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -80,6 +91,7 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shards": op1_shards,
+        "op3_bpe": op3_bpe,
         "op6_quality": op6_quality,
         "op8_decontaminate": op8_decontaminate,
         "op10_url_rules": op10_url_rules,
