@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, sharding, url_filter
+from . import bpe, decontaminate, near_dup, quality, sharding, url_filter
 from .common import table
 
 SHARDS = 8
@@ -44,6 +44,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("VALUES " + ", ".join(str(r) for r in URL_RULES) + " AS rules(host, path, verdict)")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op6_quality": op6_quality,
         "op8_decontaminate": op8_decontaminate,
+        "op9_near_dup": op9_near_dup,
         "op10_url_rules": op10_url_rules,
     }
 
