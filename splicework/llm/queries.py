@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dup, quality, sharding, url_filter
+from . import bpe, decontaminate, lm, near_dup, quality, sharding, url_filter
 from .common import table
 
 SHARDS = 8
@@ -36,6 +36,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shards": op1_shards,
         "op3_bpe": op3_bpe,
+        "op5_lm_scores": op5_lm_scores,
         "op6_quality": op6_quality,
         "op8_decontaminate": op8_decontaminate,
         "op9_near_dup": op9_near_dup,
