@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lm, near_dup, quality, sharding, url_filter
+from . import bpe, decontaminate, lm, near_dup, quality, sharding, suffix_dedup, url_filter
 from .common import table
 
 SHARDS = 8
@@ -44,6 +44,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op5_lm_scores": op5_lm_scores,
         "op6_quality": op6_quality,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_decontaminate": op8_decontaminate,
         "op9_near_dup": op9_near_dup,
         "op10_url_rules": op10_url_rules,
