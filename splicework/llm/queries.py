@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lm, near_dup, quality, sharding, suffix_dedup, url_filter
+from . import bpe, decontaminate, html_extract, lm, near_dup, quality, sharding, suffix_dedup, url_filter
 from .common import table
 
 SHARDS = 8
@@ -25,6 +25,10 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def tokenizer() -> tuple[dict[bytes, int], str]:
     """Ranks and pattern of the public vocabulary."""
     import public_tokenizers
@@ -103,6 +107,7 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shards": op1_shards,
+        "op2_html_text": op2_html_text,
         "op3_bpe": op3_bpe,
         "op5_lm_scores": op5_lm_scores,
         "op6_quality": op6_quality,
