@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, lm, near_dup, quality, sharding, suffix_dedup, url_filter
+from . import bpe, chat, decontaminate, html_extract, lm, near_dup, quality, sharding, suffix_dedup, url_filter
 from .common import table
 
 SHARDS = 8
@@ -40,6 +41,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.read_back(chat.format_paths(chat.linear(rows.unionAll(extra)))))
+
+
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.train_and_score(table(spark, sf_dir, "documents"))
 
@@ -82,6 +90,19 @@ FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path
 """
 
 
+_CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + 2 + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + 9) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _DECONTAMINATE_SQL = f"""
@@ -109,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_shards": op1_shards,
         "op2_html_text": op2_html_text,
         "op3_bpe": op3_bpe,
+        "op4_chat": op4_chat,
         "op5_lm_scores": op5_lm_scores,
         "op6_quality": op6_quality,
         "op7_suffix_dedup": op7_suffix_dedup,
@@ -119,4 +141,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": _DECONTAMINATE_SQL, "op10_url_rules": _URL_SQL}
+    return {"op4_chat": _CHAT_SQL, "op8_decontaminate": _DECONTAMINATE_SQL, "op10_url_rules": _URL_SQL}
