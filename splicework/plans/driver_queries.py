@@ -1,20 +1,25 @@
-"""Queries of the gene-structure operators over the driver's tables."""
+"""Queries of the gene-structure operators over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain as together
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import queries_chain, queries_gene, queries_sequence
+
+MODULES = (queries_sequence, queries_chain, queries_gene)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("n_exons"))
+    """Introns with their support, from exon chains."""
+    return queries_chain.QUERIES["j05_intron_support"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(together.from_iterable(m.QUERIES.items() for m in MODULES))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(together.from_iterable(m.SQL.items() for m in MODULES))
