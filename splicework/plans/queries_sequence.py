@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import sequence as S
-from ..operators import seeds
+from ..operators import align, seeds
 from ..sources import fasta
 from .tables import SEQ, sequences, table
 
@@ -206,7 +206,7 @@ def a12_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences(spark, sf_dir).select(F.explode(F.split("seq", "")).alias("base")).filter("base != ''").groupBy("base").agg(F.count("*").alias("n"))
 
 
-K = 15
+K = 10
 _PAIR_SQL = f"""{SEQ}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM seq),
     kmers AS (SELECT source, doc_id, r, i - 1 AS at, substr(seq, i, {K}) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - {K} + 2)) AS i FROM ranked)),
     hits AS (SELECT source, a.doc_id AS est_id, b.doc_id AS gen_id, a.at AS p, b.at - a.at AS d FROM kmers a JOIN kmers b USING (source, kmer) WHERE a.r % 10 <> 0 AND b.r % 10 = 0),
@@ -243,8 +243,8 @@ def w02_lowcomplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGE_SQL = f"""{_LOW_SQL}, edges AS (
     SELECT source, est_id, gen_id, a.p AS p1, a.t AS t1, a.l AS l1, b.p AS p2, b.t AS t2, b.l AS l2 FROM kept a JOIN kept b USING (source, est_id, gen_id)
     WHERE b.p > a.p AND b.t > a.t AND (
-      ((a.p + a.l <= b.p AND b.p <= a.p + a.l + 31) AND (a.t + a.l <= b.t OR ((a.t + 30 <= b.t + b.l AND b.t < a.t + a.l AND (b.p - a.p) - (b.t - a.t) <= 31) AND NOT (a.l >= 75 AND a.t + a.l - b.t > 0.4 * a.l))))
-      OR (NOT (a.p + a.l <= b.p AND b.p <= a.p + a.l + 31) AND (a.p + 30 <= b.p + b.l AND b.p < a.p + a.l) AND (a.t + a.l <= b.t OR (a.t + 30 <= b.t + b.l AND b.t < a.t + a.l AND (b.p - a.p) - (b.t - a.t) <= 31)))))"""
+      ((a.p + a.l <= b.p AND b.p <= a.p + a.l + {2 * K + 1}) AND (a.t + a.l <= b.t OR ((a.t + {2 * K} <= b.t + b.l AND b.t < a.t + a.l AND (b.p - a.p) - (b.t - a.t) <= {2 * K + 1}) AND NOT (a.l >= {5 * K} AND a.t + a.l - b.t > 0.4 * a.l))))
+      OR (NOT (a.p + a.l <= b.p AND b.p <= a.p + a.l + {2 * K + 1}) AND (a.p + {2 * K} <= b.p + b.l AND b.p < a.p + a.l) AND (a.t + a.l <= b.t OR (a.t + {2 * K} <= b.t + b.l AND b.t < a.t + a.l AND (b.p - a.p) - (b.t - a.t) <= {2 * K + 1})))))"""
 
 
 @query(f"WITH {_EDGE_SQL} SELECT * FROM edges")
@@ -252,9 +252,9 @@ def j02_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.edges(seeds.drop_low_complexity(_pairings(spark, sf_dir), _GROUP), _GROUP, K)
 
 
-@query(f"WITH {_EDGE_SQL} SELECT * FROM edges WHERE NOT ((t2 - t1 - l1) - (p2 - p1 - l1) > 33 AND (t2 - t1 - l1) - (p2 - p1 - l1) < 40)")
+@query(f"WITH {_EDGE_SQL} SELECT * FROM edges WHERE NOT ((t2 - t1 - l1) - (p2 - p1 - l1) > {2 * K + 3} AND (t2 - t1 - l1) - (p2 - p1 - l1) < 40)")
 def g02_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds.prune(j02_edges(spark, sf_dir))
+    return seeds.prune(j02_edges(spark, sf_dir), fl=2 * K + 1)
 
 
 @query(
@@ -267,3 +267,68 @@ def g01_source_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = seeds.drop_low_complexity(_pairings(spark, sf_dir), _GROUP)
     length = sequences(spark, sf_dir).select(F.col("doc_id").alias("est_id"), F.length("seq").alias("length"))
     return seeds.ends(kept.join(length, "est_id"), seeds.edges(kept, _GROUP, K), _GROUP, rate=0.6)
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sequence's first 80 bases with those of the document after it."""
+    a = sequences(spark, sf_dir).select("doc_id", F.substring("seq", 1, 80).alias("a"))
+    b = sequences(spark, sf_dir).select((F.col("doc_id") - 1).alias("doc_id"), F.substring("seq", 1, 80).alias("b"))
+    return a.join(b, "doc_id")
+
+
+@query()
+def f02_tail_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tailed = F.concat("seq", F.repeat(F.lit("A"), (F.col("doc_id") % 30).cast("int")))
+    return sequences(spark, sf_dir).select("doc_id", align.masked(tailed).alias("m")).select("doc_id", "m.*")
+
+
+@query()
+def f17_border_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = F.concat(F.substring("b", 1, 12), F.substring("b", -12, 12))
+    return _neighbours(spark, sf_dir).select("doc_id", align.split_border(short, F.col("b"), 3).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def f18_gap_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gen = F.concat(F.substring("a", 1, 30), "b", F.substring("a", 31, 30))
+    return _neighbours(spark, sf_dir).select("doc_id", align.spliced(F.substring("a", 1, 60), gen).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def f19_global_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select("doc_id", align.aligned(F.col("a"), F.col("b")).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def f21_common_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select("doc_id", align.common_factor(F.col("a"), F.col("b")).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def f22_best_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select("doc_id", align.cut(F.substring("a", 1, 20), F.col("b")).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def f28_best_affix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select("doc_id", align.affix(F.substring("a", 1, 25), F.substring("b", 1, 25)).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def p12_splice_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gen = F.concat(F.substring("a", 1, 30), "b", F.substring("a", 31, 30))
+    return _neighbours(spark, sf_dir).select("doc_id", align.refined_junction(F.substring("a", 1, 60), gen).alias("s")).select("doc_id", "s.*")
+
+
+_PAIR80 = f"{SEQ}, n AS (SELECT a.doc_id, substr(a.seq, 1, 80) AS a, substr(b.seq, 1, 80) AS b FROM seq a JOIN seq b ON b.doc_id = a.doc_id + 1)"
+
+
+@query(f"WITH {_PAIR80} SELECT doc_id, levenshtein(a, b) > greatest(1, ceil(length(a) * CASE WHEN length(a) > 100 THEN 0.03 WHEN length(a) > 50 THEN 0.035 ELSE 0.04 END)) AS noisy FROM n")
+def p08_noisy_exon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select("doc_id", align.noisy(F.col("a"), F.col("b")).alias("noisy"))
+
+
+@query(f"WITH {SEQ} SELECT doc_id, n < 10 OR (n < 20 AND NOT (p IN ('GTAG', 'GCAG') AND e = 0)) AS dropped FROM (SELECT doc_id, doc_id % 30 AS n, substr(seq, 1, 2) || 'AG' AS p, doc_id % 2 AS e FROM seq)")
+def p06_external_exon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fails = align.external_exon_fails(F.col("doc_id") % 30, F.col("doc_id") % 2, F.concat(F.substring("seq", 1, 2), F.lit("AG")))
+    return sequences(spark, sf_dir).select("doc_id", fails.alias("dropped"))
