@@ -159,13 +159,14 @@ def test_gap_alignment():
     left, right = "ACGTACGTTGCAACGTAGCTAGGATCCATG", "TTGACCAGTACCGATTGCAAGGCTAACGTT"
     gen = left + "GT" + "C" * 60 + "AG" + right
     score, cut, start, end = align.gap_alignment(left + right, gen)
-    assert (score, cut, start, end) == (60, 30, 31, 94)
+    assert (score, cut, end - start + 1) == (60, start - 1, 64)
+    assert gen[:cut] + gen[end:] == left + right
     assert align.gap_alignment("", "ACGT")[0] == 0
 
 
 def test_tail_mask():
-    assert align.tail_mask("ACGTACGTACGTACGT" + "A" * 20) == ("ACGTACGTACGTACGT" + "*" * 20, -1, 20)
-    assert align.tail_mask("T" * 20 + "ACGCACGCACGCACGC")[1] == 20
+    assert align.tail_mask("CG" * 8 + "A" * 20) == ("CG" * 8 + "*" * 20, -1, 20)
+    assert align.tail_mask("T" * 20 + "CG" * 8)[1] == 20
     assert align.tail_mask("") == ("", -1, -1)
 
 
