@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,14 @@ def query(sql: str | None = None):
     return add
 
 
-def _per_doc(name: str, sql: str, **columns: Column) -> None:
-    """A query that adds columns to each sequence."""
+def _per_doc(name: str, sql: str, columns: Callable[[], dict[str, Column]], rows: str = "seq") -> None:
+    """A query that adds columns to each sequence; ``rows`` is the SQL's FROM."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return sequences(spark, sf_dir).select("doc_id", *(c.alias(k) for k, c in columns.items()))
+        return sequences(spark, sf_dir).select("doc_id", *(c.alias(k) for k, c in columns().items()))
 
     QUERIES[name] = run
-    SQL[name] = f"WITH {SEQ} SELECT doc_id, {sql} FROM seq"
+    SQL[name] = f"WITH {SEQ} SELECT doc_id, {sql} FROM {rows}"
 
 
 @query(
@@ -59,24 +61,25 @@ def s02_header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REVCOMP = "reverse(translate(seq, 'ACGT', 'TGCA'))"
-_per_doc("f01_revcomp", f"{_REVCOMP} AS revcomp", revcomp=S.reverse_complement("seq"))
-_trimmed = S.trim_n(F.translate(F.concat(F.substring("seq", 1, 3), "seq", F.substring("seq", 1, 2)), "A", "N"))
+_per_doc("f01_revcomp", f"{_REVCOMP} AS revcomp", lambda: {"revcomp": S.reverse_complement("seq")})
+
+
+def _fields(column: Column, *names: str) -> dict[str, Column]:
+    return {n: column[n] for n in names}
+
+
 _per_doc(
     "f03_trim",
-    "regexp_replace(regexp_replace(s, '^N+', ''), 'N+$', '') AS seq, CAST(length(regexp_extract(s, '^(N*)', 1)) AS INTEGER) AS pref_n, CAST(length(regexp_extract(regexp_replace(s, '^N+', ''), '(N*)$', 1)) AS INTEGER) AS suff_n "
-    "FROM (SELECT doc_id, translate(substr(seq, 1, 3) || seq || substr(seq, 1, 2), 'A', 'N') AS s FROM seq)--",
-    seq=_trimmed["seq"],
-    pref_n=_trimmed["pref_n"],
-    suff_n=_trimmed["suff_n"],
+    "regexp_replace(regexp_replace(s, '^N+', ''), 'N+$', '') AS seq, CAST(length(regexp_extract(s, '^(N*)', 1)) AS INTEGER) AS pref_n, CAST(length(regexp_extract(regexp_replace(s, '^N+', ''), '(N*)$', 1)) AS INTEGER) AS suff_n",
+    lambda: _fields(S.trim_n(F.translate(F.concat(F.substring("seq", 1, 3), "seq", F.substring("seq", 1, 2)), "A", "N")), "seq", "pref_n", "suff_n"),
+    rows="(SELECT doc_id, translate(substr(seq, 1, 3) || seq || substr(seq, 1, 2), 'A', 'N') AS s FROM seq)",
 )
-SQL["f03_trim"] = SQL["f03_trim"].split("--")[0]
-_per_doc("f04_substring", "substr(seq, 1, 7) AS head, substr(seq, 11, 20) AS middle", head=S.substring0("seq", F.lit(-3), F.lit(10)), middle=S.substring0("seq", F.lit(10), F.lit(20)))
-_per_doc("f05_case", "lower(reverse(seq)) AS flipped", flipped=F.lower(F.reverse("seq")))
-_flank = S.flanks("seq", F.lit(21), F.lit(60))
+_per_doc("f04_substring", "substr(seq, 1, 7) AS head, substr(seq, 11, 20) AS middle", lambda: {"head": S.substring0("seq", F.lit(-3), F.lit(10)), "middle": S.substring0("seq", F.lit(10), F.lit(20))})
+_per_doc("f05_case", "lower(reverse(seq)) AS flipped", lambda: {"flipped": F.lower(F.reverse("seq"))})
 _per_doc(
     "f29_flanks",
     "substr(seq, 6, 15) AS donor_suffix, substr(seq, 21, 20) AS intron_prefix, substr(seq, 41, 20) AS intron_suffix, substr(seq, 61, 15) AS acceptor_prefix, substr(seq, 21, 2) || substr(seq, 59, 2) AS pattern",
-    **{c: _flank[c] for c in ("donor_suffix", "intron_prefix", "intron_suffix", "acceptor_prefix", "pattern")},
+    lambda: _fields(S.flanks("seq", F.lit(21), F.lit(60)), "donor_suffix", "intron_prefix", "intron_suffix", "acceptor_prefix", "pattern"),
 )
 
 
@@ -89,15 +92,13 @@ def f06_dust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences(spark, sf_dir).select("doc_id", F.round(S.dust_score("seq"), 9).alias("dust"))
 
 
-_signal = S.polya_signal(F.concat(F.repeat(F.lit("A"), (F.col("doc_id") % 12).cast("int")), F.lit("C")), "seq", F.least(F.lit(200), F.length("seq")))
 _per_doc(
     "f08_polya_signal",
     """doc_id % 12 >= 8 AND NOT (regexp_matches(substr(seq, greatest(e - 8, 1), 20), 'A{6}') OR length(regexp_replace(substr(seq, e + 1, 10), '[^A]', '', 'g')) >= 7) AS polya,
-    regexp_matches(substr(seq, greatest(e - 39, 1), least(40, e) + 5), 'AATAAA|ATTAAA') AS pas FROM (SELECT *, least(200, length(seq)) AS e FROM seq)--""",
-    polya=_signal["polya"],
-    pas=_signal["pas"],
+    regexp_matches(substr(seq, greatest(e - 39, 1), least(40, e) + 5), 'AATAAA|ATTAAA') AS pas""",
+    lambda: _fields(S.polya_signal(F.concat(F.repeat(F.lit("A"), (F.col("doc_id") % 12).cast("int")), F.lit("C")), "seq", F.least(F.lit(200), F.length("seq"))), "polya", "pas"),
+    rows="(SELECT *, least(200, length(seq)) AS e FROM seq)",
 )
-SQL["f08_polya_signal"] = SQL["f08_polya_signal"].split("--")[0]
 
 # A small matrix for the queries; real ones are a table that the caller gives.
 _DEMO = [(0, i, b, round(0.1 + 0.2 * ((i + k) % 4), 2)) for i in range(12) for k, b in enumerate("ACGT")]
@@ -123,10 +124,10 @@ def f09_pwm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _values = ", ".join(f"('{p}', {n})" for p, n in S.FREQUENCIES.items())
 _per_doc(
     "f10_pattern_freq",
-    f"CAST(coalesce(n, 0) AS INTEGER) AS frequency FROM (SELECT doc_id, substr(seq, 1, 2) || right(seq, 2) AS k FROM seq) LEFT JOIN (VALUES {_values}) v(k, n) USING (k)--",
-    frequency=S.pattern_frequency(F.substring("seq", 1, 2), F.substring("seq", -2, 2)),
+    "CAST(coalesce(n, 0) AS INTEGER) AS frequency",
+    lambda: {"frequency": S.pattern_frequency(F.substring("seq", 1, 2), F.substring("seq", -2, 2))},
+    rows=f"(SELECT doc_id, substr(seq, 1, 2) || right(seq, 2) AS k FROM seq) LEFT JOIN (VALUES {_values}) v(k, n) USING (k)",
 )
-SQL["f10_pattern_freq"] = SQL["f10_pattern_freq"].split("--")[0]
 
 
 @query(
@@ -145,7 +146,7 @@ def f11_best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 _per_doc(
     "f13_canonical",
     "regexp_matches(substr(seq, 3), '^(GT.*AG|gt.*ag)$', 's') AS canonical",
-    canonical=S.is_canonical(F.expr("substring(seq, 3)")),
+    lambda: {"canonical": S.is_canonical(F.expr("substring(seq, 3)"))},
 )
 
 
@@ -173,15 +174,14 @@ def f23_junction_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences(spark, sf_dir).filter(F.length("seq") >= 60).select("doc_id", S.junction_repeat("seq", F.lit(21), F.lit(40)).alias("repeat"))
 
 
-_codon = F.substring("seq", 4, 3)
-_per_doc("f24_codons", "substr(seq, 4, 3) = 'ATG' AS starts, substr(seq, 4, 3) IN ('TAA', 'TAG', 'TGA') AS stops", starts=S.is_start(_codon), stops=S.is_stop(_codon))
-_per_doc("f25_context", "CAST(CAST(substr(seq, 7, 1) IN ('A', 'G') AS INTEGER) + CAST(substr(seq, 13, 1) IN ('A', 'G') AS INTEGER) AS INTEGER) AS context", context=S.kozak_context("seq", F.lit(10)))
+_per_doc("f24_codons", "substr(seq, 4, 3) = 'ATG' AS starts, substr(seq, 4, 3) IN ('TAA', 'TAG', 'TGA') AS stops", lambda: {"starts": S.is_start(F.substring("seq", 4, 3)), "stops": S.is_stop(F.substring("seq", 4, 3))})
+_per_doc("f25_context", "CAST(CAST(substr(seq, 7, 1) IN ('A', 'G') AS INTEGER) + CAST(substr(seq, 13, 1) IN ('A', 'G') AS INTEGER) AS INTEGER) AS context", lambda: {"context": S.kozak_context("seq", F.lit(10))})
 _per_doc(
     "f26_label",
     "CASE WHEN doc_id >= 702 THEN chr(CAST(97 + ((doc_id // 26 - 1) // 26 - 1) % 26 AS INTEGER)) ELSE '' END || CASE WHEN doc_id >= 26 THEN chr(CAST(97 + (doc_id // 26 - 1) % 26 AS INTEGER)) ELSE '' END || chr(CAST(97 + doc_id % 26 AS INTEGER)) AS label",
-    label=S.alpha_label(F.col("doc_id") + 1),
+    lambda: {"label": S.alpha_label(F.col("doc_id") + 1)},
 )
-_per_doc("f27_allowed_errors", "CAST(greatest(1, ceil(length(seq) * CASE WHEN length(seq) > 100 THEN 0.03 WHEN length(seq) > 50 THEN 0.035 ELSE 0.04 END)) AS INTEGER) AS most", most=S.allowed_errors(F.length("seq")))
+_per_doc("f27_allowed_errors", "CAST(greatest(1, ceil(length(seq) * CASE WHEN length(seq) > 100 THEN 0.03 WHEN length(seq) > 50 THEN 0.035 ELSE 0.04 END)) AS INTEGER) AS most", lambda: {"most": S.allowed_errors(F.length("seq"))})
 
 # Longest open reading frame
 _ORF_SQL = f"""WITH {SEQ}, codons AS (SELECT doc_id, i, (i - 1) % 3 AS f, substr(seq, i, 3) AS c FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 1)) AS i FROM seq)),
