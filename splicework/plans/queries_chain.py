@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import chains, consensus, cover, graphs, intervals
+from ..operators import chains, consensus, cover, graphs, intervals, refine
 from .tables import CHAIN, INTRONS, SPANS, chain, spans, table
 
 QUERIES, SQL = {}, {}
@@ -414,3 +414,42 @@ def a07_graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices = edge_rows.select("grp", F.col("src").alias("node")).distinct().withColumn("l", F.col("node") % 4 + 15)
     stats = graphs.statistics(vertices, edge_rows, ["grp"]).withColumn("length", F.lit(60))
     return graphs.too_complex(stats).drop("length")
+
+
+@query(
+    f"""WITH {CHAIN}, w AS (SELECT *, ord = max(ord) OVER (PARTITION BY tid) AND tid % 2 = 0 AS tail FROM chain)
+    SELECT locus, gen_start, gen_end, bool_and(tail) AS polya FROM w GROUP BY locus, gen_start, gen_end"""
+)
+def c03_polya(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    last = F.max("ord").over(Window.partitionBy("tid"))
+    return refine.polya_flags(chain(spark, sf_dir).withColumn("tail", (F.col("ord") == last) & (F.col("tid") % 2 == 0)), ["locus"])
+
+
+_NEAR_SQL = f"""{CHAIN}, n AS (SELECT *, CASE WHEN gen_start - lag(gen_end) OVER (PARTITION BY tid ORDER BY ord) - 1 <= 55 THEN 0 ELSE 1 END AS fresh FROM chain)"""
+
+
+@query(f"WITH {_NEAR_SQL}, r AS (SELECT *, sum(fresh) OVER (PARTITION BY tid ORDER BY ord) AS run FROM n) SELECT tid, CAST(run AS INTEGER) AS ord, min(gen_start) AS gen_start, max(gen_end) AS gen_end FROM r GROUP BY tid, run")
+def p02_join_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chain(spark, sf_dir).select("tid", F.col("gen_start").alias("est_start"), F.col("gen_end").alias("est_end"), "gen_start", "gen_end")
+    return refine.join_exons(rows, ["tid"], most=55).select("tid", "ord", "gen_start", "gen_end")
+
+
+@query(
+    f"""WITH {_SPARSE_SQL}, o AS (SELECT grp, src AS node, count(*) AS n FROM sparse GROUP BY ALL), e AS (SELECT DISTINCT grp, dst AS node, dst % 3 AS exons FROM sparse)
+    SELECT grp, node, exons FROM (SELECT *, row_number() OVER (PARTITION BY grp, exons ORDER BY coalesce(n, 0) DESC, node) AS r FROM e LEFT JOIN o USING (grp, node)) WHERE r = 1"""
+)
+def g13_richer_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edge_rows = _sparse(spark, sf_dir)
+    ends = edge_rows.select("grp", F.col("dst").alias("node"), (F.col("dst") % 3).alias("exons")).distinct()
+    return refine.keep_richer_ends(ends, edge_rows, ["grp"])
+
+
+@query()
+def p09_relaxed_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chains of six neighbouring orders as alignments of one transcript."""
+    exons = F.array_sort(F.collect_list(F.struct("ord", "gen_start", "gen_end")))
+    rows = chain(spark, sf_dir).groupBy(F.expr("tid DIV 6").alias("grp"), F.col("tid").alias("fact_no")).agg(F.transform(exons, lambda e: F.struct(e["gen_start"].alias("gen_start"), e["gen_end"].alias("gen_end"))).alias("exons"))
+    kept = refine.without_contained_alignments(rows, ["grp"])
+    return kept.withColumn("exons", F.array_join(F.transform("exons", lambda e: F.concat_ws("-", e["gen_start"], e["gen_end"])), ","))

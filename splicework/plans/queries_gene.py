@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cds, chains, consensus, isoforms
+from ..operators import cds, chains, consensus, isoforms, refine
 from ..sources import report
 from .tables import CHAIN, INTRONS, SEQ, chain, sequences
 
@@ -298,3 +298,15 @@ def k03_intron_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k06_isoform_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chains.summaries(chain(spark, sf_dir), ["locus"])
     return report.by_least_exons(rows).select("least_exons", "locus", "tid")
+
+
+@query(
+    f"""WITH {_ORF_SQL}, p AS (SELECT locus, tid, max(CASE WHEN lo <= orf_start AND orf_start <= hi THEN gen_start + orf_start - lo END) AS l, max(CASE WHEN lo <= orf_end AND orf_end <= hi THEN gen_start + orf_end - lo END) AS r FROM placed JOIN orf USING (tid) GROUP BY locus, tid),
+    ref AS (SELECT locus, l AS rl, r AS rr FROM p WHERE (locus, tid) IN (SELECT (locus, min(tid)) FROM p GROUP BY locus))
+    SELECT locus, tid, CASE WHEN locus % 2 = 0 THEN l = rl ELSE r = rr END AS same_start, CASE WHEN locus % 2 = 0 THEN r = rr ELSE l = rl END AS same_stop FROM p JOIN ref USING (locus)"""
+)
+def t10_codons_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exons = chain(spark, sf_dir)
+    placed = cds.place(exons, _orf(exons)).join(exons.select("locus", "tid").distinct(), "tid").withColumn("strand", F.when(F.col("locus") % 2 == 0, 1).otherwise(-1))
+    first = placed.groupBy("locus").agg(F.min("tid").alias("tid"))
+    return refine.codons_agree(placed, placed.join(first, ["locus", "tid"], "left_semi"), ["locus"])

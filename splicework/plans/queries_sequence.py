@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import sequence as S
-from ..operators import align, seeds
-from ..sources import fasta
+from ..operators import align, refine, seeds
+from ..sources import fasta, records
 from .tables import SEQ, sequences, table
 
 QUERIES, SQL = {}, {}
@@ -332,3 +332,22 @@ def p08_noisy_exon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p06_external_exon(spark: SparkSession, sf_dir: str) -> DataFrame:
     fails = align.external_exon_fails(F.col("doc_id") % 30, F.col("doc_id") % 2, F.concat(F.substring("seq", 1, 2), F.lit("AG")))
     return sequences(spark, sf_dir).select("doc_id", fails.alias("dropped"))
+
+
+@query(
+    f"""WITH {_PAIR80}, m AS (SELECT doc_id, list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: a[i] = b[i]), false) AS k, least(length(a), length(b)) AS n FROM n)
+    SELECT doc_id, CAST(CASE WHEN coalesce(k, 0) = 0 THEN n ELSE k - 1 END AS BIGINT) AS est_end, CAST(10 + CASE WHEN coalesce(k, 0) = 0 THEN n ELSE k - 1 END AS BIGINT) AS gen_end FROM m"""
+)
+def f07_tail_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = refine.extend_tail(F.lit(0), F.lit(10), F.col("a"), F.concat(F.lit("N" * 10), "b"))
+    return _neighbours(spark, sf_dir).select("doc_id", grown.alias("g")).select("doc_id", "g.*")
+
+
+@query(f"WITH {_PAIR80} SELECT doc_id, substr(a, 1, 2) = substr(b, 1, 2) AS starts, right(a, 1) = right(b, 1) AS ends FROM n")
+def p05_end_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select("doc_id", refine.ends_match(F.col("a"), F.col("b"), 2, 1).alias("m")).select("doc_id", "m.*")
+
+
+@query(f"WITH {_EDGE_SQL} SELECT *, (t2 - t1) - (p2 - p1) >= 50 AS intronic FROM edges")
+def k05_edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.edge_table(j02_edges(spark, sf_dir))

@@ -180,3 +180,29 @@ def test_empty_chain(spark):
     none = spark.createDataFrame([], "locus int, tid int, ord int, gen_start int, gen_end int")
     assert chains.intron_support(chains.introns(none), ["locus"]).count() == 0
     assert chains.composition_key(none, ["locus"]).count() == 0
+
+
+def test_factorization_round_trip(spark, tmp_path):
+    from splicework.sources import records
+
+    text = ">a\n#polya=1\n#polyad=0\n1 10 101 110 ACGT ACGA\n11 20 201 210 A C\n>a\n#polya=0\n#polyad=0\n1 9 5 13 A A\n>b\n#polya=0\n#polyad=1\n2 9 5 12 A A\n"
+    (tmp_path / "f.txt").write_text(text)
+    rows = records.read_factorizations(spark, str(tmp_path / "f.txt"))
+    got = {(r["est_id"], r["fact_no"]): r for r in rows.collect()}
+    assert [tuple(e) for e in got["a", 1]["exons"]] == [(1, 10, 101, 110, "ACGT", "ACGA"), (11, 20, 201, 210, "A", "C")]
+    assert (got["a", 1]["polya"], got["b", 1]["polyad"], len(got)) == (True, True, 3)
+    records.write_factorizations(rows, str(tmp_path / "out"))
+    again = {(r["est_id"], r["fact_no"]): r for r in records.read_factorizations(spark, str(tmp_path / "out")).collect()}
+    assert again == got
+    inner = {r["est_id"]: r["value"] for r in records.factorization_text(rows.filter("fact_no = 1"), externals=False).collect()}
+    assert "11 20 201 210" in inner["a"]
+    assert "1 10 101 110" not in inner["a"]
+
+
+def test_relaxed_containment(spark):
+    from splicework.operators import refine
+
+    rows = [(1, 1, [(100, 200), (300, 400), (500, 600)]), (1, 2, [(310, 420), (520, 590)]), (1, 3, [(90, 205), (300, 400), (505, 640)]), (1, 4, [(2000, 2100)]), (1, 5, [(2010, 2050)]), (1, 6, [(1990, 2200)])]
+    frame = spark.createDataFrame(rows, "est int, fact_no int, exons array<struct<gen_start:int,gen_end:int>>")
+    got = {r["fact_no"]: [tuple(e) for e in r["exons"]] for r in refine.without_contained_alignments(frame, ["est"]).collect()}
+    assert got == {1: [(90, 200), (300, 400), (500, 640)], 6: [(1990, 2200)]}
