@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +56,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(rows: int) -> Callable:
+    """A decorator for functions of (DataFrame, ...) that run their jobs before they
+    return: meanwhile a batch sent to Python has at most so many rows, as rows with
+    long texts or sets fill the workers' memory otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def wrap(f: Callable) -> Callable:
+        @functools.wraps(f)
+        def run(df: DataFrame, *args, **kwargs):
+            conf = df.sparkSession.conf
+            before = conf.get(key)
+            conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+            try:
+                return f(df, *args, **kwargs)
+            finally:
+                conf.set(key, before)
+
+        return run
+
+    return wrap

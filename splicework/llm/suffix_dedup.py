@@ -12,7 +12,8 @@ has an anchor: the rightmost of its 64-byte strings with the least hash. Equal w
 have equal anchors, so windows whose anchor occurs once in the corpus are done. The
 runs of windows of each other anchor, with their bytes, meet by anchor: these segments
 are the documents of a build. Its symbols are blocks of 16 bytes, counted from the
-anchor. A window can only be equal to another one if the suffix at its first block
+anchor. Equal segments are collapsed before they meet: their windows are all repeated,
+and one of them stands for all in the build. A window can only be equal to another one if the suffix at its first block
 shares 24 blocks with a neighbour in the order; such windows are compared as a
 whole, and equal ones are repeated. Anchors with very many occurrences are split
 further, by short ranges of windows and the bytes which these have in common.
@@ -32,13 +33,14 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stash
+from .common import shuffle_partitions, small_batches, stash
 from .textops import SPACE_WORDS, Slice, mix, pair_hash, slices, span_hashes
 
 LENGTH = 400
@@ -48,10 +50,16 @@ BLOCK = 16
 WHOLE_BLOCKS = (LENGTH - BLOCK + 1) // BLOCK
 #: Anchors with more occurrences are split by ranges of so many windows.
 MANY, RANGE = 2000, 32
+#: Bytes of text whose anchors are sought, or whose windows are hashed, at once.
+ANCHOR_BYTES = 1 << 20
 #: Blocks in a build, about.
 BUILD_BLOCKS = 60_000
 
 
+#: A column that no document has, and the start of others.
+KEY = "__text_key"
+
+
 def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
 
@@ -93,7 +101,7 @@ _ANCHORS = "rid bigint, key binary, anchors array<struct<gram:bigint,at:int,lo:i
 def _anchored(texts: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw in slices(batch, "text"):
+            for part, raw in slices(batch, "text", ANCHOR_BYTES):
                 doc, at, lo, hi, gram = anchors(Slice(raw, False, SPACE_WORDS))
                 cut = pa.array(np.searchsorted(doc, np.arange(len(raw) + 1)), pa.int32())
                 items = pa.StructArray.from_arrays([pa.array(gram.astype(np.int64)), *(pa.array(x, pa.int32()) for x in (at, lo, hi))], ["gram", "at", "lo", "hi"])
@@ -103,40 +111,62 @@ def _anchored(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, _ANCHORS)
 
 
-_SEGMENTS = "group bigint, node bigint, at int, lo int, data binary"
+def _pieces(node: int, text: bytes, marks: list[dict]) -> Iterator[tuple]:
+    """group, at, node, lo, data: windows lo, lo + 1, ... of a text with their bytes, and
+    the anchor's place among them. Equal windows are in segments of one group."""
+    for m in marks:
+        if not m["many"]:
+            yield m["gram"], m["at"] - m["lo"], node, m["lo"], text[m["lo"] : m["hi"] + LENGTH]
+            continue
+        offset = m["at"] - m["lo"]  # of the first window; windows to the right have less
+        while offset >= m["at"] - m["hi"]:
+            most = offset // RANGE * RANGE
+            least = max(most, m["at"] - m["hi"])
+            # what windows with offsets most .. most + RANGE - 1 have in common
+            core = text[m["at"] - most : m["at"] - most - RANGE + 1 + LENGTH]
+            lo = m["at"] - offset
+            name = hashlib.blake2b(core, digest_size=8, salt=most.to_bytes(2, "big")).digest()
+            yield int.from_bytes(name, "big", signed=True), offset, node, lo, text[lo : m["at"] - least + LENGTH]
+            offset = most - 1
+
+
+def _pieces_of(batch: pa.RecordBatch) -> Iterator[Iterator[tuple]]:
+    """The pieces of 64 texts at a time."""
+    for i in range(0, len(batch), 64):
+        part = batch.slice(i, 64)
+        rows = zip(part.column("node").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("marks").to_pylist(), strict=True)
+        yield (x for node, text, marks in rows for x in _pieces(node, text, marks))
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def _segments(texts: DataFrame) -> DataFrame:
-    """Windows and bytes of each anchor of ``texts`` (node, text, marks): the bytes of
-    windows lo, lo + 1, ... and the anchor's place among them. Equal windows are in
-    segments of one group."""
-
-    def of(node: int, text: bytes, marks: list[dict]) -> Iterator[tuple]:
-        for m in marks:
-            if not m["many"]:
-                yield m["gram"], node, m["at"] - m["lo"], m["lo"], text[m["lo"] : m["hi"] + LENGTH]
-                continue
-            offset = m["at"] - m["lo"]  # of the first window; windows to the right have less
-            while offset >= m["at"] - m["hi"]:
-                least = max(offset // RANGE * RANGE, m["at"] - m["hi"])
-                most = offset // RANGE * RANGE
-                # what windows with offsets most .. most + RANGE - 1 have in common
-                core = text[m["at"] - most : m["at"] - most - RANGE + 1 + LENGTH]
-                lo = m["at"] - offset
-                name = hashlib.blake2b(core, digest_size=8, salt=most.to_bytes(2, "big")).digest()
-                yield int.from_bytes(name, "big", signed=True), node, offset, lo, text[lo : m["at"] - least + LENGTH]
-                offset = most - 1
+    """group, at, node, lo, data, n: segments, equal ones of a batch added up."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.slice(i, 64)
-                found = [x for node, text, marks in zip(part.column("node").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("marks").to_pylist(), strict=True) for x in of(node, text, marks)]
-                cols = list(zip(*found, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["group", "node", "at", "lo", "data"])
+            for found in _pieces_of(batch):
+                once: dict[tuple, list] = {}
+                for group, at, node, lo, data in found:
+                    once.setdefault((group, at, data), [node, lo, 0])[2] += 1
+                yield _batch([(g, a, node, lo, d, n) for (g, a, d), (node, lo, n) in once.items()], ("group", "at", "node", "lo", "data", "n"), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))
 
-    return texts.mapInArrow(rows, _SEGMENTS)
+    return texts.mapInArrow(rows, "group bigint, at int, node bigint, lo int, data binary, n bigint")
+
+
+def _named_segments(texts: DataFrame) -> DataFrame:
+    """group, at, name (a digest of the bytes), node, start, end of every segment."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in _pieces_of(batch):
+                named = [(g, a, hashlib.md5(d, usedforsecurity=False).digest(), node, lo, lo + len(d)) for g, a, node, lo, d in found]
+                yield _batch(named, ("group", "at", "name", "node", "start", "end"), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32()))
+
+    return texts.mapInArrow(rows, "group bigint, at int, name binary, node bigint, start int, end int")
 
 
 def _least_between(tables: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -236,6 +266,17 @@ def common_blocks(blocks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _piecewise_hashes(joined: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of equally long spans (in ascending order), by pieces of the bytes."""
+    out = np.empty(len(start), np.uint64)
+    cut = np.searchsorted(start, np.arange(0, len(joined) + ANCHOR_BYTES, ANCHOR_BYTES))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        if a < b:
+            base = start[a]
+            out[a:b] = span_hashes(joined[base : start[b - 1] + length], start[a:b] - base, start[a:b] - base + length)
+    return out
+
+
 def repeated_windows(data: list[bytes], at: np.ndarray) -> np.ndarray:
     """(segment, window) of the windows that two places of these segments have."""
     joined = np.frombuffer(b"".join(data), np.uint8)
@@ -246,28 +287,30 @@ def repeated_windows(data: list[bytes], at: np.ndarray) -> np.ndarray:
     number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     of = np.repeat(np.arange(len(data)), count)
     start = first[of] + skip[of] + BLOCK * number
-    common = common_blocks(np.split(span_hashes(joined, start, start + BLOCK), np.cumsum(count)[:-1]))
+    common = common_blocks(np.split(_piecewise_hashes(joined, start, BLOCK), np.cumsum(count)[:-1]))
     good = common >= WHOLE_BLOCKS
     # windows that start in the BLOCK bytes up to a good block's start
     window = (skip[of[good]] + BLOCK * number[good])[:, None] - np.arange(BLOCK)[None, :]
     segment = np.broadcast_to(of[good][:, None], window.shape)
     ok = (window >= 0) & (window <= size[segment] - LENGTH)
-    segment, window = segment[ok], window[ok]
+    order = np.argsort(first[segment[ok]] + window[ok])
+    segment, window = segment[ok][order], window[ok][order]
     start = first[segment] + window
     # equal windows have their anchor at the same place
-    key = pair_hash(span_hashes(joined, start, start + LENGTH), (at[segment] - window).astype(np.uint64))
+    key = pair_hash(_piecewise_hashes(joined, start, LENGTH), (at[segment] - window).astype(np.uint64))
     _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
     twice = n[inverse] > 1
-    order = np.lexsort((window[twice], segment[twice]))
-    return np.stack([segment[twice][order], window[twice][order]], 1)
+    return np.stack([segment[twice], window[twice]], 1)
 
 
-def _spans(segments: DataFrame, buckets: int) -> DataFrame:
-    """(node, start, end): repeated bytes, run by run; runs may overlap."""
+def _spans(texts: DataFrame, buckets: int) -> DataFrame:
+    """(node, start, end) of ``texts`` (node, text, marks): repeated bytes, run by run;
+    runs may overlap."""
 
     def build(table: pa.Table) -> pa.Table:
-        node, at, lo = (table.column(c).to_numpy() for c in ("node", "at", "lo"))
+        node, at, lo, n = (table.column(c).to_numpy() for c in ("node", "at", "lo", "n"))
         found = repeated_windows(table.column("data").to_pylist(), at.astype(np.int64))
+        found = found[n[found[:, 0]] == 1]  # of collapsed ones all is repeated
         segment, window = found[:, 0], found[:, 1]
         new = np.append(True, (segment[1:] != segment[:-1]) | (window[1:] != window[:-1] + 1))[: len(found)]
         head = np.flatnonzero(new)
@@ -276,34 +319,45 @@ def _spans(segments: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"node": node[own], "start": (lo[own] + window[head]).astype(np.int32), "end": (lo[own] + window[tail] + LENGTH).astype(np.int32)})
 
     bucket = F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int")
-    return segments.select(bucket.alias("bucket"), "node", "at", "lo", "data").groupBy("bucket").applyInArrow(build, "node bigint, start int, end int")
-
-
-class Repeats:
-    """What is repeated in ``docs``: ``rows`` (rid, key, n_bytes), ``texts`` (key, n:
-    rows that have the text, node), ``spans`` (node, spans) and the texts that may
-    have spans (node, text)."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        spark = docs.sparkSession
-        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        rid = F.coalesce(F.col(id_col).cast("bigint"), F.lit(0))
-        rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_key(F.col(text_col)).alias("key"), F.octet_length(text).cast("bigint").alias("n_bytes"))
-        self.rows = stash(rows, "rows")
-        some = self.rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.coalesce("id", F.lit(0))).alias("rid"))
-        self.texts = stash(some.withColumn("node", F.monotonically_increasing_id()), "texts")
-        source = docs.select(rid.alias("rid"), text_key(F.col(text_col)).alias("key"), text.alias("text")).filter(F.octet_length("text") >= LENGTH)
-        anchored = stash(_anchored(source), "anchored").join(self.texts.select("rid", "key", "node"), ["rid", "key"])
-        each = anchored.select("node", F.explode("anchors").alias("m")).select("node", "m.*")
-        often = each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-        marked = each.join(often, "gram").groupBy("node").agg(F.collect_list(F.struct("gram", "at", "lo", "hi", (F.col("n") > MANY).alias("many"))).alias("marks"))
-        marked = stash(marked, "marked")
-        wanted = marked.join(self.texts.select("node", "rid", "key"), "node")
-        self.held = stash(source.join(wanted, ["rid", "key"]).select("node", "text", "marks"), "held")
-        n = marked.agg(F.sum(F.size("marks"))).first()[0] or 0
-        buckets = max(shuffle_partitions(spark), n * (LENGTH + 175) // BLOCK // BUILD_BLOCKS + 1)
-        found = _spans(_segments(self.held), buckets)
-        self.spans = stash(found.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
+    dealt = _segments(texts).withColumn("bucket", bucket).repartition("bucket")
+    once = stash(dealt.groupBy("bucket", "group", "at", "data").agg(F.sum("n").alias("n"), F.min("node").alias("node"), F.min("lo").alias("lo")), "segments")
+    alone = once.select("bucket", "node", "at", "lo", "data", "n").groupBy("bucket").applyInArrow(build, "node bigint, start int, end int")
+    several = stash(once.filter("n > 1").select("group", "at", F.unhex(F.md5("data")).alias("name")), "collapsed")
+    copies = _named_segments(texts).join(several, ["group", "at", "name"], "left_semi").select("node", "start", "end")
+    return alone.unionAll(copies)
+
+
+class Repeats(NamedTuple):
+    """What is repeated in some documents: ``rows`` (id, key, n_bytes), ``texts`` (key,
+    n: rows that have the text, node), ``spans`` (node, spans), and ``held``, the texts
+    that may have spans (node, text)."""
+
+    rows: DataFrame
+    texts: DataFrame
+    spans: DataFrame
+    held: DataFrame
+
+
+@small_batches(500)
+def repeats(docs: DataFrame, id_col: str, text_col: str) -> Repeats:
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rid = F.coalesce(F.col(id_col).cast("bigint"), F.lit(0))
+    rows = stash(docs.select(F.col(id_col).cast("bigint").alias("id"), text_key(F.col(text_col)).alias("key"), F.octet_length(text).cast("bigint").alias("n_bytes")), "rows")
+    some = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.coalesce("id", F.lit(0))).alias("rid"))
+    texts = stash(some.withColumn("node", F.monotonically_increasing_id()), "texts")
+    source = docs.select(rid.alias("rid"), text_key(F.col(text_col)).alias("key"), text.alias("text")).filter(F.octet_length("text") >= LENGTH)
+    anchored = stash(_anchored(source), "anchored").join(texts.select("rid", "key", "node"), ["rid", "key"])
+    each = anchored.select("node", F.explode("anchors").alias("m")).select("node", "m.*")
+    often = stash(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    marks = F.collect_list(F.struct("gram", "at", "lo", "hi", (F.col("n") > MANY).alias("many")))
+    marked = stash(each.join(often, "gram").groupBy("node").agg(marks.alias("marks")), "marked")
+    wanted = marked.join(texts.select("node", "rid", "key"), "node")
+    held = stash(source.join(wanted, ["rid", "key"]).select("node", "text", "marks"), "held")
+    n = marked.agg(F.sum(F.size("marks"))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), n * (LENGTH + 175) // BLOCK // BUILD_BLOCKS + 1)
+    spans = _spans(held, buckets).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return Repeats(rows, texts, stash(spans, "spans"), held)
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -324,7 +378,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and the digest of what is kept, of every row."""
-    r = Repeats(docs, id_col, text_col)
+    r = repeats(docs, id_col, text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,13 +403,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut from the texts (nulls stay null)."""
-    r = Repeats(docs, id_col, text_col)
+    r = repeats(docs, id_col, text_col)
 
     @F.pandas_udf("string")
     def cut(text, spans):
         return text.combine(spans, lambda t, s: t if t is None or s is None else without(t.encode(), merged(s)).decode(errors="ignore"))
 
-    known = r.texts.join(r.spans, "node", "left").filter("n > 1 OR spans IS NOT NULL").select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_key", text_key(F.col(text_col))).join(known, "_key", "left")
-    whole = (F.col("_n") > 1) & (F.octet_length(text_col) >= LENGTH)
-    return joined.withColumn(text_col, F.when(whole, F.lit("")).when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))).select(*docs.columns)
+    known = r.texts.join(r.spans, "node", "left").filter("n > 1 OR spans IS NOT NULL").select(F.col("key").alias(KEY), F.col("n").alias(f"{KEY}_n"), F.col("spans").alias(f"{KEY}_spans"))
+    joined = docs.withColumn(KEY, text_key(F.col(text_col))).join(known, KEY, "left")
+    whole = (F.col(f"{KEY}_n") > 1) & (F.octet_length(text_col) >= LENGTH)
+    return joined.withColumn(text_col, F.when(whole, F.lit("")).when(F.col(f"{KEY}_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(f"{KEY}_spans")))).select(*docs.columns)
