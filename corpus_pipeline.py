@@ -14,25 +14,29 @@ from splicework.llm.common import stash, table
 from splicework.llm.queries import tokenizer
 
 
+#: A column that no document has.
+ROW = "__pipeline_row"
+
+
 def _row_named(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own for each row, in ``_row``."""
-    return stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """``docs`` with a number of its own for each row, in the column ROW."""
+    return stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and aren't outliers of their group."""
     numbered = _row_named(docs)
-    kept = quality.judge(numbered, id_col="_row").filter("kept").select("_row")
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = quality.judge(numbered, id_col=ROW).filter("kept").select(ROW)
+    return numbered.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each class of near-duplicates."""
     numbered = _row_named(docs)
-    order = numbered.select(F.col("_row"), F.col("doc_id"))
-    classes = near_dup.near_duplicates(numbered, id_col="_row").select("_row", "class_id")
-    least = order.join(classes, "_row").groupBy("class_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
-    return numbered.join(least, "_row", "left_semi").select(*docs.columns)
+    order = numbered.select(F.col(ROW), F.col("doc_id"))
+    classes = near_dup.near_duplicates(numbered, id_col=ROW).select(ROW, "class_id")
+    least = order.join(classes, ROW).groupBy("class_id").agg(F.min(F.struct("doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return numbered.join(least, ROW, "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +51,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
     numbered = _row_named(docs)
-    report = decontaminate.document_report(decontaminate.match_phrases(stash(decontaminate.build_index(numbered, id_col="_row"), "postings"), table(spark, sf_dir, "benchmark")), id_col="_row")
-    return numbered.join(report.filter("NOT contaminated").select("_row"), "_row", "left_semi").select(*docs.columns)
+    report = decontaminate.document_report(decontaminate.match_phrases(stash(decontaminate.build_index(numbered, id_col=ROW), "postings"), table(spark, sf_dir, "benchmark")), id_col=ROW)
+    return numbered.join(report.filter("NOT contaminated").select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,22 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(tuple, tokens.collect()))
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, other columns, and no rows at all."""
+    long = " ".join(f"w{i}" for i in range(80))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, class_id int, key string"
+    rows = [(1, None, None, None, None, 1, "k"), (2, "", "en", "s", 0, 1, "k"), (None, long, "en", "s", len(long), 1, "k"), (3, long, "en", "s", len(long), 1, "k"), (3, long, "en", "s", len(long), 1, "k")]
+    for name, data in (("some", rows), ("none", [])):
+        path = str(tmp_path / name)
+        spark.createDataFrame(data, schema).write.parquet(path)
+        docs = spark.read.parquet(path)
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stash(stage(spark, docs, DATA), step)
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+        assert len(out) == (1 if data else 0)
+
+
 def test_library_stands_alone():
     top = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
     for folder, _, names in os.walk(f"{top}/splicework"):
