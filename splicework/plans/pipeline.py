@@ -8,7 +8,6 @@ to better ones near them, and chains are merged, filtered and reported.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
