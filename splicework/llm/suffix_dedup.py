@@ -238,11 +238,8 @@ class ColumnwiseOrder:
         self._write(*out)
         for f in olds:
             os.unlink(f)
-        moved = np.cumsum(~fresh) - 1  # of each place, the old place's number
-        keep = np.flatnonzero(~fresh)
-        self.place = keep[self.place]
+        self.place = np.flatnonzero(~fresh)[self.place]
         self.place[docs] = new
-        del moved
 
 
 def common_blocks(blocks: list[np.ndarray]) -> np.ndarray:
