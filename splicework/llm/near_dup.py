@@ -6,13 +6,16 @@ shingle, and a text stops as soon as no later arrival can be the earliest anywhe
 Two texts agree in a register with the probability of their probability Jaccard.
 
 Equal texts are collapsed first. Signatures are cut into bands; texts with an equal
-band are candidates. In each such bucket one text is the pivot and is paired with the
-others, so that a bucket of n texts gives n - 1 pairs; the pairs are verified on whole
-shingle sets (Jaccard of at least 0.8). Buckets whose texts are then in one class are
-done. In the others a second text becomes pivot; what is still in several classes after
-that is compared text by text, but only across classes and never twice, so that no link
-is lost. Classes are the connected components of the verified links, found by
-repeated joins.
+band are candidates. In each such bucket the most central text (with the most
+companions over all its buckets) is the pivot and is paired with the others, so that a
+bucket of n texts gives n - 1 pairs; the pairs are verified on whole shingle sets
+(Jaccard of at least 0.8). Texts of buckets that are then still in several classes are
+compared across classes by an exact prefix filter: of two sets that similar, the
+shingles that come first in any common order must meet, and with the rarest first
+(by a sketch of fixed size) those of large groups don't; and the shingles that no other
+text has bound what two sets can share. So no link between classes
+is lost, and no group is compared pair by pair. Classes are the connected components
+of the verified links, found by repeated joins.
 
 Defined cases: a text of fewer than five words (but not none) is one shingle; texts
 without words, nulls too, are near only to equal texts; null texts are equal; repeated rows share a class; of rows with
@@ -30,13 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small_batches, stash
 from .textops import SPACE_WORDS, Slice, mix, pair_hash, slices
 
 SHINGLE = 5
 BANDS = 32
 ROWS = 5
 THRESHOLD = 0.8
+#: Cells of the sketch that orders shingles by how common they are.
+SKETCH_BITS = 18
+SKETCH = 1 << SKETCH_BITS
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
 
 
 def shingles(words: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +112,7 @@ def _signed(texts: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw in slices(batch, "text"):
+            for part, raw in slices(batch, "text", SLICE):
                 doc, value, weight = shingles(Slice(raw, False, SPACE_WORDS))
                 some = np.unique(doc)
                 signature = signatures(len(some), np.searchsorted(some, doc), value, weight, BANDS * ROWS).reshape(-1, BANDS, ROWS)
@@ -122,7 +130,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw in slices(batch, "text"):
+            for part, raw in slices(batch, "text", SLICE):
                 doc, value, _ = shingles(Slice(raw, False, SPACE_WORDS))
                 cut = np.searchsorted(doc, np.arange(len(raw) + 1))
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc", "shingles"])
@@ -179,28 +187,88 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _candidates(member: DataFrame, classes: DataFrame | None, done: DataFrame | None, last: bool) -> DataFrame:
-    """Pairs (a < b) to verify, of buckets ``member`` (band, doc). First each bucket's
-    least text with the others; then of mixed buckets the least text outside the
-    first's class with those of other classes; at last every text outside a bucket's
-    largest class with those of other classes."""
-    if classes is None:
-        pivot = member.groupBy("band").agg(F.min("doc").alias("pivot"))
-        pairs = member.join(pivot, "band").filter("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-        return pairs.distinct()
-    named = member.join(classes, "doc", "left").select("band", "doc", F.coalesce("class", "doc").alias("class"))
-    counted = named.groupBy("band", "class").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-    mixed = counted.groupBy("band").agg(F.count("*").alias("k"), F.max_by("class", "n").alias("most"), F.min(F.struct("first", "class")).alias("head"))
-    mixed = mixed.filter("k > 1")
-    if last:
-        out = named.join(mixed.select("band", "most"), "band").filter("class != most")
-    else:
-        out = named.join(mixed.select("band", F.col("head.class").alias("most")), "band").filter("class != most")
-        out = out.groupBy("band").agg(F.min_by(F.struct("doc", "class"), "doc").alias("x")).select("band", "x.doc", "x.class")
-    pairs = out.select("band", F.col("doc").alias("x"), F.col("class").alias("cx")).join(named, "band").filter("class != cx").select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b"))
-    return pairs.distinct().join(done, ["a", "b"], "left_anti")
+def _pivots(member: DataFrame) -> DataFrame:
+    """Pairs (a < b) of each bucket's most central text and its others."""
+    sizes = member.groupBy("band").agg(F.count("*").alias("n"))
+    central = member.join(sizes, "band").groupBy("doc").agg(F.sum("n").alias("companions"))
+    known = member.join(central, "doc")
+    pivot = known.groupBy("band").agg(F.min(F.struct((-F.col("companions")).alias("c"), "doc")).alias("least")).select("band", F.col("least.doc").alias("pivot"))
+    pairs = member.join(pivot, "band").filter("doc != pivot")
+    return pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+
+
+def _sketch(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` fall in each of SKETCH cells."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for x in batch.column("shingles").to_pylist():
+                np.add.at(total, (np.frombuffer(x, np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        parts = total.reshape(64, -1)
+        yield pa.RecordBatch.from_pydict({"part": np.arange(64), "counts": [p.tobytes() for p in parts]})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "counts": [total.tobytes()]})
+
+    rows = sets.select("shingles").mapInArrow(count, "part bigint, counts binary").groupBy("part").applyInArrow(add, "part bigint, counts binary").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows)]) if rows else np.zeros(SKETCH, np.int64)
+
 
+def _unshared(sets: DataFrame) -> DataFrame:
+    """(doc, alone): how many of its shingles no other row of ``sets`` has."""
 
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
+                values = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
+                docs = np.repeat(part.column("doc").to_numpy(), [len(v) for v in values])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.concatenate(values), pa.int64())], ["doc", "shingle"])
+
+    rows = sets.select("doc", "shingles").mapInArrow(flat, "doc bigint, shingle bigint")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1")
+    return once.groupBy("doc").agg(F.count("*").alias("alone"))
+
+
+def _across(sets: DataFrame, member: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a < b) across classes that the prefix filter lets pass, among the texts
+    of buckets with several classes."""
+    named = member.join(classes, "doc", "left").select("band", "doc", F.coalesce("class", "doc").alias("class"))
+    mixed = named.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band")
+    rest = stash(named.join(mixed, "band", "left_semi").select("doc", "class").distinct(), "rest")
+    own = sets.join(rest, "doc")
+    sent = sets.sparkSession.sparkContext.broadcast(_sketch(own))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, classes_, sizes, places, out = [], [], [], [], []
+            for doc, x, c in zip(batch.column("doc").to_pylist(), batch.column("shingles").to_pylist(), batch.column("class").to_pylist(), strict=True):
+                x = np.frombuffer(x, np.uint64)
+                n = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1
+                first = x[np.lexsort((x, sent.value[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:n]]
+                out.append(first.astype(np.int64))
+                docs.append(np.full(len(first), doc))
+                classes_.append(np.full(len(first), c))
+                sizes.append(np.full(len(first), len(x)))
+                places.append(np.arange(len(first)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (docs, classes_, sizes, places, out)], ["doc", "class", "size", "place", "shingle"])
+
+    every = own.select("doc", "class", "shingles").mapInArrow(prefixes, "doc bigint, class bigint, size bigint, place bigint, shingle bigint")
+    # from the first shingle that two texts share on, neither has more than what is left
+    # of it; and a shingle that no other text has meets nothing
+    every = every.join(_unshared(own), "doc", "left").withColumn("open", F.col("size") - F.greatest(F.coalesce("alone", F.lit(0)), "place")).drop("alone", "place")
+    every = stash(every.filter(F.col("open") >= threshold * F.col("size") - 1e-9), "prefixes")
+    several = every.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("shingle")
+    left = every.join(several, "shingle", "left_semi")
+    right = left.select("shingle", F.col("doc").alias("b"), F.col("class").alias("cb"), F.col("size").alias("nb"), F.col("open").alias("ob"))
+    overlap = F.least("open", "ob")
+    near = (F.col("doc") < F.col("b")) & (F.col("class") != F.col("cb")) & (overlap >= threshold * (F.col("size") + F.col("nb") - overlap) - 1e-9)
+    return left.join(right, "shingle").filter(near).select(F.col("doc").alias("a"), "b").distinct()
+
+
+@small_batches(500)
 def classes_of(texts: DataFrame, first: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, class) of the rows of ``texts`` (doc, text) that are linked to others.
     ``first`` has the documents (doc) to compare: one of each set of equal texts."""
@@ -209,15 +277,12 @@ def classes_of(texts: DataFrame, first: DataFrame, threshold: float = THRESHOLD)
     shared = banded.groupBy("band").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("band")
     member = stash(banded.join(shared, "band", "left_semi").distinct(), "buckets")
     sets = stash(_sets(texts.join(member.select("doc").distinct(), "doc", "left_semi")), "sets")
-    classes = done = None
-    for last in (False, False, True):
-        new = stash(_candidates(member, classes, done, last), "candidates")
-        if classes is not None and new.isEmpty():
-            continue
-        done = new if done is None else done.unionAll(new)
-        good = stash(verify(new, sets, threshold), "links")
-        classes = components(good if classes is None else good.unionAll(classes.select(F.col("doc").alias("a"), F.col("class").alias("b"))))
-    return classes
+    pivots = stash(_pivots(member), "candidates")
+    linked = stash(verify(pivots, sets, threshold), "links")
+    classes = components(linked)
+    rest = _across(sets, member, classes, threshold).join(pivots, ["a", "b"], "left_anti")
+    more = stash(verify(stash(rest, "candidates"), sets, threshold), "links")
+    return components(more.unionAll(classes.select(F.col("doc").alias("a"), F.col("class").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
