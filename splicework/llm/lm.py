@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import mmap
 import os
+import sys
 import tempfile
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_partitions, stash
+from .common import new_path, shuffle_partitions, small_batches, stash
 from .textops import SPACE_WORDS, Slice, pair_hash, slices
 
 FOLDS, HELD_FOLD = 5, 1
@@ -43,6 +44,8 @@ FOLDS, HELD_FOLD = 5, 1
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Tokens that a counting task holds before it sends their counts.
 HELD_TOKENS = 4 << 20
+#: A mapping needs no open file beside it, where Python lets it go without.
+_NO_FILE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 
 
 def fold(id_col: str) -> Column:
@@ -172,10 +175,10 @@ class Store:
                 while block := f.read(1 << 20):
                     own.write(block)
             own.flush()
-            mapped = mmap.mmap(own.fileno(), 0, access=mmap.ACCESS_READ)
+            mapped = mmap.mmap(own.fileno(), 0, access=mmap.ACCESS_READ, **_NO_FILE)
         else:
             with open(f"{self.local}/{name}", "rb") as f:
-                mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+                mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_NO_FILE)
         out, at = {}, 512
         for item in mapped[:512].decode().strip().split(";")[:-1]:
             k, kind, n = item.split(":")
@@ -200,6 +203,7 @@ def discounts(f: list[int]) -> tuple[float, float, float]:
     return tuple(d if 0 < d <= k else 0.75 for k, d in zip((1, 2, 3), got, strict=True))
 
 
+@small_batches(2000)
 def train(docs: DataFrame, url: str, buckets: int) -> dict:
     """Counts the model of ``docs`` (text) into the folder ``url``; its few totals."""
     store = Store(url)
