@@ -33,8 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
-from .textops import slices
+from .common import shuffle_partitions, small_batches, stash
 
 CHUNK_BYTES = 16 << 20
 #: Words up to this many bytes are merged by scanning, longer ones with a heap.
@@ -120,15 +119,23 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], pattern: str, chunk_bytes: int) -> Iterator[tuple[int, pa.Array, Chunk]]:
+def _numbered(batches: Iterator[pa.RecordBatch], pattern: str, chunk_bytes: int) -> Iterator[tuple[int, list, Chunk]]:
     import regex
 
     split = regex.compile(pattern).findall
     k = TaskContext.get().partitionId() << 32
+    ids, texts, held = [], [], 0
     for batch in batches:
-        for part, texts in slices(batch, "text", chunk_bytes):
-            yield k, part.column("id"), Chunk(texts, split)
-            k += 1
+        for i, t in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+            n = len(t or b"") + 1
+            if ids and held + n > chunk_bytes:
+                yield k, ids, Chunk(texts, split)
+                k, ids, texts, held = k + 1, [], [], 0
+            ids.append(i)
+            texts.append(t)
+            held += n
+    if ids:
+        yield k, ids, Chunk(texts, split)
 
 
 _GROUPED = "chunk bigint, signature bigint, ids array<bigint>, sizes binary, slots binary, lengths binary, tokens binary"
@@ -140,7 +147,7 @@ def _chunks(picked: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, ids, c in _numbered(batches, pattern, chunk_bytes):
             yield pa.RecordBatch.from_pydict(
-                {"chunk": [k], "signature": [c.signature], "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "sizes": [_pack(c.sizes)], "slots": [_pack(c.slots)], "lengths": pa.array([None], pa.binary()), "tokens": pa.array([None], pa.binary())}
+                {"chunk": [k], "signature": [c.signature], "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": [_pack(c.sizes)], "slots": [_pack(c.slots)], "lengths": pa.array([None], pa.binary()), "tokens": pa.array([None], pa.binary())}
             )
 
     return picked.mapInArrow(rows, _GROUPED)
@@ -263,6 +270,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], tokens_col: str = "token
     return encoded.mapInArrow(rows, schema)
 
 
+@small_batches(1000)
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id, number of tokens, and digests of the ids and of what they decode to."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -279,4 +287,4 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
             }
         )
 
-    return _assembled(docs, ranks, pattern, finish, f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col, text_col, chunk_bytes)
+    return stash(_assembled(docs, ranks, pattern, finish, f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col, text_col, chunk_bytes), "digests")

@@ -140,24 +140,26 @@ class Phrases:
                     yield k, np.unique(owners[i]), starts
 
 
-def _item_slices(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list]:
-    """The test items in slices of about ``most`` bytes of text."""
+def _item_slices(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[tuple[list, bool]]:
+    """The test items in slices of about ``most`` bytes of text, and whether a slice is
+    the last one."""
     picked = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("text"))
     total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // most + 1
     for k in range(n):
-        yield [tuple(r) for r in (picked if n == 1 else picked.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)).collect()]
+        yield [tuple(r) for r in (picked if n == 1 else picked.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)).collect()], k == n - 1
 
 
 def match_phrases(index: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", slice_bytes: int = SLICE_OF_ITEMS) -> DataFrame:
     """The index with, in each shard, the words hit by a window (``hits``, a bit for
     each position) and the items found in each document (``found``)."""
-    for part in _item_slices(items, id_col, text_col, slice_bytes):
+    for part, last in _item_slices(items, id_col, text_col, slice_bytes):
         sent = index.sparkSession.sparkContext.broadcast(Phrases(part, window))
 
-        def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def look(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i, row in enumerate(batch.to_pylist()):
+                for i in range(len(batch)):
+                    row = batch.slice(i, 1).to_pylist()[0]
                     shard = Shard(row)
                     edge = np.zeros(shard.size + 1, np.int64)
                     pairs = []
@@ -172,6 +174,8 @@ def match_phrases(index: DataFrame, items: DataFrame, window: int = WINDOW, id_c
                     found = [{"doc": int(d), "item": sent.value.names[o]} for d, o in (np.unique(np.concatenate(pairs), axis=0) if pairs else ())]
                     own = batch.slice(i, 1)
                     at = own.schema.get_field_index
+                    for name in ("terms", "firsts", "steps") if last else ():  # nothing looks them up again
+                        own = own.set_column(at(name), own.schema.field(name), pa.array([b""], own.schema.field(name).type))
                     own = own.set_column(at("hits"), own.schema.field("hits"), pa.array([np.packbits(hit).tobytes()], own.schema.field("hits").type))
                     yield own.set_column(at("found"), own.schema.field("found"), pa.array([row["found"] + found], own.schema.field("found").type))
 
@@ -212,7 +216,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int, id_col: str
     """(doc_id, item): every item all of whose words stand, in any order, among at
     most as many consecutive words of the document as it has, plus ``slop``."""
     out = None
-    for part in _item_slices(items, id_col, text_col, SLICE_OF_ITEMS):
+    for part, _ in _item_slices(items, id_col, text_col, SLICE_OF_ITEMS):
         words = Slice([(t or "").encode() for _, t in part], True, LETTER_WORDS)
         hashes = words.hashes()
         wanted = [(name, *np.unique(hashes[words.word_first[i] : words.word_first[i + 1]], return_counts=True), int(words.n_words[i])) for i, (name, _) in enumerate(part) if words.n_words[i]]

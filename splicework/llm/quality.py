@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small_batches, stash
 from .textops import SPACE_WORDS, Slice, counts_between, lut, pair_hash, slices, span_hashes
 
 MIN_WORDS = 50
@@ -44,6 +44,9 @@ REWEIGHT_TAIL = 0.025
 #: Least standard deviation of each transformed statistic, in its own unit.
 FLOORS = (0.5, 0.06, 0.09, 0.2, 0.2)
 P = len(FLOORS)
+#: Up to so many groups, of a few hundred bytes each, estimates are broadcast; more
+#: are joined.
+FEW_GROUPS = 20_000
 
 _SYMBOLS = lut(b"#*$%&|<>")
 _STATS = "id bigint, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
@@ -178,16 +181,18 @@ def _moments(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame) -> DataFrame:
     """The estimate of every (language, source). ``rows`` has lang, source and x."""
     long = stash(rows.select("x", F.explode(F.array(*(_group(k) for k in range(3)))).alias("g")), "mcd-rows")
+    few = long.select("g").distinct().count() <= FEW_GROUPS
+    send = F.broadcast if few else lambda df: df
     middle = long.groupBy("g").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5) for i in range(P))).alias("mean"))
     off = F.array(*(F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5) for i in range(P)))
-    spread = long.join(middle, "g").groupBy("g").agg(off.alias("mad"), F.first("mean").alias("mean"))
+    spread = long.join(send(middle), "g").groupBy("g").agg(off.alias("mad"), F.first("mean").alias("mean"))
     precision = F.flatten(F.array(*(F.array(*(1 / ((F.col("mad")[i] * 1.4826) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0) for j in range(P))) for i in range(P))))
     now = stash(spread.select("g", "mean", precision.alias("precision")), "mcd-start")
     for k in range(STEPS + 1):
-        near = long.join(now.select("g", "mean", "precision"), "g").select("g", "x", _distance().alias("d"))
+        near = long.join(send(now.select("g", "mean", "precision")), "g").select("g", "x", _distance().alias("d"))
         if k < STEPS:
             limit = near.groupBy("g").agg(F.percentile_approx("d", H).alias("limit"))
-            near, factor = near.join(limit, "g").filter("d <= limit"), _consistency(H)
+            near, factor = near.join(send(limit), "g").filter("d <= limit"), _consistency(H)
         else:
             near, factor = near.filter(F.col("d") <= chi2_quantile(1 - REWEIGHT_TAIL, P)), _consistency(1 - REWEIGHT_TAIL)
         now = stash(_estimates(_moments(near), factor), "mcd-step")
@@ -214,6 +219,7 @@ def fit(rows: DataFrame) -> DataFrame:
     return wide.mapInPandas(shrink, _ESTIMATE)
 
 
+@small_batches(1000)
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The statistics, the base rule's and the final verdict and the squared distance
     (null where the base rule failed) of every row."""
