@@ -18,6 +18,10 @@ from splicework.llm.queries import tokenizer
 ROW = "__pipeline_row"
 
 
+#: The workers of this stage still hold their memory when others start, so its chunks are small.
+CHUNK_BYTES = 3 << 20
+
+
 def _row_named(docs: DataFrame) -> DataFrame:
     """``docs`` with a number of its own for each row, in the column ROW."""
     return stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
@@ -57,7 +61,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens and digests of ids and decoded bytes."""
-    return bpe.digests(docs, *tokenizer())
+    return bpe.digests(docs, *tokenizer(), chunk_bytes=CHUNK_BYTES)
 
 
 STAGES = [
