@@ -60,8 +60,8 @@ def site_scores(introns: DataFrame, pwm: DataFrame, ids: Sequence[str], matrices
 def best_window(rows: DataFrame, pwm: DataFrame, ids: Sequence[str], width: int, first: Column, last: Column, seq: str = "seq") -> DataFrame:
     """position and score of the best window that starts in first .. last (1-based); of
     equal scores, to nine digits, the last (F11)."""
-    starts = rows.select(*ids, "matrix", seq, F.explode(F.sequence(first, last)).alias("position"))
-    motifs = starts.select(*ids, "matrix", "position", F.substring(F.col(seq), F.col("position"), F.lit(width)).alias("motif"))
+    at = F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("position"), F.substring(F.col(seq), i, F.lit(width)).alias("motif")))
+    motifs = rows.select(*ids, "matrix", F.explode(at).alias("_m")).select(*ids, "matrix", "_m.position", "_m.motif")
     scored = pwm_scores(motifs, pwm, [*ids, "position"]).withColumn("score", F.round("score", 9))
     best = F.row_number().over(Window.partitionBy(*ids).orderBy(F.desc("score"), F.desc("position")))
     return scored.withColumn("_r", best).filter("_r = 1").drop("_r")

@@ -6,6 +6,9 @@ Gapped strings use '-'. N in either string matches all where it says so.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -36,18 +39,75 @@ def edit_table(a: str, b: str, wild: bool = False) -> np.ndarray:
     return out
 
 
+def edit_rows(a: str, b: str, wild: bool = False) -> tuple[np.ndarray, Callable[[np.ndarray, int], np.ndarray]]:
+    """The first row of ``edit_table`` and the step from a row to the next (the i-th)."""
+    return _steps(a, b, wild, False)
+
+
+def _steps(a: str, b: str, wild: bool, score: bool) -> tuple[np.ndarray, Callable[[np.ndarray, int], np.ndarray]]:
+    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
+    step = np.arange(len(b) + 1, dtype=np.int32)
+    any_of = y == 78
+    costs = {c: (y != c).astype(np.int32) if not wild else np.zeros(len(y), np.int32) if c == 78 else ((y != c) & ~any_of).astype(np.int32) for c in set(x.tolist())}
+    if score:
+        costs = {c: 1 - 2 * v for c, v in costs.items()}
+
+    def following(above: np.ndarray, i: int) -> np.ndarray:
+        row = np.empty(len(b) + 1, np.int32)
+        if score:
+            row[0] = -i
+            row[1:] = np.maximum(above[1:] - 1, above[:-1] + costs[x[i - 1]])
+            return np.maximum.accumulate(row + step) - step
+        row[0] = i
+        row[1:] = np.minimum(above[1:] + 1, above[:-1] + costs[x[i - 1]])
+        return np.minimum.accumulate(row - step) + step
+
+    return -step if score else step.copy(), following
+
+
+def each_row(first: np.ndarray, following: Callable[[np.ndarray, int], np.ndarray], n: int) -> Iterator[np.ndarray]:
+    """Rows 0 .. n."""
+    row = first
+    yield row
+    for i in range(1, n + 1):
+        row = following(row, i)
+        yield row
+
+
+class Rows:
+    """Rows 0 .. n of a table that are read downwards: one of each sqrt(n) is kept, and
+    those between are made again, so that whole texts fit in memory."""
+
+    def __init__(self, first: np.ndarray, following: Callable[[np.ndarray, int], np.ndarray], n: int):
+        self.n, self.following, self.every, self.at = n, following, isqrt(n) + 1, -1
+        self.kept, self.block = [], []
+        for i, row in enumerate(each_row(first, following, n)):
+            if i % self.every == 0:
+                self.kept.append(row)
+            self.last = row
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        k = i // self.every
+        if k != self.at:
+            self.at, self.block = k, [self.kept[k]]
+            for j in range(k * self.every + 1, min((k + 1) * self.every, self.n + 1)):
+                self.block.append(self.following(self.block[-1], j))
+        return self.block[i - k * self.every]
+
+
 def global_alignment(est: str, gen: str) -> tuple[str, str, int]:
     """Least edits, N matches all (F19); the diagonal is preferred, then a gap in the
     genome, then one in the transcript."""
-    t = edit_table(est, gen, wild=True)
+    t = Rows(*edit_rows(est, gen, wild=True), len(est))
     i, j, a, b = len(est), len(gen), [], []
+    row, above = t.last, t[i - 1] if i else None
     while i or j:
         match = i and j and (est[i - 1] == gen[j - 1] or "N" in (est[i - 1], gen[j - 1]))
-        if i and j and t[i, j] == t[i - 1, j - 1] + (not match):
+        if i and j and row[j] == above[j - 1] + (not match):
             i, j = i - 1, j - 1
             a.append(est[i])
             b.append(gen[j])
-        elif i and t[i, j] == t[i - 1, j] + 1:
+        elif i and row[j] == above[j] + 1:
             i -= 1
             a.append(est[i])
             b.append("-")
@@ -55,7 +115,9 @@ def global_alignment(est: str, gen: str) -> tuple[str, str, int]:
             j -= 1
             a.append("-")
             b.append(gen[j])
-    return "".join(reversed(a)), "".join(reversed(b)), int(t[-1, -1])
+            continue
+        row, above = above, t[i - 1] if i else None
+    return "".join(reversed(a)), "".join(reversed(b)), int(t.last[-1])
 
 
 def gap_alignment(est: str, gen: str) -> tuple[int, int, int, int]:
@@ -63,28 +125,20 @@ def gap_alignment(est: str, gen: str) -> tuple[int, int, int, int]:
     transcript before the gap), and the gap's first and last genome position (1-based;
     first > last: no gap). Match 1, mismatch and space -1, N matches all. Of equal cuts
     the leftmost donor with the shortest transcript prefix wins."""
-    n, m = len(est), len(gen)
-
-    def scores(a: str, b: str) -> np.ndarray:
-        reward = 1 - 2 * _costs(a, b, True) if a and b else np.zeros((len(a), len(b)), np.int32)
-        out = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-        step = np.arange(len(b) + 1)
-        out[0] = -step
-        for i in range(1, len(a) + 1):
-            row = np.empty(len(b) + 1, np.int32)
-            row[0] = -i
-            row[1:] = np.maximum(out[i - 1, 1:] - 1, out[i - 1, :-1] + reward[i - 1])
-            out[i] = np.maximum.accumulate(row + step) - step
-        return out
-
-    left = scores(est, gen)
-    right = scores(est[::-1], gen[::-1])[::-1, ::-1]
-    # after[i, j]: the best of aligning est[i:] to a suffix of gen that starts at j or later
-    after = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]
-    total = left + after
-    i, j = np.unravel_index(int(np.argmax(total)), total.shape)
-    k = j + int(np.argmax(right[i, j:] == after[i, j]))
-    return int(total[i, j]), int(i), int(j) + 1, int(k) if k > j else int(j)
+    n = len(est)
+    # right[n - i][m - j]: the score of est[i:] with gen[j:]
+    right = Rows(*_steps(est[::-1], gen[::-1], True, True), n)
+    best = None
+    for i, left in enumerate(each_row(*_steps(est, gen, True, True), n)):
+        own = right[n - i][::-1]
+        # after[j]: the best of aligning est[i:] to a suffix of gen that starts at j or later
+        after = np.maximum.accumulate(own[::-1])[::-1]
+        total = left + after
+        j = int(np.argmax(total))
+        if best is None or total[j] > best[0]:
+            best = int(total[j]), i, j, j + int(np.argmax(own[j:] == after[j]))
+    score, i, j, k = best
+    return score, i, j + 1, k if k > j else j
 
 
 def border_split(p: str, t: str, most: int, frequency) -> tuple[int, int, int, int]:
@@ -92,10 +146,10 @@ def border_split(p: str, t: str, most: int, frequency) -> tuple[int, int, int, i
     cut, bases of t used on the left and on the right. Least edits; of equal ones the
     most frequent splice pattern of what lies between."""
     reach = min(len(p) + most, len(t))
-    head, tail = edit_table(p, t[:reach]), edit_table(p[::-1], t[::-1][:reach])
+    head, tail = each_row(*edit_rows(p, t[:reach]), len(p)), Rows(*edit_rows(p[::-1], t[::-1][:reach]), len(p))
     best = None
-    for cut in range(len(p) + 1):
-        a, b = head[cut], tail[len(p) - cut]
+    for cut, a in enumerate(head):
+        b = tail[len(p) - cut]
         low = int(a.min()) + int(b.min())
         if best and low > -best[0]:
             continue
@@ -114,30 +168,36 @@ def longest_common_factor(a: str, b: str) -> tuple[int, int, int]:
     first in a's order (F21)."""
     if not a or not b:
         return 0, 0, 0
-    same = _costs(a, b, True) == 0
-    run = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a)):
-        run[i + 1, 1:] = np.where(same[i], run[i, :-1] + 1, 0)
-    n = int(run.max())
-    i, j = np.unravel_index(int(np.argmax(run)), run.shape)
-    return int(i) - n, int(j) - n, n
+    y = np.frombuffer(b.encode(), np.uint8)
+    same = {c: (y == c) | (y == 78) | (c == 78) for c in set(a.encode())}
+    run, best = np.zeros(len(b) + 1, np.int32), (0, 0, 0)
+    for i, c in enumerate(a.encode()):
+        run[1:] = np.where(same[c], run[:-1] + 1, 0)
+        j = int(np.argmax(run))
+        if run[j] > best[2]:
+            best = i + 1, j, int(run[j])
+    return best[0] - best[2], best[1] - best[2], best[2]
 
 
 def best_affix(e: str, g: str, rate: float = 0.17) -> tuple[int, int]:
     """Lengths of the prefixes of e and g with the least 2 * edits / (lengths), at most
     ``rate``, that end in the same base; later ones win ties (F28)."""
-    t = edit_table(e, g)
+    y, to = np.frombuffer(g.encode(), np.uint8), np.arange(1, len(g) + 1)
+    ends = {c: np.flatnonzero(y == ord(c)) for c in set(e)}
     best, at = rate, (0, 0)
-    for i in range(1, len(e) + 1):
-        for j in range(1, len(g) + 1):
-            if e[i - 1] == g[j - 1] and (r := 2 * t[i, j] / (i + j)) <= best:
-                best, at = r, (i, j)
+    for i, row in enumerate(each_row(*edit_rows(e, g), len(e))):
+        if not i or not len(j := ends[e[i - 1]]):
+            continue
+        r = 2 * row[j + 1] / (i + to[j])
+        if (low := r.min()) <= best:
+            best, at = low, (i, int(to[j][np.flatnonzero(r == low)[-1]]))
     return at
 
 
 def best_cut(a: str, b: str) -> tuple[int, int]:
     """The prefix of b that is nearest to a, and its edits; the shortest of equals."""
-    row = edit_table(a, b)[-1]
+    for row in each_row(*edit_rows(a, b), len(a)):
+        pass
     return int(np.argmin(row)), int(row.min())
 
 
@@ -225,17 +285,17 @@ def cut(a: Column, b: Column) -> Column:
     return _struct_udf(best_cut, "cut int, edits int", a, b)
 
 
-def refined_junction(est: Column, gen: Column, least: int = 40, shift: int = 20) -> Column:
+def refined_junction(est: Column, gen: Column, expected: Column | None = None, least: int = 40, shift: int = 20) -> Column:
     """A splice junction realigned (P12): the gap alignment's, moved along identical
     bases to the most frequent pattern; null where the intron is shorter than
-    ``least`` or a site moved by more than ``shift`` from the expected cut at 30."""
+    ``least`` or a site moved by more than ``shift`` from the ``expected`` cut (30)."""
     from ..functions.sequence import FREQUENCIES
 
     known = dict(FREQUENCIES)
 
-    def slide(e: str, g: str) -> tuple:
+    def slide(e: str, g: str, middle: int) -> tuple:
         score, at, start, end = gap_alignment(e, g)
-        if end - start + 1 < least or abs(at - 30) > shift:
+        if end - start + 1 < least or abs(at - middle) > shift:
             return None, None, None, None
         best = (known.get((g[start - 1 : start + 1] + g[end - 2 : end]).upper(), 0), 0)
         for way in (-1, 1):
@@ -248,7 +308,7 @@ def refined_junction(est: Column, gen: Column, least: int = 40, shift: int = 20)
                 best = max(best, (known.get((g[start - 1 + k : start + 1 + k] + g[end - 2 + k : end + k]).upper(), 0), k), key=lambda x: (x[0], -abs(x[1])))
         return score, at + best[1], start + best[1], end + best[1]
 
-    return _struct_udf(slide, "score int, cut int, intron_start int, intron_end int", est, gen)
+    return _struct_udf(slide, "score int, cut int, intron_start int, intron_end int", est, gen, F.lit(30) if expected is None else expected)
 
 
 def noisy(est: Column, gen: Column) -> Column:

@@ -19,7 +19,7 @@ def longest_orf(rows: DataFrame, ids: Sequence[str], least: int = 100, context:
     ``least`` bases (T07). With ``context``, starts with a Kozak context come first.
     Each start finds its stop by a window over the codons of its frame."""
     s = F.upper(F.col(seq))
-    starts = rows.filter(F.length(seq) >= 3).select(*ids, F.col(seq).alias("_seq"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))).alias("_i", "_codon"))
+    starts = rows.filter(F.length(seq) >= 3).select(*ids, *([F.col(seq).alias("_seq")] if context else []), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))).alias("_i", "_codon"))
     kept = starts.filter(F.col("_codon").isin("ATG", *STOPS)).withColumn("_i", F.col("_i") + 1)
     ahead = Window.partitionBy(*ids, F.col("_i") % 3).orderBy("_i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     marked = kept.withColumn("_stop", F.min(F.when(F.col("_codon") != "ATG", F.col("_i"))).over(ahead))

@@ -139,7 +139,7 @@ _per_doc(
 )
 def f11_best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sequences(spark, sf_dir).filter(F.length("seq") >= 60).select("doc_id", "seq", F.lit(0).alias("matrix"))
-    best = scoring.best_window(rows, _demo_matrix(spark), ["doc_id"], 12, F.lit(1), F.lit(29))
+    best = scoring.best_window(rows, _demo_matrix(spark), ["doc_id"], 12, F.lit(1), F.length("seq") - 11)
     return best.select("doc_id", "position", "score")
 
 
@@ -270,12 +270,18 @@ def g01_source_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sequence's first 80 bases with those of the document after it."""
-    a = sequences(spark, sf_dir).select("doc_id", F.substring("seq", 1, 80).alias("a"))
-    b = sequences(spark, sf_dir).select((F.col("doc_id") - 1).alias("doc_id"), F.substring("seq", 1, 80).alias("b"))
+    """Each sequence with that of the document after it."""
+    a = sequences(spark, sf_dir).select("doc_id", F.col("seq").alias("a"))
+    b = sequences(spark, sf_dir).select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("b"))
     return a.join(b, "doc_id")
 
 
+def _interrupted() -> Column:
+    """b between the halves of a, as an intron."""
+    half = F.floor(F.length("a") / 2).cast("int")
+    return F.concat(F.substring(F.col("a"), F.lit(1), half), F.col("b"), F.substring(F.col("a"), half + 1, F.length("a")))
+
+
 @query()
 def f02_tail_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     tailed = F.concat("seq", F.repeat(F.lit("A"), (F.col("doc_id") % 30).cast("int")))
@@ -284,14 +290,12 @@ def f02_tail_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def f17_border_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = F.concat(F.substring("b", 1, 12), F.substring("b", -12, 12))
-    return _neighbours(spark, sf_dir).select("doc_id", align.split_border(short, F.col("b"), 3).alias("s")).select("doc_id", "s.*")
+    return _neighbours(spark, sf_dir).select("doc_id", align.split_border(F.col("a"), F.col("b"), 3).alias("s")).select("doc_id", "s.*")
 
 
 @query()
 def f18_gap_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gen = F.concat(F.substring("a", 1, 30), "b", F.substring("a", 31, 30))
-    return _neighbours(spark, sf_dir).select("doc_id", align.spliced(F.substring("a", 1, 60), gen).alias("s")).select("doc_id", "s.*")
+    return _neighbours(spark, sf_dir).select("doc_id", align.spliced(F.col("a"), _interrupted()).alias("s")).select("doc_id", "s.*")
 
 
 @query()
@@ -306,18 +310,17 @@ def f21_common_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def f22_best_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select("doc_id", align.cut(F.substring("a", 1, 20), F.col("b")).alias("s")).select("doc_id", "s.*")
+    return _neighbours(spark, sf_dir).select("doc_id", align.cut(F.col("a"), F.col("b")).alias("s")).select("doc_id", "s.*")
 
 
 @query()
 def f28_best_affix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select("doc_id", align.affix(F.substring("a", 1, 25), F.substring("b", 1, 25)).alias("s")).select("doc_id", "s.*")
+    return _neighbours(spark, sf_dir).select("doc_id", align.affix(F.col("a"), F.col("b")).alias("s")).select("doc_id", "s.*")
 
 
 @query()
 def p12_splice_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gen = F.concat(F.substring("a", 1, 30), "b", F.substring("a", 31, 30))
-    return _neighbours(spark, sf_dir).select("doc_id", align.refined_junction(F.substring("a", 1, 60), gen).alias("s")).select("doc_id", "s.*")
+    return _neighbours(spark, sf_dir).select("doc_id", align.refined_junction(F.col("a"), _interrupted(), F.floor(F.length("a") / 2)).alias("s")).select("doc_id", "s.*")
 
 
 _PAIR80 = f"{SEQ}, n AS (SELECT a.doc_id, substr(a.seq, 1, 80) AS a, substr(b.seq, 1, 80) AS b FROM seq a JOIN seq b ON b.doc_id = a.doc_id + 1)"

@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, seq: each document's ASCII letters as bases, 400 at most."""
+    """doc_id, source, seq: each document's ASCII letters as bases."""
     only = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.substring(F.translate(only, LETTERS, BASES), 1, 400).alias("seq"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.translate(only, LETTERS, BASES).alias("seq"))
 
 
 SEQ = f"""seq AS (SELECT doc_id, source, substr(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}'), 1, 400) AS seq FROM documents)"""
