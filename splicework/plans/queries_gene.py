@@ -96,7 +96,7 @@ def t11_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain(spark, sf_dir).select("tid", "ord", cds.location(F.col("gen_start"), F.col("gen_end"), F.lit(150), F.lit(400)).alias("location"))
 
 
-# Isoforms: the first 40 of each locus; the reference is the one with the least tid.
+# Isoforms: all of each locus; the reference is the one with the least tid.
 _ISO_SQL = f"{CHAIN}, iso AS (SELECT * FROM chain WHERE tid <= 3000), refs AS (SELECT * FROM iso WHERE (locus, tid) IN (SELECT (locus, min(tid)) FROM iso GROUP BY locus))"
 _EXON_SQL = f"{_ISO_SQL}, a AS (SELECT *, max(ord) OVER (PARTITION BY tid) AS n FROM iso), b AS (SELECT *, max(ord) OVER (PARTITION BY tid) AS n FROM refs)"
 _GAPS_SQL = """, ri AS (SELECT * FROM (SELECT locus, tid, gen_end + 1 AS i_start, lead(gen_start) OVER (PARTITION BY tid ORDER BY ord) - 1 AS i_end FROM refs) WHERE i_end IS NOT NULL),
@@ -104,7 +104,7 @@ _GAPS_SQL = """, ri AS (SELECT * FROM (SELECT locus, tid, gen_end + 1 AS i_start
 
 
 def _isoforms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    iso = chain(spark, sf_dir).filter("tid <= 3000")
+    iso = chain(spark, sf_dir)
     first = iso.groupBy("locus").agg(F.min("tid").alias("tid"))
     return iso, iso.join(first, ["locus", "tid"], "left_semi")
 
