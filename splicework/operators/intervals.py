@@ -46,12 +46,17 @@ def containing_window(factors: DataFrame, windows: DataFrame, keys: Sequence[str
 def cover_roots(df: DataFrame, keys: Sequence[str], ident: str = "id", width: int = 1024) -> DataFrame:
     """Each interval's root (J18): an interval that another contains points to the
     least id among those; roots are found by following the pointers in steps that
-    double. Equal intervals point to the least id."""
-    other = df.select(*keys, F.col(ident).alias("parent"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    double. Equal intervals point to the least id, and are compared as one, so that
+    pairs grow with the different intervals of a key."""
+    place = [*keys, "start", "end"]
+    least = cut_lineage(df.groupBy(*place).agg(F.min(ident).alias("_least")))
+    other = least.select(*keys, F.col("_least").alias("parent"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     inside = (F.col("r_start") <= F.col("start")) & (F.col("end") <= F.col("r_end"))
-    proper = (F.col("r_start") < F.col("start")) | (F.col("end") < F.col("r_end")) | (F.col("parent") < F.col(ident))
-    up = overlap_join(df, other, keys, inside & proper, width).groupBy(*keys, ident).agg(F.min("parent").alias("up"))
-    now = df.select(*keys, ident).join(up, [*keys, ident], "left").withColumn("root", F.coalesce("up", ident)).drop("up")
+    proper = (F.col("r_start") < F.col("start")) | (F.col("end") < F.col("r_end"))
+    over = overlap_join(least, other, keys, inside & proper, width).groupBy(*place).agg(F.min("parent").alias("_over"))
+    own = F.when(F.col("_least") < F.col(ident), F.col("_least"))
+    up = df.join(least, place).join(over, place, "left").select(*keys, ident, F.least(own, "_over").alias("up"))
+    now = up.withColumn("root", F.coalesce("up", ident)).drop("up")
     while True:
         step = now.select(*keys, F.col(ident).alias("root"), F.col("root").alias("next"))
         moved = now.join(step, [*keys, "root"]).select(*keys, ident, F.col("next").alias("to"), "root")

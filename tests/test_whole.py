@@ -18,6 +18,8 @@ WHOLE = {
     "substr(a.seq, 1, 80) AS a, substr(b.seq, 1, 80) AS b": "a.seq AS a, b.seq AS b",
     "unnest(range(1, 30)) AS start": "unnest(range(1, length(seq) - 10)) AS start",
     "WHERE tid <= 3000 AND": "WHERE",
+    "FROM chain WHERE tid <= 4000": "FROM chain",
+    " WHERE l_linenumber <= 6": "",
     "FROM chain WHERE tid <= 3000": "FROM chain",
 }
 
@@ -140,3 +142,7 @@ OF_ISOFORMS = ["t13_inframe", "t14_competing_sites", "t15_intron_retention", "t1
 @pytest.mark.parametrize("name", OF_ISOFORMS)
 def test_all_isoforms(spark, high_ids, name):
     assert same_rows(spark, high_ids, "lineitem", name) or name == "t15_intron_retention"  # no exon here is as long as an intron
+
+
+def test_all_cover_roots(spark, high_ids):
+    assert same_rows(spark, high_ids, "lineitem", "j18_cover_root")
