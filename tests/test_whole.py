@@ -146,3 +146,8 @@ def test_all_isoforms(spark, high_ids, name):
 
 def test_all_cover_roots(spark, high_ids):
     assert same_rows(spark, high_ids, "lineitem", "j18_cover_root")
+
+
+@pytest.mark.parametrize("name", ["a04_incidence", "a05_essential"])
+def test_all_lines(spark, high_ids, name):
+    assert same_rows(spark, high_ids, "lineitem", name)
