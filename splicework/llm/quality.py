@@ -41,8 +41,11 @@ PRIOR_ROWS = 50
 #: A clean row is rejected about this often if statistics are normal.
 TAIL = 1e-6
 REWEIGHT_TAIL = 0.025
-#: Least standard deviation of each transformed statistic, in its own unit.
-FLOORS = (0.5, 0.06, 0.09, 0.2, 0.2)
+#: Least standard deviation of each transformed statistic, in its own unit. For the
+#: shares of repeated lines and words it is the sampling error of a share's square root,
+#: 0.5 / sqrt(n), of 25 lines and of MIN_WORDS words: enough to keep covariances regular,
+#: and so little that an outlier in one statistic alone can be rejected.
+FLOORS = (0.5, 0.06, 0.09, 0.5 / math.sqrt(25), 0.5 / math.sqrt(MIN_WORDS))
 P = len(FLOORS)
 #: Up to so many groups, of a few hundred bytes each, estimates are broadcast; more
 #: are joined.

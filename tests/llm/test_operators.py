@@ -266,6 +266,29 @@ def test_quality_outliers(spark):
     assert not any(got[i] for i in range(300, 312))
 
 
+def test_quality_single_outliers(spark):
+    """In a clean group, an outlier in any one statistic is rejected, clean rows stay."""
+    rng = np.random.default_rng(4)
+    word = lambda lo=2, hi=8: "".join(rng.choice(list("abcdefghij"), rng.integers(lo, hi)))
+    text = lambda n, *of: "\n".join(" ".join(word(*of) for _ in range(10)) for _ in range(n))
+    good = [text(rng.integers(8, 30)) for _ in range(300)]
+    few = [word(5, 8) for _ in range(40)]
+    passage = [word(5, 8) for _ in range(30)]
+    long, wide, symbols = text(2500, 3, 8), text(15, 25, 30), " ".join(word() + "$" for _ in range(150))
+    lines = "\n".join(few[i] for i in rng.integers(0, 40, 150))
+    words = " ".join(passage + [word(5, 8) for _ in range(90)] + passage)
+    n_lines, n_words = statistics(lines), statistics(words)
+    assert n_lines[3] > 0.6 * 150
+    assert n_lines[4] < 0.1 * n_lines[0]
+    assert n_words[3] == 0
+    assert 0.3 * n_words[0] < n_words[4] < 0.5 * n_words[0]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*good, long, wide, symbols, lines, words])]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    assert [got[i]["kept"] for i in range(300, 305)] == [False] * 5
+    assert not any(got[i]["base_failed"] for i in range(300, 305))
+
+
 def test_mcd_resists_outliers(spark):
     """The estimate of contaminated normal rows is near the clean rows' moments."""
     rng = np.random.default_rng(1)
