@@ -3,7 +3,9 @@
 A text's shingles (five words, with their counts as weights) send arrivals of Poisson
 processes to the registers of its signature; a register keeps the earliest arrival's
 shingle, and a text stops as soon as no later arrival can be the earliest anywhere.
-Two texts agree in a register with the probability of their probability Jaccard.
+Two texts agree in a register with the probability of their probability Jaccard; under
+weights of 1, which texts with repeated shingles are signed with too, this is the Jaccard
+of their sets, by which links are decided, however much their counts differ.
 
 Equal texts are collapsed first. Signatures are cut into bands; texts with an equal
 band are candidates. In each such bucket the most central text (with the most
@@ -107,20 +109,33 @@ def signatures(n_docs: int, doc: np.ndarray, value: np.ndarray, weight: np.ndarr
     return owner.reshape(n_docs, size)
 
 
+def _bands(signature: np.ndarray) -> np.ndarray:
+    """The hash of each band of each signature."""
+    signature = signature.reshape(-1, BANDS, ROWS)
+    band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), signature.shape[:2])
+    for j in range(ROWS):
+        band = pair_hash(band, signature[:, :, j])
+    return band
+
+
 def _signed(texts: DataFrame) -> DataFrame:
-    """doc and its bands' hashes, for every row (doc, text) with words."""
+    """doc and its bands' hashes, for every row (doc, text) with words; once more under
+    weights of 1 where a shingle occurs several times."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in slices(batch, "text", SLICE):
                 doc, value, weight = shingles(Slice(raw, False, SPACE_WORDS))
                 some = np.unique(doc)
-                signature = signatures(len(some), np.searchsorted(some, doc), value, weight, BANDS * ROWS).reshape(-1, BANDS, ROWS)
-                band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), signature.shape[:2])
-                for j in range(ROWS):
-                    band = pair_hash(band, signature[:, :, j])
-                offsets = pa.array(np.arange(len(some) + 1) * BANDS, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(some)), pa.ListArray.from_arrays(offsets, pa.array(band.astype(np.int64).ravel()))], ["doc", "bands"])
+                at = np.searchsorted(some, doc)
+                band = _bands(signatures(len(some), at, value, weight, BANDS * ROWS))
+                # without counts: the same signature where each shingle occurs once
+                counted = np.unique(at[weight > 1])
+                own = np.isin(at, counted)
+                plain = _bands(signatures(len(counted), np.searchsorted(counted, at[own]), value[own], np.ones(own.sum()), BANDS * ROWS))
+                for docs, found in ((some, band), (some[counted], plain)):
+                    offsets = pa.array(np.arange(len(docs) + 1) * BANDS, pa.int32())
+                    yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(docs, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(found.astype(np.int64).ravel()))], ["doc", "bands"])
 
     return texts.mapInArrow(rows, "doc bigint, bands array<bigint>")
 

@@ -438,6 +438,20 @@ def test_near_duplicates_chain_without_hub(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_near_duplicates_with_other_counts(spark):
+    """Sets that are nearly equal are linked, also where one shingle is very frequent in
+    one of the two texts."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(12):
+        w = " ".join(f"w{rng.random()}" for _ in range(200))
+        rows += [(2 * k, w), (2 * k + 1, w + " --" * 504)]
+    sets = shingle_sets([t for _, t in rows[:2]])
+    assert len(sets[0] & sets[1]) > 0.95 * len(sets[0] | sets[1])
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(24)}
+
+
 def test_probability_jaccard():
     """Registers agree with the probability Jaccard of the weighted shingles."""
     rng = np.random.default_rng(5)
