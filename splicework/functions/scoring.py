@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +62,31 @@ def site_scores(introns: DataFrame, pwm: DataFrame, ids: Sequence[str], matrices
 def best_window(rows: DataFrame, pwm: DataFrame, ids: Sequence[str], width: int, first: Column, last: Column, seq: str = "seq") -> DataFrame:
     """position and score of the best window that starts in first .. last (1-based); of
     equal scores, to nine digits, the last (F11)."""
-    at = F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("position"), F.substring(F.col(seq), i, F.lit(width)).alias("motif")))
-    motifs = rows.select(*ids, "matrix", F.explode(at).alias("_m")).select(*ids, "matrix", "_m.position", "_m.motif")
-    scored = pwm_scores(motifs, pwm, [*ids, "position"]).withColumn("score", F.round("score", 9))
-    best = F.row_number().over(Window.partitionBy(*ids).orderBy(F.desc("score"), F.desc("position")))
-    return scored.withColumn("_r", best).filter("_r = 1").drop("_r")
+    cells = weights(pwm).withColumn("cell", F.col("pos") * 4 + F.instr(F.lit("ACGT"), F.col("base")) - 1)
+    flat = cells.groupBy("matrix").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "value"))), lambda c: c["value"]).alias("_w"))
+    code = np.zeros(256, np.int64)  # N, and all else, counts as A
+    for k, base in enumerate("ACGT"):
+        code[[ord(base), ord(base.lower())]] = k
+
+    @F.pandas_udf("position int, score double")
+    def best(texts: pd.Series, w: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, weight, a, b in zip(texts, w, lo, hi, strict=True):
+            c = code[np.frombuffer(t.encode("ascii", "replace")[a - 1 : b + width - 1], np.uint8)]
+            n = len(c) - width + 1
+            if n < 1:
+                out.append((None, None))
+                continue
+            cell = np.asarray(weight).reshape(width, 4)
+            total = np.zeros(n)
+            for i in range(width):
+                total += cell[i][c[i : i + n]]
+            total = np.round(total, 9)
+            at = n - 1 - int(np.argmax(total[::-1]))
+            out.append((a + at, float(total[at])))
+        return pd.DataFrame(out, columns=["position", "score"]).astype({"position": "Int32", "score": float})
+
+    return rows.join(flat, "matrix").select(*ids, "matrix", best(F.col(seq), "_w", first, last).alias("_b")).select(*ids, "matrix", "_b.position", "_b.score").filter("position IS NOT NULL")
 
 
 def intron_class(pattern: Column, branch_score: Column, u12: Column, u2: Column) -> Column:

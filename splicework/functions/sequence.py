@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,13 +45,24 @@ def substring0(seq, start, length) -> Column:
 def dust_score(seq) -> Column:
     """Low complexity (F06): ten times the pairs of equal dinucleotides, by length;
     pairs with other letters share one class. 0 up to length 2."""
-    s = F.upper(_col(seq))
-    n = F.length(s).cast("bigint")
-    # a lookahead counts overlapping pairs too
-    counts = [F.regexp_count(s, F.lit(f"{a}(?={b})")).cast("bigint") for a in "ACGT" for b in "ACGT"]
-    counts.append(n - 1 - sum(counts[1:], counts[0]))
-    equal = sum((F.floor(c * (c - 1) / 2) for c in counts[1:]), F.floor(counts[0] * (counts[0] - 1) / 2))
-    return F.when(n <= 2, F.lit(0.0)).otherwise(F.lit(10.0) * equal / (n - 2) / n)
+    code = np.full(256, 4, np.uint8)
+    for k, base in enumerate("ACGT"):
+        code[[ord(base), ord(base.lower())]] = k
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        out = np.full(len(texts), np.nan)
+        for i, t in enumerate(texts):
+            if t is None or len(t) <= 2:
+                out[i] = np.nan if t is None else 0.0
+                continue
+            c = code[np.frombuffer(t.encode("ascii", "replace"), np.uint8)].astype(np.int64)
+            pair = np.where((c[:-1] < 4) & (c[1:] < 4), 4 * c[:-1] + c[1:], 16)
+            n = np.bincount(pair, minlength=17)
+            out[i] = 10.0 * int((n * (n - 1) // 2).sum()) / (len(t) - 2) / len(t)
+        return pd.Series(out)
+
+    return F.nullif(score(_col(seq)), F.lit(float("nan")))
 
 
 def pattern_frequency(donor, acceptor) -> Column:

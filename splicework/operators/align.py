@@ -1,5 +1,6 @@
 """Alignment of transcript pieces: small dynamic programs, run by Spark over batches of
-rows. Every function takes columns and gives a struct column; rows are independent.
+rows, whose tables are filled together. The column functions give a struct column; rows
+are independent.
 
 Gapped strings use '-'. N in either string matches all where it says so.
 """
@@ -236,68 +237,272 @@ def agreement_error(left: str, new_left: str, right: str, new_right: str) -> int
     return int(edit_table(left, new_left)[-1, -1] + edit_table(right, new_right)[-1, -1])
 
 
-def _struct_udf(function, schema: str, *columns: Column) -> Column:
+#: Cells of the tables that a batch of rows holds at once; a pair of texts beyond it is
+#: aligned alone, row by row of its table.
+CELLS = 1 << 22
+
+
+def _letters(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, padded to one length, and their lengths."""
+    raw = [t.encode("ascii", "replace") for t in texts]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    width = int(size.max(initial=0))
+    joined = b"".join(r.ljust(width, bytes([fill])) for r in raw)
+    return np.frombuffer(joined, np.uint8).reshape(len(raw), width), size
+
+
+class Tables:
+    """The tables of all prefix pairs of many pairs of texts: edits, or scores (match 1,
+    mismatch and space -1), one numpy step for a row of all tables. Cell [r, i, j] is
+    meant for i and j within the lengths of pair r."""
+
+    def __init__(self, a: list[str], b: list[str], wild: bool = False, score: bool = False):
+        self.x, self.n = _letters(a, 1)
+        self.y, self.m = _letters(b, 2)
+        (k, w), v = self.x.shape, self.y.shape[1]
+        step = np.arange(v + 1, dtype=np.int16)
+        self.t = t = np.empty((k, w + 1, v + 1), np.int16)
+        t[:, 0] = -step if score else step
+        for i in range(1, w + 1):
+            c = self.x[:, i - 1, None]
+            same = c == self.y
+            if wild:
+                same |= (c == 78) | (self.y == 78)
+            if score:
+                t[:, i, 0] = -i
+                t[:, i, 1:] = np.maximum(t[:, i - 1, 1:] - 1, t[:, i - 1, :-1] + np.where(same, 1, -1).astype(np.int16))
+                t[:, i] = np.maximum.accumulate(t[:, i] + step, axis=1) - step
+            else:
+                t[:, i, 0] = i
+                t[:, i, 1:] = np.minimum(t[:, i - 1, 1:] + 1, t[:, i - 1, :-1] + ~same)
+                t[:, i] = np.minimum.accumulate(t[:, i] - step, axis=1) + step
+
+    def row(self, i: np.ndarray) -> np.ndarray:
+        """Row i[r] of each table."""
+        return self.t[np.arange(len(i)), i]
+
+
+def global_alignments(a: list[str], b: list[str]) -> list[tuple]:
+    """``global_alignment`` of many pairs: all are traced back together."""
+    d = Tables(a, b, wild=True)
+    k = len(a)
+    r, i, j = np.arange(k), d.n.copy(), d.m.copy()
+    x, y = (np.pad(v, ((0, 0), (0, 1))) for v in (d.x, d.y))
+    most = d.x.shape[1] + d.y.shape[1]
+    out = np.zeros((2, k, most), np.uint8)
+    for at in range(most - 1, -1, -1):
+        open_ = (i > 0) | (j > 0)
+        if not open_.any():
+            break
+        up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        c, e = x[r, up], y[r, left]
+        unequal = ~((c == e) | (c == 78) | (e == 78))
+        here = d.t[r, i, j]
+        diagonal = (i > 0) & (j > 0) & (here == d.t[r, up, left] + unequal)
+        gap = ~diagonal & (i > 0) & (here == d.t[r, up, j] + 1)
+        out[0, :, at] = np.where(open_, np.where(diagonal | gap, c, 45), 0)
+        out[1, :, at] = np.where(open_, np.where(gap, 45, e), 0)
+        i = np.where(open_ & (diagonal | gap), i - 1, i)
+        j = np.where(open_ & ~gap, j - 1, j)
+    text = lambda v: v.tobytes().lstrip(b"\0").decode()
+    return [(text(out[0, q]), text(out[1, q]), int(d.t[q, d.n[q], d.m[q]])) for q in range(k)]
+
+
+def _turned(rows: list[str]) -> list[str]:
+    return [t[::-1] for t in rows]
+
+
+def gap_alignments(a: list[str], b: list[str]) -> list[tuple]:
+    """``gap_alignment`` of many pairs."""
+    left, right = Tables(a, b, True, True), Tables(_turned(a), _turned(b), True, True)
+    k, v = len(a), left.y.shape[1]
+    best = np.full(k, -(1 << 30))
+    found = np.zeros((3, k), np.int64)
+    r, column = np.arange(k), np.arange(v + 1)
+    within = column <= left.m[:, None]
+    mirror = np.clip(left.m[:, None] - column, 0, None)
+    for i in range(left.x.shape[1] + 1):
+        live = i <= left.n
+        own = np.where(within, right.row(np.clip(left.n - i, 0, None))[r[:, None], mirror], -(1 << 14))
+        after = np.maximum.accumulate(own[:, ::-1], axis=1)[:, ::-1]
+        total = np.where(within, left.t[:, i] + after, -(1 << 14))
+        j = np.argmax(total, axis=1)
+        # the first place from j on where what follows is best
+        to = np.argmax((own == after[r, j][:, None]) & (column >= j[:, None]), axis=1)
+        new = live & (total[r, j] > best)
+        best = np.where(new, total[r, j], best)
+        found = np.where(new, np.stack([np.full(k, i), j, to]), found)
+    return [(int(best[q]), int(found[0, q]), int(found[1, q]) + 1, int(max(found[1, q], found[2, q]))) for q in range(k)]
+
+
+def border_splits(a: list[str], b: list[str], most: int, frequency: Callable[[str], int]) -> list[tuple]:
+    """``border_split`` of many pairs: only cuts with the least edits are looked at."""
+    reach = [min(len(p) + most, len(t)) for p, t in zip(a, b, strict=True)]
+    head, tail = Tables(a, [t[:n] for t, n in zip(b, reach, strict=True)]), Tables(_turned(a), [t[::-1][:n] for t, n in zip(b, reach, strict=True)])
+    outside = np.arange(head.t.shape[2]) > head.m[:, None]
+    inside = [np.where(outside[:, None, :], 1 << 14, x.t) for x in (head, tail)]
+    low, first = [x.min(axis=2).astype(np.int64) for x in inside], [x.argmin(axis=2) for x in inside]
+    # the number of each two letters of t, and the frequency of donor and acceptor by number
+    code = np.full(256, 4)
+    code[[ord(x) for x in "ACGTacgt"]] = [0, 1, 2, 3] * 2
+    letter = code[np.pad(_letters(b, 0)[0], ((0, 0), (0, 2)))]
+    pair = 5 * letter[:, :-1] + letter[:, 1:]
+    two = [x + y for x in "ACGTN" for y in "ACGTN"]
+    by_pair = np.array([[frequency(x + y) for y in two] for x in two])
+    out = []
+    for q, (p, t) in enumerate(zip(a, b, strict=True)):
+        n = len(p)
+        total = np.where(first[0][q, : n + 1] + first[1][q, n::-1] <= len(t), low[0][q, : n + 1] + low[1][q, n::-1], 1 << 15)
+        best = (-1, 0, 0, 0)
+        least = int(total.min())
+        cuts = np.flatnonzero(total == least) if least < 1 << 15 else ()
+        for cut in cuts[:1] if len(t) < 4 else cuts:  # too short for a pattern: the first
+            i = np.flatnonzero(head.t[q, cut, : reach[q] + 1] == low[0][q, cut])[:, None]
+            j = np.flatnonzero(tail.t[q, n - cut, : reach[q] + 1] == low[1][q, n - cut])[None, :]
+            between = len(t) - i - j
+            fits = np.where(between >= 0, np.where(between >= 4, by_pair[pair[q, i], pair[q, np.maximum(len(t) - j - 2, 0)]], 0), -1)
+            at = np.unravel_index(int(np.argmax(fits)), fits.shape)
+            if (fits[at], -cut) > best[:2]:
+                best = (int(fits[at]), -int(cut), int(i[at[0], 0]), int(j[0, at[1]]))
+        out.append((least, -best[1], best[2], best[3]) if best[0] >= 0 else (n, 0, 0, 0))
+    return out
+
+
+def common_factors(a: list[str], b: list[str]) -> list[tuple]:
+    """``longest_common_factor`` of many pairs."""
+    x, n = _letters(a, 1)
+    y, _ = _letters(b, 2)
+    k = len(a)
+    r, run = np.arange(k), np.zeros((k, y.shape[1] + 1), np.int32)
+    best = np.zeros((3, k), np.int64)
+    for i in range(x.shape[1]):
+        c = x[:, i, None]
+        same = ((c == y) | (c == 78) | (y == 78)) & (c != 1) & (y != 2)
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        j = np.argmax(run, axis=1)
+        best = np.where(run[r, j] > best[2], np.stack([np.full(k, i + 1), j, run[r, j]]), best)
+    return [(int(best[0, q] - best[2, q]), int(best[1, q] - best[2, q]), int(best[2, q])) for q in range(k)]
+
+
+def best_affixes(a: list[str], b: list[str], rate: float = 0.17) -> list[tuple]:
+    """``best_affix`` of many pairs."""
+    d = Tables(a, b)
+    k, v = len(a), d.y.shape[1]
+    if not v:
+        return [(0, 0)] * k
+    r, to = np.arange(k), np.arange(1, v + 1)
+    best, at = np.full(k, rate), np.zeros((2, k), np.int64)
+    for i in range(1, d.x.shape[1] + 1):
+        ratio = np.where(d.x[:, i - 1, None] == d.y, 2 * d.t[:, i, 1:] / (i + to), np.inf)
+        j = v - 1 - np.argmin(ratio[:, ::-1], axis=1)
+        new = ratio[r, j] <= best
+        best = np.where(new, ratio[r, j], best)
+        at = np.where(new, np.stack([np.full(k, i), j + 1]), at)
+    return [(int(at[0, q]), int(at[1, q])) for q in range(k)]
+
+
+def best_cuts(a: list[str], b: list[str]) -> list[tuple]:
+    """``best_cut`` of many pairs."""
+    d = Tables(a, b)
+    last = np.where(np.arange(d.t.shape[2]) > d.m[:, None], 1 << 14, d.row(d.n))
+    at = np.argmin(last, axis=1)
+    return [(int(at[q]), int(last[q, at[q]])) for q in range(len(a))]
+
+
+def _parts(a: list[str], b: list[str]) -> Iterator[list[int]]:
+    """Rows whose tables together have at most CELLS cells; of similar size, as all are
+    padded to the largest."""
+    part, w, v = [], 0, 0
+    for q in sorted(range(len(a)), key=lambda q: (len(a[q]), len(b[q]))):
+        w2, v2 = max(w, len(a[q]) + 1), max(v, len(b[q]) + 1)
+        if part and w2 * v2 * (len(part) + 1) > CELLS:
+            yield part
+            part, w2, v2 = [], len(a[q]) + 1, len(b[q]) + 1
+        part.append(q)
+        w, v = w2, v2
+    if part:
+        yield part
+
+
+def _pairs_udf(many: Callable, alone: Callable, schema: str, a: Column, b: Column, *more: Column, finish: Callable | None = None) -> Column:
+    """A struct column: ``many`` over parts of each batch of pairs, ``alone`` for a pair
+    that is too large for a part. ``finish`` sees (result, a, b, more ...) of a row. A
+    null text is the empty text."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     @pandas_udf(schema)
     def run(*series: pd.Series) -> pd.DataFrame:
-        rows = [function(*("" if x is None else x for x in r)) for r in zip(*series, strict=True)]
-        return pd.DataFrame(rows, columns=names)
+        x, y = (["" if t is None else t for t in s] for s in series[:2])
+        out: list = [None] * len(x)
+        for part in _parts(x, y):
+            p, q = [x[i] for i in part], [y[i] for i in part]
+            large = (len(p[-1]) + 1) * (len(q[-1]) + 1) > CELLS
+            for i, found in zip(part, [alone(p[0], q[0])] if large else many(p, q), strict=True):
+                out[i] = found if finish is None else finish(found, x[i], y[i], *(s.iloc[i] for s in series[2:]))
+        return pd.DataFrame(out, columns=names)
+
+    return run(a, b, *more)
 
-    return run(*columns)
+
+def _frequency() -> Callable[[str], int]:
+    from ..functions.sequence import FREQUENCIES
+
+    known = dict(FREQUENCIES)
+    return lambda k: known.get(k.upper(), 0)
 
 
 def aligned(est: Column, gen: Column) -> Column:
     """struct<est, gen, edits>."""
-    return _struct_udf(global_alignment, "est string, gen string, edits int", est, gen)
+    return _pairs_udf(global_alignments, global_alignment, "est string, gen string, edits int", est, gen)
 
 
 def spliced(est: Column, gen: Column) -> Column:
     """struct<score, cut, intron_start, intron_end>."""
-    return _struct_udf(gap_alignment, "score int, cut int, intron_start int, intron_end int", est, gen)
+    return _pairs_udf(gap_alignments, gap_alignment, "score int, cut int, intron_start int, intron_end int", est, gen)
 
 
 def split_border(p: Column, t: Column, most: int) -> Column:
     """struct<edits, cut, left, right>."""
-    from ..functions.sequence import FREQUENCIES
-
-    known = dict(FREQUENCIES)
-    return _struct_udf(lambda a, b: border_split(a, b, most, lambda k: known.get(k.upper(), 0)), "edits int, cut int, left int, right int", p, t)
+    known = _frequency()
+    return _pairs_udf(lambda a, b: border_splits(a, b, most, known), lambda a, b: border_split(a, b, most, known), "edits int, cut int, left int, right int", p, t)
 
 
 def common_factor(a: Column, b: Column) -> Column:
     """struct<a_start, b_start, length>."""
-    return _struct_udf(longest_common_factor, "a_start int, b_start int, length int", a, b)
+    return _pairs_udf(common_factors, longest_common_factor, "a_start int, b_start int, length int", a, b)
 
 
 def masked(seq: Column) -> Column:
     """struct<seq, prefix, suffix>."""
-    return _struct_udf(tail_mask, "seq string, prefix int, suffix int", seq)
+
+    @pandas_udf("seq string, prefix int, suffix int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tail_mask("" if t is None else t) for t in texts], columns=["seq", "prefix", "suffix"])
+
+    return run(seq)
 
 
 def affix(e: Column, g: Column) -> Column:
     """struct<est_length, gen_length>."""
-    return _struct_udf(best_affix, "est_length int, gen_length int", e, g)
+    return _pairs_udf(best_affixes, best_affix, "est_length int, gen_length int", e, g)
 
 
 def cut(a: Column, b: Column) -> Column:
     """struct<cut, edits>."""
-    return _struct_udf(best_cut, "cut int, edits int", a, b)
+    return _pairs_udf(best_cuts, best_cut, "cut int, edits int", a, b)
 
 
 def refined_junction(est: Column, gen: Column, expected: Column | None = None, least: int = 40, shift: int = 20) -> Column:
     """A splice junction realigned (P12): the gap alignment's, moved along identical
     bases to the most frequent pattern; null where the intron is shorter than
     ``least`` or a site moved by more than ``shift`` from the ``expected`` cut (30)."""
-    from ..functions.sequence import FREQUENCIES
-
-    known = dict(FREQUENCIES)
+    known = _frequency()
 
-    def slide(e: str, g: str, middle: int) -> tuple:
-        score, at, start, end = gap_alignment(e, g)
+    def slide(found: tuple, e: str, g: str, middle: int) -> tuple:
+        score, at, start, end = found
         if end - start + 1 < least or abs(at - middle) > shift:
             return None, None, None, None
-        best = (known.get((g[start - 1 : start + 1] + g[end - 2 : end]).upper(), 0), 0)
+        best = (known(g[start - 1 : start + 1] + g[end - 2 : end]), 0)
         for way in (-1, 1):
             k = 0
             while True:
@@ -305,17 +510,17 @@ def refined_junction(est: Column, gen: Column, expected: Column | None = None, l
                 if min(a, b) < 0 or max(a, b) >= len(g) or g[a] != g[b]:
                     break
                 k += way
-                best = max(best, (known.get((g[start - 1 + k : start + 1 + k] + g[end - 2 + k : end + k]).upper(), 0), k), key=lambda x: (x[0], -abs(x[1])))
+                best = max(best, (known(g[start - 1 + k : start + 1 + k] + g[end - 2 + k : end + k]), k), key=lambda x: (x[0], -abs(x[1])))
         return score, at + best[1], start + best[1], end + best[1]
 
-    return _struct_udf(slide, "score int, cut int, intron_start int, intron_end int", est, gen, F.lit(30) if expected is None else expected)
+    return _pairs_udf(gap_alignments, gap_alignment, "score int, cut int, intron_start int, intron_end int", est, gen, F.lit(30) if expected is None else expected, finish=slide)
 
 
 def noisy(est: Column, gen: Column) -> Column:
     """Whether an exon has more edits than its length allows."""
     from ..functions.sequence import allowed_errors
 
-    return F.levenshtein(est, gen) > allowed_errors(F.length(est))
+    return F.call_function("levenshtein", est, gen, allowed_errors(F.length(est))) < 0  # banded: beyond the limit it gives -1
 
 
 def external_exon_fails(length: Column, edits: Column, pattern: Column) -> Column:

@@ -8,25 +8,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import STOPS, kozak_context
+from ..functions.sequence import STOPS
 
 
 def longest_orf(rows: DataFrame, ids: Sequence[str], least: int = 100, context: bool = True, seq: str = "seq") -> DataFrame:
     """orf_start, orf_end and protein_length of the longest frame from ATG to a stop, of
-    ``least`` bases (T07). With ``context``, starts with a Kozak context come first.
-    Each start finds its stop by a window over the codons of its frame."""
-    s = F.upper(F.col(seq))
-    starts = rows.filter(F.length(seq) >= 3).select(*ids, *([F.col(seq).alias("_seq")] if context else []), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))).alias("_i", "_codon"))
-    kept = starts.filter(F.col("_codon").isin("ATG", *STOPS)).withColumn("_i", F.col("_i") + 1)
-    ahead = Window.partitionBy(*ids, F.col("_i") % 3).orderBy("_i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    marked = kept.withColumn("_stop", F.min(F.when(F.col("_codon") != "ATG", F.col("_i"))).over(ahead))
-    length = F.col("_stop") + 3 - F.col("_i")
-    found = marked.filter((F.col("_codon") == "ATG") & (length >= least)).withColumn("_good", kozak_context("_seq", F.col("_i")) > 0 if context else F.lit(True))
-    best = F.row_number().over(Window.partitionBy(*ids).orderBy(F.desc("_good"), F.desc(length), "_i"))
-    return found.withColumn("_r", best).filter("_r = 1").select(*ids, F.col("_i").alias("orf_start"), (F.col("_stop") + 2).alias("orf_end"), F.floor(length / 3 - 1).cast("int").alias("protein_length"))
+    ``least`` bases (T07). With ``context``, starts with a Kozak context come first; of
+    equal ones the first. Each start finds its stop by a search among its frame's."""
+    codes = {c: sum(ord(x) << (8 * k) for k, x in enumerate(c)) for c in ("ATG", *STOPS)}
+
+    @F.pandas_udf("orf_start int, orf_end int, protein_length int")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            c = np.frombuffer((t or "").upper().encode("ascii", "replace"), np.uint8).astype(np.int32)
+            codon = c[:-2] | c[1:-1] << 8 | c[2:] << 16 if len(c) > 2 else c[:0]
+            stop = np.flatnonzero(np.isin(codon, [codes[x] for x in STOPS]))
+            best = (None, None, None)
+            start, end = [], []
+            for frame in range(3):
+                s = np.flatnonzero(codon[frame::3] == codes["ATG"]) * 3 + frame
+                e = stop[stop % 3 == frame]
+                at = np.searchsorted(e, s)
+                start.append(s[at < len(e)])
+                end.append(e[at[at < len(e)]])
+            s, e = np.concatenate(start), np.concatenate(end)
+            keep = e + 3 - s >= least
+            s, e = s[keep], e[keep]
+            if len(s):
+                good = np.ones(len(s), np.int64)
+                if context:
+                    side = lambda at: np.where((at >= 0) & (at < len(c)), np.isin(c[np.clip(at, 0, len(c) - 1)], (65, 71)), False)  # noqa: B023, E731
+                    good = (side(s - 3) | side(s + 3)).astype(np.int64)
+                k = np.lexsort((s, s - e, -good))[0]
+                best = (int(s[k]) + 1, int(e[k]) + 3, int(e[k] - s[k]) // 3)
+            out.append(best)
+        return pd.DataFrame(out, columns=["orf_start", "orf_end", "protein_length"]).astype("Int32")
+
+    return rows.select(*ids, found(F.col(seq)).alias("_o")).select(*ids, "_o.*").filter("orf_start IS NOT NULL")
 
 
 def lengths(chain: DataFrame) -> DataFrame:
@@ -116,12 +140,22 @@ def _exons(chain: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
     return chain.select(*keys, F.col("tid").alias(f"tid{suffix}"), F.col("ord").alias(f"ord{suffix}"), F.col("gen_start").alias(f"s{suffix}"), F.col("gen_end").alias(f"e{suffix}"), last.alias(f"n{suffix}"))
 
 
+def _over(left: DataFrame, own: tuple[str, str], right: DataFrame, other: tuple[str, str], keys: Sequence[str], width: int = 1024) -> DataFrame:
+    """Rows of equal keys whose spans overlap, joined by bins of coordinates."""
+    from .intervals import overlap_join
+
+    a = left.withColumn("_s", F.col(own[0])).withColumn("_e", F.col(own[1]))
+    b = right.withColumn("r_start", F.col(other[0])).withColumn("r_end", F.col(other[1]))
+    return overlap_join(a, b, keys, F.lit(True), width, ("_s", "_e")).drop("_s", "_e", "r_start", "r_end")
+
+
 def competing_sites(chain: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A5E and A3E (T14): an exon shares one end with a reference exon, and the other
     end, a splice site in both, differs. tid, ord, r_ord, event, shift."""
     a, b = _exons(chain, keys, ""), _exons(refs, keys, "_r")
-    five = a.join(b, list(keys)).filter("s = s_r AND e != e_r AND ord < n AND ord_r < n_r").withColumn("event", F.lit("A5E")).withColumn("shift", F.col("e") - F.col("e_r"))
-    three = a.join(b, list(keys)).filter("e = e_r AND s != s_r AND ord > 1 AND ord_r > 1").withColumn("event", F.lit("A3E")).withColumn("shift", F.col("s_r") - F.col("s"))
+    at = lambda x: a.withColumn("_x", F.col(x)).join(b.withColumn("_x", F.col(f"{x}_r")), [*keys, "_x"])
+    five = at("s").filter("e != e_r AND ord < n AND ord_r < n_r").withColumn("event", F.lit("A5E")).withColumn("shift", F.col("e") - F.col("e_r"))
+    three = at("e").filter("s != s_r AND ord > 1 AND ord_r > 1").withColumn("event", F.lit("A3E")).withColumn("shift", F.col("s_r") - F.col("s"))
     return five.unionByName(three).filter("tid != tid_r").select(*keys, "tid", "ord", F.col("ord_r"), "event", "shift")
 
 
@@ -131,10 +165,10 @@ def retained(chain: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFram
     from .chains import introns
 
     ref_introns = introns(refs).select(*keys, "i_start", "i_end", F.col("tid").alias("tid_r"))
-    plus = chain.join(ref_introns, list(keys)).filter("gen_start < i_start AND i_end < gen_end AND tid != tid_r").select(*keys, "tid", F.lit("IR+").alias("event"), "i_start", "i_end")
+    plus = _over(chain, ("gen_start", "gen_end"), ref_introns, ("i_start", "i_end"), keys).filter("gen_start < i_start AND i_end < gen_end AND tid != tid_r").select(*keys, "tid", F.lit("IR+").alias("event"), "i_start", "i_end")
     own = introns(chain).select(*keys, "tid", "i_start", "i_end")
     span = refs.select(*keys, F.col("tid").alias("tid_r"), "gen_start", "gen_end")
-    minus = own.join(span, list(keys)).filter("gen_start < i_start AND i_end < gen_end AND tid != tid_r").select(*keys, "tid", F.lit("IR-").alias("event"), "i_start", "i_end")
+    minus = _over(own, ("i_start", "i_end"), span, ("gen_start", "gen_end"), keys).filter("gen_start < i_start AND i_end < gen_end AND tid != tid_r").select(*keys, "tid", F.lit("IR-").alias("event"), "i_start", "i_end")
     return plus.unionByName(minus).distinct()
 
 
@@ -145,10 +179,10 @@ def skipped(chain: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFrame
 
     own = introns(chain).select(*keys, "tid", "i_start", "i_end")
     ref_exons = refs.select(*keys, F.col("tid").alias("tid_r"), F.col("gen_start").alias("start"), F.col("gen_end").alias("end"))
-    skip = own.join(ref_exons, list(keys)).filter("i_start <= start AND end <= i_end AND tid != tid_r").select(*keys, "tid", F.lit("skip").alias("event"), "start", "end")
+    skip = _over(own, ("i_start", "i_end"), ref_exons, ("start", "end"), keys).filter("i_start <= start AND end <= i_end AND tid != tid_r").select(*keys, "tid", F.lit("skip").alias("event"), "start", "end")
     ref_introns = introns(refs).select(*keys, F.col("tid").alias("tid_r"), "i_start", "i_end")
     exons = chain.select(*keys, "tid", F.col("gen_start").alias("start"), F.col("gen_end").alias("end"))
-    new = exons.join(ref_introns, list(keys)).filter("i_start <= start AND end <= i_end AND tid != tid_r").select(*keys, "tid", F.lit("new").alias("event"), "start", "end")
+    new = _over(exons, ("start", "end"), ref_introns, ("i_start", "i_end"), keys).filter("i_start <= start AND end <= i_end AND tid != tid_r").select(*keys, "tid", F.lit("new").alias("event"), "start", "end")
     return skip.unionByName(new).distinct()
 
 
@@ -172,7 +206,7 @@ def in_frame(chain: DataFrame, orfs: DataFrame, refs: DataFrame, ref_orfs: DataF
     mine, theirs = coding(chain, orfs), coding(refs, ref_orfs)
     own = mine.groupBy(*keys, "tid").agg(F.sum(F.col("b") - F.col("a") + 1).alias("coding"))
     other = theirs.select(*keys, F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("phase").alias("rphase"))
-    both = mine.join(other, list(keys)).filter("a <= rb AND ra <= b")
+    both = _over(mine, ("a", "b"), other, ("ra", "rb"), keys)
     shared = both.groupBy(*keys, "tid").agg(F.sum(F.least("b", "rb") - F.greatest("a", "ra") + 1).alias("shared"), F.bool_and(F.col("phase") == F.col("rphase")).alias("same"))
     out = own.join(shared, [*keys, "tid"], "left")
     # whole percent, as integers divide

@@ -7,8 +7,6 @@ each transcript.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,36 +44,63 @@ def reduce_problem(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFra
         before = n
 
 
-def _search(rows: pd.DataFrame, most: int) -> list | None:
-    """The first smallest combination of windows, in order, that has an alternative of
-    each transcript."""
-    options = [[frozenset(a["window"]) for _, a in t.groupby("alt")] for _, t in rows.groupby("tid")]
-    windows = sorted(rows["window"].unique())
-    least = max(min(len(a) for a in t) for t in options)
-    tried = 0
-    for k in range(least, len(windows) + 1):
-        for chosen in combinations(windows, k):
-            tried += 1
-            if tried > most:
+def _search(options: list[list[frozenset]]) -> list:
+    """The least set of windows that holds an alternative of each transcript; of equally
+    small ones the first in order. Branch and bound: the transcript with the fewest ways
+    left is decided first, and transcripts whose ways share no window add up to a bound."""
+
+    def missing(have: frozenset, allowed) -> list[set[frozenset]] | None:
+        """What each open transcript may still add; None if one can't be held."""
+        out = []
+        for ways in options:
+            left = {w - have for w in ways}
+            if frozenset() in left:
+                continue
+            left = {w for w in left if allowed is None or all(x in have or x >= allowed for x in w)}
+            if not left:
                 return None
-            have = set(chosen)
-            if all(any(a <= have for a in t) for t in options):
-                return list(chosen)
-    return windows
-
-
-def minimum_cover(rows: DataFrame, keys: list[str], most: int = 5_000_000) -> DataFrame:
-    """(keys, window, status): the exact least cover of each key (G05). The reduction
-    runs as joins; only what it leaves is searched, key by key. ``status`` is 'exact',
-    or 'deadline' where ``most`` combinations weren't enough: then all windows left
-    are returned."""
+            out.append({w for w in left if not any(v < w for v in left)})
+        return out
+
+    def bound(open_: list[set[frozenset]]) -> int:
+        seen, total = set(), 0
+        for ways in sorted(open_, key=lambda x: -min(map(len, x))):
+            windows = frozenset().union(*ways)
+            if not windows & seen:
+                seen |= windows
+                total += min(map(len, ways))
+        return total
+
+    def possible(have: frozenset, allowed, most: int) -> bool:
+        open_ = missing(have, allowed)
+        if open_ is None:
+            return False
+        if not open_:
+            return len(have) <= most
+        if len(have) + bound(open_) > most:
+            return False
+        return any(possible(have | w, allowed, most) for w in sorted(min(open_, key=len), key=len))
+
+    size = bound(missing(frozenset(), None) or [])
+    while not possible(frozenset(), None, size):
+        size += 1
+    have: frozenset = frozenset()
+    for w in sorted(frozenset().union(*(x for ways in options for x in ways))):
+        if len(have) < size and possible(have | {w}, w, size):
+            have |= {w}
+    return sorted(have)
+
+
+def minimum_cover(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, window, status): the exact least cover of each key (G05), whatever its size.
+    The reduction runs as joins; only what it leaves is searched, key by key: the
+    alternatives of one locus."""
     used, left = reduce_problem(rows, keys)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        found = _search(part, most)
+        ways = [[frozenset(a["window"]) for _, a in t.groupby("alt")] for _, t in part.groupby("tid")]
         head = {k: part[k].iloc[0] for k in keys}
-        out = pd.DataFrame({"window": found if found is not None else sorted(part["window"].unique())})
-        return out.assign(status="exact" if found is not None else "deadline", **head)[[*keys, "window", "status"]]
+        return pd.DataFrame({"window": _search(ways)}).assign(status="exact", **head)[[*keys, "window", "status"]]
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keys, "window"))
     searched = left.groupBy(*keys).applyInPandas(solve, f"{kinds}, status string")

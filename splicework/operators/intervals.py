@@ -25,14 +25,15 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Column, width: int) -> DataFrame:
-    """Rows of ``left`` (start, end) and ``right`` (r_start, r_end) of equal keys that
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Column, width: int, span: tuple[str, str] = ("start", "end")) -> DataFrame:
+    """Rows of ``left`` (``span``) and ``right`` (r_start, r_end) of equal keys that
     overlap and satisfy ``on``. Coordinates are cut into bins of ``width``, so that the
     join is an equi-join on key and bin; a pair is kept in the first bin both have."""
-    a = left.withColumn("_bin", _bins(F.col("start"), F.col("end"), width))
+    start, end = span
+    a = left.withColumn("_bin", _bins(F.col(start), F.col(end), width))
     b = right.withColumn("_bin", _bins(F.col("r_start"), F.col("r_end"), width))
-    first = F.col("_bin") == F.floor(F.greatest("start", "r_start") / width)
-    hit = (F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end"))
+    first = F.col("_bin") == F.floor(F.greatest(start, "r_start") / width)
+    hit = (F.col(start) <= F.col("r_end")) & (F.col("r_start") <= F.col(end))
     return a.join(b, [*keys, "_bin"]).filter(first & hit & on).drop("_bin")
 
 

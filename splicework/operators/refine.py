@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix."""
+    """Length of the longest common prefix, by bisection: one comparison for each bit of
+    the length."""
     n = F.least(F.length(a), F.length(b))
-    at = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)))
-    return F.coalesce(F.nullif(F.array_position(at, False), F.lit(0)) - 1, n.cast("bigint"))
+    bits = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    longer = lambda have, bit: F.when((have + bit <= n) & (F.left(a, have + bit) == F.left(b, have + bit)), have + bit).otherwise(have)
+    return F.aggregate(bits, F.lit(0), longer).cast("bigint")
 
 
 def extend_tail(est_end: Column, gen_end: Column, est: Column, gen: Column) -> Column:

@@ -11,11 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bases of the transcript to a bin, in joins of pairings by their places.
+BIN = 64
+
 
 def _kmers(df: DataFrame, ids: Sequence[str], seq: str, k: int, at: str) -> DataFrame:
-    starts = F.when(F.length(seq) >= k, F.sequence(F.lit(0), F.length(seq) - k))
-    rows = df.select(*ids, seq, F.explode(starts).alias(at))
-    return rows.select(*ids, at, F.substring(F.col(seq), F.col(at) + 1, F.lit(k)).alias("kmer")).filter(~F.col("kmer").rlike(r"[*#]"))
+    """Each k-mer with its place; a lookahead gives overlapping ones in one pass."""
+    every = F.regexp_extract_all(F.col(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), 1)
+    return df.select(*ids, F.posexplode(every).alias(at, "kmer")).filter(~F.col("kmer").rlike(r"[*#]"))
 
 
 def seed_matches(transcripts: DataFrame, genome: DataFrame, keys: Sequence[str], k: int, est: str = "est_id", gen: str = "gen_id", rate: float = 0.0) -> DataFrame:
@@ -55,6 +58,10 @@ def edges(pairings: DataFrame, group: Sequence[str], least: int, max_intron: int
     fl = 2 * least + 1
     a = pairings.select(*group, *(F.col(c).alias(f"{c}1") for c in "ptl"))
     b = pairings.select(*group, *(F.col(c).alias(f"{c}2") for c in "ptl"))
+    # the second starts after the first, and at most fl after its end: an equi-join on bins
+    bins = lambda lo, hi: F.sequence(F.floor(lo / BIN), F.floor(hi / BIN))
+    a = a.withColumn("_bin", F.explode(bins(F.col("p1") + 1, F.col("p1") + F.col("l1") + fl)))
+    b = b.withColumn("_bin", F.floor(F.col("p2") / BIN))
     p1, t1, l1, p2, t2, l2 = (F.col(c) for c in ("p1", "t1", "l1", "p2", "t2", "l2"))
     p_next = (p1 + l1 <= p2) & (p2 <= p1 + l1 + fl)
     p_over = (p1 + 2 * least <= p2 + l2) & (p2 < p1 + l1)
@@ -64,7 +71,7 @@ def edges(pairings: DataFrame, group: Sequence[str], least: int, max_intron: int
     t_over = (t1 + 2 * least <= t2 + l2) & (t2 < t1 + l1) & ((p2 - p1) - (t2 - t1) <= fl)
     loses = (l1 >= 5 * least) & (t1 + l1 - t2 > 0.4 * l1)
     fits = (p_next & (t_next | (t_over & ~loses))) | (~p_next & p_over & (t_next | t_over))
-    return a.join(b, list(group)).filter((p2 > p1) & (t2 > t1) & fits)
+    return a.join(b, [*group, "_bin"]).filter((p2 > p1) & (t2 > t1) & fits).drop("_bin")
 
 
 def ends(pairings: DataFrame, edge_rows: DataFrame, group: Sequence[str], rate: float = 0.6, length: str = "length") -> DataFrame:

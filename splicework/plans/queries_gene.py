@@ -97,14 +97,14 @@ def t11_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Isoforms: all of each locus; the reference is the one with the least tid.
-_ISO_SQL = f"{CHAIN}, iso AS (SELECT * FROM chain WHERE tid <= 3000), refs AS (SELECT * FROM iso WHERE (locus, tid) IN (SELECT (locus, min(tid)) FROM iso GROUP BY locus))"
+_ISO_SQL = f"{CHAIN}, iso AS (SELECT * FROM chain), refs AS (SELECT * FROM iso WHERE (locus, tid) IN (SELECT (locus, min(tid)) FROM iso GROUP BY locus))"
 _EXON_SQL = f"{_ISO_SQL}, a AS (SELECT *, max(ord) OVER (PARTITION BY tid) AS n FROM iso), b AS (SELECT *, max(ord) OVER (PARTITION BY tid) AS n FROM refs)"
 _GAPS_SQL = """, ri AS (SELECT * FROM (SELECT locus, tid, gen_end + 1 AS i_start, lead(gen_start) OVER (PARTITION BY tid ORDER BY ord) - 1 AS i_end FROM refs) WHERE i_end IS NOT NULL),
   oi AS (SELECT * FROM (SELECT locus, tid, gen_end + 1 AS i_start, lead(gen_start) OVER (PARTITION BY tid ORDER BY ord) - 1 AS i_end FROM iso) WHERE i_end IS NOT NULL)"""
 
 
-def _isoforms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    iso = chain(spark, sf_dir)
+def _isoforms(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    iso = chain(spark, sf_dir) if rows is None else rows
     first = iso.groupBy("locus").agg(F.min("tid").alias("tid"))
     return iso, iso.join(first, ["locus", "tid"], "left_semi")
 
@@ -117,12 +117,19 @@ def t14_competing_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cds.competing_sites(*_isoforms(spark, sf_dir), ["locus"])
 
 
+# Transcripts of even number keep every second intron, as part of an exon.
+_JOINED = "chain AS (SELECT locus, tid, CAST(CASE WHEN tid % 2 = 0 THEN (ord + 1) // 2 ELSE ord END AS INTEGER) AS ord, min(gen_start) AS gen_start, max(gen_end) AS gen_end FROM whole_chain GROUP BY ALL)"
+_KEPT_SQL = _ISO_SQL.replace("chain AS (", "whole_chain AS (", 1).replace("FROM starts)", f"FROM starts), {_JOINED}", 1)
+
+
 @query(
-    f"""WITH {_ISO_SQL}{_GAPS_SQL} SELECT DISTINCT c.locus, c.tid, 'IR+' AS event, i_start, i_end FROM iso c JOIN ri USING (locus) WHERE c.gen_start < i_start AND i_end < c.gen_end AND c.tid <> ri.tid
+    f"""WITH {_KEPT_SQL}{_GAPS_SQL} SELECT DISTINCT c.locus, c.tid, 'IR+' AS event, i_start, i_end FROM iso c JOIN ri USING (locus) WHERE c.gen_start < i_start AND i_end < c.gen_end AND c.tid <> ri.tid
     UNION SELECT DISTINCT oi.locus, oi.tid, 'IR-', i_start, i_end FROM oi JOIN refs r USING (locus) WHERE r.gen_start < i_start AND i_end < r.gen_end AND oi.tid <> r.tid"""
 )
 def t15_intron_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cds.retained(*_isoforms(spark, sf_dir), ["locus"])
+    merged = F.when(F.col("tid") % 2 == 0, F.floor((F.col("ord") + 1) / 2)).otherwise(F.col("ord")).cast("int")
+    rows = chain(spark, sf_dir).groupBy("locus", "tid", merged.alias("ord")).agg(F.min("gen_start").alias("gen_start"), F.max("gen_end").alias("gen_end"))
+    return cds.retained(*_isoforms(spark, sf_dir, rows), ["locus"])
 
 
 @query(
@@ -143,7 +150,7 @@ def t16_outer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_ORF_SQL}, o AS (SELECT locus, tid, gen_start + greatest(lo, orf_start) - lo AS a, gen_start + least(hi, orf_end) - lo AS b, (((greatest(lo, orf_start) - orf_start - (gen_start + greatest(lo, orf_start) - lo)) % 3) + 3) % 3 AS phase
-      FROM placed JOIN orf USING (tid) WHERE tid <= 3000 AND greatest(lo, orf_start) <= least(hi, orf_end)),
+      FROM placed JOIN orf USING (tid) WHERE greatest(lo, orf_start) <= least(hi, orf_end)),
     r AS (SELECT * FROM o WHERE (locus, tid) IN (SELECT (locus, min(tid)) FROM chain GROUP BY locus)),
     own AS (SELECT locus, tid, sum(b - a + 1) AS coding FROM o GROUP BY ALL),
     s AS (SELECT o.locus, o.tid, sum(least(o.b, r.b) - greatest(o.a, r.a) + 1) AS shared, bool_and(o.phase = r.phase) AS same FROM o JOIN r ON o.locus = r.locus AND o.a <= r.b AND r.a <= o.b GROUP BY ALL)
@@ -213,23 +220,30 @@ def g14_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isoforms.without_contained(chain(spark, sf_dir), ["locus"])
 
 
-_PAIRS_SQL = f"""{INTRONS}, l AS (SELECT locus, tid, list((i_start, i_end) ORDER BY ord) AS i FROM introns GROUP BY locus, tid), e AS (SELECT locus, tid, list((gen_start, gen_end) ORDER BY ord) AS x FROM chain GROUP BY locus, tid),
+# Transcripts of odd number lack their first exon, so that chains start inside others.
+_SHORT = "chain AS (SELECT locus, tid, CAST(ord - tid % 2 AS INTEGER) AS ord, gen_start, gen_end, part FROM whole_chain WHERE ord > tid % 2)"
+_PAIRS_SQL = f"""{INTRONS.replace("chain AS (", "whole_chain AS (", 1).replace("FROM starts)", f"FROM starts), {_SHORT}", 1)}, l AS (SELECT locus, tid, list((i_start, i_end) ORDER BY ord) AS i FROM introns GROUP BY locus, tid), e AS (SELECT locus, tid, list((gen_start, gen_end) ORDER BY ord) AS x FROM chain GROUP BY locus, tid),
   j AS (SELECT l.*, x FROM l JOIN e USING (locus, tid)), b AS (SELECT *, unnest(range(len(i))) AS k FROM j),
   p AS (SELECT a.locus, a.tid AS tid1, b.tid AS tid2, k, len(a.i) AS n1, len(b.i) AS n2, a.x AS x1, b.x AS x2, struct_extract(a.x[1], 1) >= struct_extract(b.x[k + 1], 1) AS first_in
     FROM j a JOIN b ON a.locus = b.locus AND a.tid <> b.tid AND a.i[1] = b.i[k + 1] WHERE a.i[1:least(len(a.i), len(b.i) - k)] = b.i[k + 1:k + least(len(a.i), len(b.i) - k)]),
   r AS (SELECT *, CASE WHEN n2 - k >= n1 AND (first_in OR k = 0) AND (k + n1 = n2 OR struct_extract(x1[n1 + 1], 2) <= struct_extract(x2[k + n1 + 1], 2)) THEN 'included' WHEN n2 - k < n1 AND first_in AND k > 0 THEN 'extends' END AS relation FROM p)"""
 
 
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lost = (F.col("tid") % 2).cast("int")
+    return chain(spark, sf_dir).filter(F.col("ord") > lost).withColumn("ord", F.col("ord") - lost)
+
+
 @query(f"WITH {_PAIRS_SQL} SELECT locus, tid1, tid2, CAST(k AS INTEGER) AS at, relation FROM r WHERE relation IS NOT NULL")
 def g08_chain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return isoforms.chain_pairs(chain(spark, sf_dir), ["locus"])
+    return isoforms.chain_pairs(_short(spark, sf_dir), ["locus"])
 
 
 @query(
     f"""WITH {_PAIRS_SQL} SELECT locus, tid1, tid2, array_to_string(list_transform(list_concat(x2[1:k], [(struct_extract(x2[k + 1], 1), struct_extract(x1[1], 2))], x1[2:]), lambda y: struct_extract(y, 1) || '-' || struct_extract(y, 2)), ',') AS exons FROM r WHERE relation = 'extends'"""
 )
 def g12_merged_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exons = chain(spark, sf_dir)
+    exons = _short(spark, sf_dir)
     merged = isoforms.merged_chains(isoforms.chain_pairs(exons, ["locus"]), isoforms.exon_arrays(exons, ["locus"]), ["locus"])
     return merged.withColumn("exons", F.array_join(F.transform("exons", lambda e: F.concat_ws("-", e["s"], e["e"])), ","))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions import sequence as S
 from ..operators import align, refine, seeds
+from ..session import cut_lineage
 from ..sources import fasta, records
 from .tables import SEQ, sequences, table
 
@@ -131,11 +132,13 @@ _per_doc(
 
 
 @query(
-    f"""WITH {SEQ}, {_WEIGHTS_SQL}, scored AS (
-      SELECT doc_id, start, round(sum(c * (p + 1e-5)) / any_value(most), 9) AS score
-      FROM (SELECT doc_id, start, i, substr(seq, start + i, 1) AS base FROM (SELECT *, unnest(range(12)) AS i FROM (SELECT *, unnest(range(1, 30)) AS start FROM seq WHERE length(seq) >= 60))) s
-      JOIN pwm ON pwm.pos = i AND pwm.base = s.base JOIN weights USING (matrix, pos) JOIN best USING (matrix) GROUP BY doc_id, start)
-    SELECT doc_id, CAST(start AS INTEGER) AS position, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start DESC) AS r FROM scored) WHERE r = 1"""
+    f"""WITH {SEQ}, {_WEIGHTS_SQL}, cells AS (SELECT pos, base, c * (p + 1e-5) / most AS v FROM pwm JOIN weights USING (matrix, pos) JOIN best USING (matrix)),
+    w AS (SELECT list(v ORDER BY pos, base) AS w FROM cells),
+    letters AS (SELECT doc_id, i, strpos('ACGT', b) AS k FROM (SELECT doc_id, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM (SELECT doc_id, string_split(seq, '') AS b FROM seq WHERE length(seq) >= 60))),
+    scored AS (
+      SELECT doc_id, i AS start, round({" + ".join(f"w[{4 * i} + lead(k, {i}) OVER o]" for i in range(12))}, 9) AS score
+      FROM letters, w WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+    SELECT doc_id, CAST(arg_max(start, (score, start)) AS INTEGER) AS position, max(score) AS score FROM scored WHERE score IS NOT NULL GROUP BY doc_id"""
 )
 def f11_best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sequences(spark, sf_dir).filter(F.length("seq") >= 60).select("doc_id", "seq", F.lit(0).alias("matrix"))
@@ -183,19 +186,20 @@ _per_doc(
 )
 _per_doc("f27_allowed_errors", "CAST(greatest(1, ceil(length(seq) * CASE WHEN length(seq) > 100 THEN 0.03 WHEN length(seq) > 50 THEN 0.035 ELSE 0.04 END)) AS INTEGER) AS most", lambda: {"most": S.allowed_errors(F.length("seq"))})
 
-# Longest open reading frame
-_ORF_SQL = f"""WITH {SEQ}, codons AS (SELECT doc_id, i, (i - 1) % 3 AS f, substr(seq, i, 3) AS c FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 1)) AS i FROM seq)),
+# Longest open reading frame; starts with a Kozak context first
+_ORF_SQL = f"""WITH {SEQ}, letters AS (SELECT doc_id, unnest(s) AS b, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(seq, '') AS s FROM seq WHERE length(seq) >= 3)),
+    codons AS (SELECT doc_id, i, (i - 1) % 3 AS f, b || lead(b, 1) OVER o || lead(b, 2) OVER o AS c, coalesce(lag(b, 3) OVER o IN ('A', 'G'), false) OR coalesce(lead(b, 3) OVER o IN ('A', 'G'), false) AS good FROM letters WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
     marked AS (SELECT * FROM codons WHERE c IN ('ATG', 'TAA', 'TAG', 'TGA')),
     next AS (SELECT *, min(CASE WHEN c <> 'ATG' THEN i END) OVER (PARTITION BY doc_id, f ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM marked),
-    orfs AS (SELECT doc_id, i AS s, stop + 2 AS e FROM next WHERE c = 'ATG' AND stop IS NOT NULL AND stop + 3 - i >= 30)
-    SELECT doc_id, CAST(s AS INTEGER) AS orf_start, CAST(e AS INTEGER) AS orf_end, CAST((e - s + 1) // 3 - 1 AS INTEGER) AS protein_length FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, s) AS r FROM orfs) WHERE r = 1"""
+    orfs AS (SELECT doc_id, i AS s, stop + 2 AS e, good FROM next WHERE c = 'ATG' AND stop IS NOT NULL AND stop + 3 - i >= 30)
+    SELECT doc_id, CAST(s AS INTEGER) AS orf_start, CAST(e AS INTEGER) AS orf_end, CAST((e - s + 1) // 3 - 1 AS INTEGER) AS protein_length FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY good DESC, e - s DESC, s) AS r FROM orfs) WHERE r = 1"""
 
 
 @query(_ORF_SQL)
 def t07_longest_orf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import cds
 
-    return cds.longest_orf(sequences(spark, sf_dir), ["doc_id"], least=30, context=False)
+    return cds.longest_orf(sequences(spark, sf_dir), ["doc_id"], least=30)
 
 
 @query(
@@ -207,21 +211,24 @@ def a12_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 K = 10
-_PAIR_SQL = f"""{SEQ}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM seq),
-    kmers AS (SELECT source, doc_id, r, i - 1 AS at, substr(seq, i, {K}) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - {K} + 2)) AS i FROM ranked)),
-    hits AS (SELECT source, a.doc_id AS est_id, b.doc_id AS gen_id, a.at AS p, b.at - a.at AS d FROM kmers a JOIN kmers b USING (source, kmer) WHERE a.r % 10 <> 0 AND b.r % 10 = 0),
-    runs AS (SELECT *, p - row_number() OVER (PARTITION BY source, est_id, gen_id, d ORDER BY p) AS run FROM hits),
-    pairings AS (SELECT source, est_id, gen_id, CAST(min(p) AS INTEGER) AS p, CAST(min(p) + d AS INTEGER) AS t, CAST(count(*) + {K} - 1 AS INTEGER) AS l FROM runs GROUP BY source, est_id, gen_id, d, run)"""
+_PAIR_SQL = f"""{SEQ}, kmers AS (SELECT doc_id // 10 AS locus, doc_id, i - 1 AS at, substr(seq, i, {K}) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - {K} + 2)) AS i FROM seq)),
+    hits AS (SELECT locus, a.doc_id AS est_id, b.doc_id AS gen_id, a.at AS p, b.at - a.at AS d FROM kmers a JOIN kmers b USING (locus, kmer) WHERE a.doc_id % 10 <> 0 AND b.doc_id % 10 = 0),
+    runs AS (SELECT *, p - row_number() OVER (PARTITION BY est_id, gen_id, d ORDER BY p) AS run FROM hits),
+    pairings AS (SELECT locus, est_id, gen_id, CAST(min(p) AS INTEGER) AS p, CAST(min(p) + d AS INTEGER) AS t, CAST(count(*) + {K} - 1 AS INTEGER) AS l FROM runs GROUP BY locus, est_id, gen_id, d, run)"""
 
 
 def _pairings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tenth document of a source as a genome, the others as its transcripts."""
-    from pyspark.sql import Window
+    """Loci of ten documents: the first is the genome, the others are its transcripts, so
+    that loci grow in number with the table, not in size."""
+    rows = sequences(spark, sf_dir).withColumn("locus", F.floor(F.col("doc_id") / 10))
+    est = rows.filter("doc_id % 10 != 0").select("locus", F.col("doc_id").alias("est_id"), "seq")
+    gen = rows.filter("doc_id % 10 = 0").select("locus", F.col("doc_id").alias("gen_id"), "seq")
+    return seeds.seed_matches(est, gen, ["locus"], K)
 
-    ranked = sequences(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    est = ranked.filter("r % 10 != 0").select("source", F.col("doc_id").alias("est_id"), "seq")
-    gen = ranked.filter("r % 10 = 0").select("source", F.col("doc_id").alias("gen_id"), "seq")
-    return seeds.seed_matches(est, gen, ["source"], K)
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairings without those of repeats; they are joined several times, so computed once."""
+    return cut_lineage(seeds.drop_low_complexity(cut_lineage(_pairings(spark, sf_dir)), _GROUP))
 
 
 @query(f"WITH {_PAIR_SQL} SELECT * FROM pairings")
@@ -229,19 +236,19 @@ def j01_seed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairings(spark, sf_dir)
 
 
-_GROUP = ["source", "est_id", "gen_id"]
+_GROUP = ["locus", "est_id", "gen_id"]
 _LOW_SQL = f"""{_PAIR_SQL}, kept AS (SELECT * FROM pairings b WHERE NOT EXISTS (
-    SELECT 1 FROM pairings a WHERE a.source = b.source AND a.est_id = b.est_id AND a.gen_id = b.gen_id AND (
+    SELECT 1 FROM pairings a WHERE a.est_id = b.est_id AND a.gen_id = b.gen_id AND (
       (a.p = b.p AND ((a.t < b.t AND b.t + b.l <= a.t + a.l) OR (b.t = a.t + 1 AND b.l = a.l))) OR (a.p + 1 = b.p AND a.t = b.t AND b.l <= a.l))))"""
 
 
 @query(f"WITH {_LOW_SQL} SELECT * FROM kept")
 def w02_lowcomplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds.drop_low_complexity(_pairings(spark, sf_dir), _GROUP)
+    return seeds.drop_low_complexity(cut_lineage(_pairings(spark, sf_dir)), _GROUP)
 
 
 _EDGE_SQL = f"""{_LOW_SQL}, edges AS (
-    SELECT source, est_id, gen_id, a.p AS p1, a.t AS t1, a.l AS l1, b.p AS p2, b.t AS t2, b.l AS l2 FROM kept a JOIN kept b USING (source, est_id, gen_id)
+    SELECT locus, est_id, gen_id, a.p AS p1, a.t AS t1, a.l AS l1, b.p AS p2, b.t AS t2, b.l AS l2 FROM kept a JOIN kept b USING (locus, est_id, gen_id)
     WHERE b.p > a.p AND b.t > a.t AND (
       ((a.p + a.l <= b.p AND b.p <= a.p + a.l + {2 * K + 1}) AND (a.t + a.l <= b.t OR ((a.t + {2 * K} <= b.t + b.l AND b.t < a.t + a.l AND (b.p - a.p) - (b.t - a.t) <= {2 * K + 1}) AND NOT (a.l >= {5 * K} AND a.t + a.l - b.t > 0.4 * a.l))))
       OR (NOT (a.p + a.l <= b.p AND b.p <= a.p + a.l + {2 * K + 1}) AND (a.p + {2 * K} <= b.p + b.l AND b.p < a.p + a.l) AND (a.t + a.l <= b.t OR (a.t + {2 * K} <= b.t + b.l AND b.t < a.t + a.l AND (b.p - a.p) - (b.t - a.t) <= {2 * K + 1})))))"""
@@ -249,7 +256,7 @@ _EDGE_SQL = f"""{_LOW_SQL}, edges AS (
 
 @query(f"WITH {_EDGE_SQL} SELECT * FROM edges")
 def j02_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds.edges(seeds.drop_low_complexity(_pairings(spark, sf_dir), _GROUP), _GROUP, K)
+    return seeds.edges(_kept(spark, sf_dir), _GROUP, K)
 
 
 @query(f"WITH {_EDGE_SQL} SELECT * FROM edges WHERE NOT ((t2 - t1 - l1) - (p2 - p1 - l1) > {2 * K + 3} AND (t2 - t1 - l1) - (p2 - p1 - l1) < 40)")
@@ -260,11 +267,11 @@ def g02_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_EDGE_SQL}, v AS (SELECT kept.*, length(seq) AS n FROM kept JOIN seq ON est_id = doc_id),
     apart AS (SELECT * FROM edges WHERE p1 + l1 <= p2 AND t1 + l1 <= t2)
-    SELECT source, est_id, gen_id, p, t, l, 'source' AS kind FROM v WHERE p < n * 0.6 AND NOT EXISTS (SELECT 1 FROM apart x WHERE x.est_id = v.est_id AND x.gen_id = v.gen_id AND x.p2 = v.p AND x.t2 = v.t AND x.l2 = v.l)
-    UNION ALL SELECT source, est_id, gen_id, p, t, l, 'sink' FROM v WHERE p + l > n * 0.4 AND NOT EXISTS (SELECT 1 FROM apart x WHERE x.est_id = v.est_id AND x.gen_id = v.gen_id AND x.p1 = v.p AND x.t1 = v.t AND x.l1 = v.l)"""
+    SELECT locus, est_id, gen_id, p, t, l, 'source' AS kind FROM v WHERE p < n * 0.6 AND NOT EXISTS (SELECT 1 FROM apart x WHERE x.est_id = v.est_id AND x.gen_id = v.gen_id AND x.p2 = v.p AND x.t2 = v.t AND x.l2 = v.l)
+    UNION ALL SELECT locus, est_id, gen_id, p, t, l, 'sink' FROM v WHERE p + l > n * 0.4 AND NOT EXISTS (SELECT 1 FROM apart x WHERE x.est_id = v.est_id AND x.gen_id = v.gen_id AND x.p1 = v.p AND x.t1 = v.t AND x.l1 = v.l)"""
 )
 def g01_source_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = seeds.drop_low_complexity(_pairings(spark, sf_dir), _GROUP)
+    kept = _kept(spark, sf_dir)
     length = sequences(spark, sf_dir).select(F.col("doc_id").alias("est_id"), F.length("seq").alias("length"))
     return seeds.ends(kept.join(length, "est_id"), seeds.edges(kept, _GROUP, K), _GROUP, rate=0.6)
 
@@ -276,6 +283,19 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "doc_id")
 
 
+#: Alignments run on windows of so many bases, one row for each.
+PIECE = 80
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``_neighbours`` cut, over their whole lengths, into windows of PIECE bases: the
+    n-th of one text with the n-th of the other (empty beyond the shorter one's end)."""
+    parts = lambda c: F.regexp_extract_all(F.col(c), F.lit(f".{{1,{PIECE}}}"), 0)
+    both = F.arrays_zip(parts("a").alias("a"), parts("b").alias("b"))
+    rows = _neighbours(spark, sf_dir).select("doc_id", F.posexplode(both).alias("piece", "s"))
+    return rows.select("doc_id", "piece", F.coalesce("s.a", F.lit("")).alias("a"), F.coalesce("s.b", F.lit("")).alias("b"))
+
+
 def _interrupted() -> Column:
     """b between the halves of a, as an intron."""
     half = F.floor(F.length("a") / 2).cast("int")
@@ -290,43 +310,43 @@ def f02_tail_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def f17_border_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select("doc_id", align.split_border(F.col("a"), F.col("b"), 3).alias("s")).select("doc_id", "s.*")
+    return _pieces(spark, sf_dir).select("doc_id", "piece", align.split_border(F.col("a"), F.col("b"), 3).alias("s")).select("doc_id", "piece", "s.*")
 
 
 @query()
 def f18_gap_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select("doc_id", align.spliced(F.col("a"), _interrupted()).alias("s")).select("doc_id", "s.*")
+    return _pieces(spark, sf_dir).select("doc_id", "piece", align.spliced(F.col("a"), _interrupted()).alias("s")).select("doc_id", "piece", "s.*")
 
 
 @query()
 def f19_global_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select("doc_id", align.aligned(F.col("a"), F.col("b")).alias("s")).select("doc_id", "s.*")
+    return _pieces(spark, sf_dir).select("doc_id", "piece", align.aligned(F.col("a"), F.col("b")).alias("s")).select("doc_id", "piece", "s.*")
 
 
 @query()
 def f21_common_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select("doc_id", align.common_factor(F.col("a"), F.col("b")).alias("s")).select("doc_id", "s.*")
+    return _pieces(spark, sf_dir).select("doc_id", "piece", align.common_factor(F.col("a"), F.col("b")).alias("s")).select("doc_id", "piece", "s.*")
 
 
 @query()
 def f22_best_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select("doc_id", align.cut(F.col("a"), F.col("b")).alias("s")).select("doc_id", "s.*")
+    return _pieces(spark, sf_dir).select("doc_id", "piece", align.cut(F.col("a"), F.col("b")).alias("s")).select("doc_id", "piece", "s.*")
 
 
 @query()
 def f28_best_affix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select("doc_id", align.affix(F.col("a"), F.col("b")).alias("s")).select("doc_id", "s.*")
+    return _pieces(spark, sf_dir).select("doc_id", "piece", align.affix(F.col("a"), F.col("b")).alias("s")).select("doc_id", "piece", "s.*")
 
 
 @query()
 def p12_splice_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select("doc_id", align.refined_junction(F.col("a"), _interrupted(), F.floor(F.length("a") / 2)).alias("s")).select("doc_id", "s.*")
+    return _pieces(spark, sf_dir).select("doc_id", "piece", align.refined_junction(F.col("a"), _interrupted(), F.floor(F.length("a") / 2)).alias("s")).select("doc_id", "piece", "s.*")
 
 
-_PAIR80 = f"{SEQ}, n AS (SELECT a.doc_id, substr(a.seq, 1, 80) AS a, substr(b.seq, 1, 80) AS b FROM seq a JOIN seq b ON b.doc_id = a.doc_id + 1)"
+_NEXT = f"{SEQ}, n AS (SELECT a.doc_id, a.seq AS a, b.seq AS b FROM seq a JOIN seq b ON b.doc_id = a.doc_id + 1)"
 
 
-@query(f"WITH {_PAIR80} SELECT doc_id, levenshtein(a, b) > greatest(1, ceil(length(a) * CASE WHEN length(a) > 100 THEN 0.03 WHEN length(a) > 50 THEN 0.035 ELSE 0.04 END)) AS noisy FROM n")
+@query(f"WITH {_NEXT} SELECT doc_id, levenshtein(a, b) > greatest(1, ceil(length(a) * CASE WHEN length(a) > 100 THEN 0.03 WHEN length(a) > 50 THEN 0.035 ELSE 0.04 END)) AS noisy FROM n")
 def p08_noisy_exon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select("doc_id", align.noisy(F.col("a"), F.col("b")).alias("noisy"))
 
@@ -338,7 +358,7 @@ def p06_external_exon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PAIR80}, m AS (SELECT doc_id, list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: a[i] = b[i]), false) AS k, least(length(a), length(b)) AS n FROM n)
+    f"""WITH {_NEXT}, m AS (SELECT doc_id, list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: a[i] = b[i]), false) AS k, least(length(a), length(b)) AS n FROM n)
     SELECT doc_id, CAST(CASE WHEN coalesce(k, 0) = 0 THEN n ELSE k - 1 END AS BIGINT) AS est_end, CAST(10 + CASE WHEN coalesce(k, 0) = 0 THEN n ELSE k - 1 END AS BIGINT) AS gen_end FROM m"""
 )
 def f07_tail_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,9 +366,9 @@ def f07_tail_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select("doc_id", grown.alias("g")).select("doc_id", "g.*")
 
 
-@query(f"WITH {_PAIR80} SELECT doc_id, substr(a, 1, 2) = substr(b, 1, 2) AS starts, right(a, 1) = right(b, 1) AS ends FROM n")
+@query(f"WITH {_NEXT} SELECT doc_id, substr(a, 1, 6) = substr(b, 1, 6) AS starts, right(a, 11) = right(b, 11) AS ends FROM n")
 def p05_end_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select("doc_id", refine.ends_match(F.col("a"), F.col("b"), 2, 1).alias("m")).select("doc_id", "m.*")
+    return _neighbours(spark, sf_dir).select("doc_id", refine.ends_match(F.col("a"), F.col("b")).alias("m")).select("doc_id", "m.*")
 
 
 @query(f"WITH {_EDGE_SQL} SELECT *, (t2 - t1) - (p2 - p1) >= 50 AS intronic FROM edges")

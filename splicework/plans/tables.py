@@ -19,7 +19,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.translate(only, LETTERS, BASES).alias("seq"))
 
 
-SEQ = f"""seq AS (SELECT doc_id, source, substr(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}'), 1, 400) AS seq FROM documents)"""
+SEQ = f"""seq AS (SELECT doc_id, source, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM documents)"""
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
