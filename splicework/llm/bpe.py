@@ -270,7 +270,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], tokens_col: str = "token
     return encoded.mapInArrow(rows, schema)
 
 
-@small_batches(1000)
+@small_batches
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id, number of tokens, and digests of the ids and of what they decode to."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or a
-    folder of this machine's own where the session names none, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir), or a folder of
+    this machine's own where the session names none and runs on this machine alone, as
+    in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -44,23 +48,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(rows: int) -> Callable:
-    """A decorator for functions of (DataFrame, ...) that run their jobs before they
-    return: meanwhile a batch sent to Python has at most so many rows, as rows with
-    long texts or sets fill the workers' memory otherwise."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``stash`` that nothing reads any more. What was made of them must
+    have been written before."""
+    for df in written:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
-    def wrap(f: Callable) -> Callable:
-        @functools.wraps(f)
-        def run(df: DataFrame, *args, **kwargs):
-            conf = df.sparkSession.conf
-            before = conf.get(key)
-            conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-            try:
-                return f(df, *args, **kwargs)
-            finally:
-                conf.set(key, before)
 
-        return run
+#: Bytes that are sent to Python at once.
+BATCH_BYTES = 4 << 20
 
-    return wrap
+
+def small_batches(f: Callable) -> Callable:
+    """For functions of (DataFrame, ...) that run all jobs with long texts or sets before
+    they return: meanwhile a batch sent to Python has at most BATCH_BYTES, or one row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **kwargs):
+        conf = df.sparkSession.conf
+        before = conf.get(key)
+        conf.set(key, str(BATCH_BYTES))
+        try:
+            return f(df, *args, **kwargs)
+        finally:
+            conf.set(key, before)
+
+    return run

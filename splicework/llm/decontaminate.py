@@ -3,10 +3,9 @@
 ``build_index`` makes a table of shards. A shard covers a few megabytes of texts and
 holds, for each of their tokens (as 64-bit hashes, sorted), the ascending list of its
 positions; positions leave a gap between documents, so that no phrase crosses one.
-``match_phrases`` looks up the windows of the test items in every shard: starting
-with the window's rarest term there, its positions, less the term's offset, are
-intersected with those of the next rarer term, until a list is empty or all terms
-are through. The test windows are the query set: they are sent to the shards in
+``match_phrases`` looks up the terms of the test items in every shard: starting with a
+window's rarest term there, its positions, less the term's offset, are intersected with
+those of the next rarer term, for all windows at once, until all terms are through. The test windows are the query set: they are sent to the shards in
 slices of a checked size, one pass after the other.
 
 Defined cases: a null text has no words; an item without words has no window and one
@@ -25,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, small_batches, stash
 from .textops import LETTER_WORDS, Slice, counts_between, slices
 
 WINDOW = 13
 #: A document is contaminated if it has a hit, and at least one hit among so many words.
 WORDS_A_HIT = 20
 #: Bytes of test text that are sent to the executors at once.
-SLICE_OF_ITEMS = 16 << 20
+SLICE_OF_ITEMS = 2 << 20
 
 _INDEX = "doc_ids array<bigint>, word_first array<bigint>, terms binary, firsts binary, steps binary, hits binary, found array<struct<doc:int,item:string>>"
 
@@ -71,12 +70,15 @@ def _shard(ids: pa.Array, words: Slice) -> pa.RecordBatch:
 class Shard:
     """An index row, opened."""
 
-    def __init__(self, row: dict):
-        self.doc_ids = row["doc_ids"]
-        self.word_first = np.array(row["word_first"], np.int64)
-        self.terms = np.frombuffer(row["terms"], np.uint64)
-        self.positions = np.cumsum(np.frombuffer(row["steps"], np.uint32), dtype=np.uint32).astype(np.int64)
-        self.firsts = np.append(np.frombuffer(row["firsts"], np.uint32).astype(np.int64), len(self.positions))
+    def __init__(self, row: pa.RecordBatch):
+        value = lambda name, kind: np.frombuffer(row.column(name)[0].as_buffer(), kind)
+        self.doc_ids = row.column("doc_ids")[0].values
+        self.word_first = row.column("word_first")[0].values.to_numpy()
+        self.terms = value("terms", np.uint64)
+        self.positions = np.cumsum(value("steps", np.uint32), dtype=np.uint32).astype(np.int64)
+        self.firsts = np.append(value("firsts", np.uint32).astype(np.int64), len(self.positions))
+        #: (term, position) of all postings as one ascending number.
+        self.keys = (np.repeat(np.arange(len(self.terms)), np.diff(self.firsts)) << 32) + self.positions
         n = len(self.doc_ids)
         self.pos_first = self.word_first[:-1] + np.arange(n)
         self.size = int(self.word_first[-1]) + n
@@ -89,6 +91,11 @@ class Shard:
         n = np.where(self.terms[at] == terms, self.firsts[at + 1] - self.firsts[at], 0)
         return at, n
 
+    def among(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Which positions are in the lists of these terms."""
+        key = (term << 32) + position
+        return self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+
     def posting(self, term: int) -> np.ndarray:
         return self.positions[self.firsts[term] : self.firsts[term + 1]]
 
@@ -96,48 +103,54 @@ class Shard:
         return np.searchsorted(self.pos_first, position, "right") - 1
 
 
-def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The members of sorted ``a`` that are in sorted ``b``."""
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return a[b[at] == a]
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run, one run after the other."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 class Phrases:
-    """The windows of some items, grouped by length."""
+    """The different windows of some items, grouped by length, in terms of a common list
+    of terms: each term is looked up once in a shard."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
-        names, by_len = [], {}
         words = Slice([(t or "").encode() for _, t in items], True, LETTER_WORDS)
-        hashes = words.hashes()
-        for i, (name, _) in enumerate(items):
-            own = hashes[words.word_first[i] : words.word_first[i + 1]]
-            if len(own):
-                k = min(window, len(own))
-                by_len.setdefault(k, []).append((len(names), np.lib.stride_tricks.sliding_window_view(own, k)))
-            names.append(name)
-        self.names = names
+        self.names = [name for name, _ in items]
+        self.terms, term = np.unique(words.hashes(), return_inverse=True)
+        term = term.ravel().astype(np.int32)
+        by_len: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i in np.flatnonzero(words.n_words):
+            own = term[words.word_first[i] : words.word_first[i + 1]]
+            k = min(window, len(own))
+            by_len.setdefault(k, []).append((i, np.lib.stride_tricks.sliding_window_view(own, k)))
+        #: length: windows, and whose each is (first and number in the list of owners).
         self.sets = {}
         for k, found in by_len.items():
-            rows = np.concatenate([w for _, w in found])
-            owner = np.concatenate([np.full(len(w), i) for i, w in found])
-            unique, inverse = np.unique(rows, axis=0, return_inverse=True)
-            order = np.argsort(inverse.ravel(), kind="stable")
-            ends = np.cumsum(np.bincount(inverse.ravel(), minlength=len(unique)))
-            self.sets[k] = (unique, np.split(owner[order], ends[:-1]))
-
-    def match(self, shard: Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, items, starts) of every window that occurs in the shard."""
-        for k, (rows, owners) in self.sets.items():
-            at, n = shard.lookup(rows)
-            for i in np.flatnonzero((n > 0).all(axis=1)):
-                starts = None
-                for j in np.argsort(n[i], kind="stable"):
-                    own = shard.posting(at[i, j]) - j
-                    starts = own if starts is None else _within(starts, own)
-                    if not len(starts):
-                        break
-                else:
-                    yield k, np.unique(owners[i]), starts
+            owner = np.repeat([i for i, _ in found], [len(w) for _, w in found])
+            unique, inverse = np.unique(np.concatenate([w for _, w in found]), axis=0, return_inverse=True)
+            inverse = inverse.ravel()
+            n = np.bincount(inverse, minlength=len(unique))
+            self.sets[k] = (unique, owner[np.argsort(inverse, kind="stable")], np.cumsum(n) - n, n)
+
+    def match(self, shard: Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, starts, rows, items) of all windows that occur in the shard: a start
+        for each occurrence, and the items of the row-th start. The lists of each window's
+        terms, less their offsets, are intersected for all windows at once: the rarest
+        term's list first, then what is left of it with the next rarer."""
+        number, count = shard.lookup(self.terms)
+        for k, (windows, owners, first, many) in self.sets.items():
+            of = np.flatnonzero((count[windows] > 0).all(axis=1))
+            n = count[windows[of]]
+            order = np.argsort(n, axis=1, kind="stable")
+            least = n[np.arange(len(of)), order[:, 0]] if len(of) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(of)), least)
+            rarest = number[windows[of, order[:, 0]]]
+            starts = shard.positions[_spread(shard.firsts[rarest], least)] - order[row, 0]
+            for j in range(1, k):
+                offset = order[row, j]
+                keep = shard.among(number[windows[of[row], offset]], starts + offset) if len(row) else np.zeros(0, bool)
+                row, starts = row[keep], starts[keep]
+            window = of[row]
+            yield k, starts, np.repeat(np.arange(len(starts)), many[window]), owners[_spread(first[window], many[window])]
 
 
 def _item_slices(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[tuple[list, bool]]:
@@ -158,26 +171,22 @@ def match_phrases(index: DataFrame, items: DataFrame, window: int = WINDOW, id_c
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(len(batch)):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    shard = Shard(row)
-                    edge = np.zeros(shard.size + 1, np.int64)
-                    pairs = []
-                    for k, owners, starts in sent.value.match(shard):
+                for own in (batch.slice(i, 1) for i in range(len(batch))):
+                    shard, phrases = Shard(own), sent.value
+                    edge, pairs = np.zeros(shard.size + 1, np.int64), [np.zeros((0, 2), np.int64)]
+                    for k, starts, row, items in phrases.match(shard):
                         edge[:-1] += np.bincount(starts, minlength=shard.size)
                         edge -= np.bincount(starts + k, minlength=shard.size + 1)
-                        docs = np.unique(shard.doc_of(starts))
-                        pairs.append(np.stack([np.repeat(docs, len(owners)), np.tile(owners, len(docs))], 1))
+                        pairs.append(np.stack([shard.doc_of(starts)[row], items], 1))
                     hit = np.cumsum(edge[:-1]) > 0
-                    if row["hits"] is not None:
-                        hit |= np.unpackbits(np.frombuffer(row["hits"], np.uint8), count=shard.size).astype(bool)
-                    found = [{"doc": int(d), "item": sent.value.names[o]} for d, o in (np.unique(np.concatenate(pairs), axis=0) if pairs else ())]
-                    own = batch.slice(i, 1)
-                    at = own.schema.get_field_index
-                    for name in ("terms", "firsts", "steps") if last else ():  # nothing looks them up again
-                        own = own.set_column(at(name), own.schema.field(name), pa.array([b""], own.schema.field(name).type))
-                    own = own.set_column(at("hits"), own.schema.field("hits"), pa.array([np.packbits(hit).tobytes()], own.schema.field("hits").type))
-                    yield own.set_column(at("found"), own.schema.field("found"), pa.array([row["found"] + found], own.schema.field("found").type))
+                    before = own.column("hits")[0]
+                    if before.is_valid:
+                        hit |= np.unpackbits(np.frombuffer(before.as_buffer(), np.uint8), count=shard.size).astype(bool)
+                    found = [{"doc": int(d), "item": phrases.names[o]} for d, o in np.unique(np.concatenate(pairs), axis=0)]
+                    new = {"hits": [np.packbits(hit).tobytes()], "found": [own.column("found")[0].as_py() + found]}
+                    if last:  # nothing looks them up again
+                        new |= {name: [b""] for name in ("terms", "firsts", "steps")}
+                    yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else own.column(f.name) for f in own.schema], schema=own.schema)
 
         index = index.mapInArrow(look, index.schema)
     return index
@@ -224,10 +233,10 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int, id_col: str
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row)
+                for i in range(len(batch)):
+                    shard = Shard(batch.slice(i, 1))
                     got = {(int(d), name) for name, terms, need, size in sent.value for d in _near(shard, terms, need, size + slop)}
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([shard.doc_ids[d] for d, _ in sorted(got)], pa.int64()), "item": pa.array([x for _, x in sorted(got)], pa.string())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": shard.doc_ids.take(pa.array([d for d, _ in sorted(got)], pa.int64())), "item": pa.array([x for _, x in sorted(got)], pa.string())})
 
         found = index.mapInArrow(look, "doc_id bigint, item string")
         out = found if out is None else out.unionAll(found)
@@ -263,6 +272,10 @@ def _close(x: np.ndarray, to: np.ndarray, span: int) -> np.ndarray:
     return (nxt < len(to)) & (to[np.minimum(nxt, len(to) - 1)] - x < span)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+@small_batches
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
     """The report of every document of ``docs`` against the test ``items``."""
-    return document_report(match_phrases(stash(build_index(docs), "postings"), items, window))
+    index = stash(build_index(docs, id_col), "postings")
+    out = stash(document_report(match_phrases(index, items, window), id_col), "report")
+    discard(index)
+    return out

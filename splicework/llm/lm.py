@@ -43,7 +43,7 @@ FOLDS, HELD_FOLD = 5, 1
 #: Fixed marks: no word hashes to them but by chance of 2**-64.
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Tokens that a counting task holds before it sends their counts.
-HELD_TOKENS = 4 << 20
+HELD_TOKENS = 2 << 20
 #: A mapping needs no open file beside it, where Python lets it go without.
 _NO_FILE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 
@@ -203,7 +203,7 @@ def discounts(f: list[int]) -> tuple[float, float, float]:
     return tuple(d if 0 < d <= k else 0.75 for k, d in zip((1, 2, 3), got, strict=True))
 
 
-@small_batches(2000)
+@small_batches
 def train(docs: DataFrame, url: str, buckets: int) -> dict:
     """Counts the model of ``docs`` (text) into the folder ``url``; its few totals."""
     store = Store(url)

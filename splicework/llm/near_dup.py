@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import discard, small_batches, stash
 from .textops import SPACE_WORDS, Slice, mix, pair_hash, slices
 
 SHINGLE = 5
@@ -195,7 +195,8 @@ def components(edges: DataFrame) -> DataFrame:
     sign = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = sign(e)
     while True:
-        e = stash(star(star(e, True), False), "edges")
+        last, e = e, stash(star(star(e, True), False), "edges")
+        discard(last)
         now = sign(e)
         if now == before:
             return e.select(F.col("a").alias("doc"), F.col("b").alias("class"))
@@ -280,24 +281,33 @@ def _across(sets: DataFrame, member: DataFrame, classes: DataFrame, threshold: f
     right = left.select("shingle", F.col("doc").alias("b"), F.col("class").alias("cb"), F.col("size").alias("nb"), F.col("open").alias("ob"))
     overlap = F.least("open", "ob")
     near = (F.col("doc") < F.col("b")) & (F.col("class") != F.col("cb")) & (overlap >= threshold * (F.col("size") + F.col("nb") - overlap) - 1e-9)
-    return left.join(right, "shingle").filter(near).select(F.col("doc").alias("a"), "b").distinct()
+    pairs = stash(left.join(right, "shingle").filter(near).select(F.col("doc").alias("a"), "b").distinct(), "across")
+    discard(rest, every)
+    return pairs
 
 
-@small_batches(500)
+@small_batches
 def classes_of(texts: DataFrame, first: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, class) of the rows of ``texts`` (doc, text) that are linked to others.
     ``first`` has the documents (doc) to compare: one of each set of equal texts."""
-    signed = stash(_signed(texts), "signed").join(first, "doc", "left_semi")
+    every = stash(_signed(texts), "signed")
+    signed = every.join(first, "doc", "left_semi")
     banded = signed.select("doc", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("band")
     member = stash(banded.join(shared, "band", "left_semi").distinct(), "buckets")
+    discard(every)
     sets = stash(_sets(texts.join(member.select("doc").distinct(), "doc", "left_semi")), "sets")
     pivots = stash(_pivots(member), "candidates")
     linked = stash(verify(pivots, sets, threshold), "links")
     classes = components(linked)
-    rest = _across(sets, member, classes, threshold).join(pivots, ["a", "b"], "left_anti")
-    more = stash(verify(stash(rest, "candidates"), sets, threshold), "links")
-    return components(more.unionAll(classes.select(F.col("doc").alias("a"), F.col("class").alias("b"))))
+    across = _across(sets, member, classes, threshold)
+    rest = stash(across.join(pivots, ["a", "b"], "left_anti"), "candidates")
+    discard(across)
+    more = stash(verify(rest, sets, threshold), "links")
+    discard(member, pivots, sets, rest, linked)
+    found = components(more.unionAll(classes.select(F.col("doc").alias("a"), F.col("class").alias("b"))))
+    discard(more, classes)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -310,6 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = first.join(linked, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
     out = rows.join(named, "key").select("doc", F.when(F.col("doc").isNotNull(), F.col("class")).alias("class"))
     out = stash(out, "classes")
+    discard(rows, found)
     size = out.groupBy(F.col("class").alias("of")).agg(F.count("*").alias("n"))
     known = F.col("class").isNotNull()
     return out.join(size, F.col("class") == F.col("of"), "left").select(

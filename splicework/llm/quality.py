@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import discard, small_batches, stash
 from .textops import SPACE_WORDS, Slice, counts_between, lut, pair_hash, slices, span_hashes
 
 MIN_WORDS = 50
@@ -198,7 +198,9 @@ def fit(rows: DataFrame) -> DataFrame:
             near, factor = near.join(send(limit), "g").filter("d <= limit"), _consistency(H)
         else:
             near, factor = near.filter(F.col("d") <= chi2_quantile(1 - REWEIGHT_TAIL, P)), _consistency(1 - REWEIGHT_TAIL)
-        now = stash(_estimates(_moments(near), factor), "mcd-step")
+        last, now = now, stash(_estimates(_moments(near), factor), "mcd-step")
+        discard(last)
+    discard(long)
     level = lambda k: now.filter(F.col("g").startswith(f"{k}"))
     keys = rows.select("lang", "source", _group(0).alias("g"), _group(1).alias("g1"), _group(2).alias("g2")).distinct()
     wide = keys
@@ -222,7 +224,7 @@ def fit(rows: DataFrame) -> DataFrame:
     return wide.mapInPandas(shrink, _ESTIMATE)
 
 
-@small_batches(1000)
+@small_batches
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The statistics, the base rule's and the final verdict and the squared distance
     (null where the base rule failed) of every row."""

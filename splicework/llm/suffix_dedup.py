@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches, stash
+from .common import discard, shuffle_partitions, small_batches, stash
 from .textops import SPACE_WORDS, Slice, mix, pair_hash, slices, span_hashes
 
 LENGTH = 400
@@ -301,8 +301,8 @@ def repeated_windows(data: list[bytes], at: np.ndarray) -> np.ndarray:
 
 
 def _spans(texts: DataFrame, buckets: int) -> DataFrame:
-    """(node, start, end) of ``texts`` (node, text, marks): repeated bytes, run by run;
-    runs may overlap."""
+    """(node, spans) of ``texts`` (node, text, marks): repeated bytes, run by run in
+    order; runs may overlap."""
 
     def build(table: pa.Table) -> pa.Table:
         node, at, lo, n = (table.column(c).to_numpy() for c in ("node", "at", "lo", "n"))
@@ -318,10 +318,14 @@ def _spans(texts: DataFrame, buckets: int) -> DataFrame:
     bucket = F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int")
     dealt = _segments(texts).withColumn("bucket", bucket).repartition("bucket")
     once = stash(dealt.groupBy("bucket", "group", "at", "data").agg(F.sum("n").alias("n"), F.min("node").alias("node"), F.min("lo").alias("lo")), "segments")
-    alone = once.select("bucket", "node", "at", "lo", "data", "n").groupBy("bucket").applyInArrow(build, "node bigint, start int, end int")
+    alone = stash(once.select("bucket", "node", "at", "lo", "data", "n").groupBy("bucket").applyInArrow(build, "node bigint, start int, end int"), "alone")
     several = stash(once.filter("n > 1").select("group", "at", F.unhex(F.md5("data")).alias("name")), "collapsed")
+    discard(once)
     copies = _named_segments(texts).join(several, ["group", "at", "name"], "left_semi").select("node", "start", "end")
-    return alone.unionAll(copies)
+    spans = alone.unionAll(copies).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    out = stash(spans, "spans")
+    discard(alone, several)
+    return out
 
 
 class Repeats(NamedTuple):
@@ -335,7 +339,6 @@ class Repeats(NamedTuple):
     held: DataFrame
 
 
-@small_batches(500)
 def repeats(docs: DataFrame, id_col: str, text_col: str) -> Repeats:
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -344,17 +347,20 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> Repeats:
     some = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.coalesce("id", F.lit(0))).alias("rid"))
     texts = stash(some.withColumn("node", F.monotonically_increasing_id()), "texts")
     source = docs.select(rid.alias("rid"), text_key(F.col(text_col)).alias("key"), text.alias("text")).filter(F.octet_length("text") >= LENGTH)
-    anchored = stash(_anchored(source), "anchored").join(texts.select("rid", "key", "node"), ["rid", "key"])
+    marked_texts = stash(_anchored(source), "anchored")
+    anchored = marked_texts.join(texts.select("rid", "key", "node"), ["rid", "key"])
     each = anchored.select("node", F.explode("anchors").alias("m")).select("node", "m.*")
     often = stash(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "often")
     marks = F.collect_list(F.struct("gram", "at", "lo", "hi", (F.col("n") > MANY).alias("many")))
     marked = stash(each.join(often, "gram").groupBy("node").agg(marks.alias("marks")), "marked")
+    discard(marked_texts, often)
     wanted = marked.join(texts.select("node", "rid", "key"), "node")
     held = stash(source.join(wanted, ["rid", "key"]).select("node", "text", "marks"), "held")
     n = marked.agg(F.sum(F.size("marks"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), n * (LENGTH + 175) // BLOCK // BUILD_BLOCKS + 1)
-    spans = _spans(held, buckets).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return Repeats(rows, texts, stash(spans, "spans"), held)
+    spans = _spans(held, buckets)
+    discard(marked)
+    return Repeats(rows, texts, spans, held)
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -373,6 +379,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
+@small_batches
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and the digest of what is kept, of every row."""
     r = repeats(docs, id_col, text_col)
@@ -387,6 +394,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["node", "removed", "spans", "sha"])
 
     cut = r.held.select("node", "text").join(r.spans, "node").mapInArrow(rows, "node bigint, removed bigint, spans bigint, sha string").dropDuplicates(["node"])
+    cut = stash(cut, "cuts")
+    discard(r.held, r.spans)
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= LENGTH)
     known = r.texts.join(cut, "node", "left").select("key", "n", "removed", "spans", "sha")
     return r.rows.join(known, "key").select(
@@ -398,9 +407,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
+@small_batches
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut from the texts (nulls stay null)."""
     r = repeats(docs, id_col, text_col)
+    discard(r.held, r.rows)
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -409,4 +420,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = r.texts.join(r.spans, "node", "left").filter("n > 1 OR spans IS NOT NULL").select(F.col("key").alias(KEY), F.col("n").alias(f"{KEY}_n"), F.col("spans").alias(f"{KEY}_spans"))
     joined = docs.withColumn(KEY, text_key(F.col(text_col))).join(known, KEY, "left")
     whole = (F.col(f"{KEY}_n") > 1) & (F.octet_length(text_col) >= LENGTH)
-    return joined.withColumn(text_col, F.when(whole, F.lit("")).when(F.col(f"{KEY}_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(f"{KEY}_spans")))).select(*docs.columns)
+    out = joined.withColumn(text_col, F.when(whole, F.lit("")).when(F.col(f"{KEY}_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(f"{KEY}_spans")))).select(*docs.columns)
+    out = stash(out, "without-repeats")
+    discard(r.texts, r.spans)
+    return out

@@ -8,12 +8,23 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
+#: Bytes that are hashed at once.
+_BLOCK = 1 << 18
+
+
+def _table(base: int) -> np.ndarray:
+    """base ** 0 .. _BLOCK."""
+    out = np.full(_BLOCK + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS, _INVERSES = _table(_BASE), _table(_INVERSE)
 
 
 def lut(chars: bytes | range) -> np.ndarray:
@@ -28,14 +39,6 @@ SPACE_WORDS = ~lut(b"\x20\x09\x0a\x0b\x0c\x0d")
 LETTER_WORDS = lut(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS[base]
-    while len(have) < n:
-        step = np.uint64(pow(base, len(have), 1 << 64))
-        have = _POWERS[base] = np.concatenate([have, have * step])
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -50,10 +53,29 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, from one running sum of powers."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data))[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * _powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span; starts and ends ascend. Blocks of the data
+    have one running sum of powers each, a longer span is summed up piece by piece."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        k = i + int(np.searchsorted(end[i:], base + _BLOCK, "right"))
+        if k == i:
+            total, step = 0, 1
+            for at in range(base, int(end[i]), _BLOCK):
+                piece = data[at : min(at + _BLOCK, int(end[i]))].astype(np.uint64) + np.uint64(1)
+                total += step * int((piece * _POWERS[: len(piece)]).sum())
+                step = step * pow(_BASE, _BLOCK, 1 << 64) % (1 << 64)
+            out[i] = total % (1 << 64)
+            i += 1
+            continue
+        piece = data[base : int(end[k - 1])].astype(np.uint64) + np.uint64(1)
+        run = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(piece * _POWERS[: len(piece)], out=run[1:])
+        a = start[i:k] - base
+        out[i:k] = (run[end[i:k] - base] - run[a]) * _INVERSES[a]
+        i = k
+    return mix(out + (end - start).astype(np.uint64))
 
 
 class Slice:
