@@ -6,6 +6,7 @@ it kept; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,18 @@ CHUNK_BYTES = 3 << 20
 
 
 def _row_named(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own for each row, in the column ROW."""
-    return stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """``docs`` with a number of its own for each row, in the column ROW. Rows of Parquet
+    files are numbered by file and place, so that nothing is written; others are written
+    with their numbers."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{ROW}_file"), F.col("_metadata.row_index").alias(f"{ROW}_index"))
+        # as many names as the scan itself lists
+        files = sorted(r[0] for r in placed.select(f"{ROW}_file").distinct().collect())
+    except AnalysisException:
+        return stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    named = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"`{ROW}_file` string, `{ROW}_number` bigint")
+    number = (F.col(f"{ROW}_number") * (1 << 40) + F.col(f"{ROW}_index")).alias(ROW)
+    return placed.join(F.broadcast(named), f"{ROW}_file").select(*docs.columns, number)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +66,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
     numbered = _row_named(docs)
-    report = decontaminate.document_report(decontaminate.match_phrases(stash(decontaminate.build_index(numbered, id_col=ROW), "postings"), table(spark, sf_dir, "benchmark")), id_col=ROW)
+    report = decontaminate.decontaminate(numbered, table(spark, sf_dir, "benchmark"), id_col=ROW)
     return numbered.join(report.filter("NOT contaminated").select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
