@@ -5,7 +5,7 @@ The order is built in the way of Bauer, Cox and Rosone: in each round every docu
 gets one symbol more, from its end to its start; the position of the new suffix follows
 from the Burrows-Wheeler transform of the suffixes so far (the rank of the symbol
 before the place of the document's last suffix), and the transform and the array of
-common prefixes are read from files and written to new ones, in sequence.
+common prefixes are read from files, block by block, and written to new ones in sequence.
 
 To do that on many machines, the texts are first cut by content. Each 400-byte window
 has an anchor: the rightmost of its 64-byte strings with the least hash. Equal windows
@@ -13,10 +13,13 @@ have equal anchors, so windows whose anchor occurs once in the corpus are done.
 runs of windows of each other anchor, with their bytes, meet by anchor: these segments
 are the documents of a build. Its symbols are blocks of 16 bytes, counted from the
 anchor. Equal segments are collapsed before they meet: their windows are all repeated,
-and one of them stands for all in the build. A window can only be equal to another one if the suffix at its first block
-shares 24 blocks with a neighbour in the order; such windows are compared as a
-whole, and equal ones are repeated. Anchors with very many occurrences are split
-further, by short ranges of windows and the bytes which these have in common.
+and one of them stands for all in the build. Windows are equal if the suffixes at their
+first whole blocks share 24 blocks by the common prefixes of the order, and the up to 16
+bytes before and after these are equal. Anchors with very many occurrences are split
+further, by short ranges of windows and the bytes which these have in common; and where
+very many segments still differ, as at the edges of one footer, each of their (at most
+32) windows is told by its digest, counted over all of them, so that no task gets more
+than CROWD segments of one group.
 
 Equal texts are collapsed first: a text of at least 400 bytes that has a copy goes as a
 whole, and takes part once.
@@ -41,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, shuffle_partitions, small_batches, stash
-from .textops import SPACE_WORDS, Slice, mix, pair_hash, slices, span_hashes
+from .textops import SPACE_WORDS, Slice, mix, slices, span_hashes
 
 LENGTH = 400
 GRAM = 64
@@ -52,6 +55,8 @@ WHOLE_BLOCKS = (LENGTH - BLOCK + 1) // BLOCK
 MANY, RANGE = 2000, 32
 #: Bytes of text whose anchors are sought, or whose windows are hashed, at once.
 ANCHOR_BYTES = 1 << 20
+#: A group with more different segments than this isn't built, but told window by window.
+CROWD = 4000
 #: Blocks in a build, about.
 BUILD_BLOCKS = 60_000
 
@@ -180,102 +185,189 @@ def _least_between(tables: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) ->
     return out
 
 
+#: More than any common prefix.
+_FAR = np.iinfo(np.int32).max
+
+
+def _minima(x: np.ndarray) -> list[np.ndarray]:
+    """Least values over 1, 2, 4, ... positions."""
+    out = [x]
+    while len(out[-1]) > (step := 1 << (len(out) - 1)):
+        out.append(np.minimum(out[-1][:-step], out[-1][step:]))
+    return out
+
+
 class ColumnwiseOrder:
     """The suffix order of a collection, extended by one symbol a document and round.
 
     ``bwt`` has the symbol before each suffix (0: not known yet, or none), ``lcp`` the
-    symbols that a suffix shares with the one before it, ``suffix`` its name
-    (document, place). The three are files; a round reads them and writes new ones.
-    The empty suffixes come first, in the documents' order.
+    symbols that a suffix shares with the one before it, ``suffix`` its name. The three
+    are files. A round reads them block by block, once to find the places of the new
+    suffixes and what they share with their neighbours, and once to write the next files;
+    what it holds is a block, a few numbers a symbol and a few a document. The empty
+    suffixes come first, in the documents' order.
     """
 
-    def __init__(self, folder: str, n_docs: int, kind: type):
-        self.folder, self.n_docs, self.round = folder, n_docs, 0
-        self.place = np.arange(n_docs)
-        self._write(np.zeros(n_docs, kind), np.zeros(n_docs, np.int32), np.full(n_docs, -1, np.int64))
-
-    def _write(self, bwt: np.ndarray, lcp: np.ndarray, suffix: np.ndarray) -> None:
-        for name, x in (("bwt", bwt), ("lcp", lcp), ("suffix", suffix)):
-            x.tofile(f"{self.folder}/{name}-{self.round}")
-        self.kind = bwt.dtype
+    BLOCK = 1 << 16
 
-    def read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(f"{self.folder}/{name}-{self.round}", kind) for name, kind in (("bwt", self.kind), ("lcp", np.int32), ("suffix", np.int64)))
+    def __init__(self, folder: str, n_docs: int, n_symbols: int):
+        self.folder, self.n_docs, self.n_symbols, self.round, self.size = folder, n_docs, n_symbols, 0, n_docs
+        self.place = np.arange(n_docs)
+        self.kinds = (("bwt", np.uint32), ("lcp", np.int32), ("suffix", np.int64))
+        self._write((np.zeros(n_docs), np.zeros(n_docs), np.full(n_docs, -1)), "wb")
+
+    def _write(self, arrays: tuple[np.ndarray, ...], mode: str) -> None:
+        for (name, kind), x in zip(self.kinds, arrays, strict=True):
+            with open(f"{self.folder}/{name}-{self.round}", mode) as f:
+                x.astype(kind).tofile(f)
+
+    def blocks(self, round_: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """First place, symbols, common prefixes and names, in sequence."""
+        r = self.round if round_ is None else round_
+        with open(f"{self.folder}/bwt-{r}", "rb") as x, open(f"{self.folder}/lcp-{r}", "rb") as y, open(f"{self.folder}/suffix-{r}", "rb") as z:
+            at = 0
+            while len(bwt := np.fromfile(x, np.uint32, self.BLOCK)):
+                yield at, bwt, np.fromfile(y, np.int32, self.BLOCK), np.fromfile(z, np.int64, self.BLOCK)
+                at += len(bwt)
+
+    def _places(self, p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For symbols ``c`` put at the ascending places ``p``: the rank of each, and what
+        the new suffix shares with the one before and the one after it that start alike
+        (-1: there is none)."""
+        count = np.zeros(self.n_symbols + 1, np.int64)
+        since = np.full(self.n_symbols + 1, _FAR, np.int64)  # least prefix after a symbol's last place
+        before, left, right, open_ = np.zeros(len(p), np.int64), np.full(len(p), -1), np.full(len(p), -1), np.full(len(p), _FAR)
+        waiting = np.zeros(0, np.int64)
+        for start, bwt, lcp, _ in self.blocks():
+            i = np.arange(*np.searchsorted(p, [start, start + len(bwt)]))
+            own = p[i] - start
+            bwt[own] = c[i]
+            n = len(bwt)
+            key = np.sort(bwt.astype(np.int64) * n + np.arange(n))
+            symbol, place = key // n, key % n
+            first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
+            last = np.append(first[1:], n) - 1
+            named = symbol[first]
+            upto = np.minimum.accumulate(lcp)
+            after = np.append(np.minimum.accumulate(lcp[::-1])[::-1][1:], _FAR)
+            # those whose next like symbol is in this block
+            run = np.minimum(np.searchsorted(named, c[waiting]), len(named) - 1)
+            met = named[run] == c[waiting]
+            right[waiting[met]] = np.minimum(open_[waiting[met]], upto[place[first[run[met]]]])
+            waiting = waiting[~met]
+            open_[waiting] = np.minimum(open_[waiting], upto[-1])
+            if len(i):
+                minima = _minima(lcp)
+                where = np.searchsorted(key, c[i].astype(np.int64) * n + own)
+                run = np.searchsorted(named, c[i])
+                before[i] = count[c[i]] + where - first[run]
+                here = where > first[run]
+                left[i[here]] = _least_between(minima, place[where[here] - 1] + 1, own[here])
+                far = ~here & (count[c[i]] > 0)
+                left[i[far]] = np.minimum(since[c[i[far]]], upto[own[far]])
+                here = where < last[run]
+                right[i[here]] = _least_between(minima, own[here] + 1, place[where[here] + 1])
+                open_[i[~here]] = after[own[~here]]
+                waiting = np.append(waiting, i[~here])
+            since = np.minimum(since, upto[-1])
+            since[named] = after[place[last]]
+            count[named] += last - first + 1
+        count[0] = 0  # without a symbol there is no suffix yet; the empty ones stand first
+        less = np.cumsum(count) - count
+        return less[c] + before, np.where(left < 0, -1, left + 1), np.where(right < 0, -1, right + 1)
 
     def insert(self, docs: np.ndarray, symbols: np.ndarray, names: np.ndarray) -> None:
         """Puts symbols (from 1) in front of the last suffixes of these documents."""
-        bwt, lcp, suffix = self.read()
-        at = self.place[docs]
-        bwt[at] = symbols
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        mine = rank[at]
-        before = order[np.maximum(mine - 1, 0)]
-        after = order[np.minimum(mine + 1, len(order) - 1)]
-        has_before = (mine > 0) & (bwt[before] == symbols)
-        has_after = (mine + 1 < len(order)) & (bwt[after] == symbols)
-        minima = [lcp]
-        while len(minima[-1]) > (step := 1 << (len(minima) - 1)):
-            minima.append(np.minimum(minima[-1][:-step], minima[-1][step:]))
-        shared = np.zeros(len(docs), np.int32)
-        shared[has_before] = 1 + _least_between(minima, before[has_before] + 1, at[has_before])
-        shared_after = 1 + _least_between(minima, at[has_after] + 1, after[has_after])
-        # entries with symbol 0 have no suffix before them; the empty suffixes stand first
-        new = self.n_docs + mine - int((bwt == 0).sum())
-        size = len(bwt) + len(docs)
-        fresh = np.zeros(size, bool)
-        fresh[new] = True
-        out = []
-        for old, value in ((bwt, np.zeros(len(docs), bwt.dtype)), (lcp, shared), (suffix, names)):
-            x = np.empty(size, old.dtype)
-            x[~fresh] = old
-            x[new] = value
-            out.append(x)
-        out[1][new[has_after] + 1] = shared_after
-        olds = [f"{self.folder}/{name}-{self.round}" for name in ("bwt", "lcp", "suffix")]
-        self.round += 1
-        self._write(*out)
-        for f in olds:
-            os.unlink(f)
-        self.place = np.flatnonzero(~fresh)[self.place]
-        self.place[docs] = new
+        by = np.argsort(self.place[docs])
+        p, c = self.place[docs][by], symbols[by].astype(np.int64)
+        rank, left, right = self._places(p, c)
+        new = self.n_docs + rank
+        order = np.argsort(new)
+        old = new[order] - np.arange(len(order))  # the old entry that each stands before
+        # the entry after a new one that starts alike: a new one knows it, an old one is told
+        told = (right[order] >= 0) & np.append(old[1:] != old[:-1], True)
+        values = (np.zeros(len(order)), np.maximum(left[order], 0), names[by][order])
+        source, self.round = self.round, self.round + 1
+        end = 0
+        for start, bwt, lcp, suffix in self.blocks(source):
+            end = start + len(bwt)
+            i = np.arange(*np.searchsorted(p, [start, end]))
+            bwt[p[i] - start] = c[i]
+            # new ones behind the last entry belong to the last block
+            k = np.arange(*np.searchsorted(old, [start, end if end < self.size else end + 1]))
+            t = k[told[k] & (old[k] < end)]
+            lcp[old[t] - start] = right[order][t]
+            self._write(tuple(np.insert(x, old[k] - start, v[k]) for x, v in zip((bwt, lcp, suffix), values, strict=True)), "ab")
+        for name, _ in self.kinds:
+            os.unlink(f"{self.folder}/{name}-{source}")
+        self.size += len(order)
+        self.place = self.place + np.searchsorted(old, self.place, "right")
+        self.place[docs[by]] = new
+
+
+def _ordered(folder: str, blocks: list[np.ndarray]) -> ColumnwiseOrder:
+    """The order of all suffixes of these documents, named by their place in all blocks."""
+    size = np.array([len(b) for b in blocks])
+    first = np.cumsum(size) - size
+    alphabet, symbol = np.unique(np.concatenate(blocks), return_inverse=True)
+    symbol = symbol.ravel() + 1
+    order = ColumnwiseOrder(folder, len(blocks), len(alphabet))
+    for r in range(int(size.max(initial=0))):
+        docs = np.flatnonzero(size > r)
+        name = first[docs] + size[docs] - 1 - r
+        order.insert(docs, symbol[name], name)
+    return order
 
 
 def common_blocks(blocks: list[np.ndarray]) -> np.ndarray:
     """For each block of each document, in turn: the most blocks that the suffix from
     it on has in common with another suffix."""
-    size = np.array([len(b) for b in blocks])
-    first = np.cumsum(size) - size
-    alphabet, symbol = np.unique(np.concatenate(blocks), return_inverse=True)
-    symbol = symbol.ravel() + 1
-    symbol = symbol.astype(np.uint16 if len(alphabet) < 65535 else np.uint32)
+    out = np.zeros(sum(map(len, blocks)), np.int64)
     with tempfile.TemporaryDirectory() as folder:
-        order = ColumnwiseOrder(folder, len(blocks), symbol.dtype.type)
-        for r in range(int(size.max(initial=0))):
-            docs = np.flatnonzero(size > r)
-            name = first[docs] + size[docs] - 1 - r
-            order.insert(docs, symbol[name], name)
-        _, lcp, suffix = order.read()
-    most = np.maximum(lcp, np.append(lcp[1:], 0))
-    out = np.zeros(len(symbol), np.int64)
-    out[suffix[suffix >= 0]] = most[suffix >= 0]
+        name = -1
+        for _, _, lcp, suffix in _ordered(folder, blocks).blocks():
+            for shared, own in zip(lcp.tolist(), suffix.tolist(), strict=True):
+                for x in {name, own} - {-1}:
+                    out[x] = max(out[x], shared)
+                name = own
     return out
 
 
-def _piecewise_hashes(joined: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of equally long spans (in ascending order), by pieces of the bytes."""
-    out = np.empty(len(start), np.uint64)
-    cut = np.searchsorted(start, np.arange(0, len(joined) + ANCHOR_BYTES, ANCHOR_BYTES))
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        if a < b:
-            base = start[a]
-            out[a:b] = span_hashes(joined[base : start[b - 1] + length], start[a:b] - base, start[a:b] - base + length)
-    return out
+def alike(blocks: list[np.ndarray], least: int) -> np.ndarray:
+    """For each block of each document, in turn: a number that suffixes share if they
+    begin with the same ``least`` blocks; -1 where no other one does."""
+    out = np.full(sum(map(len, blocks)), -1)
+    with tempfile.TemporaryDirectory() as folder:
+        run = 0
+        for _, _, lcp, suffix in _ordered(folder, blocks).blocks():
+            group = run + np.cumsum(lcp < least)
+            run = int(group[-1])
+            out[suffix[suffix >= 0]] = group[suffix >= 0]
+    _, inverse, n = np.unique(out, return_inverse=True, return_counts=True)
+    return np.where(n[inverse] > 1, out, -1)
+
+
+def _words_at(joined: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The BLOCK bytes from each start on, as two numbers."""
+    both = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(joined, BLOCK)[start]).view("<u8") if len(start) else np.zeros((0, 2), np.uint64)
+    return both[:, 0], both[:, 1]
+
+
+def _numbered(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's value, and how many rows each number has."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    for x in columns:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new)
+    return number, np.bincount(number)
 
 
 def repeated_windows(data: list[bytes], at: np.ndarray) -> np.ndarray:
-    """(segment, window) of the windows that two places of these segments have."""
+    """(segment, window) of the windows that two places of these segments have. Equal
+    windows have their anchor at one place, so their whole blocks are equal suffixes'
+    beginnings; what stands before and after these, a block together, is compared."""
     joined = np.frombuffer(b"".join(data), np.uint8)
     size = np.array([len(d) for d in data])
     first = np.cumsum(size) - size
@@ -283,21 +375,23 @@ def repeated_windows(data: list[bytes], at: np.ndarray) -> np.ndarray:
     count = (size - skip) // BLOCK
     number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     of = np.repeat(np.arange(len(data)), count)
-    start = first[of] + skip[of] + BLOCK * number
-    common = common_blocks(np.split(_piecewise_hashes(joined, start, BLOCK), np.cumsum(count)[:-1]))
-    good = common >= WHOLE_BLOCKS
-    # windows that start in the BLOCK bytes up to a good block's start
-    window = (skip[of[good]] + BLOCK * number[good])[:, None] - np.arange(BLOCK)[None, :]
-    segment = np.broadcast_to(of[good][:, None], window.shape)
-    ok = (window >= 0) & (window <= size[segment] - LENGTH)
-    order = np.argsort(first[segment[ok]] + window[ok])
-    segment, window = segment[ok][order], window[ok][order]
-    start = first[segment] + window
-    # equal windows have their anchor at the same place
-    key = pair_hash(_piecewise_hashes(joined, start, LENGTH), (at[segment] - window).astype(np.uint64))
-    _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-    twice = n[inverse] > 1
-    return np.stack([segment[twice], window[twice]], 1)
+    symbol, _ = _numbered(_words_at(joined, first[of] + skip[of] + BLOCK * number))
+    group = alike(np.split(symbol, np.cumsum(count)[:-1]), WHOLE_BLOCKS)
+    good = np.flatnonzero(group >= 0)
+    found = []
+    for k in range(BLOCK):  # bytes of the window before its first whole block
+        window = skip[of[good]] + BLOCK * number[good] - k
+        ok = (window >= 0) & (window <= size[of[good]] - LENGTH)
+        segment, window, own = of[good][ok], window[ok], group[good][ok]
+        start = first[segment] + window
+        head, tail = start[:, None] + np.arange(k), start[:, None] + WHOLE_BLOCKS * BLOCK + np.arange(k, BLOCK)
+        ends = np.ascontiguousarray(joined[np.concatenate([head, tail], axis=1)]).view("<u8")
+        # where the anchor stands decides nothing more: it is at one place of equal windows
+        same, n = _numbered((ends[:, 0], ends[:, 1], own, (at[segment] - window)))
+        twice = n[same] > 1 if len(same) else np.zeros(0, bool)
+        found.append(np.stack([segment[twice], window[twice]], 1))
+    out = np.concatenate(found)
+    return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
 def _spans(texts: DataFrame, buckets: int) -> DataFrame:
@@ -316,15 +410,31 @@ def _spans(texts: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"node": node[own], "start": (lo[own] + window[head]).astype(np.int32), "end": (lo[own] + window[tail] + LENGTH).astype(np.int32)})
 
     bucket = F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each window of a segment, by a digest."""
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
+                rows = [
+                    (r["group"], r["at"] - i, hashlib.md5(r["data"][i : i + LENGTH], usedforsecurity=False).digest(), r["node"], r["lo"] + i, r["n"])
+                    for r in part.select(["group", "at", "data", "node", "lo", "n"]).to_pylist()
+                    for i in range(len(r["data"]) - LENGTH + 1)
+                ]
+                yield _batch(rows, ("group", "at", "name", "node", "start", "n"), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64()))
+
     dealt = _segments(texts).withColumn("bucket", bucket).repartition("bucket")
     once = stash(dealt.groupBy("bucket", "group", "at", "data").agg(F.sum("n").alias("n"), F.min("node").alias("node"), F.min("lo").alias("lo")), "segments")
-    alone = stash(once.select("bucket", "node", "at", "lo", "data", "n").groupBy("bucket").applyInArrow(build, "node bigint, start int, end int"), "alone")
+    crowded = stash(once.groupBy("group").agg(F.count("*").alias("k")).filter(F.col("k") > CROWD).select("group"), "crowded")
+    alone = stash(once.join(crowded, "group", "left_anti").select("bucket", "node", "at", "lo", "data", "n").groupBy("bucket").applyInArrow(build, "node bigint, start int, end int"), "alone")
+    each = stash(once.join(crowded, "group", "left_semi").mapInArrow(windows, "group bigint, at int, name binary, node bigint, start int, n bigint"), "windows")
+    twice = each.groupBy("group", "at", "name").agg(F.sum("n").alias("k")).filter("k > 1").select("group", "at", "name")
+    apart = stash(each.filter("n = 1").join(twice, ["group", "at", "name"], "left_semi").select("node", "start", (F.col("start") + LENGTH).alias("end")), "apart")
+    discard(crowded, each)
     several = stash(once.filter("n > 1").select("group", "at", F.unhex(F.md5("data")).alias("name")), "collapsed")
     discard(once)
     copies = _named_segments(texts).join(several, ["group", "at", "name"], "left_semi").select("node", "start", "end")
-    spans = alone.unionAll(copies).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = alone.unionAll(apart).unionAll(copies).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     out = stash(spans, "spans")
-    discard(alone, several)
+    discard(alone, apart, several)
     return out
 
 
@@ -381,7 +491,8 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 @small_batches
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and the digest of what is kept, of every row."""
+    """id, n_bytes, n_removed, n_spans, the digest of what is kept and whether anything was
+    removed, of every row."""
     r = repeats(docs, id_col, text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,6 +515,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", F.lower(F.hex("key")))).alias("kept_sha256"),
+        (whole | F.coalesce(F.col("removed") > 0, F.lit(False))).alias("has_repeats"),
     )
 
 
