@@ -3,22 +3,28 @@
 Tokens of a page are its tags, told apart by their path, and its text nodes. A token's
 occurrence vector holds its count on every page of the host. Tokens with equal vectors
 are an equivalence class: they come from one part of the host's template. Vectors are
-compared by a digest that adds up in any order, so that counting is a plain grouped
-aggregation and a host may have any number of pages. Classes with enough pages and
-tokens are valid; those that stand in the page's root class's gaps are nested in it, and
-the template is the ordered list of all. On each page the template's tokens are
-matched in order; text that isn't a template token fills the slots between them.
-
-Slots are main text or not by the elements that enclose them: navigation, headers,
-footers, asides, forms, scripts, adverts, notices and reader comments, by name, role,
-class or id, are not; of several articles (or else main elements, or else elements
-named as content) the one with the most text is taken. A text that all pages of a
-host have inside the article is template too, unless nothing else is left.
+compared by their length, their sum and two sums of digests of (page, count), so that
+counting is a plain grouped aggregation and a host may have any number of pages.
+
+The root class has tokens that occur once on a page, on the most pages; its tokens in
+order cut each page into gaps. Another class is nested in the template if at least
+MIN_PAGES pages have it, it has a tag, and all its tokens stand in one and the same gap
+of every page. Template text is what the root class has, and what a nested class has
+inside its own tags. All other text fills slots.
+
+The main slot is found by its text: of the elements (by path) the host's slot text is
+summed up for, articles or else main elements with a good share of it, or else the
+deepest element with nearly all of it. Names are hints: navigation, headers, footers,
+asides, forms, adverts, notices and reader comments, by element, role, class or id, don't
+count unless nothing else has text, and are left out inside the main slot. Links don't
+count, but are kept inside the main slot, but for lists that are nothing but links.
 
 Defined cases: a null or empty page has empty text; a null url is a host of its own
-(the empty one); repeated rows give rows each; hosts with fewer than MIN_PAGES pages have
-no template, only slots; an empty table gives an empty result; other columns of the input
-are ignored.
+(the empty one); repeated rows count each and give rows each; pages of hosts with fewer
+than MIN_PAGES pages, and pages without text in their host's main slot, are judged by
+their own text, without a template; a text that is template all through stays; an empty
+table gives an empty result; other columns of the input are ignored. Markup that is never
+closed ends with the page; parsing is linear in the page.
 """
 
 from __future__ import annotations
@@ -32,15 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, small_batches, stash
 from .url_filter import host_of
 
 MIN_PAGES = 5
 MIN_TOKENS = 2
 #: Bytes of templates that are sent to all executors; more are joined by host.
 BROADCAST_BYTES = 32 << 20
+#: Share of the slot text that makes an article, and an element of any other name, the main slot.
+ARTICLE_SHARE, ELEMENT_SHARE = 0.2, 0.8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|svg|iframe)\b.*?(?:</\1\s*>|$)|<!?/?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b.*?(?:</\1\s*>|\Z)"
+    r"|<!?/?[a-zA-Z](?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<",
+    re.S | re.I,
+)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -58,16 +70,11 @@ _NOT_MAIN_WORDS = frozenset(
 )
 _CONTENT_WORDS = frozenset("content article post entry story".split())
 _KEEP_OPEN = frozenset("html body article main".split())
+_LISTS = frozenset("ul ol dl table menu".split())
 
 
-class Node:
-    """A token of a page. ``text`` is None for tags; ``block`` numbers blocks; ``area``
-    is (kind, number) of the enclosing article, main or content element, if any."""
-
-    __slots__ = ("token", "text", "block", "main", "area", "linked")
-
-    def __init__(self, token, text=None, block=0, main=False, area=None, linked=False):
-        self.token, self.text, self.block, self.main, self.area, self.linked = token, text, block, main, area, linked
+def _hash(*parts) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
 
 
 def _named(tag: str) -> tuple[str, str, set[str]]:
@@ -82,153 +89,288 @@ def _named(tag: str) -> tuple[str, str, set[str]]:
     return " ".join(names), role, {w for n in names for w in _WORD.findall(n)}
 
 
-def _hash(*parts: str) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
+class Page:
+    """A page's elements and tokens in order.
 
+    Elements (number 0 is the page itself) have lists: parent, path (a hash), kind (0
+    article, 1 main, 2 other), barred (named as something that isn't main text), linked
+    and listed (inside a link, a list). Nodes are (element, text or None for a tag, block).
+    """
 
-def parse(page: str) -> list[Node]:
-    """The page's tokens in order."""
-    nodes: list[Node] = []
-    # open elements: name, path, whether main text may be in it, area, inside a link
-    stack: list[tuple] = [("", "", True, None, False)]
-    block = areas = 0
-    for m in _TOKEN.finditer(page):
-        piece = m[0]
-        if piece[0] != "<" or piece == "<":
-            _, path, main, area, linked = stack[-1]
-            nodes.append(Node((path, piece), piece, block, main, area, linked))
-            continue
-        if m[1]:
-            block += m[1].lower() == "title"
-            continue
-        t = _TAG.match(piece)
-        if not t:
-            continue
-        name = t[2].lower()
-        if name in BLOCKS:
-            block += 1
-        elif name == "br":
-            nodes.append(Node(None, " ", block, stack[-1][2], stack[-1][3], stack[-1][4]))
-        if name in _VOID:
-            continue
-        if t[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _KEEP_OPEN and name not in _KEEP_OPEN:
-                    break
-            continue
-        # a start ends the barred element before it whose end tag is missing
-        if stack[-1][0] == "p" and name in BLOCKS or stack[-1][0] == name and name in _LOOSE:
-            stack.pop()
-        names, role, words = _named(piece) if "=" in piece else ("", "", ())
-        _, path, main, area, linked = stack[-1]
-        if main and name not in _KEEP_OPEN:
-            main = not (name in _NOT_MAIN or role in _NOT_MAIN_ROLES or _NOT_MAIN_WORDS & set(words))
-        elif main and name == "article":
-            main = not _NOT_MAIN_WORDS & set(words)
-        if main and area is None or area and area[0] > 0:
-            kind = 0 if name == "article" else 1 if name == "main" or role == "main" else 2 if name in ("div", "section", "td") and _CONTENT_WORDS & set(words) else 3
-            if kind < (area[0] if area else 3):
-                areas += 1
-                area = (kind, areas)
-        here = f"{path}/{name}.{names}"
-        nodes.append(Node((here, ""), None, block, main, area, linked))
-        if name in _LOOSE:
-            # its text is told apart by its parent, as its end may be missing; a class that bars it holds for its block
-            if stack[-1][2] and not main:
-                stack.append((name, path, main, area, linked))
+    def __init__(self, text: str):
+        self.parent, self.path, self.kind, self.barred, self.linked, self.listed = [-1], [0], [2], [False], [False], [False]
+        self.nodes: list[tuple[int, str | None, int]] = []
+        names_of, stack, where, block = [""], [0], {}, 0
+        kept = [0]  # places in the stack of elements that only their own kind closes
+
+        def pop(size: int) -> None:
+            while len(stack) > size:
+                where[names_of[stack.pop()]].pop()
+                if kept[-1] == len(stack):
+                    kept.pop()
+
+        for m in _TOKEN.finditer(text):
+            piece = m[0]
+            if piece[0] != "<" or piece == "<":
+                self.nodes.append((stack[-1], piece, block))
+                continue
+            if m[1]:
+                block += m[1].lower() == "title"
+                continue
+            t = _TAG.match(piece)
+            if not t or not piece.endswith(">"):
+                continue
+            name = t[2].lower()
+            if name in BLOCKS:
+                block += 1
+            elif name == "br":
+                self.nodes.append((stack[-1], " ", block))
+            if name in _VOID:
+                continue
+            if t[1]:
+                if where.get(name) and (name in _KEEP_OPEN or where[name][-1] > kept[-1]):
+                    pop(where[name][-1])
+                continue
+            # a start ends the element before it whose end tag is missing
+            top = names_of[stack[-1]]
+            if top == "p" and name in BLOCKS or top == name and name in _LOOSE:
+                pop(len(stack) - 1)
+            names, role, words = _named(piece) if "=" in piece else ("", "", set())
+            up = stack[-1]
+            barred = name in _NOT_MAIN or role in _NOT_MAIN_ROLES or bool(_NOT_MAIN_WORDS & words)
+            kind = 0 if name == "article" else 1 if name == "main" or role == "main" else 2
+            if name in ("html", "body") or kind < 2 and _CONTENT_WORDS & words:
+                barred = False
+            # the text of a plain paragraph or item is told apart by its parent, as its end may be missing
+            plain = name in _LOOSE and not names and not barred
+            here = _hash(self.path[up], name, names)
+            if plain:
+                self.nodes.append((up, None, here))
+                continue
+            e = len(self.path)
+            self.parent.append(up)
+            self.path.append(here)
+            self.kind.append(kind)
+            self.barred.append(barred)
+            self.linked.append(self.linked[up] or name == "a")
+            self.listed.append(self.listed[up] or name in _LISTS)
+            names_of.append(name)
+            self.nodes.append((e, None, here))
+            where.setdefault(name, []).append(len(stack))
+            if name in _KEEP_OPEN:
+                kept.append(len(stack))
+            stack.append(e)
+        #: Elements with a barred one around them, or barred themselves.
+        self.under: list[bool] = []
+        for e, p in enumerate(self.parent):
+            self.under.append(self.barred[e] or p >= 0 and self.under[p])
+
+    def token(self, node: tuple[int, str | None, int]) -> int | None:
+        """The token's number; None for blank text and text of barred elements."""
+        e, text, at = node
+        if text is None:
+            return at
+        return _hash(self.path[e], "text", text) if text.strip() and not self.under[e] else None
+
+    def weights(self, nodes: list[tuple[int, str | None, int]]) -> dict[int, list[int]]:
+        """Of each path: depth, kind, and the letters of these nodes inside it, without
+        links and barred elements."""
+        letters, depth = [0] * len(self.path), [0] * len(self.path)
+        for e, text, _ in nodes:
+            if text is not None and not self.under[e] and not self.linked[e]:
+                letters[e] += len(text.strip())
+        for e in range(len(self.path) - 1, 0, -1):
+            letters[self.parent[e]] += letters[e]
+        out: dict[int, list[int]] = {}
+        for e, path in enumerate(self.path):
+            depth[e] = depth[self.parent[e]] + 1 if e else 0
+            out.setdefault(path, [depth[e], self.kind[e], 0])[2] += letters[e]
+        return out
+
+
+def main_paths(weights: dict[int, list[int]]) -> list[int]:
+    """The paths of the main slot: articles, or else main elements, with ARTICLE_SHARE of
+    all letters or more, or else the deepest path with ELEMENT_SHARE."""
+    total = max((w[2] for w in weights.values()), default=0)
+    for kind in (0, 1):
+        found = sorted(p for p, w in weights.items() if w[1] == kind and w[2] and w[2] >= ARTICLE_SHARE * total)
+        if found:
+            return found
+    return [max((w[0], w[2], p) for p, w in weights.items() if w[2] >= ELEMENT_SHARE * total)[2]] if total else []
+
+
+def _text(page: Page, bases: list[int], nodes: list[tuple[int, str | None, int]]) -> str:
+    """The text of the nodes inside the elements of these paths."""
+    inside, out, article = [], [], []
+    for e, p in enumerate(page.parent):
+        base = page.path[e] in bases
+        around = p >= 0 and inside[p]
+        inside.append(base or around)
+        out.append(around and (out[p] or page.barred[e]))
+        article.append(base and page.kind[e] < 2 or around and article[p])
+    blocks: dict[int, list[tuple[int, str]]] = {}
+    for e, text, block in nodes:
+        if text is not None and inside[e] and not out[e]:
+            blocks.setdefault(block, []).append((e, text))
+    lines = []
+    for own in blocks.values():
+        # outside an article, a list of links only is a menu
+        if all(not t.strip() or page.linked[e] and page.listed[e] and not article[e] for e, t in own):
             continue
-        stack.append((name, here, main, area, linked or name == "a"))
-    return nodes
-
-
-def main_text(page: str | None, template: list[int] | None) -> str:
-    """The text of the page's main slots. ``template`` lists template tokens in order."""
-    nodes = parse(page or "")
-    texts = [n for n in nodes if n.text is not None and n.main]
-    best = min((n.area[0] for n in texts if n.area), default=3)
-    if best < 3:
-        size: dict[tuple, int] = {}
-        for n in texts:
-            if n.area and n.area[0] == best:
-                size[n.area] = size.get(n.area, 0) + len(n.text.strip())
-        most = max(size, key=lambda a: (size[a], -a[1]))
-        texts = [n for n in texts if n.area == most]
-    else:
-        loose = {n.block for n in texts if not n.linked and n.text.strip()}
-        texts = [n for n in texts if n.block in loose]
-    if template:
-        rank = {t: i for i, t in enumerate(template)}
-        at, slots = -1, []
-        mine = {id(n) for n in texts}
-        for n in nodes:
-            r = rank.get(_hash(*n.token), -1) if n.token else -1
-            if r > at:  # a template token, in the template's order
-                at = r
-            elif id(n) in mine:
-                slots.append(n)
-        if any(n.text.strip() for n in slots):
-            texts = slots
-    blocks: dict[int, list[str]] = {}
-    for n in texts:
-        blocks.setdefault(n.block, []).append(n.text)
-    lines = (" ".join(htmllib.unescape("".join(b)).split()) for b in blocks.values())
+        lines.append(" ".join(htmllib.unescape("".join(t for _, t in own)).split()))
     return "\n".join(x for x in lines if x)
 
 
+def gaps(page: Page, root: dict[int, int]) -> Iterator[tuple[tuple[int, str | None, int], int | None, int, bool]]:
+    """Each node with its token, the gap of the root class it is in, and whether it is
+    itself a root token, which starts the next gap. Root tokens come in order."""
+    at = -1
+    for node in page.nodes:
+        token = page.token(node)
+        r = root.get(token, -1) if token is not None else -1
+        if r > at:
+            at = r
+            yield node, token, at, True
+        else:
+            yield node, token, at, False
+
+
+def main_text(html: str | None, template: dict | None) -> str:
+    """The text of the page's main slot. ``template`` has root (tokens in order), nested
+    (token and gap) and main (paths), or is None."""
+    page = Page(html or "")
+    texts = [n for n in page.nodes if n[1] is not None]
+    slots = texts
+    if template:
+        nested = {(t["token"], t["gap"]) for t in template["nested"]}
+        root = {t: i for i, t in enumerate(template["root"])}
+        slots = [n for n, token, gap, own in gaps(page, root) if n[1] is not None and not own and (token, gap) not in nested]
+        for nodes in (slots, texts):
+            if out := _text(page, list(template["main"]), nodes):
+                return out
+    bases = main_paths(page.weights(slots)) or main_paths(page.weights(texts))
+    if not bases:  # all is linked, or named as something else
+        whole = Page(html or "")
+        whole.under, whole.linked = [False] * len(whole.path), [False] * len(whole.path)
+        bases = main_paths(whole.weights(texts))
+    return _text(page, bases, slots) or _text(page, bases, texts)
+
+
+def _batches(rows: Iterator[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    known = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, known[k]) for c, k in zip(cols, kinds, strict=True)], list(names))
+
+
+_TOKENS = "host string, token bigint, is_text boolean, path bigint, n bigint, total bigint, d1 bigint, d2 bigint, place bigint"
+
+
 def tokens(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(host, token, n, total, digest, place) of ``pages``, partly added up: pages and
-    occurrences, the digest of the vector, and the sum of first places."""
+    """Tokens of each host, partly added up: pages and occurrences, two sums of digests
+    of the vector, and the sum of first places. ``path`` is a tag's own, or that of the
+    element around a text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple, list[int]] = {}
-            for host, key, page in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                own: dict[int, list[int]] = {}
-                for i, n in enumerate(parse(page or "")):
-                    if n.token and (n.text is None or n.main and n.text.strip()):
-                        own.setdefault(_hash(*n.token), [0, i])[0] += 1
-                for token, (count, place) in own.items():
-                    mine = seen.setdefault((host, token), [0, 0, 0, 0])
-                    mine[0] += 1
-                    mine[1] += count
-                    mine[2] ^= hash((key, count)) & 0x7FFFFFFFFFFFFFFF
-                    mine[3] += place
-            cols = list(zip(*((h, t, *v) for (h, t), v in seen.items()), strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), *(pa.int64(),) * 5), strict=True)], ["host", "token", "n", "total", "digest", "place"])
-
-    # numbers hash alike in every worker
+            for host, key, html in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                page = Page(html or "")
+                own: dict[int, list] = {}
+                for i, n in enumerate(page.nodes):
+                    token = page.token(n)
+                    if token is not None:
+                        own.setdefault(token, [0, i, n[1] is not None, n[2] if n[1] is None else page.path[n[0]]])[0] += 1
+                for token, (count, place, is_text, path) in own.items():
+                    mine = seen.setdefault((host, token, is_text, path), [0] * 5)
+                    digest = _hash(key, count)
+                    for k, x in enumerate((1, count, digest & 0xFFFFFFFF, (digest >> 32) & 0xFFFFFFFF, place)):
+                        mine[k] += x
+            yield _batches(((*k, *v) for k, v in seen.items()), _TOKENS)
+
     picked = pages.select("host", F.xxhash64(F.col(id_col), F.col(html_col)).alias("key"), F.col(html_col).alias("html"))
-    return picked.mapInArrow(rows, "host string, token bigint, n bigint, total bigint, digest bigint, place bigint")
+    return picked.mapInArrow(rows, _TOKENS)
 
 
-def templates(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """host, template: the tokens of its valid classes in template order.
+_PLACES = "host string, key bigint, is_token boolean, lo bigint, hi bigint, letters bigint"
 
-    A class is valid if at least MIN_PAGES pages have it and it has MIN_TOKENS tokens.
-    The root class is the valid one on the most pages, the larger of equals; the
-    others count if all their tokens stand, on average, inside its span, and so nest.
-    """
-    vectors = tokens(pages, id_col, html_col).groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.bit_xor("digest").alias("digest"), F.sum("place").alias("place"))
-    vectors = vectors.filter(F.col("n") >= MIN_PAGES).withColumn("place", F.col("place") / F.col("n"))
-    classes = vectors.groupBy("host", "n", "total", "digest").agg(F.count("*").alias("size"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.collect_list(F.struct("place", "token")).alias("tokens")).filter(F.col("size") >= MIN_TOKENS)
-    once = classes.filter("n = total")
-    root = once.groupBy("host").agg(F.max(F.struct("n", "size", "lo", "hi")).alias("root"))
-    nested = classes.join(root, "host").filter((F.col("lo") >= F.col("root.lo")) & (F.col("hi") <= F.col("root.hi")) & (F.col("n") == F.col("root.n")))
-    return nested.groupBy("host").agg(F.transform(F.array_sort(F.flatten(F.collect_list("tokens"))), lambda t: t["token"]).alias("template"))
 
+def _places(pages: DataFrame, html_col: str) -> DataFrame:
+    """Of each host with a root class (``root``): tokens with their least and last gap;
+    paths with depth, kind and letters of slot text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple, list[int]] = {}
+            for host, html, root in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("root").to_pylist(), strict=True):
+                page, slots = Page(html or ""), []
+                for node, token, gap, own in gaps(page, {t: i for i, t in enumerate(root)}):
+                    if own:
+                        continue
+                    if node[1] is not None:
+                        slots.append(node)
+                    if token is not None:
+                        mine = seen.setdefault((host, token, True), [gap, gap, 0])
+                        mine[0], mine[1] = min(mine[0], gap), max(mine[1], gap)
+                for path, (depth, kind, letters) in page.weights(slots).items():
+                    seen.setdefault((host, path, False), [depth, kind, 0])[2] += letters
+            yield _batches(((*k, *v) for k, v in seen.items()), _PLACES)
 
+    return pages.select("host", F.col(html_col).alias("html"), "root").mapInArrow(rows, _PLACES)
+
+
+def _with(pages: DataFrame, hosts: DataFrame, size: F.Column, how: str = "inner") -> DataFrame:
+    """``pages`` joined with what is known of their hosts, sent to all if it is small."""
+    total = hosts.agg(F.sum(size + F.octet_length("host"))).first()[0] or 0
+    return pages.join(F.broadcast(hosts) if total <= BROADCAST_BYTES else hosts, "host", how)
+
+
+def templates(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """host, root, nested and main of every host with a root class."""
+    keys = ["host", "token", "is_text", "path"]
+    vectors = tokens(pages, id_col, html_col).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "total", "d1", "d2", "place"))).filter(F.col("n") >= MIN_PAGES)
+    vectors = stash(vectors, "vectors")
+    vector = ["host", "n", "total", "d1", "d2"]
+    classes = vectors.groupBy(*vector).agg(F.count("*").alias("size"), F.count_if(~F.col("is_text")).alias("tags")).filter((F.col("size") >= MIN_TOKENS) & (F.col("tags") > 0))
+    first = F.max(F.struct("n", "size", "total", "d1", "d2"))
+    chosen = classes.filter("n = total").groupBy("host").agg(first.alias("c")).select("host", "c.n", "c.total", "c.d1", "c.d2")
+    order = F.transform(F.array_sort(F.collect_list(F.struct((F.col("place") / F.col("n")).alias("place"), "token"))), lambda t: t["token"])
+    roots = stash(vectors.join(chosen, vector).groupBy("host").agg(order.alias("root")), "roots")
+    placed = stash(_places(_with(pages, roots, F.size("root") * 8), html_col), "places")
+    gap = placed.filter("is_token").groupBy("host", F.col("key").alias("token")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    inside = vectors.join(chosen, vector, "left_anti").join(classes.select(*vector), vector).join(gap, ["host", "token"])
+    # a class whose tokens are all in one gap; a text is template inside a tag of its class
+    nests = inside.groupBy(*vector).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set(F.when(~F.col("is_text"), F.col("path"))).alias("tags")).filter("lo = hi")
+    within = inside.select(*vector, "token", "is_text", "path").join(nests.select(*vector, F.col("lo").alias("gap"), "tags"), vector).filter(~F.col("is_text") | F.array_contains("tags", F.col("path")))
+    nested = within.groupBy("host").agg(F.collect_list(F.struct("token", "gap")).alias("nested"))
+
+    letters = placed.filter("NOT is_token").groupBy("host", "key").agg(F.min("lo").alias("depth"), F.min("hi").alias("kind"), F.sum("letters").alias("letters"))
+    most = letters.groupBy("host").agg(F.max("letters").alias("most"))
+    shares = letters.join(most, "host").withColumn("share", F.col("letters") / F.nullif("most", F.lit(0)))
+    good = lambda kind: F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & (F.col("share") >= ARTICLE_SHARE), F.col("key"))))
+    deepest = F.max(F.when(F.col("share") >= ELEMENT_SHARE, F.struct("depth", "letters", "key")))
+    main = shares.groupBy("host").agg(good(0).alias("a"), good(1).alias("b"), deepest.alias("c"))
+    chosen_paths = F.when(F.size("a") > 0, F.col("a")).when(F.size("b") > 0, F.col("b")).when(F.col("c").isNotNull(), F.array("c.key")).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<struct<token:bigint,gap:bigint>>")
+    out = roots.join(nested, "host", "left").join(main.select("host", chosen_paths.alias("main")), "host").select("host", F.struct("root", F.coalesce("nested", none).alias("nested"), "main").alias("template"))
+    out = stash(out, "templates")
+    discard(vectors, roots, placed)
+    return out
+
+
+@small_batches
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page."""
     hosted = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    found = stash(templates(hosted, id_col, "html"), "templates")
-    size = found.agg(F.sum(F.size("template") * 8 + F.octet_length("host"))).first()[0] or 0
-
-    @F.pandas_udf("string")
-    def text(html, template):
-        return html.combine(template, lambda h, t: main_text(h, None if t is None else list(t)))
+    found = templates(hosted, id_col, "html")
 
-    joined = hosted.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
-    return joined.select(F.col(id_col), F.col(url_col), text("html", "template").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(h, t) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
+
+    size = F.size("template.root") * 8 + F.size("template.nested") * 16 + 64
+    joined = _with(hosted, found, size, "left").select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), "html", "template")
+    kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
+    out = joined.mapInArrow(rows, f"id {kinds['id']}, url {kinds['url']}, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    return stash(out.withColumn("n_chars", F.length("text").cast("bigint")), "texts")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -122,6 +123,75 @@ def test_html_template_text_goes_but_copies_stay(spark):
     assert [got[10 + i] for i in range(6)] == [f"text {i}" for i in range(6)]
 
 
+HTML = "page_id bigint, url string, html string"
+
+
+def optional(i):
+    """A page whose article has a box without a telling name, on every other page."""
+    box = f"<div class='k7'><p>Join our club</p><span>Free for all</span></div>" if i % 2 else ""
+    return f"<html><body><div><p>Top line</p></div><div class='q'><h1>Head {i}</h1><p>First text {i * 7} goes on here</p>{box}<p>Last text {i * 11} ends it there</p></div><div>Made by us</div></body></html>"
+
+
+def test_html_template_decides(spark):
+    pages = spark.createDataFrame([(i, "http://t.example/x", optional(i)) for i in range(12)], HTML)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    want = {i: f"Head {i}\nFirst text {i * 7} goes on here\nLast text {i * 11} ends it there" for i in range(12)}
+    assert got == want
+    assert all(html_extract.main_text(optional(i), None) != want[i] for i in range(12))
+    twice = html_extract.extract(pages.unionAll(pages)).collect()
+    assert len(twice) == 24 and all(r["text"] == want[r["page_id"]] for r in twice)
+    assert html_extract.extract(pages.filter("page_id < 0")).count() == 0
+
+
+def test_html_classes_by_brute_force(spark):
+    """Occurrence vectors as lists, without digests: equal ones are the classes."""
+    rng = random.Random(3)
+    parts = ["<ul><li><a>m</a></li></ul>", "<div id='b'><i>box</i> box text</div>", "<table class='t'><tr><td>cell</td></tr></table>"]
+    htmls = ["<html><body><h1>Same</h1>" + "".join(p for p in parts if rng.random() < 0.6) + f"<div class='z'><p>Own text number {i}</p></div></body></html>" for i in range(40)]
+    rows = [(i, f"http://{'ab'[i % 2]}.example/", h) for i, h in enumerate(htmls)]
+    df = spark.createDataFrame(rows, HTML).withColumn("host", html_extract.host_of(F.col("url")))
+    got = {r["host"]: r["template"] for r in html_extract.templates(df, "page_id", "html").collect()}
+    for k, host in enumerate(("a.example", "b.example")):
+        pages = [html_extract.Page(h) for h in htmls[k::2]]
+        vectors, is_tag, own_path = {}, {}, {}
+        for j, p in enumerate(pages):
+            for n in p.nodes:
+                if (x := p.token(n)) is not None:
+                    vectors.setdefault(x, [0] * len(pages))[j] += 1
+                    is_tag[x] = n[1] is None
+                    own_path[x] = n[2] if n[1] is None else p.path[n[0]]
+        classes = {}
+        for x, v in vectors.items():
+            classes.setdefault(tuple(v), set()).add(x)
+        valid = {v: c for v, c in classes.items() if sum(map(bool, v)) >= html_extract.MIN_PAGES and len(c) > 1 and any(is_tag[x] for x in c)}
+        root_vector = max((v for v in valid if max(v) == 1), key=lambda v: (sum(v), len(valid[v])))
+        root = valid.pop(root_vector)
+        assert set(got[host]["root"]) == root
+        seen = {}
+        order = {x: i for i, x in enumerate(got[host]["root"])}
+        for p in pages:
+            for _, x, g, own in html_extract.gaps(p, order):
+                if not own and x is not None:
+                    seen.setdefault(x, set()).add(g)
+        nested = set()
+        for c in valid.values():
+            places = set().union(*(seen[x] for x in c))
+            if len(places) == 1:
+                tags = {own_path[x] for x in c if is_tag[x]}
+                nested |= {(x, *places) for x in c if is_tag[x] or own_path[x] in tags}
+        assert {(r["token"], r["gap"]) for r in got[host]["nested"]} == nested and nested
+
+
+def test_html_odd_pages():
+    start = time.time()
+    for page in ("<a " * 1_700_000, '<a "' * 400_000, "<!--" * 400_000, "<p class='x" * 200_000, "<i>" * 20_000 + "</b>" * 20_000):
+        assert html_extract.main_text(page, None) == ""
+    assert time.time() - start < 5
+    assert html_extract.main_text("<body><p>Intro text.</p><p><a href=x>A link</a></p><ul><li><a>menu</a></li></ul><p>End</p></body>", None) == "Intro text.\nA link\nEnd"
+    assert html_extract.main_text('<article class="post-related-login">Hello</article>', None) == "Hello"
+    assert html_extract.main_text("<article>A long first article</article><article class=b>A second one</article>", None) == "A long first article\nA second one"
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return queries.tokenizer()
