@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +59,16 @@ def discard(*written: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of text whose words meet in one bucket, about.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets_for(df: DataFrame, text_col: str) -> int:
+    """How many buckets of words a table's texts make, a shuffle's partitions at least."""
+    total = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(shuffle_partitions(df.sparkSession), total // BUCKET_BYTES + 1)
+
+
 #: Bytes that are sent to Python at once.
 BATCH_BYTES = 4 << 20
 

@@ -2,9 +2,10 @@
 sorted hash arrays, memory-mapped by the workers that score.
 
 Counting: tasks count the tokens and bigrams of their texts as 64-bit hashes, and send
-them grouped by context to the bucket of the context. A bucket adds up its contexts,
-writes one file of the model and sends on, by word, how many contexts each word
-follows; the buckets of words add those up and write the files of the words. A file
+them to the bucket of the pair, so that very common contexts are dealt out too; buckets
+grow in number with the text. A bucket adds up its pairs, writes one file of the model and
+sends on what they add to each context, and how many contexts each word follows; the
+buckets of contexts and words add those up and write their files. A file
 is a few sorted arrays (keys, then values), and a lookup is a binary search in its
 mapping, so a worker holds only the pages that it touches.
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_partitions, small_batches, stash
+from .common import buckets_for, discard, new_path, small_batches, stash
 from .textops import SPACE_WORDS, Slice, pair_hash, slices
 
 FOLDS, HELD_FOLD = 5, 1
@@ -87,8 +88,11 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sent(context: np.ndarray, word: np.ndarray, count: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Pairs by bucket of the context: contexts once each, their sizes, words, counts."""
-    to = _bucket(context, buckets)  # ascending, as contexts are
+    """Pairs by bucket of the pair, as one context may have a great share of all: contexts
+    once each, their sizes, words, counts."""
+    to = _bucket(pair_hash(context, word), buckets)
+    order = np.argsort(to, kind="stable")
+    to, context, word, count = (x[order] for x in (to, context, word, count))
     at, size = _runs(to)
     rows = []
     for a, n in zip(at, size, strict=True):
@@ -187,10 +191,29 @@ class Store:
         return out
 
 
-_FOLLOWED = "bucket int, words binary, numbers binary, f1 bigint, f2 bigint, f3 bigint, f4 bigint"
+_SUMS = "bucket int, of_words boolean, keys binary, numbers binary, f1 bigint, f2 bigint, f3 bigint, f4 bigint"
 _WORDS = "f1 bigint, f2 bigint, f3 bigint, f4 bigint, total bigint, tokens bigint, types bigint"
 
 
+def _partial(of_words: bool, key: np.ndarray, numbers: list[np.ndarray], buckets: int) -> list[tuple]:
+    """Sums by key, in order of the key, as a row for each bucket of keys."""
+    cut, n = _runs(_bucket(key, buckets))
+    packed = lambda o: pa.compress(np.stack([x[o] for x in numbers]).astype(np.uint64).tobytes(), "zstd", asbytes=True)
+    return [(int(_bucket(key[a : a + 1], buckets)[0]), of_words, key[a : a + k].tobytes(), packed(slice(a, a + k))) for a, k in zip(cut, n, strict=True)]
+
+
+def _added(rows: list[dict], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The keys of such rows, in order, and their numbers added up."""
+    parts = [np.zeros((width + 1, 0), np.uint64)]
+    for r in rows:
+        key = np.frombuffer(r["keys"], np.uint64)
+        parts.append(np.vstack([key, np.frombuffer(pa.decompress(r["numbers"], 8 * width * len(key), "zstd", asbytes=True), np.uint64).reshape(width, -1)]))
+    every = np.concatenate(parts, axis=1)
+    every = every[:, np.argsort(every[0], kind="stable")]
+    at, _ = _runs(every[0])
+    return every[0][at], [np.add.reduceat(x.astype(np.int64), at) if len(at) else x.astype(np.int64) for x in every[1:]]
+
+
 def _frequencies(count: np.ndarray) -> list[int]:
     return [int((count == k).sum()) for k in (1, 2, 3, 4)]
 
@@ -208,47 +231,38 @@ def train(docs: DataFrame, url: str, buckets: int) -> dict:
     """Counts the model of ``docs`` (text) into the folder ``url``; its few totals."""
     store = Store(url)
 
-    def contexts(table: pa.Table) -> pa.Table:
-        """Writes a bucket of contexts; sends on how many contexts each word has here."""
+    def pairs_of(table: pa.Table) -> pa.Table:
+        """Writes a bucket of pairs; sends on the sums of its contexts, and how many
+        contexts each word has here."""
         context, word, count = _received(table)
-        at, _ = _runs(context)
-        total, n1, n2, n3 = (np.add.reduceat(x.astype(np.int64), at) for x in (count, count == 1, count == 2, count >= 3))
         key = pair_hash(context, word)
         order = np.argsort(key)
-        b = table.column("bucket")[0].as_py()
-        store.write(f"pairs-{b}", key=key[order], count=count[order].astype(np.uint32))
-        store.write(f"contexts-{b}", key=context[at], total=total.astype(np.uint64), n1=n1.astype(np.uint32), n2=n2.astype(np.uint32), n3=n3.astype(np.uint32))
-        f = _frequencies(count)
-        order = np.argsort(word, kind="stable")
-        word, count = word[order], count[order]
-        at, many = _runs(word)
-        word, count = word[at], np.add.reduceat(count, at)
-        cut, n = _runs(_bucket(word, buckets))
-        own = [slice(a, a + k) for a, k in zip(cut, n, strict=True)]
-        out = {
-            "bucket": pa.array(_bucket(word[cut], buckets), pa.int32()),
-            "words": [word[o].tobytes() for o in own],
-            "numbers": [pa.compress(np.stack([many[o], count[o]]).astype(np.uint64).tobytes(), "zstd", asbytes=True) for o in own],
-        }
-        return pa.table(out | {f"f{k + 1}": pa.array([f[k]] + [0] * (len(own) - 1), pa.int64()) for k in range(4)})
-
-    def words(table: pa.Table) -> pa.Table:
-        parts = []
-        for r in table.to_pylist():
-            w = np.frombuffer(r["words"], np.uint64)
-            parts.append((w, *np.frombuffer(pa.decompress(r["numbers"], 16 * len(w), "zstd", asbytes=True), np.uint64).reshape(2, -1).astype(np.int64)))
-        word, many, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        store.write(f"pairs-{table.column('bucket')[0].as_py()}", key=key[order], count=count[order].astype(np.uint32))
+        at, _ = _runs(context)
+        out = _partial(False, context[at], [np.add.reduceat(x.astype(np.int64), at) for x in (count, count == 1, count == 2, count >= 3)], buckets)
         order = np.argsort(word, kind="stable")
-        at, _ = _runs(word[order])
-        many, count = np.add.reduceat(many[order], at), np.add.reduceat(count[order], at)
-        store.write(f"words-{table.column('bucket')[0].as_py()}", key=word[order][at], contexts=many.astype(np.uint64), count=count.astype(np.uint64))
+        at, many = _runs(word[order])
+        out += _partial(True, word[order][at], [many, np.add.reduceat(count[order], at)], buckets)
+        f = _frequencies(count)
+        names = [c.split()[0] for c in _SUMS.split(", ")]
+        cols = [*zip(*out, strict=True), *([x] + [0] * (len(out) - 1) for x in f)]
+        kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), *(pa.int64(),) * 4)
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(names, cols, kinds, strict=True)})
+
+    def sums_of(table: pa.Table) -> pa.Table:
+        rows, b = table.to_pylist(), table.column("bucket")[0].as_py()
+        key, (total, n1, n2, n3) = _added([r for r in rows if not r["of_words"]], 4)
+        store.write(f"contexts-{b}", key=key, total=total.astype(np.uint64), n1=n1.astype(np.uint32), n2=n2.astype(np.uint32), n3=n3.astype(np.uint32))
+        key, (many, count) = _added([r for r in rows if r["of_words"]], 2)
+        store.write(f"words-{b}", key=key, contexts=many.astype(np.uint64), count=count.astype(np.uint64))
         names = [c.split()[0] for c in _WORDS.split(", ")]
         return pa.table({k: pa.array([v], pa.int64()) for k, v in zip(names, [*_frequencies(many), int(many.sum()), int(count.sum()), len(many)], strict=True)})
 
-    followed = stash(_count_pairs(docs, buckets).groupBy("bucket").applyInArrow(contexts, _FOLLOWED), "followed")
+    summed = stash(_count_pairs(docs, buckets).groupBy("bucket").applyInArrow(pairs_of, _SUMS), "sums")
     sums = lambda df: {c: df_c or 0 for c, df_c in df.agg(*(F.sum(c).alias(c) for c in df.columns)).first().asDict().items()}
-    pairs = sums(followed.select("f1", "f2", "f3", "f4"))
-    unigrams = sums(followed.groupBy("bucket").applyInArrow(words, _WORDS))
+    pairs = sums(summed.select("f1", "f2", "f3", "f4"))
+    unigrams = sums(summed.groupBy("bucket").applyInArrow(sums_of, _WORDS))
+    discard(summed)
     f = lambda x: [x[f"f{k}"] for k in (1, 2, 3, 4)]
     return {"url": url, "buckets": buckets, "D": discounts(f(pairs)), "E": discounts(f(unigrams)), "f": f(unigrams), **{k: unigrams[k] for k in ("total", "tokens", "types")}}
 
@@ -295,9 +309,12 @@ class Model:
         more = self.types - f[0] - f[1]
         h = (self.E[0] * f[0] + self.E[1] * f[1] + self.E[2] * more) / total if self.types else 1.0
         q = ((follows - self._discount(follows, self.E)) / total + h / (self.types + 1))[back]
+        key = pair_hash(context, word)
+        order = np.argsort(key, kind="stable")
+        c = np.empty(len(key))
+        c[order] = self.lookup("pairs", _bucket(key[order], self.buckets), key[order], ("count",))[0]
         order = np.argsort(context, kind="stable")
-        u, w = context[order], word[order]
-        (c,) = self.lookup("pairs", _bucket(u, self.buckets), pair_hash(u, w), ("count",))
+        u, c = context[order], c[order]
         at, n = _runs(u)
         u = u[at]
         seen, n1, n2, n3 = (np.repeat(x, n) for x in self.lookup("contexts", _bucket(u, self.buckets), u, ("total", "n1", "n2", "n3")))
@@ -335,4 +352,4 @@ def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Learns from the rows outside the held-out fold and scores all."""
     spark: SparkSession = docs.sparkSession
     learned = docs.filter(fold(id_col) != HELD_FOLD).select(F.col(text_col).cast("string").alias("text"))
-    return score(docs, train(learned, new_path(spark, "model"), max(64, shuffle_partitions(spark))), id_col, text_col)
+    return score(docs, train(learned, new_path(spark, "model"), max(64, buckets_for(learned, "text"))), id_col, text_col)
