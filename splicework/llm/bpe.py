@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches, stash
+from .common import buckets_for, small_batches, stash
 
 CHUNK_BYTES = 16 << 20
 #: Words up to this many bytes are merged by scanning, longer ones with a heap.
@@ -217,7 +217,7 @@ def _assembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish: C
         total = np.concatenate([[0], np.cumsum(n)])
         return finish(pa.array(head["ids"], pa.int64()), np.diff(total[np.concatenate([[0], np.cumsum(at)])]), flat)
 
-    words = _words(picked, pattern, chunk_bytes, shuffle_partitions(spark))
+    words = _words(picked, pattern, chunk_bytes, buckets_for(picked, "text"))
     encoded = words.groupBy("bucket").applyInArrow(encode, _GROUPED)
     return _chunks(picked, pattern, chunk_bytes).unionAll(encoded).groupBy("chunk").applyInArrow(assemble, schema)
 
