@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix, by bisection: one comparison for each bit of
-    the length."""
+    """Length of the longest common prefix: doubled while prefixes are equal, and then
+    bisected, so that texts which part early are hardly read."""
     n = F.least(F.length(a), F.length(b))
-    bits = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
-    longer = lambda have, bit: F.when((have + bit <= n) & (F.left(a, have + bit) == F.left(b, have + bit)), have + bit).otherwise(have)
-    return F.aggregate(bits, F.lit(0), longer).cast("bigint")
+    powers = [1 << k for k in range(31)]
+    same = lambda k: (k <= n) & (F.left(a, k) == F.left(b, k))
+    top = F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), lambda have, p: F.when((F.greatest(have * 2, F.lit(1)) == p) & same(p), p).otherwise(have))
+    start = F.struct(top.alias("have"), top.alias("top"))
+    step = lambda s, p: F.when((p < s["top"]) & same(s["have"] + p), F.struct((s["have"] + p).alias("have"), s["top"].alias("top"))).otherwise(s)
+    return F.aggregate(F.array(*map(F.lit, reversed(powers))), start, step)["have"].cast("bigint")
 
 
 def extend_tail(est_end: Column, gen_end: Column, est: Column, gen: Column) -> Column:
