@@ -3,10 +3,11 @@
 ``statistics`` counts words, symbols, repeated lines and repeated 3-word windows of
 every whole text. Texts that pass the base rule are then judged by the distance of
 their transformed statistics from the centre of their language and source, under a
-minimum-covariance-determinant estimate: starting from medians and median absolute
-deviations, concentration steps keep the h = 75 % nearest rows of each group and
-re-estimate mean and covariance from them, which lowers the determinant each time; a
-reweighting step follows. All steps are grouped aggregations over a narrow table.
+minimum-covariance-determinant estimate: from each of three deterministic starts,
+concentration steps keep the h = 75 % nearest rows of each group and re-estimate mean
+and covariance from them, which lowers the determinant each time; the start with the
+least determinant goes on until it settles, and a reweighting step follows. All steps
+are grouped aggregations over a narrow table.
 Estimates are made for (language, source), language and all rows, and each is shrunk
 to the next wider one by PRIOR_ROWS, so that small sources are judged too. A floor on
 the standard deviation of each statistic keeps covariances regular where most rows
@@ -21,7 +22,7 @@ id, text, language and source are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,12 @@ from .textops import SPACE_WORDS, Slice, counts_between, lut, pair_hash, slices,
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Share of rows in a concentration step.
-H = 0.75
-STEPS = 5
+#: Share of rows in a concentration step, and in the first one from each start.
+H, FIRST_H = 0.75, 0.5
+#: Steps of all starts, before the best of each group goes on alone.
+FIRST_STEPS = 3
+#: What a log determinant may still fall by in the last step, and a bound on the steps.
+SETTLED, MOST_STEPS = 1e-3, 30
 PRIOR_ROWS = 50
 #: A clean row is rejected about this often if statistics are normal.
 TAIL = 1e-6
@@ -153,54 +157,106 @@ def _distance() -> Column:
     return sum((d[i] * d[j] * F.col("precision")[i * P + j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)), F.lit(0.0))
 
 
-_ESTIMATE = "g string, n bigint, mean array<double>, cov array<double>, precision array<double>"
+_ESTIMATE = "g string, start int, n bigint, mean array<double>, cov array<double>, precision array<double>, logdet double"
 
 
-def _estimates(moments: DataFrame, factor: float) -> DataFrame:
-    """Mean, covariance and its inverse of each group, from sums: n, s (of x) and
-    q (of products, row by row)."""
+def _solved(g, start, n, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    """Estimates with the inverse and the log determinant of their floored covariances."""
+    floored = cov + np.diag(np.square(FLOORS))
+    flat = lambda x: list(x.reshape(-1, P * P))
+    return pd.DataFrame({"g": g, "start": start, "n": n, "mean": list(mean), "cov": flat(cov), "precision": flat(np.linalg.inv(floored)), "logdet": np.linalg.slogdet(floored)[1]})
+
+
+def _matrices(column: pd.Series, *shape: int) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(-1, *shape)
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """n, s (sums of x) and q (sums of products, row by row) of each group and start."""
+    s = F.array(*(F.sum(F.col("x")[i]) for i in range(P)))
+    q = [[F.sum(F.col("x")[min(i, j)] * F.col("x")[max(i, j)]) for j in range(P)] for i in range(P)]
+    return rows.groupBy("g", "start").agg(F.count("*").alias("n"), s.alias("s"), F.array(*(c for r in q for c in r)).alias("q"))
+
+
+def _estimates(rows: DataFrame, factor: float) -> DataFrame:
+    """Mean, covariance and its inverse of each group and start."""
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             n = f["n"].to_numpy(float)[:, None]
-            mean = np.array(f["s"].tolist(), float).reshape(-1, P) / n
-            second = np.array(f["q"].tolist(), float).reshape(-1, P, P) / n[:, :, None]
-            cov = (second - mean[:, :, None] * mean[:, None, :]) * factor
-            yield _solved(f["g"], f["n"], mean, cov)
+            mean = _matrices(f["s"], P) / n
+            cov = (_matrices(f["q"], P, P) / n[:, :, None] - mean[:, :, None] * mean[:, None, :]) * factor
+            yield _solved(f["g"], f["start"], f["n"], mean, cov)
 
-    return moments.mapInPandas(solve, _ESTIMATE)
+    return stash(_moments(rows).mapInPandas(solve, _ESTIMATE), "mcd-step")
 
 
-def _solved(g, n, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"g": g, "n": n, "mean": list(mean), "cov": list(cov.reshape(-1, P * P)), "precision": list(np.linalg.inv(cov + np.diag(np.square(FLOORS))).reshape(-1, P * P))})
+def _sender(long: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts tables with a row for each group (and start) while groups are few."""
+    return F.broadcast if long.select("g").distinct().count() <= FEW_GROUPS else lambda df: df
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    s = F.array(*(F.sum(F.col("x")[i]) for i in range(P)))
-    q = [[F.sum(F.col("x")[min(i, j)] * F.col("x")[max(i, j)]) for j in range(P)] for i in range(P)]
-    return rows.groupBy("g").agg(F.count("*").alias("n"), s.alias("s"), F.array(*(c for r in q for c in r)).alias("q"))
+def _starts(long: DataFrame, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Three first estimates of each group, at the medians: spreads alone (median absolute
+    deviations), and those with the shape of spatial signs or of hyperbolic tangents."""
+    x = lambda i: F.col("x")[i]
+    middle = long.groupBy("g").agg(F.array(*(F.percentile_approx(x(i), 0.5) for i in range(P))).alias("mean"))
+    scale = F.array(*(F.sqrt((F.percentile_approx(F.abs(x(i) - F.col("mean")[i]), 0.5) * 1.4826) ** 2 + FLOORS[i] ** 2) for i in range(P)))
+    spread = stash(long.join(send(middle), "g").groupBy("g").agg(scale.alias("scale"), F.first("mean").alias("mean")), "mcd-spread")
+    z = [(x(i) - F.col("mean")[i]) / F.col("scale")[i] for i in range(P)]
+    length = F.greatest(F.sqrt(sum((v * v for v in z), F.lit(0.0))), F.lit(1e-300))
+    shapes = F.array(*(F.struct(F.lit(k).alias("start"), F.array(*y).alias("x")) for k, y in ((1, [v / length for v in z]), (2, [F.tanh(v) for v in z]))))
+    moments = _moments(long.join(send(spread), "g").select("g", F.inline(shapes))).select("g", "start", "n", "q")
+    unit = F.array(*(F.lit(float(i == j)) for i in range(P) for j in range(P)))
+    every = moments.unionByName(spread.select("g", F.lit(0).alias("start"), F.lit(1).cast("bigint").alias("n"), unit.alias("q")))
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            scale, shape = _matrices(f["scale"], P), _matrices(f["q"], P, P)
+            trace = np.trace(shape, axis1=1, axis2=2)[:, None, None]
+            yield _solved(f["g"], f["start"], f["n"], _matrices(f["mean"], P), shape * P / np.maximum(trace, 1e-300) * scale[:, :, None] * scale[:, None, :])
+
+    first = stash(every.join(send(spread), "g").mapInPandas(solve, _ESTIMATE), "mcd-start")
+    discard(spread)
+    return first
+
+
+def concentrate(long: DataFrame) -> DataFrame:
+    """The estimate of least determinant of each group: rows (g, x) to _ESTIMATE. Each step
+    keeps the H nearest rows (the first one FIRST_H), so the determinant falls; after
+    FIRST_STEPS the best start of each group goes on until no group's log determinant falls
+    by more than SETTLED. That is a least one among near subsets; among all subsets it is
+    the least where outliers stand apart, but nothing proves it."""
+    send = _sender(long)
+
+    def step(now: DataFrame, share: float = H) -> DataFrame:
+        near = long.join(send(now.select("g", "start", "mean", "precision")), "g").select("g", "start", "x", _distance().alias("d"))
+        limit = near.groupBy("g", "start").agg(F.percentile_approx("d", share).alias("limit"))
+        return _estimates(near.join(send(limit), ["g", "start"]).filter("d <= limit"), _consistency(share))
+
+    now = _starts(long, send)
+    for k in range(FIRST_STEPS):
+        last, now = now, step(now, H if k else FIRST_H)
+        discard(last)
+    best = F.min_by(F.struct(*now.columns), F.struct("logdet", "start")).alias("best")
+    last, now = now, stash(now.groupBy("g").agg(best).select("best.*"), "mcd-best")
+    discard(last)
+    for _ in range(MOST_STEPS):
+        last, now = now, step(now)
+        fall = last.join(now.select("g", F.col("logdet").alias("least")), "g").agg(F.max(F.col("logdet") - F.col("least"))).first()[0]
+        discard(last)
+        if fall is None or fall <= SETTLED:
+            break
+    return now
 
 
 def fit(rows: DataFrame) -> DataFrame:
     """The estimate of every (language, source). ``rows`` has lang, source and x."""
     long = stash(rows.select("x", F.explode(F.array(*(_group(k) for k in range(3)))).alias("g")), "mcd-rows")
-    few = long.select("g").distinct().count() <= FEW_GROUPS
-    send = F.broadcast if few else lambda df: df
-    middle = long.groupBy("g").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5) for i in range(P))).alias("mean"))
-    off = F.array(*(F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5) for i in range(P)))
-    spread = long.join(send(middle), "g").groupBy("g").agg(off.alias("mad"), F.first("mean").alias("mean"))
-    precision = F.flatten(F.array(*(F.array(*(1 / ((F.col("mad")[i] * 1.4826) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0) for j in range(P))) for i in range(P))))
-    now = stash(spread.select("g", "mean", precision.alias("precision")), "mcd-start")
-    for k in range(STEPS + 1):
-        near = long.join(send(now.select("g", "mean", "precision")), "g").select("g", "x", _distance().alias("d"))
-        if k < STEPS:
-            limit = near.groupBy("g").agg(F.percentile_approx("d", H).alias("limit"))
-            near, factor = near.join(send(limit), "g").filter("d <= limit"), _consistency(H)
-        else:
-            near, factor = near.filter(F.col("d") <= chi2_quantile(1 - REWEIGHT_TAIL, P)), _consistency(1 - REWEIGHT_TAIL)
-        last, now = now, stash(_estimates(_moments(near), factor), "mcd-step")
-        discard(last)
-    discard(long)
+    raw = concentrate(long)
+    near = long.join(_sender(long)(raw.select("g", "start", "mean", "precision")), "g").filter(_distance() <= chi2_quantile(1 - REWEIGHT_TAIL, P))
+    now = _estimates(near.select("g", "start", "x"), _consistency(1 - REWEIGHT_TAIL))
+    discard(long, raw)
     level = lambda k: now.filter(F.col("g").startswith(f"{k}"))
     keys = rows.select("lang", "source", _group(0).alias("g"), _group(1).alias("g1"), _group(2).alias("g2")).distinct()
     wide = keys
@@ -219,7 +275,7 @@ def fit(rows: DataFrame) -> DataFrame:
                 share = np.ones_like(n) if mean is None else n / (n + PRIOR_ROWS)
                 mean = own * share + (0 if mean is None else mean * (1 - share))
                 cov = own_cov * share + (0 if cov is None else cov * (1 - share))
-            yield _solved(f["g"], f["n0"].fillna(0).astype("int64"), mean, cov.reshape(-1, P, P))
+            yield _solved(f["g"], 0, f["n0"].fillna(0).astype("int64"), mean, cov.reshape(-1, P, P))
 
     return wide.mapInPandas(shrink, _ESTIMATE)
 
