@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, lm, near_dup, quality, sharding, suffix_dedup, url_filter
+from . import alignment, bpe, chat, decontaminate, html_extract, lm, merkle, near_dup, quality, sharding, suffix_dedup, url_filter, warc
 from .common import table
 
 SHARDS = 8
@@ -73,6 +73,25 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    models = []
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        with open(public_tokenizers.path(name), "rb") as f:
+            models.append(f.read())
+    return alignment.digests(table(spark, sf_dir, "documents"), *models, public_tokenizers.PATTERN)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark, warc.archive(table(spark, sf_dir, "pages")))
+
+
 _URL_SQL = f"""
 WITH rules(h, p, v) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
 split AS (
@@ -137,6 +156,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_near_dup": op9_near_dup,
         "op10_url_rules": op10_url_rules,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_warc": op13_warc,
     }
 
 
