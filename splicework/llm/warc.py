@@ -22,8 +22,9 @@ splits where a digest is hot.
 
 Defined cases: a null payload is the empty one; a null url is a record without target; a
 null page id comes before all others, and its record id says ``null``; of rows that share
-page id and payload, one (the least url) is the response and the others revisit it; an
-empty table gives an empty archive; other columns are ignored.
+page id and payload, the last one is the response and the others revisit it; an empty table
+gives an empty archive; other columns are ignored. Pages are read twice, for the digests and
+for the records: where page ids repeat, they must come in the same order again, as from files.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -390,18 +391,15 @@ def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One record for each page: response, or revisit of the response with the same
     payload of at least ``least_bytes`` and the largest page id."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    own = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    own = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
     own = own.withColumn("payload_length", F.octet_length("payload").cast("bigint")).withColumn("digest", base32_sha1(F.col("payload")))
-    each = own.filter(F.col("payload_length") >= least_bytes).groupBy("digest", "payload_length", "page").agg(F.count("*").alias("n"))
-    shared = each.groupBy("digest", "payload_length").agg(F.sum("n").alias("copies"), F.max(F.struct("page", "n")).alias("last")).filter("copies > 1")
-    last = shared.select(F.col("digest").alias("d"), F.col("payload_length").alias("l"), F.col("last.page").alias("last"), F.col("last.n").alias("ties"))
+    each = own.filter(F.col("payload_length") >= least_bytes).groupBy("digest", "payload_length", "page").agg(F.count("*").alias("n"), F.max("row").alias("row"))
+    shared = each.groupBy("digest", "payload_length").agg(F.sum("n").alias("copies"), F.max(F.struct("page", "n", "row")).alias("last")).filter("copies > 1")
+    last = shared.select(F.col("digest").alias("d"), F.col("payload_length").alias("l"), F.col("last.page").alias("last"), F.col("last.n").alias("ties"), F.col("last.row").alias("last_row"))
     joined = own.join(last, (F.col("digest") == F.col("d")) & (F.col("payload_length") == F.col("l")), "left")
-    is_last = F.col("page").eqNullSafe(F.col("last"))
-    plain = joined.filter(F.col("ties").isNull() | (F.col("ties") == 1) | ~is_last).withColumn("again", F.col("ties").isNotNull() & ~is_last)
-    # rows that share page and payload: the rest of the rows never gets here
-    place = F.row_number().over(Window.partitionBy("digest", "payload_length").orderBy("url"))
-    tied = joined.filter((F.col("ties") > 1) & is_last).withColumn("again", place > 1)
-    return plain.unionByName(tied).select(
+    other = ~F.col("page").eqNullSafe(F.col("last")) | ((F.col("ties") > 1) & (F.col("row") != F.col("last_row")))
+    joined = joined.withColumn("again", F.col("ties").isNotNull() & other)
+    return joined.select(
         _named(F.col("page")).alias("record_id"),
         F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"),
         F.lit("1970-01-01T00:00:00Z").alias("date"),
