@@ -142,11 +142,12 @@ def gap_alignment(est: str, gen: str) -> tuple[int, int, int, int]:
     return score, i, j + 1, k if k > j else j
 
 
-def border_split(p: str, t: str, most: int, frequency) -> tuple[int, int, int, int]:
+def border_split(p: str, t: str, most: int | None, frequency) -> tuple[int, int, int, int]:
     """Cut p into a prefix and a suffix that align to the two ends of t (F17): edits,
     cut, bases of t used on the left and on the right. Least edits; of equal ones the
-    most frequent splice pattern of what lies between."""
-    reach = min(len(p) + most, len(t))
+    most frequent splice pattern of what lies between. ``most`` edits are looked for, as
+    many as p has bases where it is None."""
+    reach = min(len(p) + (len(p) if most is None else most), len(t))
     head, tail = each_row(*edit_rows(p, t[:reach]), len(p)), Rows(*edit_rows(p[::-1], t[::-1][:reach]), len(p))
     best = None
     for cut, a in enumerate(head):
@@ -232,11 +233,6 @@ def tail_mask(seq: str, window: int = 14, share: float = 0.72) -> tuple[str, int
     return mark[x] * a_ + seq[a_ : len(seq) - b_] + mark[y] * b_, a, b
 
 
-def agreement_error(left: str, new_left: str, right: str, new_right: str) -> int:
-    """Edits between the bases moved out of the exons and those moved in."""
-    return int(edit_table(left, new_left)[-1, -1] + edit_table(right, new_right)[-1, -1])
-
-
 #: Cells of the tables that a batch of rows holds at once; a pair of texts beyond it is
 #: aligned alone, row by row of its table.
 CELLS = 1 << 22
@@ -335,9 +331,9 @@ def gap_alignments(a: list[str], b: list[str]) -> list[tuple]:
     return [(int(best[q]), int(found[0, q]), int(found[1, q]) + 1, int(max(found[1, q], found[2, q]))) for q in range(k)]
 
 
-def border_splits(a: list[str], b: list[str], most: int, frequency: Callable[[str], int]) -> list[tuple]:
+def border_splits(a: list[str], b: list[str], most: int | None, frequency: Callable[[str], int]) -> list[tuple]:
     """``border_split`` of many pairs: only cuts with the least edits are looked at."""
-    reach = [min(len(p) + most, len(t)) for p, t in zip(a, b, strict=True)]
+    reach = [min(len(p) + (len(p) if most is None else most), len(t)) for p, t in zip(a, b, strict=True)]
     head, tail = Tables(a, [t[:n] for t, n in zip(b, reach, strict=True)]), Tables(_turned(a), [t[::-1][:n] for t, n in zip(b, reach, strict=True)])
     outside = np.arange(head.t.shape[2]) > head.m[:, None]
     inside = [np.where(outside[:, None, :], 1 << 14, x.t) for x in (head, tail)]
@@ -461,7 +457,7 @@ def spliced(est: Column, gen: Column) -> Column:
     return _pairs_udf(gap_alignments, gap_alignment, "score int, cut int, intron_start int, intron_end int", est, gen)
 
 
-def split_border(p: Column, t: Column, most: int) -> Column:
+def split_border(p: Column, t: Column, most: int | None) -> Column:
     """struct<edits, cut, left, right>."""
     known = _frequency()
     return _pairs_udf(lambda a, b: border_splits(a, b, most, known), lambda a, b: border_split(a, b, most, known), "edits int, cut int, left int, right int", p, t)
