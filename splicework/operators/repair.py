@@ -25,21 +25,55 @@ def first_by_id(rows: DataFrame, ident: str, *order: str) -> DataFrame:
     return rows.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def agreement_error(genome: str = "genome") -> Column:
-    """Edits between the bases that leave the exons and those that enter them when an
-    intron (i_start, i_end) moves to (t_start, t_end) (J12)."""
-    g = F.col(genome)
-    d, e = F.col("t_start") - F.col("i_start"), F.col("t_end") - F.col("i_end")
-    cut = lambda at, n: F.substring(g, at.cast("int"), F.greatest(n, F.lit(0)).cast("int"))
-    enter = F.concat(cut(F.col("i_start"), d), cut(F.col("t_end") + 1, -e))
-    leave = F.concat(cut(F.col("t_start"), -d), cut(F.col("i_end") + 1, e))
-    return F.levenshtein(leave, enter)
-
-
-def within_limits(moves: DataFrame, genome: str = "genome") -> DataFrame:
-    """Moves whose error their type allows (J12): ``agree_type`` 1 none, 2 a few."""
+def _taken(est: Column, gen: Column, n: Column, from_end: bool) -> Column:
+    """The transcript's bases that stand against the last (first) ``n`` genome bases of an
+    aligned exon part."""
+
+    def bases(found: tuple, e: str, g: str, n: int) -> tuple:
+        step = -1 if from_end else 1
+        columns, out = list(zip(*found[:2], strict=True))[::step], []
+        for x, y in columns:
+            if n <= 0:
+                break
+            out.append(x.replace("-", ""))
+            n -= y != "-"
+        return ("".join(out[::step]),)
+
+    return align._pairs_udf(align.global_alignments, align.global_alignment, "bases string", est, gen, n, finish=bases)["bases"]
+
+
+def agreement_error(est: Column, genome: Column, donor: Column, acceptor: Column, t_start: Column, t_end: Column) -> Column:
+    """Edits that a read's intron costs when it moves to (t_start, t_end) (J12): between the
+    read's own bases that leave the exons, and the genome's that enter them. Which bases
+    leave is told by aligning the exon's end, three times as long as the move and a base
+    more. ``donor`` and ``acceptor`` are the exons (est_start, est_end, gen_start, gen_end)."""
+    piece = lambda text, start, end: F.substring(text, start.cast("int"), F.greatest(end - start + 1, F.lit(0)).cast("int"))
+    back, on = F.greatest(donor["gen_end"] + 1 - t_start, F.lit(0)), F.greatest(t_end - acceptor["gen_start"] + 1, F.lit(0))
+    left = _taken(
+        F.when(back > 0, piece(est, F.greatest(donor["est_end"] - 3 * back, donor["est_start"]), donor["est_end"])).otherwise(""),
+        F.when(back > 0, piece(genome, F.greatest(donor["gen_end"] - 3 * back, donor["gen_start"]), donor["gen_end"])).otherwise(""),
+        back.cast("int"), True,
+    )
+    right = _taken(
+        F.when(on > 0, piece(est, acceptor["est_start"], F.least(acceptor["est_start"] + 3 * on, acceptor["est_end"]))).otherwise(""),
+        F.when(on > 0, piece(genome, acceptor["gen_start"], F.least(acceptor["gen_start"] + 3 * on, acceptor["gen_end"]))).otherwise(""),
+        on.cast("int"), False,
+    )
+    enter = F.concat(piece(genome, donor["gen_end"] + 1, t_start - 1), piece(genome, t_end + 1, acceptor["gen_start"] - 1))
+    return F.levenshtein(F.concat(left, right), enter)
+
+
+def with_error(moves: DataFrame, est: str = "est", genome: str = "genome") -> DataFrame:
+    """Moves (the texts, donor, acceptor, t_start, t_end, agree_type) with their ``error``
+    (J12) and whether their type allows it: ``agree_type`` 1 none, 2 a few. Nulls give null."""
     limit = F.when(F.col("agree_type") == 1, CANONICAL_LIMIT).otherwise(OTHER_LIMIT)
-    return moves.withColumn("error", agreement_error(genome)).filter(F.col("error") <= limit)
+    found = F.when(F.col("t_start").isNotNull() & F.col("t_end").isNotNull(), agreement_error(F.col(est), F.col(genome), F.col("donor"), F.col("acceptor"), F.coalesce("t_start", F.lit(0)), F.coalesce("t_end", F.lit(0))))
+    return moves.withColumn("error", found).withColumn("allowed", F.col("error") <= limit)
+
+
+def within_limits(moves: DataFrame, est: str = "est", genome: str = "genome") -> DataFrame:
+    """Moves whose error their type allows."""
+    return with_error(moves, est, genome).filter("allowed").drop("allowed")
 
 
 def realigned(est: Column, cut: Column, genome: Column, t_start: Column, t_end: Column) -> Column:

@@ -28,28 +28,46 @@ def j03_id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("src"), F.col("page_id") % 50).alias("source")).join(first, "source").select("page_id", "doc_id")
 
 
-def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An intron in each sequence, and where an agreement would move it."""
-    k = F.col("doc_id")
-    rows = sequences(spark, sf_dir).filter(F.length("seq") >= 200).select("doc_id", F.col("seq").alias("genome"), F.lit(41).alias("i_start"), (120 + k % 40).cast("int").alias("i_end"), (1 + k % 2).cast("int").alias("agree_type"))
-    return rows.withColumn("t_start", (F.col("i_start") + k % 7 - 3).cast("int")).withColumn("t_end", (F.col("i_end") + k % 5 - 2).cast("int"))
-
+#: What a substituted base becomes.
+_OTHER = ("ACGT", "CGTA")
 
-_MOVES_SQL = f"""{SEQ}, m0 AS (SELECT doc_id, seq AS g, 41 AS i_start, CAST(120 + doc_id % 40 AS INTEGER) AS i_end, CAST(1 + doc_id % 2 AS INTEGER) AS agree_type FROM seq WHERE length(seq) >= 200),
-  m AS (SELECT *, CAST(i_start + doc_id % 7 - 3 AS INTEGER) AS t_start, CAST(i_end + doc_id % 5 - 2 AS INTEGER) AS t_end FROM m0),
-  e AS (SELECT *, CAST(levenshtein(substr(g, t_start, greatest(i_start - t_start, 0)) || substr(g, i_end + 1, greatest(t_end - i_end, 0)), substr(g, i_start, greatest(t_start - i_start, 0)) || substr(g, t_end + 1, greatest(i_end - t_end, 0))) AS INTEGER) AS error FROM m)"""
 
-
-@query(f"WITH {_MOVES_SQL} SELECT doc_id, i_start, i_end, t_start, t_end, agree_type, error FROM e WHERE error <= CASE WHEN agree_type = 1 THEN 0 ELSE 4 END")
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In each sequence an intron from three to six tenths of its length, a read of its
+    exons with a base substituted near each border, and where an agreement would move the
+    intron; nulls where the sequence is too short for that."""
+    k, n = F.col("doc_id"), F.length("seq")
+    rows = sequences(spark, sf_dir).withColumn("n", F.when(n >= 60, n)).withColumn("s", F.floor(F.col("n") * 3 / 10).cast("int") + 1).withColumn("e", F.floor(F.col("n") * 6 / 10).cast("int"))
+    other = lambda at: F.translate(F.substring("seq", at, F.lit(1)), *_OTHER)
+    est = F.concat(F.expr("left(seq, s - 3)"), other(F.col("s") - 2), F.expr("substring(seq, s - 1, 1)"), F.expr("substring(seq, e + 1, 1)"), other(F.col("e") + 2), F.expr("substring(seq, e + 3)"))
+    exon = lambda a, b, c, d: F.struct(*(x.cast("bigint").alias(y) for x, y in ((a, "est_start"), (b, "est_end"), (c, "gen_start"), (d, "gen_end"))))
+    one, s, e = F.lit(1), F.col("s"), F.col("e")
+    return rows.select(
+        "doc_id", F.col("seq").alias("genome"), F.coalesce(est, F.lit("")).alias("est"), (1 + k % 2).cast("int").alias("agree_type"), "s", "e",
+        (s + (k % 7).cast("int") - 3).alias("t_start"), (e + (k % 5).cast("int") - 2).alias("t_end"),
+        exon(one, s - 1, one, s - 1).alias("donor"), exon(s, s + F.col("n") - e - 1, e + 1, F.col("n")).alias("acceptor"),
+    )
+
+
+# With one substituted base at each border, exon ends of equal lengths align base by base
+_MOVES_SQL = f"""{SEQ}, n AS (SELECT doc_id, seq AS g, CASE WHEN length(seq) >= 60 THEN length(seq) END AS n, CAST(1 + doc_id % 2 AS INTEGER) AS agree_type FROM seq),
+  b AS (SELECT *, n * 3 // 10 + 1 AS s, n * 6 // 10 AS e FROM n),
+  m AS (SELECT *, CAST(s + doc_id % 7 - 3 AS INTEGER) AS t_start, CAST(e + doc_id % 5 - 2 AS INTEGER) AS t_end,
+    left(g, s - 3) || translate(substr(g, s - 2, 1), '{_OTHER[0]}', '{_OTHER[1]}') || substr(g, s - 1, 1) AS head, substr(g, e + 1, 1) || translate(substr(g, e + 2, 1), '{_OTHER[0]}', '{_OTHER[1]}') || substr(g, e + 3) AS tail FROM b),
+  e AS (SELECT *, CAST(levenshtein(right(head, greatest(s - t_start, 0)) || left(tail, greatest(t_end - e, 0)), substr(g, s, greatest(t_start - s, 0)) || substr(g, t_end + 1, greatest(e - t_end, 0))) AS INTEGER) AS error FROM m)"""
+
+
+@query(f"WITH {_MOVES_SQL} SELECT doc_id, agree_type, coalesce(t_start, -1) AS t_start, coalesce(t_end, -1) AS t_end, coalesce(error, -1) AS error, coalesce(error <= CASE WHEN agree_type = 1 THEN 0 ELSE 4 END, false) AS allowed FROM e")
 def j12_agreement_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.within_limits(_moves(spark, sf_dir)).select("doc_id", "i_start", "i_end", "t_start", "t_end", "agree_type", "error")
+    found = repair.with_error(_moves(spark, sf_dir))
+    return found.select("doc_id", "agree_type", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("t_start", "t_end", "error")), F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
 
 @query()
 def j13_realigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est = F.concat(F.expr("left(genome, i_start - 1)"), F.expr("substring(genome, i_end + 1)"))
-    new = repair.realigned(est, F.col("i_start") - 1, F.col("genome"), F.col("t_start"), F.col("t_end"))
-    return _moves(spark, sf_dir).select("doc_id", new.alias("s")).select("doc_id", "s.*")
+    rows = _moves(spark, sf_dir)
+    new = repair.realigned(F.col("est"), F.coalesce(F.col("s") - 1, F.lit(0)), F.col("genome"), F.coalesce("t_start", F.lit(1)), F.coalesce("t_end", F.lit(0)))
+    return rows.select("doc_id", F.when(F.col("s").isNotNull(), new).alias("x")).select("doc_id", *(F.coalesce(f"x.{c}", F.lit(-1)).alias(c) for c in ("score", "cut", "intron_start", "intron_end")))
 
 
 _ANNOTATION_SQL = "annotation AS (SELECT o_orderkey % 9000 AS refseq, CAST(o_custkey % 50 AS INTEGER) AS rel_start, CAST(o_custkey % 50 + 29 AS INTEGER) AS rel_end FROM orders)"
@@ -66,27 +84,28 @@ def j17_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.annotated(tids, annotation).select("tid", "refseq", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("rel_start", "rel_end")))
 
 
-def _dust_sql(c: str) -> str:
-    return f"coalesce((SELECT 10.0 * sum(n * (n - 1) // 2) / (length({c}) - 2) / length({c}) FROM (SELECT count(*) AS n FROM (SELECT unnest(list_transform(range(1, length({c})), lambda i: substr({c}, i, 2))) AS pair) GROUP BY pair)), 0) > 20"
+_DUST_SQL = "CASE WHEN length(x) > 2 THEN 10.0 * coalesce(equal, 0) / (length(x) - 2) / length(x) ELSE 0.0 END"
 
 
 @query(
-    f"""WITH {_NEXT}, ends AS (SELECT doc_id, repeat(left(a, 1), CAST(doc_id % 400 AS INTEGER)) || left(a, 40) AS a, right(b, 40) AS b FROM n)
-    SELECT doc_id, CASE WHEN length(a) > 2 AND length(b) > 2 THEN {_dust_sql("a")} OR {_dust_sql("b")} ELSE CASE WHEN length(a) > 2 THEN {_dust_sql("a")} ELSE CASE WHEN length(b) > 2 THEN {_dust_sql("b")} ELSE false END END END AS low FROM ends"""
+    f"""WITH {_NEXT}, ends AS (SELECT doc_id, 'a' AS side, repeat(left(a, 1), CAST(doc_id % 400 AS INTEGER)) || a AS x FROM n UNION ALL SELECT doc_id, 'b', b FROM n),
+    pairs AS (SELECT doc_id, side, pair, count(*) AS k FROM (SELECT doc_id, side, unnest(list_transform(range(1, length(x)), lambda i: substr(x, i, 2))) AS pair FROM ends) GROUP BY ALL),
+    sums AS (SELECT doc_id, side, sum(k * (k - 1) // 2) AS equal FROM pairs GROUP BY ALL)
+    SELECT doc_id, bool_or({_DUST_SQL} > 20) AS low FROM ends LEFT JOIN sums USING (doc_id, side) GROUP BY doc_id"""
 )
 def p07_low_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = F.concat(F.repeat(F.expr("left(a, 1)"), (F.col("doc_id") % 400).cast("int")), F.expr("left(a, 40)"))
-    return _neighbours(spark, sf_dir).select("doc_id", repair.low_complexity(run, F.expr("right(b, 40)")).alias("low"))
+    run = F.concat(F.repeat(F.expr("left(a, 1)"), (F.col("doc_id") % 400).cast("int")), F.col("a"))
+    return _neighbours(spark, sf_dir).select("doc_id", repair.low_complexity(run, F.col("b")).alias("low"))
 
 
 @query(
-    f"""WITH {SEQ}, c AS (SELECT doc_id, seq, substr(lower(seq), CAST(1 + doc_id % 90 AS INTEGER), CAST(30 + doc_id % 50 AS INTEGER)) AS cds FROM seq),
+    f"""WITH {SEQ}, c AS (SELECT doc_id, seq, substr(lower(seq), CAST(1 + length(seq) * (doc_id % 90) // 100 AS INTEGER), CAST(30 + doc_id % 50 AS INTEGER)) AS cds FROM seq),
     placed AS (SELECT *, strpos(seq, upper(cds)) AS k, length(cds) > 0 AND length(cds) % 3 = 0 AS fine FROM c)
     SELECT doc_id, CAST(CASE WHEN fine AND k > 0 THEN k ELSE 0 END AS INTEGER) AS orf_start, CAST(CASE WHEN fine AND k > 0 THEN k + length(cds) - 1 ELSE 0 END AS INTEGER) AS orf_end, CAST(CASE WHEN fine AND k > 0 THEN least(100, length(cds)) ELSE 100 END AS INTEGER) AS least FROM placed"""
 )
 def t06_annotated_cds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    cds: Column = F.substring(F.lower("seq"), (1 + k % 90).cast("int"), (30 + k % 50).cast("int"))
+    cds: Column = F.substring(F.lower("seq"), (1 + F.floor(F.length("seq") * (k % 90) / 100)).cast("int"), (30 + k % 50).cast("int"))
     return sequences(spark, sf_dir).select("doc_id", repair.annotated_cds(F.col("seq"), cds).alias("c")).select("doc_id", *(F.coalesce(f"c.{x}", F.lit(0)).alias(x) for x in ("orf_start", "orf_end")), "c.least")
 
 

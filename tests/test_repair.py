@@ -8,32 +8,60 @@ from splicework.operators import repair
 from splicework.sources import structures
 
 
+EXON = "struct<est_start: bigint, est_end: bigint, gen_start: bigint, gen_end: bigint>"
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for x in a:
+        last, row[0] = row[0], row[0] + 1
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_agreement_error_by_edits(spark):
+    """Reads equal to the genome: the bases that leave are the genome's own."""
     rng = random.Random(5)
-    rows = []
+    rows, want = [], {}
     for i in range(60):
         g = "".join(rng.choices("ACGT", k=120))
-        rows.append((i, g, 30, 80, 30 + rng.randint(-5, 5), 80 + rng.randint(-5, 5), 1 + i % 2))
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for x in a:
-            last, row[0] = row[0], row[0] + 1
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    want = {}
-    for i, g, s, e, t, u, kind in rows:
+        s, e, t, u, kind = 30, 80, 30 + rng.randint(-5, 5), 80 + rng.randint(-5, 5), 1 + i % 2
+        rows.append((i, g[: s - 1] + g[e:], g, (1, s - 1, 1, s - 1), (s, s + 39, e + 1, 120), t, u, kind))
         old, new = set(range(1, s)) | set(range(e + 1, 121)), set(range(1, t)) | set(range(u + 1, 121))
         text = lambda part: "".join(g[k - 1] for k in sorted(part))  # noqa: B023, E731
         n = edits(text(old - new), text(new - old))
         if n <= (0 if kind == 1 else 4):
             want[i] = n
-    df = spark.createDataFrame(rows, "id int, genome string, i_start int, i_end int, t_start int, t_end int, agree_type int")
+    df = spark.createDataFrame(rows, f"id int, est string, genome string, donor {EXON}, acceptor {EXON}, t_start int, t_end int, agree_type int")
     assert {r["id"]: r["error"] for r in repair.within_limits(df).collect()} == want and want
 
 
+def test_agreement_error_of_the_read(spark):
+    """A read's own bases leave the exons, with its mismatches, insertions and deletions."""
+    genome = "ACGTTGCATGCAAGCTTACG" + "GTAAGTCCCC" * 4 + "CCATTTGCAG" + "TTGACCGATAGGCATCATTA"
+    left, right = genome[:20], genome[70:]
+    donor, acceptor = (1, 20, 1, 20), (21, 40, 71, 90)
+    cases = {
+        "equal": (left + right, 18, 70, edits("ACG", "")),
+        "mismatch": (left[:18] + "T" + left[19:] + right, 18, 67, edits("ATG", "CAG")),
+        "same": (left + right, 18, 70 - 3, edits("ACG", "CAG")),
+        # the read lacks the last base but one: two of its bases stand against three
+        "deletion": (left[:18] + left[19:] + right, 18, 67, edits("AG", "CAG")),
+        "insertion": (left[:19] + "T" + left[19:] + right, 18, 67, edits("ACTG", "CAG")),
+        "right": (left + "TA" + right[2:], 23, 72, edits("TA", "GT")),
+        "unmoved": (left + right, 21, 70, 0),
+    }
+    rows = []
+    for k, (est, t, u, _) in cases.items():
+        shift = len(est) - 40
+        rows.append((k, est, genome, (1, 20 + shift, 1, 20), (21 + shift, 40 + shift, 71, 90), t, u, 2))
+    assert donor and acceptor
+    df = spark.createDataFrame([*rows, ("null", "", genome, None, None, None, None, 1)], f"id string, est string, genome string, donor {EXON}, acceptor {EXON}, t_start int, t_end int, agree_type int")
+    got = {r["id"]: r["error"] for r in repair.with_error(df).collect()}
+    assert got == {k: x[3] for k, x in cases.items()} | {"null": None}
+
+
 def test_realigned_junction(spark):
     rng = random.Random(6)
     left, intron, right = ("".join(rng.choices("ACGT", k=k)) for k in (40, 70, 40))
