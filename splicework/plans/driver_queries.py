@@ -7,9 +7,9 @@ from itertools import chain as together
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_chain, queries_gene, queries_repair, queries_sequence
+from . import queries_chain, queries_gene, queries_paths, queries_repair, queries_sequence
 
-MODULES = (queries_sequence, queries_chain, queries_gene, queries_repair)
+MODULES = (queries_sequence, queries_chain, queries_gene, queries_repair, queries_paths)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
