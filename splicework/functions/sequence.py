@@ -42,29 +42,41 @@ def substring0(seq, start, length) -> Column:
     return F.substring(_col(seq), F.greatest(start, F.lit(0)) + 1, F.greatest(length + F.least(start, F.lit(0)), F.lit(0)))
 
 
+_BASE_CODE = np.full(256, 4, np.uint8)
+for _k, _base in enumerate("ACGT"):
+    _BASE_CODE[[ord(_base), ord(_base.lower())]] = _k
+
+
+def _dust(text: str) -> float:
+    if len(text) <= 2:
+        return 0.0
+    c = _BASE_CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)].astype(np.int64)
+    pair = np.where((c[:-1] < 4) & (c[1:] < 4), 4 * c[:-1] + c[1:], 16)
+    n = np.bincount(pair, minlength=17)
+    return 10.0 * int((n * (n - 1) // 2).sum()) / (len(text) - 2) / len(text)
+
+
 def dust_score(seq) -> Column:
     """Low complexity (F06): ten times the pairs of equal dinucleotides, by length;
     pairs with other letters share one class. 0 up to length 2."""
-    code = np.full(256, 4, np.uint8)
-    for k, base in enumerate("ACGT"):
-        code[[ord(base), ord(base.lower())]] = k
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        out = np.full(len(texts), np.nan)
-        for i, t in enumerate(texts):
-            if t is None or len(t) <= 2:
-                out[i] = np.nan if t is None else 0.0
-                continue
-            c = code[np.frombuffer(t.encode("ascii", "replace"), np.uint8)].astype(np.int64)
-            pair = np.where((c[:-1] < 4) & (c[1:] < 4), 4 * c[:-1] + c[1:], 16)
-            n = np.bincount(pair, minlength=17)
-            out[i] = 10.0 * int((n * (n - 1) // 2).sum()) / (len(t) - 2) / len(t)
-        return pd.Series(out)
+        return pd.Series([np.nan if t is None else _dust(t) for t in texts], dtype=float)
 
     return F.nullif(score(_col(seq)), F.lit(float("nan")))
 
 
+def dust_scores(seqs) -> Column:
+    """``dust_score`` of each text of an array."""
+
+    @F.pandas_udf("array<double>")
+    def score(arrays: pd.Series) -> pd.Series:
+        return pd.Series([[_dust(t or "") for t in texts] for texts in arrays])
+
+    return score(_col(seqs))
+
+
 def pattern_frequency(donor, acceptor) -> Column:
     """Observed frequency of a splice pattern, any case; 0 if unknown."""
     table = F.create_map(*(F.lit(x) for kv in FREQUENCIES.items() for x in kv))

@@ -10,7 +10,7 @@ where they start to.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import pattern_frequency
+from ..session import computed_once
 from . import align
 
 #: Edits that filled gaps may cost in all, and bases up to which exons are one.
@@ -188,14 +189,20 @@ def end_kept(est: str, gen: str, run: int = 11) -> tuple[int, int]:
     return a, b
 
 
-def cut_start(est: Column, gen: Column) -> Column:
-    """struct<est, gen>: ``start_cut`` of a first exon; null: the exon goes."""
-    return align._pairs_udf(align.global_alignments, align.global_alignment, "est int, gen int", est, gen, finish=lambda found, *_: start_cut(*found[:2]) or (None, None))
+def cut_start(est: Column, gen: Column, run: int = 6) -> Column:
+    """struct<est, gen>: ``start_cut`` of a first exon; null: the exon goes. Equal starts are
+    aligned to each other, and the rest isn't looked at."""
+    equal = (F.length(est) > run) & (F.length(gen) > run) & (F.left(est, F.lit(run)) == F.left(gen, F.lit(run)))
+    found = align._pairs_udf(align.global_alignments, align.global_alignment, "est int, gen int", F.when(equal, "").otherwise(est), F.when(equal, "").otherwise(gen), finish=lambda found, *_: start_cut(*found[:2], run) or (None, None))
+    return F.when(equal, F.struct(F.lit(0).alias("est"), F.lit(0).alias("gen"))).otherwise(found)
 
 
-def keep_end(est: Column, gen: Column) -> Column:
-    """struct<est, gen>: ``end_kept`` of a last exon; without a base on the genome it goes."""
-    return align._pairs_udf(align.global_alignments, align.global_alignment, "est int, gen int", est, gen, finish=lambda found, *_: end_kept(*found[:2]))
+def keep_end(est: Column, gen: Column, run: int = 11) -> Column:
+    """struct<est, gen>: ``end_kept`` of a last exon; without a base on the genome it goes.
+    Equal ends are aligned to each other, and the rest isn't looked at."""
+    equal = (F.length(est) >= run) & (F.length(gen) >= run) & (F.right(est, F.lit(run)) == F.right(gen, F.lit(run)))
+    found = align._pairs_udf(align.global_alignments, align.global_alignment, "est int, gen int", F.when(equal, "").otherwise(est), F.when(equal, "").otherwise(gen), finish=lambda found, *_: end_kept(*found[:2], run))
+    return F.when(equal, F.struct(F.length(est).alias("est"), F.length(gen).alias("gen"))).otherwise(found)
 
 
 def _piece(text: str, start: Column, end: Column) -> Column:
@@ -206,17 +213,23 @@ def trimmed(alignments: DataFrame, est: str = "est", gen: str = "genome") -> Dat
     """Alignments (``exons``, an array of _EXON, with the texts) whose first and last exon
     are trimmed to matches (P05): first the first exon, then the last of what is left. An
     exon without its run goes; alignments without exons go."""
-    head, tail = F.element_at("exons", 1), F.element_at("exons", -1)
-    size = F.size("exons")
-    kept = lambda e, **new: F.struct(*(new.get(c, e[c]).cast("bigint").alias(c) for c in ("est_start", "est_end", "gen_start", "gen_end")))
-    rows = alignments.filter(size > 0).withColumn("_c", cut_start(_piece(est, head["est_start"], head["est_end"]), _piece(gen, head["gen_start"], head["gen_end"])))
+    size, e = F.size("exons"), F.col("_e")
+    kept = lambda **new: F.struct(*(new.get(c, e[c]).cast("bigint").alias(c) for c in ("est_start", "est_end", "gen_start", "gen_end")))
+
+    def outer(rows: DataFrame, at: int, compare: Callable) -> DataFrame:
+        rows = computed_once(rows.filter(size > 0).withColumn("_e", F.element_at("exons", at)), "_e")
+        rows = computed_once(rows.withColumn("_x", _piece(est, e["est_start"], e["est_end"])).withColumn("_y", _piece(gen, e["gen_start"], e["gen_end"])), "_x", "_y")
+        return computed_once(rows.withColumn("_c", compare(F.col("_x"), F.col("_y"))), "_c")
+
+    rows = outer(computed_once(alignments, "exons"), 1, cut_start)
     rest = F.slice("exons", F.lit(2), size - 1)
-    new = kept(head, est_start=head["est_start"] + F.col("_c.est"), gen_start=head["gen_start"] + F.col("_c.gen"))
-    rows = rows.withColumn("exons", F.when(F.col("_c.est").isNull(), rest).otherwise(F.concat(F.array(new), rest))).filter(size > 0)
-    rows = rows.withColumn("_c", keep_end(_piece(est, tail["est_start"], tail["est_end"]), _piece(gen, tail["gen_start"], tail["gen_end"])))
+    new = kept(est_start=e["est_start"] + F.col("_c.est"), gen_start=e["gen_start"] + F.col("_c.gen"))
+    rows = computed_once(rows.withColumn("exons", F.when(F.col("_c.est").isNull(), rest).otherwise(F.concat(F.array(new), rest))), "exons")
+    rows = outer(rows, -1, keep_end)
     front = F.slice("exons", F.lit(1), size - 1)
-    new = kept(tail, est_end=tail["est_start"] + F.col("_c.est") - 1, gen_end=tail["gen_start"] + F.col("_c.gen") - 1)
-    return rows.withColumn("exons", F.when(F.col("_c.gen") <= 0, front).otherwise(F.concat(front, F.array(new)))).filter(size > 0).drop("_c")
+    new = kept(est_end=e["est_start"] + F.col("_c.est") - 1, gen_end=e["gen_start"] + F.col("_c.gen") - 1)
+    rows = rows.withColumn("exons", F.when(F.col("_c.gen") <= 0, front).otherwise(F.concat(front, F.array(new))))
+    return computed_once(rows, "exons").filter(size > 0).drop("_c", "_e", "_x", "_y")
 
 
 def _ends(text: str, start: Column, end: Column, reach: Column) -> Column:

@@ -9,6 +9,70 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import allowed_errors, dust_scores
+from ..session import computed_once
+from . import align
+
+
+def _cut_exon(text: str, e: Column, side: str) -> Column:
+    start, end = e[f"{side}_start"], e[f"{side}_end"]
+    return F.substring(text, start.cast("int"), F.greatest(end - start + 1, F.lit(0)).cast("int"))
+
+
+def _best_runs(lengths: pd.Series, bad: pd.Series) -> pd.DataFrame:
+    out = []
+    for size, flags in zip(lengths, bad, strict=True):
+        best, start, total = (0, 1, 0), 0, 0  # bases, first (1-based), exons
+        for i, (n, wall) in enumerate([*zip(size, flags, strict=True), (0, True)]):
+            if wall:
+                best = max(best, (total, start + 1, i - start), key=lambda x: x[0])
+                start, total = i + 1, 0
+            else:
+                total += n
+        out.append(best[1:])
+    return pd.DataFrame(out, columns=["first", "n"])
+
+
+def best_run(alignments: DataFrame, bad: Column) -> DataFrame:
+    """Of each alignment's runs of exons between bad ones (``bad``: a flag for each) the one
+    with the most genome bases, the first of equals (W09); none is left of no run."""
+    lengths = F.transform("exons", lambda e: F.greatest(e["gen_end"] - e["gen_start"] + 1, F.lit(0)))
+    rows = alignments.withColumn("_run", F.pandas_udf(_best_runs, "first int, n int")(lengths, bad))
+    return computed_once(rows.withColumn("exons", F.slice("exons", F.col("_run.first"), F.col("_run.n"))).drop("_run"), "exons").filter(F.size("exons") > 0)
+
+
+def without_noisy(alignments: DataFrame, est: str = "est", gen: str = "genome") -> DataFrame:
+    """The best run between exons with more edits than their length allows."""
+    most = lambda e: allowed_errors(e["gen_end"] - e["gen_start"] + 1)
+    # banded: beyond the limit it gives -1
+    edits = lambda e: F.call_function("levenshtein", _cut_exon(gen, e, "gen"), _cut_exon(est, e, "est"), most(e))
+    return best_run(alignments, F.transform("exons", lambda e: (e["gen_start"] > e["gen_end"]) | (edits(e) < 0)))
+
+
+def without_low_complexity(alignments: DataFrame, est: str = "est", gen: str = "genome", most: float = 20) -> DataFrame:
+    """The best run between exons whose transcript or genome is of low complexity."""
+    cut = lambda text, side: dust_scores(F.transform("exons", lambda e: _cut_exon(text, e, side)))
+    rows = alignments.withColumn("_a", cut(est, "est")).withColumn("_b", cut(gen, "gen"))
+    return best_run(rows, F.zip_with("_a", "_b", lambda a, b: (a > most) | (b > most))).drop("_a", "_b")
+
+
+def without_bad_ends(alignments: DataFrame, est: str = "est", gen: str = "genome") -> DataFrame:
+    """Outer exons of under 10 bases go, and those of under 20 that have edits or no GT-AG
+    or GC-AG beside them (P06): first the first one, then the last of what is left."""
+    size = F.size("exons")
+    for first in (True, False):
+        sides = F.element_at("exons", 1 if first else -1), F.try_element_at("exons", F.lit(2 if first else -2))
+        rows = computed_once(alignments.filter(size > 0).withColumns({"_e": sides[0], "_o": sides[1]}), "_e", "_o")
+        e, other = F.col("_e"), F.col("_o")
+        a, b = (e, other) if first else (other, e)
+        pattern = F.upper(F.concat(F.substring(gen, (a["gen_end"] + 1).cast("int"), F.lit(2)), F.substring(gen, (b["gen_start"] - 2).cast("int"), F.lit(2))))
+        same = _cut_exon(gen, e, "gen") == _cut_exon(est, e, "est")
+        fails = align.external_exon_fails(e["gen_end"] - e["gen_start"] + 1, F.when(same, 0).otherwise(1), F.coalesce(pattern, F.lit("")))
+        rest = F.slice("exons", F.lit(2 if first else 1), F.greatest(size - 1, F.lit(0)))
+        rows = rows.withColumn("exons", F.when(fails, rest).otherwise(F.col("exons")))
+        alignments = computed_once(rows, "exons").drop("_e", "_o")
+    return alignments.filter(size > 0)
+
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix: doubled while prefixes are equal, and then

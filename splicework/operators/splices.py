@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..session import computed_once
 from . import align
 
 #: Bases of exon and intron around a junction, columns that a comparison is extended by, sites
@@ -195,7 +196,7 @@ def refine(alignments: DataFrame, est: str = "est", gen: str = "genome", min_int
         sizes = F.array(a["gen_end"] - gen_from + 1, gen_to - b["gen_start"] + 1, b["gen_start"] - a["gen_end"] - 1, est_from - a["est_start"], b["est_end"] - est_to, a["gen_end"] - a["gen_start"] + 1, b["gen_end"] - b["gen_start"] + 1)
         return F.struct(piece(est, est_from, est_to).alias("est"), piece(gen, gen_from, left_to).alias("left"), piece(gen, right_from, gen_to).alias("right"), sizes.cast("array<bigint>").alias("sizes"), est_from.alias("est_from"))
 
-    keyed = alignments.withColumn("_key", F.monotonically_increasing_id())
+    keyed = computed_once(alignments, "exons").withColumn("_key", F.monotonically_increasing_id())
     each = keyed.filter(n > 1).select("_key", est, gen, "exons", F.explode(F.sequence(F.lit(1), n - 1)).alias("i")).select("_key", "i", texts(F.col("i")).alias("x"))
     moved = each.select("_key", "i", "x.est_from", refined(F.col("x.est"), F.col("x.left"), F.col("x.right"), F.col("x.sizes"), min_intron).alias("m"))
     moves = moved.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("i", "est_from", "m.donor", "m.acceptor", "m.cut", "m.how"))).alias("_moves"))
@@ -218,4 +219,4 @@ def refine(alignments: DataFrame, est: str = "est", gen: str = "genome", min_int
     new = F.transform("exons", exon)
     new = F.when(attached, F.slice(new, F.lit(2), F.greatest(n - 1, F.lit(0)))).otherwise(new)
     whole = F.forall("_new", lambda e: (e["est_start"] <= e["est_end"]) & (e["gen_start"] <= e["gen_end"]))
-    return rows.withColumn("_new", new).withColumn("exons", F.when(whole, F.col("_new").cast(alignments.schema["exons"].dataType)).otherwise(F.col("exons"))).drop("_key", "_moves", "_new")
+    return computed_once(rows.withColumn("_new", new), "_new").withColumn("exons", F.when(whole, F.col("_new").cast(alignments.schema["exons"].dataType)).otherwise(F.col("exons"))).drop("_key", "_moves", "_new")

@@ -1,21 +1,23 @@
 """From FASTA files to introns, isoforms and reports, for any number of loci at once.
 
 Each step is a DataFrame keyed by locus; a process boundary of a classic pipeline is a
-shuffle here, or nothing. Transcripts of a locus are matched to its genome by seeds;
-per transcript, the pairings' best chain gives the exons; introns are collected, moved
-to better ones near them, and chains are merged, filtered and reported.
+shuffle here, or nothing. Transcripts of a locus are matched to its genome by seeds; the
+maximal paths of a transcript's graph of pairings give its alignments, whose ends are
+trimmed, gaps filled, splice sites refined, and small exons joined or found; introns are
+collected, moved to better ones near them, and chains are merged, filtered and reported.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import flanks, pattern_frequency
-from ..operators import align, chains, consensus, isoforms, seeds
+from ..functions.sequence import flanks, reverse_complement
+from ..operators import align, chains, consensus, graphs, isoforms, paths, refine, seeds, small_exons, splices
+from ..session import cut_lineage
 from ..sources import fasta, report
 
 
@@ -46,69 +48,86 @@ def loci(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.col("header").alias("locus"), fasta.locus_header("header", F.length("seq").cast("bigint")).alias("h"), F.upper("seq").alias("seq")).select("locus", "h.*", "seq")
 
 
-def best_chain(pairings: list[tuple[int, int, int]], least_intron: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """Exons (est_start, est_end, gen_start, gen_end, 0-based) of the chain of pairings
-    with the most transcript bases. Pairings that follow on nearly one diagonal are one
-    exon; a step on the genome must be one of them or an intron. Overlaps on the
-    transcript count once."""
-    order = sorted(pairings)
-    score = [l for _, _, l in order]
-    back = [-1] * len(order)
-    for j, (p2, t2, l2) in enumerate(order):
-        for i in range(j):
-            p1, t1, l1 = order[i]
-            gap, shift = p2 - p1 - l1, (t2 - t1) - (p2 - p1)
-            if t2 <= t1 or p2 + l2 <= p1 + l1 or gap > 2 * seed + 1 or not (abs(shift) <= 3 or shift >= least_intron):
-                continue
-            if score[i] + l2 + min(gap, 0) > score[j]:
-                score[j], back[j] = score[i] + l2 + min(gap, 0), i
-    at, path = max(range(len(order)), key=score.__getitem__), []
-    while at >= 0:
-        path.append(order[at])
-        at = back[at]
-    exons: list[list[int]] = []
-    for p, t, l in reversed(path):
-        if exons and abs((t - exons[-1][3]) - (p - exons[-1][1])) <= 3:
-            exons[-1][1], exons[-1][3] = p + l - 1, t + l - 1
-        else:
-            if exons:  # the seam goes where the overlap on the transcript starts, or the gap ends
-                over = max(exons[-1][1] + 1 - p, 0)
-                p, t = p + over, t + over
-            exons.append([p, p + l - 1 - (exons[-1][1] + 1 - p if exons and exons[-1][1] >= p else 0), t, t + l - 1])
-            exons[-1][1] = exons[-1][0] + exons[-1][3] - exons[-1][2]
-    return [tuple(e) for e in exons]
+_IDS = ["locus", "est_id"]
+_EXONS = "array<struct<est_start: bigint, est_end: bigint, gen_start: bigint, gen_end: bigint>>"
+
+
+def graph(pairings: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """Pairings (ids, length, p, t, l) and edges of each transcript's graph.
+    Transcripts whose graph is too complex are tried again with seeds one base longer, until
+    none is, or the seed is as long as the transcript (G03, G04); a longer seed only leaves
+    out pairings, so nothing is matched again."""
+    k, parts, open_ = config.min_factor_length, [], pairings
+    while True:
+        kept = cut_lineage(seeds.drop_low_complexity(open_.filter(F.col("l") >= k), [*_IDS, "length"]))
+        linked = cut_lineage(seeds.prune(seeds.edges(kept, _IDS, k, config.max_intron_length), 2 * k + 1, config.min_intron_length))
+        sizes = graphs.statistics(kept, linked, _IDS).join(kept.groupBy(*_IDS).agg(F.max("length").alias("length")), _IDS)
+        again = cut_lineage(graphs.too_complex(sizes, "length", k).filter((F.col("length") > k + 3) & F.col("too_complex")).select(*_IDS))
+        parts.append((kept.join(again, _IDS, "left_anti"), linked.join(again, _IDS, "left_anti")))
+        if again.isEmpty():
+            break
+        open_, k = open_.join(again, _IDS, "left_semi"), k + 1
+    return functools.reduce(DataFrame.unionByName, (p for p, _ in parts)), functools.reduce(DataFrame.unionByName, (e for _, e in parts))
+
+
+def _numbered_alone(rows: DataFrame) -> DataFrame:
+    """Alignments of a transcript that no other one of it covers."""
+    shown = rows.select(*_IDS, "fact_no", F.transform("exons", lambda e: F.struct(e["gen_start"].alias("gen_start"), e["gen_end"].alias("gen_end"))).alias("exons"))
+    return rows.join(refine.without_contained_alignments(shown, _IDS).select(*_IDS, "fact_no"), [*_IDS, "fact_no"], "left_semi")
+
+
+def aligned(transcripts: DataFrame, genome: DataFrame, config: Config = Config()) -> DataFrame:
+    """(locus, est_id, fact_no, exons, est, genome): all alignments of each transcript
+    (locus, est_id, seq) on its locus (locus, seq), refined. Exons are 1-based."""
+    masked = transcripts.select(*_IDS, F.upper("seq").alias("est"), align.masked(F.upper("seq"))["seq"].alias("seq")).withColumn("length", F.length("est"))
+    texts = masked.select(*_IDS, F.col("seq").alias("masked"), "est", "length").join(genome.select("locus", F.col("seq").alias("genome")), "locus")
+    found = seeds.seed_matches(masked.select(*_IDS, "seq"), genome.select("locus", F.col("locus").alias("gen_id"), "seq"), ["locus"], config.min_factor_length, rate=config.min_string_depth_rate)
+    pairings, linked = graph(cut_lineage(found.drop("gen_id").join(masked.select(*_IDS, "length"), _IDS)), config)
+    ends = seeds.ends(pairings, linked, _IDS, config.max_discarded_rate)
+    linked = paths.with_cuts(linked, genome, ["locus"], config.min_factor_length)
+    chained = paths.maximal_paths(pairings, linked, _IDS, ends, config.min_factor_length, config.min_intron_length)
+    rows = chained.select(*_IDS, F.col("path_no").alias("fact_no"), paths.path_exons(F.col("path"), config.min_factor_length).alias("exons"))
+    monotone = F.forall(F.sequence(F.lit(1), F.size("exons")), lambda i: (F.element_at("exons", i)["gen_start"] <= F.element_at("exons", i)["gen_end"]) & ((i == 1) | (F.try_element_at("exons", i - 1)["gen_end"] < F.element_at("exons", i)["gen_start"])))
+    rows = cut_lineage(rows.filter((F.size("exons") > 0) & monotone).join(texts, _IDS))
+
+    # what a path's exons must be like (P05-P08), and which paths stay
+    rows = cut_lineage(paths.trimmed(rows, "masked"))
+    rows = refine.without_bad_ends(rows, "masked")
+    rows = refine.without_noisy(refine.without_low_complexity(rows, "masked"), "masked")
+    covered = (F.element_at("exons", -1)["est_end"] - F.element_at("exons", 1)["est_start"] + 1) / F.col("length")
+    rows = cut_lineage(rows.withColumn("coverage", covered).filter(F.col("coverage") >= config.min_coverage))
+    rows = _numbered_alone(rows)
+    rows = chains.coverage_filter(rows.withColumn("_key", F.struct(*_IDS)), "_key", least=config.min_coverage, apart=config.max_difference_of_coverage)
+    gap = F.aggregate(F.sequence(F.lit(1), F.size("exons")), F.lit(0).cast("bigint"), lambda a, i: a + F.when(i > 1, F.element_at("exons", i)["est_start"] - F.try_element_at("exons", F.when(i > 1, i - 1))["est_end"] - 1).otherwise(0))
+    rows = chains.gap_filter(rows.withColumn("gap", gap), "_key")
+    rows = cut_lineage(chains.cap_alignments(rows, "_key", config.max_no_of_factorizations).drop("_key", "gap", "coverage", "length"))
+    rows = paths.filled(rows, [*_IDS, "fact_no"], "masked")
+
+    # sites and small exons (P12-P17), then the unmasked transcript
+    rows = cut_lineage(splices.refine(cut_lineage(rows), "masked", min_intron=config.min_intron_length))
+    rows = small_exons.without_false(_numbered_alone(rows), [*_IDS, "fact_no"], "masked")
+    rows = small_exons.with_hidden(_numbered_alone(rows), [*_IDS, "fact_no"], "masked", min_intron=config.min_intron_length)
+    rows = refine.without_bad_ends(refine.without_noisy(rows))
+    rows = cut_lineage(rows.drop("masked").filter(F.forall("exons", lambda e: e["gen_end"] - e["gen_start"] >= 2)))
+    return _numbered_alone(rows)
 
 
 def alignments(transcripts: DataFrame, genome: DataFrame, config: Config = Config()) -> DataFrame:
-    """(locus, est_id, ord, est_start, est_end, gen_start, gen_end), 1-based: the exons
-    of each transcript (locus, est_id, seq) on its locus (locus, seq)."""
-    masked = transcripts.select("locus", "est_id", align.masked(F.upper("seq"))["seq"].alias("seq"), F.length("seq").alias("length"))
-    pairings = seeds.seed_matches(masked, genome.select("locus", F.col("locus").alias("gen_id"), "seq"), ["locus"], config.min_factor_length, rate=config.min_string_depth_rate)
-    kept = seeds.drop_low_complexity(pairings.drop("gen_id"), ["locus", "est_id"])
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        exons = best_chain(list(zip(part["p"], part["t"], part["l"], strict=True)), config.min_intron_length, config.min_factor_length)
-        rows = [(part["locus"].iloc[0], part["est_id"].iloc[0], i + 1, a + 1, b + 1, c + 1, d + 1) for i, (a, b, c, d) in enumerate(exons)]
-        return pd.DataFrame(rows, columns=["locus", "est_id", "ord", "est_start", "est_end", "gen_start", "gen_end"])
-
-    found = kept.groupBy("locus", "est_id").applyInPandas(solve, "locus string, est_id string, ord int, est_start bigint, est_end bigint, gen_start bigint, gen_end bigint")
-    covered = found.groupBy("locus", "est_id").agg(F.sum(F.col("est_end") - F.col("est_start") + 1).alias("bases")).join(masked.select("locus", "est_id", "length"), ["locus", "est_id"])
-    enough = covered.filter(F.col("bases") >= config.min_coverage * F.col("length")).select("locus", "est_id")
-    return found.join(enough, ["locus", "est_id"], "left_semi")
-
-
-def refined(exons: DataFrame, genome: DataFrame) -> DataFrame:
-    """Introns slid along identical bases to their most frequent pattern: where exon and
-    intron ends repeat each other, the seam isn't determined by the match alone."""
-    introns = chains.introns(exons.withColumnRenamed("est_id", "tid").withColumn("_key", F.concat_ws("\u0000", "locus", "tid")), tid="_key").drop("_key")
-    rows = introns.select("locus", "tid", "ord", "i_start", "i_end").join(genome.select("locus", F.col("seq").alias("genome")), "locus")
-    at = lambda p: F.substring("genome", p, F.lit(1))
-    tried = rows.withColumn("k", F.explode(F.sequence(F.lit(-10), F.lit(10))))
-    same = F.forall(F.when(F.col("k") > 0, F.sequence(F.lit(0), F.col("k") - 1)).when(F.col("k") < 0, F.sequence(F.col("k"), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda j: at(F.col("i_start") + j) == at(F.col("i_end") + 1 + j))
-    start, end = F.col("i_start") + F.col("k"), F.col("i_end") + F.col("k")
-    frequency = pattern_frequency(F.substring("genome", start, F.lit(2)), F.substring("genome", end - 1, F.lit(2)))
-    best = tried.filter(same).withColumn("f", frequency).groupBy("locus", "tid", "ord").agg(F.max_by(F.struct(start.alias("i_start"), end.alias("i_end"), "f"), F.struct("f", (-F.abs("k")).alias("d"))).alias("b"))
-    return best.select("locus", "tid", "ord", F.col("b.i_start").alias("i_start"), F.col("b.i_end").alias("i_end"), F.col("b.f").alias("frequency"))
+    """(locus, est_id, fact_no, ord, est_start, est_end, gen_start, gen_end), 1-based: the
+    exons of each alignment. A transcript whose strand isn't fixed (column ``fixed_strand``,
+    if there is one) and that has none is tried again the other way round."""
+    first = cut_lineage(aligned(transcripts, genome, config))
+    if "fixed_strand" in transcripts.columns:
+        rest = transcripts.filter(~F.col("fixed_strand")).join(first.select(*_IDS).distinct(), _IDS, "left_anti").withColumn("seq", reverse_complement("seq"))
+        first = first.unionByName(aligned(cut_lineage(rest), genome, config))
+    return first.select(*_IDS, "fact_no", F.posexplode("exons").alias("ord", "e")).select(*_IDS, "fact_no", (F.col("ord") + 1).alias("ord"), "e.*")
+
+
+def alignment_introns(exons: DataFrame) -> DataFrame:
+    """(locus, tid, ord, i_start, i_end): the introns of all alignments, each once for a
+    transcript."""
+    keyed = exons.select("locus", F.col("est_id").alias("tid"), "ord", "gen_start", "gen_end", F.struct(*_IDS, "fact_no").alias("_key"))
+    return chains.introns(keyed, tid="_key").select("locus", "tid", "ord", "i_start", "i_end").dropDuplicates(["locus", "tid", "i_start", "i_end"])
 
 
 def introns(spark: SparkSession, genome_path: str, transcript_path: str, config: Config = Config()) -> DataFrame:
@@ -118,8 +137,8 @@ def introns(spark: SparkSession, genome_path: str, transcript_path: str, config:
     records = fasta.transcripts(fasta.read(spark, transcript_path)).filter("reason IS NULL")
     named = F.nullif(F.regexp_extract("est_id", "/locus=([^ /]+)", 1), F.lit(""))
     only = genome.agg(F.min("locus").alias("only"))
-    rows = records.crossJoin(F.broadcast(only)).select(F.coalesce(named, "only").alias("locus"), F.col("gb").alias("est_id"), "seq")
-    found = refined(alignments(rows, genome, config), genome)
+    rows = records.crossJoin(F.broadcast(only)).select(F.coalesce(named, "only").alias("locus"), F.col("gb").alias("est_id"), "fixed_strand", "seq")
+    found = alignment_introns(cut_lineage(alignments(rows, genome, config)))
     table = report.intron_table(found, ["locus"], F.lit(1), F.lit(1), F.lit(1))
     with_genome = table.drop("abs_start", "abs_end").join(genome, "locus")
     context = flanks("seq", "i_start", "i_end")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -15,3 +16,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def computed_once(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` whose columns ``names`` the optimizer doesn't write out again for each use, as
+    it may not copy what depends on the row's number. For arrays that are rebuilt step by
+    step, and looked at many times in each."""
+    return df.withColumns({c: F.when(F.monotonically_increasing_id() >= 0, F.col(c)) for c in names})
