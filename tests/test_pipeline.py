@@ -1,5 +1,8 @@
 """The gene pipeline on a made-up locus, and streaming support."""
 
+import glob
+import json
+import os
 import random
 
 import pytest
@@ -64,3 +67,64 @@ def test_consensus_passes(spark):
     frame = spark.createDataFrame(rows, "locus int, i_start int, i_end int, agree_type int, frequency int, support long")
     got = {(r["i_start"], r["i_end"]): r["support"] for r in pipeline.consensus_introns(frame, ["locus"]).select("i_start", "i_end", F.col("support")).collect()}
     assert got == {(100, 200): 7, (300, 400): 4}
+
+
+def test_noisy_reads(spark, tmp_path):
+    """A small exon, mismatches beside junctions, reads of either strand, a read that
+    isn't of the locus, and one with too little of it."""
+    rng = random.Random(77)
+    base = lambda n: "".join(rng.choices("ACGT", k=n))
+    inner = lambda n: base(n).replace("AG", "AC").replace("GT", "CT").replace("GC", "CC")
+    exons = [base(140), base(11), base(120), base(160)]
+    gaps = ["GT" + inner(n) + "AG" for n in (180, 150, 260)]
+    genome = base(60) + "".join(e + g for e, g in zip(exons, [*gaps, ""], strict=True)) + base(60)
+    at, true = 60, []
+    for e, g in zip(exons, gaps, strict=False):
+        at += len(e)
+        true.append((at + 1, at + len(g)))
+        at += len(g)
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    swap = lambda s, k: s[:k] + ("A" if s[k] != "A" else "C") + s[k + 1 :]
+    whole = "".join(exons)
+    reads = {
+        "B1": whole,
+        "B2": swap(swap(whole, 100), 300),
+        "B3": back(whole[20:]),  # the wrong way round, by its name
+        "B4": swap(exons[2] + exons[3], 130),  # ten bases into the last exon
+        "B5": base(300),
+        "B6": exons[3][:60] + base(300),
+    }
+    (tmp_path / "g.fa").write_text(f">chr2:501:{500 + len(genome)}:1\n{genome}\n")
+    (tmp_path / "e.fa").write_text("".join(f">x /gb={k} /clone_end=3'\n{s}\n" for k, s in reads.items()))
+    config = pipeline.Config()
+    loci = pipeline.loci(spark, str(tmp_path / "g.fa"))
+    got = {(r["i_start"], r["i_end"]): r for r in pipeline.introns(spark, str(tmp_path / "g.fa"), str(tmp_path / "e.fa"), config).collect()}
+    assert loci.count() == 1 and set(got) == set(true)
+    assert [got[t]["supporting"] for t in true] == ["B1,B2,B3", "B1,B2,B3", "B1,B2,B3,B4"]
+
+
+def test_complex_graphs_get_longer_seeds(spark):
+    """Only the transcript whose graph is too complex is tried again."""
+    many = [("l", "busy", 400, 20 * k, 20 * k + 7 * j, 15 + j % 2) for k in range(19) for j in range(10)]
+    few = [("l", "calm", 400, 60 * k, 60 * k + 100 * (k // 3), 40) for k in range(6)]
+    pairings = spark.createDataFrame([*many, *few], "locus string, est_id string, length int, p int, t int, l int")
+    kept, linked = pipeline.graph(pairings, pipeline.Config())
+    least = {r["est_id"]: r["m"] for r in kept.groupBy("est_id").agg(F.min("l").alias("m")).collect()}
+    assert least.get("calm") == 40 and least.get("busy", 99) > 15
+    assert kept.filter("est_id = 'calm'").count() == 6 and linked.filter("est_id = 'calm'").count() > 0
+
+
+FIXTURES = os.environ.get("GENE_FIXTURES", "")
+
+
+@pytest.mark.skipif(not FIXTURES, reason="GENE_FIXTURES names no folder")
+def test_given_loci(spark):
+    """Complete loci (a genome, reads and a report of introns, in a folder each): all
+    introns are found, and at most one read more or less supports one."""
+    for report in sorted(glob.glob(f"{FIXTURES}/*/introns.json")):
+        folder = os.path.dirname(report)
+        with open(report) as f:
+            want = {tuple(map(int, k.split("-"))): set(v) for k, v in json.load(f).items()}
+        got = {(r["i_start"], r["i_end"]): set(r["supporting"].split(",")) for r in pipeline.introns(spark, f"{folder}/genome.fa", f"{folder}/reads.fa").collect()}
+        assert set(want) <= set(got)
+        assert all(len(want[k] ^ got[k]) <= 1 for k in want)
