@@ -6,7 +6,7 @@ RefSeq, 1 for canonical, 2 for others.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,32 +30,37 @@ def band_join(introns: DataFrame, targets: DataFrame, keys: Sequence[str], band:
     return a.join(b, [*keys, "_bin"]).filter(near & other).drop("_bin")
 
 
+def targets_in_order(pairs: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """The targets of each intron with their ``rank`` in the order."""
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "i_start", "i_end").orderBy(*order, "t_start", "t_end")))
+
+
 def first_target(pairs: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One target of each intron: the first in the order."""
-    rank = F.row_number().over(Window.partitionBy(*keys, "i_start", "i_end").orderBy(*order, "t_start", "t_end"))
-    return pairs.withColumn("_r", rank).filter("_r = 1").drop("_r")
+    return targets_in_order(pairs, keys, *order).filter("rank = 1").drop("rank")
 
 
 def _targets(introns: DataFrame, keys: Sequence[str]) -> DataFrame:
     return introns.select(*keys, F.col("i_start").alias("t_start"), F.col("i_end").alias("t_end"), F.col("agree_type").alias("t_type"), F.col("frequency").alias("t_frequency"), F.col("support").alias("t_support"))
 
 
-def agree_with_reference(introns: DataFrame, keys: Sequence[str], band: int = 12) -> DataFrame:
-    """Canonical introns to RefSeq ones."""
-    return first_target(band_join(introns.filter("agree_type = 1"), _targets(introns, keys).filter("t_type = 0"), keys, band), keys)
+def agree_with_reference(introns: DataFrame, keys: Sequence[str], band: int = 12, choose: Callable = first_target) -> DataFrame:
+    """Canonical introns to RefSeq ones (J06). ``choose`` is first_target, or
+    targets_in_order where a read takes the first one that its bases allow."""
+    return choose(band_join(introns.filter("agree_type = 1"), _targets(introns, keys).filter("t_type = 0"), keys, band), keys)
 
 
-def agree_with_better(introns: DataFrame, keys: Sequence[str], kind: int, band: int = 12) -> DataFrame:
+def agree_with_better(introns: DataFrame, keys: Sequence[str], kind: int, band: int = 12, choose: Callable = first_target) -> DataFrame:
     """Introns of a type to those of the same type with a more frequent pattern (J07
     for canonical ones, J10 for others)."""
     pairs = band_join(introns.filter(F.col("agree_type") == kind), _targets(introns, keys).filter(F.col("t_type") == kind), keys, band)
-    return first_target(pairs.filter("t_frequency > frequency AND t_support > 0"), keys, F.desc("t_frequency"))
+    return choose(pairs.filter("t_frequency > frequency AND t_support > 0"), keys, F.desc("t_frequency"))
 
 
-def agree_with_any(introns: DataFrame, keys: Sequence[str], band: int = 12) -> DataFrame:
+def agree_with_any(introns: DataFrame, keys: Sequence[str], band: int = 12, choose: Callable = first_target) -> DataFrame:
     """Other introns to RefSeq ones, else to canonical ones."""
     pairs = band_join(introns.filter("agree_type = 2"), _targets(introns, keys).filter("t_type < 2 AND t_support > 0"), keys, band)
-    return first_target(pairs, keys, F.col("t_type"))
+    return choose(pairs, keys, F.col("t_type"))
 
 
 def after_agreement(introns: DataFrame, moves: DataFrame, keys: Sequence[str]) -> DataFrame:

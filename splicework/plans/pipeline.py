@@ -12,11 +12,11 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import flanks, reverse_complement
-from ..operators import align, chains, consensus, graphs, isoforms, paths, refine, seeds, small_exons, splices
+from ..functions.sequence import flanks, pattern_frequency, reverse_complement
+from ..operators import align, chains, consensus, graphs, isoforms, paths, refine, repair, seeds, small_exons, splices
 from ..session import cut_lineage
 from ..sources import fasta, report
 
@@ -113,21 +113,58 @@ def aligned(transcripts: DataFrame, genome: DataFrame, config: Config = Config()
 
 
 def alignments(transcripts: DataFrame, genome: DataFrame, config: Config = Config()) -> DataFrame:
-    """(locus, est_id, fact_no, ord, est_start, est_end, gen_start, gen_end), 1-based: the
-    exons of each alignment. A transcript whose strand isn't fixed (column ``fixed_strand``,
-    if there is one) and that has none is tried again the other way round."""
-    first = cut_lineage(aligned(transcripts, genome, config))
+    """(locus, est_id, fact_no, turned, ord, est_start, est_end, gen_start, gen_end), 1-based:
+    the exons of each alignment. A transcript whose strand isn't fixed (column
+    ``fixed_strand``, if there is one) and that has none is tried again ``turned`` round."""
+    first = cut_lineage(aligned(transcripts, genome, config)).withColumn("turned", F.lit(False))
     if "fixed_strand" in transcripts.columns:
         rest = transcripts.filter(~F.col("fixed_strand")).join(first.select(*_IDS).distinct(), _IDS, "left_anti").withColumn("seq", reverse_complement("seq"))
-        first = first.unionByName(aligned(cut_lineage(rest), genome, config))
-    return first.select(*_IDS, "fact_no", F.posexplode("exons").alias("ord", "e")).select(*_IDS, "fact_no", (F.col("ord") + 1).alias("ord"), "e.*")
-
-
-def alignment_introns(exons: DataFrame) -> DataFrame:
-    """(locus, tid, ord, i_start, i_end): the introns of all alignments, each once for a
+        first = first.unionByName(aligned(cut_lineage(rest), genome, config).withColumn("turned", F.lit(True)))
+    return first.select(*_IDS, "fact_no", "turned", F.posexplode("exons").alias("ord", "e")).select(*_IDS, "fact_no", "turned", (F.col("ord") + 1).alias("ord"), "e.*")
+
+
+def read_junctions(exons: DataFrame) -> DataFrame:
+    """Each junction of each alignment: i_start, i_end, and the exons beside it as
+    ``donor`` and ``acceptor``."""
+    exon = F.struct("est_start", "est_end", "gen_start", "gen_end")
+    after = F.lead(exon).over(Window.partitionBy(*_IDS, "fact_no").orderBy("ord"))
+    rows = exons.select(*_IDS, "fact_no", "turned", "ord", exon.alias("donor"), after.alias("acceptor")).filter("acceptor IS NOT NULL")
+    return rows.withColumn("i_start", F.col("donor.gen_end") + 1).withColumn("i_end", F.col("acceptor.gen_start") - 1)
+
+
+def agreed(junctions: DataFrame, transcripts: DataFrame, genome: DataFrame, kind: Column | None = None) -> DataFrame:
+    """Junctions moved to better introns near them: canonical ones to RefSeq's, then to
+    more frequent canonical ones, others to any of these and then to more frequent others
+    (J06-J08, J10). Passes run in this order on what the last one left; a read moves to the
+    first target that its own bases allow (J12). ``kind`` classifies an intron by its column
+    ``pattern`` (ND: not at all); without it, known patterns count."""
+    keys, place = ["locus"], ["locus", "i_start", "i_end"]
+    texts = transcripts.select(*_IDS, F.upper("seq").alias("est")).join(genome.select("locus", F.col("seq").alias("genome")), "locus")
+    cut = lambda at: F.substring("genome", at.cast("int"), F.lit(2))
+    seen = junctions.groupBy(*place).agg(F.bool_or(fasta.is_refseq("est_id")).alias("refseq")).join(genome.select("locus", F.col("seq").alias("genome")), "locus")
+    seen = seen.withColumn("pattern", F.upper(F.concat(cut(F.col("i_start")), cut(F.col("i_end") - 1))))
+    known = kind if kind is not None else F.when(F.col("pattern").isin("GTAG", "GCAG", "ATAC"), "U2").otherwise("ND")
+    frequency = pattern_frequency(F.substring("pattern", 1, 2), F.substring("pattern", 3, 2))
+    meta = cut_lineage(seen.select(*place, consensus.agree_type(F.col("refseq"), F.col("pattern"), known).alias("agree_type"), frequency.alias("frequency")))
+    order = consensus.targets_in_order
+    steps = (lambda x: consensus.agree_with_reference(x, keys, choose=order), lambda x: consensus.agree_with_better(x, keys, 1, choose=order), lambda x: consensus.agree_with_any(x, keys, choose=order), lambda x: consensus.agree_with_better(x, keys, 2, choose=order))
+    for step in steps:
+        support = junctions.groupBy(*place).agg(F.count("*").alias("support"))
+        pairs = step(meta.join(support, place, "left").fillna(0, ["support"])).filter("support > 0").select(*place, "t_start", "t_end", "rank", "agree_type")
+        tried = junctions.join(pairs, place).join(texts, _IDS).withColumn("est", F.when(F.col("turned"), reverse_complement("est")).otherwise(F.col("est")))
+        tried = repair.within_limits(tried)
+        best = tried.groupBy(*_IDS, "fact_no", "ord").agg(F.min(F.struct("rank", "t_start", "t_end")).alias("_t"))
+        both = junctions.join(best, [*_IDS, "fact_no", "ord"], "left")
+        left, right = F.coalesce(F.col("_t.t_start") - F.col("i_start"), F.lit(0)), F.coalesce(F.col("_t.t_end") - F.col("i_end"), F.lit(0))
+        moved = both.withColumns({"donor": F.col("donor").withField("gen_end", F.col("donor.gen_end") + left), "acceptor": F.col("acceptor").withField("gen_start", F.col("acceptor.gen_start") + right), "i_start": F.col("i_start") + left, "i_end": F.col("i_end") + right})
+        junctions = cut_lineage(moved.drop("_t"))
+    return junctions
+
+
+def alignment_introns(junctions: DataFrame) -> DataFrame:
+    """(locus, tid, ord, i_start, i_end): the introns of all junctions, each once for a
     transcript."""
-    keyed = exons.select("locus", F.col("est_id").alias("tid"), "ord", "gen_start", "gen_end", F.struct(*_IDS, "fact_no").alias("_key"))
-    return chains.introns(keyed, tid="_key").select("locus", "tid", "ord", "i_start", "i_end").dropDuplicates(["locus", "tid", "i_start", "i_end"])
+    return junctions.select("locus", F.col("est_id").alias("tid"), "ord", "i_start", "i_end").dropDuplicates(["locus", "tid", "i_start", "i_end"])
 
 
 def introns(spark: SparkSession, genome_path: str, transcript_path: str, config: Config = Config()) -> DataFrame:
@@ -138,7 +175,8 @@ def introns(spark: SparkSession, genome_path: str, transcript_path: str, config:
     named = F.nullif(F.regexp_extract("est_id", "/locus=([^ /]+)", 1), F.lit(""))
     only = genome.agg(F.min("locus").alias("only"))
     rows = records.crossJoin(F.broadcast(only)).select(F.coalesce(named, "only").alias("locus"), F.col("gb").alias("est_id"), "fixed_strand", "seq")
-    found = alignment_introns(cut_lineage(alignments(rows, genome, config)))
+    junctions = cut_lineage(read_junctions(alignments(rows, genome, config)))
+    found = alignment_introns(agreed(junctions, rows, genome))
     table = report.intron_table(found, ["locus"], F.lit(1), F.lit(1), F.lit(1))
     with_genome = table.drop("abs_start", "abs_end").join(genome, "locus")
     context = flanks("seq", "i_start", "i_end")

@@ -114,6 +114,33 @@ def test_complex_graphs_get_longer_seeds(spark):
     assert kept.filter("est_id = 'calm'").count() == 6 and linked.filter("est_id = 'calm'").count() > 0
 
 
+def test_reads_agree_within_their_errors(spark):
+    """A canonical junction moves to RefSeq's where the read's bases allow it, another one
+    with up to four edits, and reads with more stay."""
+    genome = "ACGTACGTACGTACGTACGTACGTACGAGT" + "GTGTAAGT" + "C" * 60 + "TTCAGAG" + "AGCATGCATCGATCGATTACGATCGATTAG"
+    n = len(genome)
+    left, right = genome[:30], genome[-30:]
+    exon = lambda a, b, c, d: (a, b, c, d)
+    true = (exon(1, 30, 1, 30), exon(31, 60, n - 29, n))
+    shifted = (exon(1, 32, 1, 32), exon(33, 60, n - 27, n))  # GT and AG again, two bases on
+    back = (left + right)[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = {
+        "NM_1": (left + right, true, False),
+        "same": (left + "GT" + right[2:], shifted, False),  # the read has GT for AG
+        "equal": (left + genome[30:32] + right[2:], shifted, False),
+        "fits": (left + right, (exon(1, 32, 1, 32), exon(33, 60, n - 27, n)), False),
+        "turned": (back, (exon(1, 32, 1, 32), exon(33, 60, n - 27, n)), True),
+    }
+    rows = [("l", k, 1, turned, 1, a, b, a[3] + 1, b[2] - 1) for k, (_, (a, b), turned) in reads.items()]
+    kind = "struct<est_start: bigint, est_end: bigint, gen_start: bigint, gen_end: bigint>"
+    junctions = spark.createDataFrame(rows, f"locus string, est_id string, fact_no int, turned boolean, ord int, donor {kind}, acceptor {kind}, i_start bigint, i_end bigint")
+    texts = spark.createDataFrame([("l", k, x[0]) for k, x in reads.items()], "locus string, est_id string, seq string")
+    found = {r["est_id"]: (r["i_start"], r["i_end"], r["acceptor"]["gen_start"]) for r in pipeline.agreed(junctions, texts, spark.createDataFrame([("l", genome)], "locus string, seq string")).collect()}
+    here, there = (31, n - 30, n - 29), (33, n - 28, n - 27)
+    # what leaves the exon is the read's own GT or AG, what enters is AG
+    assert found == {"NM_1": here, "same": there, "equal": there, "fits": here, "turned": here}
+
+
 FIXTURES = os.environ.get("GENE_FIXTURES", "")
 
 
