@@ -23,7 +23,8 @@ Defined cases: a text of fewer than five words (but not none) is one shingle; te
 without words, nulls too, are near only to equal texts; null texts are equal; repeated rows share a class; of rows with
 one id but several texts each has its own text's class; a null id has no class and
 stays; an empty table gives an empty result; other columns are ignored. A
-class is named by its least id.
+class is named by its least id; of several classes with one least id, all but one are named
+by a hash of theirs.
 """
 
 from __future__ import annotations
@@ -312,17 +313,23 @@ def classes_of(texts: DataFrame, first: DataFrame, threshold: float = THRESHOLD)
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id, class_size (rows) and kept (the class's least id) of every row."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc IS NOT NULL")
-    rows = stash(docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)), F.lit(b"")).alias("key")), "rows")
-    first = rows.groupBy("key").agg(F.min("doc").alias("node"))
+    key, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
+    # an id may have several texts: what is compared is named by both
+    node = F.xxhash64(key, text).alias("doc")
+    texts = docs.filter(key.isNotNull()).select(node, text.alias("text"))
+    rows = stash(docs.select(key.alias("id"), node, F.coalesce(F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)), F.lit(b"")).alias("key")), "rows")
+    first = rows.groupBy("key").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "doc"))).alias("x")).select("key", F.col("x.doc").alias("node"))
     found = classes_of(texts, first.select(F.col("node").alias("doc")).filter("doc IS NOT NULL"), threshold)
     linked = found.select(F.col("doc").alias("node"), "class")
     named = first.join(linked, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
-    out = rows.join(named, "key").select("doc", F.when(F.col("doc").isNotNull(), F.col("class")).alias("class"))
+    out = rows.join(named, "key").select("id", F.when(F.col("id").isNotNull(), F.col("class")).alias("class"))
     out = stash(out, "classes")
     discard(rows, found)
-    size = out.groupBy(F.col("class").alias("of")).agg(F.count("*").alias("n"))
-    known = F.col("class").isNotNull()
-    return out.join(size, F.col("class") == F.col("of"), "left").select(
-        F.col("doc").alias(id_col), F.col("class").alias("class_id"), F.when(known, F.col("n")).otherwise(1).alias("class_size"), F.coalesce(F.col("doc") == F.col("class"), F.lit(True)).alias("kept")
+    size = stash(out.filter("class IS NOT NULL").groupBy(F.col("class").alias("of")).agg(F.count("*").alias("n"), F.min("id").alias("least")), "sizes")
+    # classes that share their least id, as its rows have several texts: one takes its name
+    owner = size.groupBy(F.col("least").alias("name")).agg(F.min("of").alias("owner"), F.count("*").alias("k")).filter("k > 1")
+    called = size.join(owner, F.col("least") == F.col("name"), "left").select("of", "n", "least", F.when(F.col("owner") != F.col("of"), F.col("of")).otherwise(F.col("least")).alias("class_id"))
+    known = F.col("id").isNotNull()
+    return out.join(called, F.col("class") == F.col("of"), "left").select(
+        F.col("id").alias(id_col), "class_id", F.when(known, F.col("n")).otherwise(1).alias("class_size"), F.coalesce(F.col("id") == F.col("least"), F.lit(True)).alias("kept")
     )

@@ -569,6 +569,18 @@ def test_probability_jaccard():
     assert abs((got[0] == got[1]).mean() - want) < 0.03
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts of one id are not linked through it, and neither are their companions."""
+    rng = random.Random(8)
+    a, b = (" ".join("".join(rng.choices("abcdef", k=6)) for _ in range(60)) for _ in range(2))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, near), (5, a), (None, b)]
+    got = sorted((r["doc_id"] or -1, r["class_size"], r["kept"], r["class_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert [x[:3] for x in got] == [(-1, 1, True), (5, 2, True), (5, 4, True), (5, 4, True), (6, 4, False), (7, 2, False), (8, 4, False)]
+    ids = [x[3] for x in got]
+    assert ids[2] == ids[3] == ids[4] == ids[6] and ids[1] == ids[5] != ids[2] and 5 in ids and ids[0] is None
+
+
 def test_near_duplicates_empty(none):
     assert near_dup.near_duplicates(none).count() == 0
 
