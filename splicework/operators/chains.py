@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +137,51 @@ def merge_compositions(compositions: DataFrame, keys: Sequence[str], tid: str =
     return compositions.groupBy(*keys, "site_key").agg(F.min(tid).alias(tid), F.max("n_exons").alias("n_exons"), F.min("left_end").alias("left_end"), F.max("right_end").alias("right_end"), F.count("*").alias("support"))
 
 
+def fold_compositions(items: Sequence[tuple]) -> list[list]:
+    """Compositions of one key joined in order (C02). An item is (order, polya, right,
+    left, support, tid); it joins the first composition that its end allows: a poly-A end is
+    fixed, so equal ends join, an end without poly-A joins one behind it, and a poly-A end one
+    without poly-A before it, which it makes fixed. Returns (tid, left, right, polya, support)."""
+    out: list[list] = []
+    for _, polya, right, left, support, tid in items:
+        for c in out:
+            fits = (right == c[2] if c[3] else right >= c[2]) if polya else not c[3] or right <= c[2]
+            if fits:
+                c[1], c[2], c[3], c[4] = min(c[1], left), c[2] if c[3] else max(c[2], right), bool(c[3] or polya), c[4] + support
+                break
+        else:
+            out.append([tid, left, right, bool(polya), support])
+    return out
+
+
+def merge_in_order(compositions: DataFrame, keys: Sequence[str], order: str = "tid", tid: str = "tid") -> DataFrame:
+    """Transcripts with one key joined where their poly-A ends allow it (C02), in their
+    order: keys, site_key, tid (the first one's), left_end, right_end, polya, support.
+    ``compositions`` has keys, site_key, ``order``, left_end, right_end, polya and refseq;
+    RefSeq ones stay apart. Transcripts of one key, end and flag join where the first of them
+    did, whatever came in between (ends only move right until they are fixed), so they are
+    added up before the rest is folded: a key has at most two items for each end."""
+    own = F.when(F.col("refseq"), F.col(tid))
+    items = compositions.withColumn("_own", own).groupBy(*keys, "site_key", "_own", "polya", "right_end").agg(F.min(F.struct(F.col(order).alias("order"), F.col(tid).alias("tid"))).alias("_first"), F.min("left_end").alias("left"), F.count("*").alias("support"))
+    parts = items.groupBy(*keys, "site_key", "_own").agg(F.array_sort(F.collect_list(F.struct("_first.order", "polya", F.col("right_end").alias("right"), "left", "support", "_first.tid"))).alias("_items"))
+    kind = compositions.schema[tid].dataType.simpleString()
+
+    @F.pandas_udf(f"array<struct<tid: {kind}, left_end: bigint, right_end: bigint, polya: boolean, support: bigint>>")
+    def fold(lists: pd.Series) -> pd.Series:
+        names = ("tid", "left_end", "right_end", "polya", "support")
+        return pd.Series([[dict(zip(names, c, strict=True)) for c in fold_compositions([tuple(x[k] for k in ("order", "polya", "right", "left", "support", "tid")) for x in items])] for items in lists])
+
+    return parts.select(*keys, "site_key", F.explode(fold("_items")).alias("c")).select(*keys, "site_key", F.col("c.tid").alias(tid), "c.left_end", "c.right_end", "c.polya", "c.support")
+
+
+def final_groups(chain: DataFrame, keys: Sequence[str], tid: str = "tid") -> DataFrame:
+    """Transcripts with the same exons made one, their support added up; RefSeq ones (column
+    ``refseq``) stay apart (C05): keys, exons, tid (the least), refseq, support."""
+    rows = shape([*keys, tid, "refseq", "support"], chain)
+    own = F.when(F.col("refseq"), F.col(tid))
+    return rows.withColumn("_own", own).groupBy(*keys, "exons", "_own").agg(F.min(tid).alias(tid), F.first("refseq").alias("refseq"), F.sum("support").alias("support")).drop("_own")
+
+
 def reduce_outer_exons(chain: DataFrame, keys: Sequence[str], tid: str = "tid") -> DataFrame:
     """First exons take the start of the widest internal exon with their end, last
     exons the end of the widest internal exon with their start (C04)."""
@@ -151,10 +197,26 @@ def reduce_outer_exons(chain: DataFrame, keys: Sequence[str], tid: str = "tid")
     return out.select(*keys, tid, "ord", start.alias("gen_start"), end.alias("gen_end"))
 
 
-def exon_numbers(chain: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct exons numbered by left and right end."""
-    distinct = chain.select(*keys, "gen_start", "gen_end").distinct()
-    return distinct.withColumn("exon_no", F.row_number().over(Window.partitionBy(*keys).orderBy("gen_start", "gen_end")))
+def exon_numbers(chain: DataFrame, keys: Sequence[str], identity: Sequence[str] = ()) -> DataFrame:
+    """Distinct exons numbered by left and right end (W08, K04). With ``identity`` columns
+    exons are told apart by these too: by their sequence (T01), or by the RefSeq transcript
+    that keeps its own copy (C05)."""
+    names = ["gen_start", "gen_end", *identity]
+    distinct = chain.select(*keys, *names).distinct()
+    return distinct.withColumn("exon_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*names)))
+
+
+def covering_rows(chain: DataFrame, numbers: DataFrame, keys: Sequence[str], identity: Sequence[str] = ()) -> DataFrame:
+    """The exon of the matrix that each exon of a chain is (T12): ``chain`` with exon_no, by
+    ``exon_numbers`` of the same columns. Nulls of ``identity`` match nulls."""
+    exact = [*keys, "gen_start", "gen_end"]
+    right = numbers.select(*(F.col(c).alias(f"_n_{c}") for c in (*exact, *identity)), "exon_no")
+    same = F.lit(True)
+    for c in exact:
+        same = same & (F.col(c) == F.col(f"_n_{c}"))
+    for c in identity:
+        same = same & F.col(c).eqNullSafe(F.col(f"_n_{c}"))
+    return chain.join(right, same).select(*chain.columns, "exon_no")
 
 
 def isoform_numbers(isoforms: DataFrame, keys: Sequence[str], tid: str = "tid") -> DataFrame:

@@ -197,6 +197,41 @@ def c02_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.merge_compositions(chains.composition_key(chain(spark, sf_dir), ["locus"]), ["locus"])
 
 
+@query()
+def c02_ordered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third transcript ends in poly-A, every seventh is a RefSeq."""
+    keyed = chains.composition_key(chain(spark, sf_dir), ["locus"])
+    return chains.merge_in_order(keyed.withColumn("polya", F.col("tid") % 3 == 0).withColumn("refseq", F.col("tid") % 7 == 0), ["locus"])
+
+
+@query(
+    f"""WITH {CHAIN}, t AS (SELECT locus, tid, tid % 7 = 0 AS refseq, string_agg(gen_start || '-' || gen_end, ',' ORDER BY ord) AS exons FROM chain GROUP BY locus, tid)
+    SELECT locus, exons, min(tid) AS tid, bool_or(refseq) AS refseq, CAST(sum(tid % 3 + 1) AS BIGINT) AS support FROM t GROUP BY locus, exons, CASE WHEN refseq THEN tid END"""
+)
+def c05_final_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chain(spark, sf_dir).withColumn("refseq", F.col("tid") % 7 == 0).withColumn("support", F.col("tid") % 3 + 1)
+    return chains.final_groups(rows, ["locus"])
+
+
+_IDENTITY_SQL = f"""{CHAIN}, exons AS (SELECT *, substr('ACGTACGTA', CAST(part % 4 + 1 AS INTEGER), 4) AS seq FROM chain),
+    numbers AS (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY gen_start, gen_end, seq) AS exon_no FROM (SELECT DISTINCT locus, gen_start, gen_end, seq FROM exons))"""
+
+
+def _with_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain(spark, sf_dir).withColumn("seq", F.substring(F.lit("ACGTACGTA"), (F.col("part") % 4 + 1).cast("int"), F.lit(4)))
+
+
+@query(f"WITH {_IDENTITY_SQL} SELECT locus, gen_start, gen_end, seq, CAST(exon_no AS INTEGER) AS exon_no FROM numbers")
+def t01_exon_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.exon_numbers(_with_sequence(spark, sf_dir), ["locus"], ["seq"])
+
+
+@query(f"WITH {_IDENTITY_SQL} SELECT tid, ord, CAST(exon_no AS INTEGER) AS exon_no FROM exons JOIN numbers USING (locus, gen_start, gen_end, seq)")
+def t12_exon_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_sequence(spark, sf_dir)
+    return chains.covering_rows(rows, chains.exon_numbers(rows, ["locus"], ["seq"]), ["locus"], ["seq"]).select("tid", "ord", "exon_no")
+
+
 @query(
     f"""WITH {CHAIN}, m AS (SELECT *, min(ord) OVER (PARTITION BY tid) AS lo, max(ord) OVER (PARTITION BY tid) AS hi FROM chain),
     be AS (SELECT locus, gen_end, min(gen_start) AS ws FROM m WHERE ord > lo AND ord < hi GROUP BY ALL), bs AS (SELECT locus, gen_start, max(gen_end) AS we FROM m WHERE ord > lo AND ord < hi GROUP BY ALL)

@@ -4,11 +4,10 @@ and hand-made cases."""
 import random
 from itertools import product
 
-import pytest
 from pyspark.sql import functions as F
 
 from splicework.functions.sequence import FREQUENCIES
-from splicework.operators import align, paths, repair, small_exons, splices
+from splicework.operators import chains, paths, small_exons, splices
 
 LEAST, INTRON = 4, 12
 EXONS = "array<struct<est_start: bigint, est_end: bigint, gen_start: bigint, gen_end: bigint>>"
@@ -287,3 +286,30 @@ def test_hidden_candidates():
                 if len(exon) >= 6:
                     want |= {(6 + a, last - b, 6 + a, at, glast - b) for at in range(6 + a + 5, glast - b - 5 - len(exon) + 1) if gen.startswith(exon, at)}
         assert got == want
+
+
+def test_ordered_merge(spark):
+    """Adding equal ends up first gives what joining the transcripts one by one gives."""
+    rng = random.Random(19)
+    for key in range(6):
+        rows = [("l", f"k{key}", f"T{i:03d}", rng.randrange(5), 100 + rng.randrange(8), rng.random() < 0.4, rng.random() < 0.1) for i in range(60)]
+        want = []
+        for _, k, tid, left, right, polya, refseq in rows:
+            if refseq:
+                want.append([tid, left, right, polya, 1, True])
+                continue
+            for c in want:
+                if c[5]:
+                    continue
+                if polya:
+                    fits = right == c[2] if c[3] else c[2] <= right
+                else:
+                    fits = c[2] >= right if c[3] else True
+                if fits:
+                    c[1], c[2], c[3], c[4] = min(c[1], left), c[2] if c[3] else right if polya else max(right, c[2]), c[3] or polya, c[4] + 1
+                    break
+            else:
+                want.append([tid, left, right, polya, 1, False])
+        df = spark.createDataFrame(rows, "locus string, site_key string, tid string, left_end bigint, right_end bigint, polya boolean, refseq boolean").repartition(4)
+        got = chains.merge_in_order(df, ["locus"]).collect()
+        assert sorted((r["tid"], r["left_end"], r["right_end"], r["polya"], r["support"]) for r in got) == sorted(tuple(c[:5]) for c in want)
