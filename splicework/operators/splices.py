@@ -56,7 +56,13 @@ def _in_exon(near: str, est: str, gen: str, pair: str) -> list[tuple[int, int]]:
 
 
 def _edits(a: str, b: str) -> int:
-    return int(align.edit_table(a, b)[-1, -1])
+    """Edit distance of texts of a few bases, for which arrays cost more than they save."""
+    row = list(range(len(b) + 1)) if a != b else [0]
+    for i, x in enumerate(a if a != b else "", 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
 
 
 def carried(giver: tuple[str, str], near: str, far: str, taker: tuple[str, str], near_pair: str, far_pair: str, exact: bool) -> tuple[int, int, int] | None:

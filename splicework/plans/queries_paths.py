@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import paths, seeds, small_exons, splices
+from ..operators import paths, small_exons, splices
 from ..session import cut_lineage
-from .queries_sequence import _GROUP, K, _kept
+from . import pipeline
+from .queries_sequence import K, _pairings
 from .tables import sequences
 
 QUERIES, SQL = {}, {}
@@ -27,24 +28,26 @@ def query(f):
     return f
 
 
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal paths of each transcript of a locus; graphs that are too complex are built
+    from longer seeds."""
+    rows = sequences(spark, sf_dir)
+    genome = rows.filter("doc_id % 10 = 0").select(F.floor(F.col("doc_id") / 10).alias("locus"), "seq")
+    length = rows.select(F.col("doc_id").alias("est_id"), F.length("seq").alias("length"))
+    kept, linked = pipeline.graph(cut_lineage(_pairings(spark, sf_dir).drop("gen_id").join(length, "est_id")), pipeline.Config(min_factor_length=K))
+    return paths.maximal_paths(kept, paths.with_cuts(linked, genome, ["locus"], K), ["locus", "est_id"], least=K)
+
+
 @query
 def g03_maximal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maximal paths of each transcript of a locus."""
-    kept = _kept(spark, sf_dir)
-    genome = sequences(spark, sf_dir).select(F.col("doc_id").alias("gen_id"), "seq")
-    linked = seeds.prune(seeds.edges(kept, _GROUP, K), fl=2 * K + 1)
-    found = paths.maximal_paths(kept, paths.with_cuts(linked, genome, ["gen_id"], K), _GROUP, least=K)
-    return found.select("locus", "est_id", "gen_id", "path_no", F.array_join(F.transform("path", lambda x: F.concat_ws("-", x["p"], x["t"], x["l"])), ",").alias("path"))
+    """The paths' pairings, as text."""
+    return _paths(spark, sf_dir).select("locus", "est_id", "path_no", F.array_join(F.transform("path", lambda x: F.concat_ws("-", x["p"], x["t"], x["l"])), ",").alias("path"))
 
 
 @query
 def p02_path_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exons of each maximal path of a locus."""
-    kept = _kept(spark, sf_dir)
-    genome = sequences(spark, sf_dir).select(F.col("doc_id").alias("gen_id"), "seq")
-    linked = seeds.prune(seeds.edges(kept, _GROUP, K), fl=2 * K + 1)
-    found = paths.maximal_paths(kept, paths.with_cuts(linked, genome, ["gen_id"], K), _GROUP, least=K)
-    return found.select("est_id", "path_no", F.posexplode(paths.path_exons(F.col("path"), K)).alias("ord", "e")).select("est_id", "path_no", "ord", "e.*")
+    """The paths' exons."""
+    return _paths(spark, sf_dir).select("est_id", "path_no", F.posexplode(paths.path_exons(F.col("path"), K)).alias("ord", "e")).select("est_id", "path_no", "ord", "e.*")
 
 
 def _exon(est_start: Column, est_end: Column, gen_start: Column, gen_end: Column) -> Column:
