@@ -20,9 +20,9 @@ DUST = 20
 
 
 def first_by_id(rows: DataFrame, ident: str, *order: str) -> DataFrame:
-    """The first row of each id."""
-    rank = F.row_number().over(Window.partitionBy(ident).orderBy(*order))
-    return rows.withColumn("_r", rank).filter("_r = 1").drop("_r")
+    """The first row of each id (J03): one row of an id is all that a task sends on."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(F.col(ident).alias("_id")).agg(first.alias("_row")).select("_row.*")
 
 
 def _taken(est: Column, gen: Column, n: Column, from_end: bool) -> Column:
@@ -146,6 +146,19 @@ def codon_warnings(cds: Column) -> Column:
     return F.array_join(F.array_compact(found), "; ")
 
 
+def isoform_codons(exons: DataFrame, regions: DataFrame, keys: Sequence[str], tid: str = "tid") -> DataFrame:
+    """First and last codon of each annotated coding region in its isoform's joined exons,
+    and which of them isn't a start or stop codon (T20): keys, tid, first_codon, last_codon,
+    warnings. ``exons`` has keys, tid, ord and seq; ``regions`` keys, tid, cds_start, cds_end
+    (1-based) and annotated. Other isoforms have no warnings, and no codons."""
+    parts = F.array_sort(F.collect_list(F.struct("ord", "seq")))
+    whole = exons.groupBy(*keys, tid).agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("_seq"))
+    codon = lambda at: F.upper(F.substring("_seq", at.cast("int"), F.lit(3)))
+    rows = whole.join(regions, [*keys, tid]).withColumns({"first_codon": F.when(F.col("annotated"), codon(F.col("cds_start"))), "last_codon": F.when(F.col("annotated"), codon(F.col("cds_end") - 2))})
+    odd = F.array(F.when(F.col("annotated") & ~is_start(F.col("first_codon")), F.lit("first")), F.when(F.col("annotated") & ~is_stop(F.col("last_codon")), F.lit("last")))
+    return rows.select(*keys, tid, "first_codon", "last_codon", F.array_join(F.array_compact(odd), ",").alias("warnings"))
+
+
 def not_ends_only(paths: DataFrame) -> DataFrame:
     """Paths with more than one source or sink vertex (P03): ``vertices`` is an array of
     structs with ``kind`` (source, sink or null)."""

@@ -126,3 +126,18 @@ def t20_codon_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g07_first_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = isoforms.exon_arrays(chain(spark, sf_dir), ["locus"]).withColumn("refseq", F.col("tid") % 7 == 0).withColumn("support", F.col("tid") % 3 + 1)
     return repair.first_filtering(rows, ["locus"])
+
+
+@query(
+    f"""WITH {CHAIN}, seqs AS (SELECT locus, tid, string_agg(substr('ATGACCTAAGATGCTGATTAGC', CAST(part % 19 + 1 AS INTEGER), 4), '' ORDER BY ord) AS s, count(*) AS n FROM chain GROUP BY locus, tid),
+    codons AS (SELECT locus, tid, n, tid % 3 > 0 AS annotated, CASE WHEN tid % 3 > 0 THEN substr(s, CAST(1 + tid % 4 AS INTEGER), 3) END AS first_codon, CASE WHEN tid % 3 > 0 THEN substr(s, CAST(4 * n - tid % 4 - 2 AS INTEGER), 3) END AS last_codon FROM seqs)
+    SELECT locus, tid, coalesce(first_codon, '') AS first_codon, coalesce(last_codon, '') AS last_codon,
+      concat_ws(',', CASE WHEN annotated AND first_codon <> 'ATG' THEN 'first' END, CASE WHEN annotated AND last_codon NOT IN ('TAA', 'TAG', 'TGA') THEN 'last' END) AS warnings FROM codons WHERE n > 1"""
+)
+def t20_isoform_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exons of four bases; regions that leave out up to three bases at both ends."""
+    exons = chain(spark, sf_dir).select("locus", "tid", "ord", F.substring(F.lit("ATGACCTAAGATGCTGATTAGC"), (F.col("part") % 19 + 1).cast("int"), F.lit(4)).alias("seq"))
+    k = F.col("tid") % 4
+    regions = exons.groupBy("locus", "tid").agg(F.count("*").alias("n")).filter("n > 1").select("locus", "tid", (1 + k).alias("cds_start"), (4 * F.col("n") - k).alias("cds_end"), (F.col("tid") % 3 > 0).alias("annotated"))
+    found = repair.isoform_codons(exons, regions, ["locus"])
+    return found.select("locus", "tid", *(F.coalesce(c, F.lit("")).alias(c) for c in ("first_codon", "last_codon")), "warnings")
