@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import chains, consensus, cover, graphs, intervals, refine
+from ..operators import chains, consensus, cover, graphs, intervals, matching, refine
 from .tables import CHAIN, INTRONS, SPANS, chain, spans, table
 
 QUERIES, SQL = {}, {}
@@ -303,19 +303,16 @@ def j06_support_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Joins of isoforms, introns and exons
 @query(f"WITH {INTRONS}, known AS (SELECT locus, i_start, i_end, count(*) AS support FROM introns GROUP BY ALL HAVING count(*) > 1) SELECT tid, ord, support FROM introns JOIN known USING (locus, i_start, i_end)")
 def j14_isoform_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chains.introns(chain(spark, sf_dir))
-    known = chains.intron_support(rows, ["locus"]).filter("support > 1")
-    return rows.join(known, ["locus", "i_start", "i_end"]).select("tid", "ord", "support")
+    rows = chain(spark, sf_dir)
+    known = chains.intron_support(chains.introns(rows), ["locus"]).filter("support > 1")
+    return matching.isoform_introns(rows, known, ["locus"]).select("tid", "ord", "support")
 
 
 @query(
     f"""WITH {INTRONS} SELECT i.tid, i.i_start, i.i_end, a.ord AS left_ord, b.ord AS right_ord FROM introns i JOIN chain a ON a.tid = i.tid AND a.gen_end = i.i_start - 1 JOIN chain b ON b.tid = i.tid AND b.gen_start = i.i_end + 1"""
 )
 def j15_supporting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exons = chain(spark, sf_dir)
-    left = exons.select("tid", F.col("ord").alias("left_ord"), (F.col("gen_end") + 1).alias("i_start"))
-    right = exons.select("tid", F.col("ord").alias("right_ord"), (F.col("gen_start") - 1).alias("i_end"))
-    return chains.introns(exons).select("tid", "i_start", "i_end").join(left, ["tid", "i_start"]).join(right, ["tid", "i_end"]).select("tid", "i_start", "i_end", "left_ord", "right_ord")
+    return matching.supporting_exons(chain(spark, sf_dir))
 
 
 @query(
@@ -324,24 +321,20 @@ def j15_supporting(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j16_semi_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = chains.summaries(chain(spark, sf_dir), ["locus"]).select("locus", "tid", "right_end")
-    sites = last.filter("tid % 97 = 0").select("locus", F.col("right_end").alias("at")).distinct()
-    near = sites.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("at") - 30) / 64), F.floor((F.col("at") + 30) / 64))))
-    rows = last.withColumn("_bin", F.floor(F.col("right_end") / 64))
-    on = (rows["locus"] == near["locus"]) & (rows["_bin"] == near["_bin"]) & (F.abs(near["at"] - rows["right_end"]) <= 30)
-    return rows.join(near, on, "left_semi").select("tid", "right_end")
+    sites = last.filter("tid % 97 = 0").select("locus", F.col("right_end").alias("site"))
+    return matching.near_sites(last, sites, ["locus"], "right_end").select("tid", "right_end")
 
 
 @query(f"WITH {INTRONS} SELECT DISTINCT i_start, i_end FROM introns WHERE locus < 25 EXCEPT SELECT i_start, i_end FROM introns WHERE locus >= 25")
 def u02_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chains.introns(chain(spark, sf_dir))
-    pick = lambda c: rows.filter(c).select("i_start", "i_end")
-    return pick("locus < 25").distinct().join(pick("locus >= 25"), ["i_start", "i_end"], "left_anti")
+    return matching.only_in_first(rows.filter("locus < 25"), rows.filter("locus >= 25"))
 
 
 @query(f"WITH {INTRONS} SELECT i_start, i_end FROM introns WHERE locus < 25 INTERSECT SELECT i_start, i_end FROM introns WHERE locus >= 25")
 def u03_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chains.introns(chain(spark, sf_dir))
-    return rows.filter("locus < 25").select("i_start", "i_end").intersect(rows.filter("locus >= 25").select("i_start", "i_end"))
+    return matching.in_both(rows.filter("locus < 25"), rows.filter("locus >= 25"))
 
 
 # Covers: alternatives of a transcript are its supplier and part readings
