@@ -178,39 +178,42 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(rows, "a bigint, b bigint")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge (a > b) leads straight to the least node of its component: each
+    node has one edge down at most, and none if others lead to it."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("reached")).filter("down > 1 OR (down = 1 AND reached = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc, class): each node's least reachable node. Large-star and small-star
-    steps alternate: they link nodes to the least neighbour until nothing changes."""
+    steps alternate: they link nodes to the least neighbour until all edges do."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         linked = both.join(low, "a")
         moved = linked.filter(F.col("b") > F.col("a")) if large else linked.filter(F.col("b") != F.col("m"))
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.unionAll(low.select("a", F.col("m").alias("b")))
-        return out.filter("a != b").distinct()
+        return out.filter("a != b")
 
     e = stash(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    sign = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = sign(e)
-    while True:
-        last, e = e, stash(star(star(e, True), False), "edges")
+    while not _settled(e):
+        # edges that a large step repeats are as few as before it; the small one drops them
+        last, e = e, stash(star(star(e, True), False).distinct(), "edges")
         discard(last)
-        now = sign(e)
-        if now == before:
-            return e.select(F.col("a").alias("doc"), F.col("b").alias("class"))
-        before = now
+    return e.select(F.col("a").alias("doc"), F.col("b").alias("class"))
 
 
 def _pivots(member: DataFrame) -> DataFrame:
-    """Pairs (a < b) of each bucket's most central text and its others."""
-    sizes = member.groupBy("band").agg(F.count("*").alias("n"))
-    central = member.join(sizes, "band").groupBy("doc").agg(F.sum("n").alias("companions"))
+    """Pairs (a < b) of each bucket's most central text and its others, for the rows (doc,
+    band, n) of buckets of n texts."""
+    central = member.groupBy("doc").agg(F.sum("n").alias("companions"))
     known = member.join(central, "doc")
     pivot = known.groupBy("band").agg(F.min(F.struct((-F.col("companions")).alias("c"), "doc")).alias("least")).select("band", F.col("least.doc").alias("pivot"))
-    pairs = member.join(pivot, "band").filter("doc != pivot")
+    pairs = member.select("doc", "band").join(pivot, "band").filter("doc != pivot")
     return pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
 
 
@@ -248,9 +251,9 @@ def _unshared(sets: DataFrame) -> DataFrame:
     return once.groupBy("doc").agg(F.count("*").alias("alone"))
 
 
-def _across(sets: DataFrame, member: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _across(sets: DataFrame, member: DataFrame, classes: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a < b) across classes that the prefix filter lets pass, among the texts
-    of buckets with several classes."""
+    of buckets with several classes, without those of ``known``."""
     named = member.join(classes, "doc", "left").select("band", "doc", F.coalesce("class", "doc").alias("class"))
     mixed = named.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band")
     rest = stash(named.join(mixed, "band", "left_semi").select("doc", "class").distinct(), "rest")
@@ -282,7 +285,7 @@ def _across(sets: DataFrame, member: DataFrame, classes: DataFrame, threshold: f
     right = left.select("shingle", F.col("doc").alias("b"), F.col("class").alias("cb"), F.col("size").alias("nb"), F.col("open").alias("ob"))
     overlap = F.least("open", "ob")
     near = (F.col("doc") < F.col("b")) & (F.col("class") != F.col("cb")) & (overlap >= threshold * (F.col("size") + F.col("nb") - overlap) - 1e-9)
-    pairs = stash(left.join(right, "shingle").filter(near).select(F.col("doc").alias("a"), "b").distinct(), "across")
+    pairs = stash(left.join(right, "shingle").filter(near).select(F.col("doc").alias("a"), "b").distinct().join(known, ["a", "b"], "left_anti"), "across")
     discard(rest, every)
     return pairs
 
@@ -292,22 +295,19 @@ def classes_of(texts: DataFrame, first: DataFrame, threshold: float = THRESHOLD)
     """(doc, class) of the rows of ``texts`` (doc, text) that are linked to others.
     ``first`` has the documents (doc) to compare: one of each set of equal texts."""
     every = stash(_signed(texts), "signed")
-    signed = every.join(first, "doc", "left_semi")
-    banded = signed.select("doc", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("band")
-    member = stash(banded.join(shared, "band", "left_semi").distinct(), "buckets")
+    # one row a text, each band once, so that buckets count texts
+    signed = every.join(first, "doc", "left_semi").groupBy("doc").agg(F.flatten(F.collect_set("bands")).alias("bands"))
+    banded = signed.select("doc", F.explode(F.array_distinct("bands")).alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    member = stash(banded.join(shared, "band"), "buckets")
     discard(every)
     sets = stash(_sets(texts.join(member.select("doc").distinct(), "doc", "left_semi")), "sets")
     pivots = stash(_pivots(member), "candidates")
-    linked = stash(verify(pivots, sets, threshold), "links")
-    classes = components(linked)
-    across = _across(sets, member, classes, threshold)
-    rest = stash(across.join(pivots, ["a", "b"], "left_anti"), "candidates")
-    discard(across)
-    more = stash(verify(rest, sets, threshold), "links")
-    discard(member, pivots, sets, rest, linked)
-    found = components(more.unionAll(classes.select(F.col("doc").alias("a"), F.col("class").alias("b"))))
-    discard(more, classes)
+    classes = components(verify(pivots, sets, threshold))
+    across = _across(sets, member, classes, pivots, threshold)
+    discard(member, pivots)
+    found = components(verify(across, sets, threshold).unionAll(classes.select(F.col("doc").alias("a"), F.col("class").alias("b"))))
+    discard(sets, across, classes)
     return found
 
 

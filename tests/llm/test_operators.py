@@ -581,6 +581,25 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert ids[2] == ids[3] == ids[4] == ids[6] and ids[1] == ids[5] != ids[2] and 5 in ids and ids[0] is None
 
 
+def test_components(spark, monkeypatch):
+    """Edges that lead to the least node already are written once; longer ways are joined."""
+    written = []
+    monkeypatch.setattr(near_dup, "stash", lambda df, name, f=near_dup.stash: written.append(name) or f(df, name))
+    rng = random.Random(9)
+    stars = [(9 * k, 9 * k + j) for k in range(5) for j in range(1, 9)]
+    chain = [(i, i + 1) for i in range(100, 111)]
+    loose = [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    for edges, most in ((stars, 1), (stars + chain + loose, 9)):
+        least = {x: x for e in edges for x in e}
+        for _ in least:
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        written.clear()
+        got = near_dup.components(spark.createDataFrame(edges + edges[:3], "a bigint, b bigint")).collect()
+        assert sorted(map(tuple, got)) == sorted((x, m) for x, m in least.items() if x != m)
+        assert len(written) <= most
+
+
 def test_near_duplicates_empty(none):
     assert near_dup.near_duplicates(none).count() == 0
 
