@@ -14,7 +14,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from splicework.llm import bpe, chat, decontaminate, html_extract, lm, near_dup, quality, queries, sharding, suffix_dedup, url_filter
+import corpus_pipeline
+from splicework.llm import bpe, chat, decontaminate, html_extract, lm, near_dup, passages, quality, queries, sharding, suffix_dedup, url_filter
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n string, key string, node int, x int, g string, id int, doc int"
@@ -581,6 +582,47 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert ids[2] == ids[3] == ids[4] == ids[6] and ids[1] == ids[5] != ids[2] and 5 in ids and ids[0] is None
 
 
+def test_passages(spark):
+    """Passages of over 50 words go from every document that has them, shorter ones stay."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcde\u00e9", k=rng.choice([1, 4, 7])))
+    runs = [[word() for _ in range(n)] for n in (49, 50, 51, 52, 60, 110)]
+    rows = [(0, None), (1, ""), (2, "a b"), (3, " ".join(["x"] * 200))]
+    for k in range(4, 40):
+        parts = [[word() for _ in range(rng.randrange(60))] for _ in range(3)]
+        parts[1:1] = [r for r in rng.sample(runs, 2)]
+        rows.append((k, rng.choice(["", "\n"]) + "".join(w + rng.choice([" ", "\n", " \t"]) for p in parts for w in p)))
+    found, seen = {}, {}
+    for k, t in rows:
+        found[k] = list(re.finditer(r"[^\x20\x09-\x0D]+", t or ""))
+        for i in range(len(found[k]) - 50):
+            seen.setdefault(tuple(m[0] for m in found[k][i : i + 51]), set()).add(k)
+    want = {}
+    for k, t in rows:
+        gone = set()
+        for i in range(len(found[k]) - 50):
+            if len(seen[tuple(m[0] for m in found[k][i : i + 51])]) > 1:
+                gone |= set(range(found[k][i].start(), found[k][i + 50].end()))
+        want[k] = t and "".join(c for i, c in enumerate(t) if i not in gone)
+    assert sum(want[k] != t for k, t in rows) > 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["text"] for r in passages.remove_passages(docs).collect()} == want
+    assert passages.remove_passages(docs.filter("false")).count() == 0
+
+
+def test_pipeline_passages(spark, tmp_path):
+    """The stage also cuts passages of over 50 words that take under 400 bytes."""
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(n))
+    shared, ends = text(55), [(text(80), text(80)) for _ in range(3)]
+    assert len(shared) < 400
+    rows = [(k, f"{a} {shared} {b}" if k else f"{a} {b}", "en", "s", 0) for k, (a, b) in enumerate(ends)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/d")
+    got = corpus_pipeline.repeated_passages(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()
+    want = [f"{a}  {b}" if k else f"{a} {b}" for k, (a, b) in enumerate(ends)]
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got) == [(k, t, len(t)) for k, t in enumerate(want)]
+
+
 def test_components(spark, monkeypatch):
     """Edges that lead to the least node already are written once; longer ways are joined."""
     written = []
