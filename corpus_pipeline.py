@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicework.llm import bpe, decontaminate, near_dup, quality, suffix_dedup
+from splicework.llm import bpe, decontaminate, near_dup, passages, quality, suffix_dedup
 from splicework.llm.common import stash, table
 from splicework.llm.queries import tokenizer
 
@@ -55,9 +55,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur twice; the count of characters
+    """Documents without the byte strings that occur twice, and without what is then left of
+    passages of over 50 words that several documents have; the count of characters
     follows. A document that is nothing but repeats stays, with what is left."""
-    cut = suffix_dedup.remove_repeats(docs)
+    cut = passages.remove_passages(_row_named(suffix_dedup.remove_repeats(docs)), id_col=ROW)
     kind = docs.schema["n_chars"].dataType
     changed = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
     return cut.withColumn("n_chars", changed).select(*docs.columns)
