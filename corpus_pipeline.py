@@ -55,10 +55,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur twice, and without what is then left of
-    passages of over 50 words that several documents have; the count of characters
+    """Documents without the byte strings that occur twice and the passages of over 50 words
+    that several documents have, both of the texts as they come; the count of characters
     follows. A document that is nothing but repeats stays, with what is left."""
-    cut = passages.remove_passages(_row_named(suffix_dedup.remove_repeats(docs)), id_col=ROW)
+    numbered = _row_named(docs)
+    cut = suffix_dedup.remove_repeats(numbered, id_col=ROW, also=passages.passages(numbered, ROW, "text"))
     kind = docs.schema["n_chars"].dataType
     changed = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
     return cut.withColumn("n_chars", changed).select(*docs.columns)

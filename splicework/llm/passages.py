@@ -93,6 +93,7 @@ def _several(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo < hi").select(key)
 
 
+@small_batches
 def passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, spans): the bytes of windows that several documents have; spans may overlap."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("string").alias("text"))

@@ -520,8 +520,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 @small_batches
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated bytes cut from the texts (nulls stay null)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: DataFrame | None = None) -> DataFrame:
+    """``docs`` with the repeated bytes cut from the texts (nulls stay null), and the bytes
+    that ``also`` (row, spans: sorted) names for the rows of some ids."""
     r = repeats(docs, id_col, text_col)
     discard(r.held, r.rows)
 
@@ -531,6 +532,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     known = r.texts.join(r.spans, "node", "left").filter("n > 1 OR spans IS NOT NULL").select(F.col("key").alias(KEY), F.col("n").alias(f"{KEY}_n"), F.col("spans").alias(f"{KEY}_spans"))
     joined = docs.withColumn(KEY, text_key(F.col(text_col))).join(known, KEY, "left")
+    if also is not None:
+        more = also.select(F.col("row").alias(f"{KEY}_row"), F.col("spans").alias(f"{KEY}_also"))
+        joined = joined.join(more, F.col(id_col).cast("bigint") == F.col(f"{KEY}_row"), "left")
+        own, other = F.col(f"{KEY}_spans"), F.col(f"{KEY}_also")
+        joined = joined.withColumn(f"{KEY}_spans", F.coalesce(F.array_sort(F.concat(own, other)), own, other))
     whole = (F.col(f"{KEY}_n") > 1) & (F.octet_length(text_col) >= LENGTH)
     out = joined.withColumn(text_col, F.when(whole, F.lit("")).when(F.col(f"{KEY}_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(f"{KEY}_spans")))).select(*docs.columns)
     out = stash(out, "without-repeats")

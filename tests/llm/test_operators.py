@@ -617,9 +617,15 @@ def test_pipeline_passages(spark, tmp_path):
     shared, ends = text(55), [(text(80), text(80)) for _ in range(3)]
     assert len(shared) < 400
     rows = [(k, f"{a} {shared} {b}" if k else f"{a} {b}", "en", "s", 0) for k, (a, b) in enumerate(ends)]
+    # what is longer between some of them leaves nothing of the others' passages
+    short, rest = text(55), [text(80) for _ in range(3)]
+    long = f"{text(30)} {short}"
+    assert len(short) < 400 < len(long)
+    rows += [(k, f"{rest[k - 3]} {long if k < 5 else short}", "en", "s", 0) for k in (3, 4, 5)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/d")
     got = corpus_pipeline.repeated_passages(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()
-    want = [f"{a}  {b}" if k else f"{a} {b}" for k, (a, b) in enumerate(ends)]
+    want = [f"{a}  {b}" if k else f"{a} {b}" for k, (a, b) in enumerate(ends)] + [rest[0], rest[1], f"{rest[2]} "]
+    want[3:5] = [t.removesuffix(" ") for t in want[3:5]]
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got) == [(k, t, len(t)) for k, t in enumerate(want)]
 
 
