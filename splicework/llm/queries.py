@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, decontaminate, html_extract, lm, merkle, near_dup, quality, sharding, suffix_dedup, url_filter, warc
+from . import alignment, bpe, chat, decontaminate, html_extract, lm, merkle, near_dup, passages, quality, sharding, suffix_dedup, url_filter, warc
 from .common import table
 
 SHARDS = 8
@@ -57,7 +57,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+    """The contract's columns are of 400-byte strings; has_passages is of passages of over 50
+    words, which may take less."""
+    docs = table(spark, sf_dir, "documents")
+    return suffix_dedup.report(docs, also=passages.texts_with_passages(docs))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
 
 
+def text_number(key: Column) -> Column:
+    """A 64-bit number of the text with this key."""
+    return F.xxhash64(key)
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     start = np.arange(max(len(data) - GRAM + 1, 0))
     return span_hashes(data, start, start + GRAM)
@@ -490,9 +495,10 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 @small_batches
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: DataFrame | None = None) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, the digest of what is kept and whether anything was
-    removed, of every row."""
+    removed, of every row; and has_passages, whether ``also`` (row: ``text_number``, each
+    once) names its text."""
     r = repeats(docs, id_col, text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,6 +515,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     discard(r.held, r.spans)
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= LENGTH)
     known = r.texts.join(cut, "node", "left").select("key", "n", "removed", "spans", "sha")
+    more = []
+    if also is not None:
+        named = also.select(F.col("row"), F.lit(True).alias("named"))
+        known = known.join(named, text_number(F.col("key")) == F.col("row"), "left")
+        more = [F.coalesce("named", F.lit(False)).alias("has_passages")]
     return r.rows.join(known, "key").select(
         F.col("id").alias(id_col),
         "n_bytes",
@@ -516,6 +527,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", F.lower(F.hex("key")))).alias("kept_sha256"),
         (whole | F.coalesce(F.col("removed") > 0, F.lit(False))).alias("has_repeats"),
+        *more,
     )
 
 

@@ -610,6 +610,47 @@ def test_passages(spark):
     assert passages.remove_passages(docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("many", [2000, 3])
+def test_texts_with_passages(spark, tmp_path, monkeypatch, many):
+    """op7_suffix_dedup names the documents that share a passage of over 50 words, though it
+    takes under 400 bytes and nothing is removed; copies, repeated ids and batches."""
+    monkeypatch.setattr(passages, "MANY", many)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcde\u00e9", k=rng.choice([1, 4, 6])))
+    runs = [[word() for _ in range(n)] for n in (49, 50, 51, 52, 60)]
+    texts = [None, "", "a b", "a b", " ".join(["x"] * 200)]
+    for k in range(60):
+        parts = [[word() for _ in range(rng.randrange(60))] for _ in range(2)]
+        parts[1:1] = rng.sample(runs, 1) if k % 3 else []
+        texts.append("".join(w + rng.choice([" ", "\n", " \t"]) for p in parts for w in p))
+    texts += [texts[5], texts[5], texts[8], texts[-1]]
+    rows = [(k // 2, t) for k, t in enumerate(texts)]
+    seen, shares = {}, []
+    for k, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        shares.append([tuple(words[i : i + 51]) for i in range(len(words) - 50)])
+        for w in shares[-1]:
+            seen.setdefault(w, set()).add(k)
+    want = Counter((i, len((t or "").encode()), any(len(seen[w]) > 1 for w in ws)) for (i, t), ws in zip(rows, shares, strict=True))
+    for parts in (1, 7):
+        spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts).write.parquet(f"{tmp_path}/{parts}/documents.parquet")
+        got = queries.op7_suffix_dedup(spark, f"{tmp_path}/{parts}").collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["has_passages"]) for r in got) == want
+        assert sum(r["has_passages"] and not r["n_removed"] for r in got) > 10 < sum(not r["has_passages"] for r in got)
+    none = spark.createDataFrame(rows, "doc_id bigint, text string").filter("false")
+    assert passages.texts_with_passages(none).count() == 0
+
+
+def test_several_rows():
+    rng = np.random.default_rng(13)
+    for n in range(30):
+        name, row = rng.integers(0, 12, n), rng.integers(0, 5, n)
+        met, once = passages.several_rows(name, row)
+        held = {k: set(row[name == k].tolist()) for k in name.tolist()}
+        assert set(met.tolist()) == {r for v in held.values() if len(v) > 1 for r in v}
+        assert name[once].tolist() == sorted(held)
+
+
 def test_pipeline_passages(spark, tmp_path):
     """The stage also cuts passages of over 50 words that take under 400 bytes."""
     rng = random.Random(11)
