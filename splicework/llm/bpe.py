@@ -2,17 +2,18 @@
 
 1. Texts are cut into pre-tokens (matches of a pattern). A chunk of texts becomes a
    dictionary of its distinct pre-tokens and, for each position, a dictionary slot.
-2. The dictionaries are exploded by word: rows (bucket of the word, chunk, words,
-   slots) are shuffled by bucket, where each distinct word is encoded once for all
-   chunks that have it.
-3. The ids are joined back to their chunks, and each chunk's texts are reassembled
-   by position. Decoding joins ids with the token-byte table.
+2. One shuffle deals out both: the dictionaries by word (rows of a bucket of words, its
+   words and slots), the positions by chunk. In a bucket each distinct word is encoded
+   once for all chunks that have it.
+3. The ids are shuffled to their chunks, which meet the positions where these are, and
+   each chunk's texts are reassembled by position. Decoding joins ids with the
+   token-byte table.
 
 A chunk has at most CHUNK_BYTES of text (or is one longer text), so memory doesn't
-follow the input; a word that every text has is one entry in each chunk. Chunks are
-made twice, once for their words and once for their positions, rather than written:
-the input must give the same rows in the same order when it is read again, as files
-do. A signature of the dictionary is compared where both meet.
+follow the input; a word that every text has is one entry in each chunk. Steps 2 and 3
+read the same shuffle, so texts are cut once. Where Spark makes its files anew (reuse of
+exchanges is off, an executor is lost), the input must give the same rows in the same
+order, as files do. A signature of the dictionary is compared where both meet.
 
 Defined cases: a null text is encoded as the empty text: no tokens, and decodes to no
 bytes; text is ordinary text, special tokens don't exist; repeated rows give rows each;
@@ -24,11 +25,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +41,7 @@ from .common import buckets_for, small_batches, stash
 CHUNK_BYTES = 16 << 20
 #: Words up to this many bytes are merged by scanning, longer ones with a heap.
 SCANNED_BYTES = 48
+AGAIN = "the input gave other rows when it was read again; write it to files first"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -87,15 +91,23 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if end[i]]
 
 
+class _Slots(dict):
+    """Numbers keys from 0 as they come."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Chunk:
     """Distinct words, the most frequent first, and each position's slot."""
 
     def __init__(self, texts: list[bytes | None], split: Callable[[str], list[str]]):
-        slot: dict[str, int] = {}
+        slot = _Slots()
         parts = []
         for t in texts:
             words = split((t or b"").decode())
-            parts.append(np.fromiter((slot.setdefault(w, len(slot)) for w in words), np.uint32, len(words)))
+            parts.append(np.fromiter(map(slot.__getitem__, words), np.uint32, len(words)))
         self.sizes = np.array([len(p) for p in parts], np.int64)
         found = np.concatenate(parts)
         order = np.argsort(-np.bincount(found, minlength=len(slot)), kind="stable")
@@ -138,98 +150,100 @@ def _numbered(batches: Iterator[pa.RecordBatch], pattern: str, chunk_bytes: int)
         yield k, ids, Chunk(texts, split)
 
 
-_GROUPED = "chunk bigint, signature bigint, ids array<bigint>, sizes binary, slots binary, lengths binary, tokens binary"
+def _chained(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each first one on, n of each, one run after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _chunks(picked: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
-    """The chunks' documents and positions."""
+#: A chunk's positions have a key under 0 (its own) and ids; a bucket's words have the bucket.
+_CUT = "key bigint, signature bigint, chunk bigint, ids array<bigint>, sizes binary, slots binary, words binary"
+_IDS = "key bigint, signature bigint, slots binary, lengths binary, tokens binary"
+_IDS_ARROW = pa.schema([("key", pa.int64()), ("signature", pa.int64()), ("slots", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary())])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, ids, c in _numbered(batches, pattern, chunk_bytes):
-            yield pa.RecordBatch.from_pydict(
-                {"chunk": [k], "signature": [c.signature], "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": [_pack(c.sizes)], "slots": [_pack(c.slots)], "lengths": pa.array([None], pa.binary()), "tokens": pa.array([None], pa.binary())}
-            )
 
-    return picked.mapInArrow(rows, _GROUPED)
+def _cut(picked: DataFrame, pattern: str, chunk_bytes: int, buckets: int) -> DataFrame:
+    """The chunks' documents and positions, and their dictionaries by bucket of the word."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        names = ["key", "signature", "chunk", "ids", "sizes", "slots", "words"]
 
-def _words(picked: DataFrame, pattern: str, chunk_bytes: int, buckets: int) -> DataFrame:
-    """(bucket, chunk, words, their slots): the dictionaries by bucket of the word."""
+        def batch(*columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, _, c in _numbered(batches, pattern, chunk_bytes):
+        for k, ids, c in _numbered(batches, pattern, chunk_bytes):
+            yield batch([-1 - k], [c.signature], [k], [ids], [_pack(c.sizes)], [_pack(c.slots)], [None])
             bucket = np.fromiter(map(zlib.crc32, c.words), np.int64, len(c.words)) % buckets
             order = np.argsort(bucket, kind="stable")
             named, first = np.unique(bucket[order], return_index=True)
-            size = np.diff(np.append(first, len(order)))
-            words = pa.array(c.words, pa.binary()).take(pa.array(order))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": named.astype(np.int32),
-                    "chunk": pa.array([k] * len(named), pa.int64()),
-                    "signature": pa.array([c.signature] * len(named), pa.int64()),
-                    "slots": [_pack(order[a : a + n]) for a, n in zip(first, size, strict=True)],
-                    "words": pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), words),
-                }
-            )
-
-    return picked.mapInArrow(rows, "bucket int, chunk bigint, signature bigint, slots binary, words array<binary>")
-
-
-def _assembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Callable, schema: str, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """``finish(doc ids, token counts, all tokens)`` of every chunk."""
+            length = np.fromiter(map(len, c.words), np.int64, len(c.words))[order]
+            ends = [(a, b) for a, b in zip(first, np.append(first[1:], len(order)), strict=True)]
+            words = [pa.compress(b"".join([c.words[i] for i in order[a:b]]), "zstd", asbytes=True) for a, b in ends]
+            m = len(named)
+            yield batch(named, [c.signature] * m, [k] * m, [None] * m, [_pack(length[a:b]) for a, b in ends], [_pack(order[a:b]) for a, b in ends], words)
+
+    return picked.mapInArrow(rows, _CUT)
+
+
+def _assembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Callable, schema: str, kind: pa.Schema, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """``finish(doc ids, token counts, all tokens)`` of every chunk; ``kind``: its Arrow schema."""
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sent = spark.sparkContext.broadcast(ranks)
 
     def encode(table: pa.Table) -> pa.Table:
-        known: dict[bytes, list[int]] = {}
+        if table.column("words").null_count:
+            return _IDS_ARROW.empty_table()
+        sizes = [_unpack(x) for x in table.column("sizes").to_pylist()]
+        joined = b"".join(pa.decompress(x, int(n.sum()), "zstd", asbytes=True) for x, n in zip(table.column("words").to_pylist(), sizes, strict=True))
+        offsets = np.concatenate([[0], *sizes]).cumsum()
+        words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        own = [encode_word(w, sent.value) for w in words.dictionary.to_pylist()]
+        length = np.fromiter(map(len, own), np.int64, len(own))
+        first = np.cumsum(length) - length
+        flat = np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(length.sum()))
         lengths, tokens = [], []
-        for words in table.column("words").to_pylist():
-            own = []
-            for w in words:
-                if (ids := known.get(w)) is None:
-                    ids = known[w] = encode_word(w, sent.value)
-                own.append(ids)
-            lengths.append(_pack(np.fromiter(map(len, own), np.uint32, len(own))))
-            tokens.append(_pack(np.array([i for x in own for i in x], np.uint32)))
-        n = len(table)
-        return pa.table(
-            {"chunk": table.column("chunk"), "signature": table.column("signature"), "ids": pa.nulls(n, pa.list_(pa.int64())), "sizes": pa.nulls(n, pa.binary()), "slots": table.column("slots"), "lengths": pa.array(lengths, pa.binary()), "tokens": pa.array(tokens, pa.binary())}
-        )
-
-    def assemble(table: pa.Table) -> pa.Table:
-        if len(set(table.column("signature").to_pylist())) > 1:
-            raise ValueError("the input gave other rows when it was read again; write it to files first")
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["ids"] is not None)
-        parts = [(_unpack(r["slots"]), _unpack(r["lengths"]).astype(np.int64), _unpack(r["tokens"])) for r in rows if r["ids"] is None]
+        for which in np.split(words.indices.to_numpy(), np.cumsum([len(n) for n in sizes])[:-1]):
+            lengths.append(_pack(length[which]))
+            tokens.append(_pack(flat[_chained(first[which], length[which])]))
+        key = pc.subtract(-1, table.column("chunk"))
+        return pa.table([key, table.column("signature"), table.column("slots"), pa.array(lengths, pa.binary()), pa.array(tokens, pa.binary())], schema=_IDS_ARROW)
+
+    def assemble(chunk: pa.Table, ids: pa.Table) -> pa.Table:
+        if not len(chunk) or chunk.column("words").null_count == 0:
+            if len(ids):
+                raise ValueError(AGAIN)
+            return kind.empty_table()
+        (head,) = chunk.to_pylist()
+        if set(ids.column("signature").to_pylist()) - {head["signature"]}:
+            raise ValueError(AGAIN)
+        parts = [(_unpack(r["slots"]), _unpack(r["lengths"]).astype(np.int64), _unpack(r["tokens"])) for r in ids.to_pylist()]
         slots, at = _unpack(head["slots"]), _unpack(head["sizes"]).astype(np.int64)
-        length, first = np.zeros(sum(len(p[0]) for p in parts), np.int64), None
+        length = np.zeros(sum(len(p[0]) for p in parts), np.int64)
         first, base = np.zeros_like(length), 0
-        for where, n, ids in parts:
+        for where, n, tokens in parts:
             length[where], first[where] = n, base + np.cumsum(n) - n
-            base += len(ids)
+            base += len(tokens)
         table_of = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
         n = length[slots]
-        run = np.cumsum(n) - n
-        flat = table_of[np.repeat(first[slots] - run, n) + np.arange(int(n.sum()))]
+        flat = table_of[_chained(first[slots], n)]
         total = np.concatenate([[0], np.cumsum(n)])
         return finish(pa.array(head["ids"], pa.int64()), np.diff(total[np.concatenate([[0], np.cumsum(at)])]), flat)
 
-    words = _words(picked, pattern, chunk_bytes, buckets_for(picked, "text"))
-    encoded = words.groupBy("bucket").applyInArrow(encode, _GROUPED)
-    return _chunks(picked, pattern, chunk_bytes).unionAll(encoded).groupBy("chunk").applyInArrow(assemble, schema)
+    cut = _cut(picked, pattern, chunk_bytes, buckets_for(picked, "text")).repartition("key").groupBy("key")
+    return cut.cogroup(cut.applyInArrow(encode, _IDS).groupBy("key")).applyInArrow(assemble, schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id and tokens (array of int) of every row."""
 
+    kind = pa.schema([(id_col, pa.int64()), ("tokens", pa.list_(pa.int32()))])
+
     def finish(ids: pa.Array, counts: np.ndarray, flat: np.ndarray) -> pa.Table:
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        return pa.table({id_col: ids, "tokens": pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))})
+        return pa.table([ids, pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))], schema=kind)
 
-    return _assembled(docs, ranks, pattern, finish, f"`{id_col}` bigint, tokens array<int>", id_col, text_col, chunk_bytes)
+    return _assembled(docs, ranks, pattern, finish, f"`{id_col}` bigint, tokens array<int>", kind, id_col, text_col, chunk_bytes)
 
 
 def token_table(ranks: dict[bytes, int]) -> pa.Array:
@@ -274,6 +288,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], tokens_col: str = "token
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id, number of tokens, and digests of the ids and of what they decode to."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    kind = pa.schema([(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def finish(ids: pa.Array, counts: np.ndarray, flat: np.ndarray) -> pa.Table:
         names = np.array([b"%d" % i for i in range(max(sent.value.values()) + 1)], object)
@@ -284,7 +299,8 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
                 "n_tokens": counts,
                 "ids_sha256": [hashlib.sha256(b" ".join(names[flat[b - n : b]])).hexdigest() for b, n in zip(ends, counts, strict=True)],
                 "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in _joined(flat, counts, token_table(sent.value))],
-            }
+            },
+            schema=kind,
         )
 
-    return stash(_assembled(docs, ranks, pattern, finish, f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col, text_col, chunk_bytes), "digests")
+    return stash(_assembled(docs, ranks, pattern, finish, f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", kind, id_col, text_col, chunk_bytes), "digests")

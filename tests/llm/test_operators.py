@@ -225,6 +225,27 @@ def test_bpe_words(tokenizer):
         assert bpe.encode_word(word, ranks) == want._encode_single_piece(word)
 
 
+def test_bpe_cut_once(spark, tokenizer):
+    """Texts are read twice, for their sizes and to be cut, and never cut again."""
+    import tiktoken
+
+    ranks, pattern = tokenizer
+    want = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = {i: (None, "", " \n \n", f"it's  word{i % 7} \u00e9\U0001f600{'q' * i}\x00 the the")[i % 4] for i in range(60)}
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3).mapInArrow(counted, "doc_id bigint, text string")
+    got = bpe.digests(docs, ranks, pattern, chunk_bytes=100).collect()
+    ids = {i: want.encode_ordinary(t or "") for i, t in texts.items()}
+    assert sorted(map(tuple, got)) == [(i, len(ids[i]), sha(" ".join(map(str, ids[i]))), sha(t or "")) for i, t in sorted(texts.items())]
+    assert read.value == 2 * len(texts)
+
+
 def test_bpe_empty(none, tokenizer):
     assert bpe.digests(none, *tokenizer).count() == 0
 
