@@ -7,11 +7,14 @@ each transcript.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Sequence
+from functools import lru_cache, reduce
+from operator import and_, or_
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from ..session import cut_lineage
+from pyspark.sql.functions import arrow_udf
 
 
 def incidence(factors: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,85 +29,86 @@ def essential_windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return uses.join(alternatives, [*keys, "tid"]).filter("uses = n_alts").select(*keys, "window").distinct()
 
 
-def reduce_problem(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(used windows, what is left) at the fixpoint: windows in all alternatives of a
-    transcript are used; transcripts with an alternative of used windows only are done;
-    used windows leave the other alternatives. Nothing is left of a done transcript."""
-    used, left, before = None, rows, -1
-    while True:
-        fresh = essential_windows(left, keys)
-        used = cut_lineage(fresh if used is None else used.unionByName(fresh).distinct())
-        flag = used.withColumn("_used", F.lit(1))
-        alternatives = left.join(flag, [*keys, "window"], "left").groupBy(*keys, "tid", "alt").agg(F.count("*").alias("n"), F.count("_used").alias("covered"))
-        done = alternatives.filter("n = covered").select(*keys, "tid").distinct()
-        left = cut_lineage(left.join(done, [*keys, "tid"], "left_anti"))
-        n = used.count()
-        if n == before:
-            return used, left.join(used, [*keys, "window"], "left_anti")
-        before = n
-
-
-def _search(options: list[list[frozenset]]) -> list:
+@lru_cache(maxsize=1 << 14)
+def _search(options: Iterable[Sequence[int]]) -> int:
     """The least set of windows that holds an alternative of each transcript; of equally
-    small ones the first in order. Branch and bound: the transcript with the fewest ways
-    left is decided first, and transcripts whose ways share no window add up to a bound."""
+    small ones the first in order. Sets of windows are bits of a number, the first window
+    the lowest. Windows that all alternatives of a transcript use are taken first, and what
+    is left is searched. Branch and bound: the transcript with the fewest ways left is
+    decided first, and transcripts whose ways share no window add up to a bound."""
 
-    def missing(have: frozenset, allowed) -> list[set[frozenset]] | None:
+    def missing(ways_of: Iterable[Sequence[int]], have: int, allowed: int) -> list[list[int]] | None:
         """What each open transcript may still add; None if one can't be held."""
         out = []
-        for ways in options:
-            left = {w - have for w in ways}
-            if frozenset() in left:
+        for ways in ways_of:
+            left = sorted({w & ~have for w in ways}, key=lambda w: (w.bit_count(), w))
+            if not left[0]:
                 continue
-            left = {w for w in left if allowed is None or all(x in have or x >= allowed for x in w)}
-            if not left:
+            least: list[int] = []
+            for w in left:
+                if not w & ~allowed and all(v & ~w for v in least):
+                    least.append(w)
+            if not least:
                 return None
-            out.append({w for w in left if not any(v < w for v in left)})
+            out.append(least)
         return out
 
-    def bound(open_: list[set[frozenset]]) -> int:
-        seen, total = set(), 0
-        for ways in sorted(open_, key=lambda x: -min(map(len, x))):
-            windows = frozenset().union(*ways)
+    def bound(open_: list[list[int]]) -> int:
+        seen, total = 0, 0
+        for ways in sorted(open_, key=lambda x: -x[0].bit_count()):
+            windows = reduce(or_, ways)
             if not windows & seen:
                 seen |= windows
-                total += min(map(len, ways))
+                total += ways[0].bit_count()
         return total
 
-    def possible(have: frozenset, allowed, most: int) -> bool:
-        open_ = missing(have, allowed)
+    def possible(have: int, allowed: int, most: int) -> bool:
+        open_ = missing(left, have, allowed)
         if open_ is None:
             return False
         if not open_:
-            return len(have) <= most
-        if len(have) + bound(open_) > most:
+            return have.bit_count() <= most
+        if have.bit_count() + bound(open_) > most:
             return False
-        return any(possible(have | w, allowed, most) for w in sorted(min(open_, key=len), key=len))
-
-    size = bound(missing(frozenset(), None) or [])
-    while not possible(frozenset(), None, size):
+        return any(possible(have | w, allowed, most) for w in min(open_, key=len))
+
+    have, left = 0, missing(options, 0, -1) or []
+    while needed := reduce(or_, (reduce(and_, ways) for ways in left), 0):
+        have, left = have | needed, missing(left, needed, -1) or []
+    if not left:
+        return have
+    every, size = reduce(or_, (w for ways in left for w in ways)), bound(left)
+    while not possible(0, -1, size):
         size += 1
-    have: frozenset = frozenset()
-    for w in sorted(frozenset().union(*(x for ways in options for x in ways))):
-        if len(have) < size and possible(have | {w}, w, size):
-            have |= {w}
-    return sorted(have)
+    found = 0
+    while every and found.bit_count() < size:
+        low = every & -every
+        every ^= low
+        if possible(found | low, -low, size):
+            found |= low
+    return have | found
 
 
 def minimum_cover(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, window, status): the exact least cover of each key (G05), whatever its size.
-    The reduction runs as joins; only what it leaves is searched, key by key: the
-    alternatives of one locus."""
-    used, left = reduce_problem(rows, keys)
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        ways = [[frozenset(a["window"]) for _, a in t.groupby("alt")] for _, t in part.groupby("tid")]
-        head = {k: part[k].iloc[0] for k in keys}
-        return pd.DataFrame({"window": _search(ways)}).assign(status="exact", **head)[[*keys, "window", "status"]]
-
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keys, "window"))
-    searched = left.groupBy(*keys).applyInPandas(solve, f"{kinds}, status string")
-    return used.withColumn("status", F.lit("exact")).unionByName(searched)
+    Equal alternatives of a transcript and transcripts with equal alternatives are one; a
+    key's problem is one row, and many are solved in a call, equal ones once in a row."""
+    kind = rows.schema["window"].dataType.simpleString()
+    ways = rows.groupBy(*keys, "tid", "alt").agg(F.array_sort(F.collect_set("window")).alias("ways"))
+    options = ways.groupBy(*keys, "tid").agg(F.array_sort(F.collect_set("ways")).alias("ways"))
+    problems = options.groupBy(*keys).agg(F.collect_set("ways").alias("options"))
+
+    def cover(options: list[list[list]]) -> list:
+        windows = sorted({w for ways in options for way in ways for w in way})
+        bit = {w: 1 << i for i, w in enumerate(windows)}
+        have = _search(frozenset(frozenset(sum(map(bit.__getitem__, way)) for way in ways) for ways in options))
+        return [w for w in windows if have & bit[w]]
+
+    @arrow_udf(f"array<{kind}>")
+    def solve(options: pa.Array) -> pa.Array:
+        return pa.array([cover(x) for x in options.to_pylist()], pa.list_(options.type.value_type.value_type.value_type))
+
+    return problems.select(*keys, F.explode(solve("options")).alias("window"), F.lit("exact").alias("status"))
 
 
 def chosen_alternative(rows: DataFrame, cover: DataFrame, keys: list[str]) -> DataFrame:
