@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 
 def statistics(vertices: DataFrame, edge_rows: DataFrame, keys: Sequence[str], length: str = "l") -> DataFrame:
@@ -77,25 +77,25 @@ def contract_short(edge_rows: DataFrame, keys: Sequence[str], most: int = 3) ->
     return near.select(*keys, F.col("p1").alias("p"), F.col("t1").alias("t"), F.greatest(F.col("l1"), F.col("p2") + F.col("l2") - F.col("p1")).alias("l"))
 
 
-def paths(edge_rows: DataFrame, keys: Sequence[str], most: int = 10_000_000) -> DataFrame:
-    """Every maximal path from a source to a sink (G03, G11): (keys, path array). Each
-    round adds a vertex to all open paths, as one join. More than ``most`` open paths
-    raise an error rather than being cut off."""
+def paths(edge_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every maximal path from a source to a sink (G03, G11): (keys, path array), however
+    many there are. Each round adds a vertex to all open paths, as one join, and is written
+    as a table; whether an edge leads to a sink is known before, so that ended paths take
+    no part in further joins."""
     kind = edge_rows.schema["src"].dataType
+    every = written(edge_rows.select(*keys, F.col("src").alias("_last"), F.col("dst").cast(kind).alias("_next")).distinct())
+    leaves = every.select(*keys, F.col("_last").alias("_next"), F.lit(False).alias("_ends")).distinct()
+    ahead = written(every.join(leaves, [*keys, "_next"], "left").withColumn("_ends", F.coalesce("_ends", F.lit(True))))
     open_ = sources(edge_rows, keys).select(*keys, F.array(F.col("node").cast(kind)).alias("path"))
-    ahead = edge_rows.select(*keys, F.col("src").alias("_last"), F.col("dst").alias("_next")).distinct()
     done = None
     while True:
-        grown = open_.withColumn("_last", F.element_at("path", -1)).join(ahead, [*keys, "_last"], "left")
-        grown = cut_lineage(grown.select(*keys, "path", "_next"))
-        ended = grown.filter("_next IS NULL").select(*keys, "path")
+        grown = open_.withColumn("_last", F.element_at("path", -1)).join(ahead, [*keys, "_last"])
+        grown = written(grown.select(*keys, F.concat("path", F.array("_next")).alias("path"), "_ends"), "_ends")
+        ended = grown.filter("_ends").select(*keys, "path")
         done = ended if done is None else done.unionByName(ended)
-        open_ = grown.filter("_next IS NOT NULL").select(*keys, F.concat("path", F.array("_next")).alias("path"))
-        n = open_.count()
-        if not n:
+        open_ = grown.filter("NOT _ends").select(*keys, "path")
+        if open_.isEmpty():
             return done
-        if n > most:
-            raise ValueError(f"{n} open paths; at most {most} are allowed")
 
 
 def topological_level(edge_rows: DataFrame, keys: Sequence[str]) -> DataFrame:

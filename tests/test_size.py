@@ -1,9 +1,10 @@
 """What keeps queries within their limits on large tables: plans without a call for each
 group, nothing written or compared more often than it must be, no bounds on results."""
 
+import inspect
 import random
 
-from splicework.operators import cover
+from splicework.operators import cover, graphs
 
 
 def plan(frame):
@@ -26,3 +27,16 @@ def test_covers_are_searched_in_batches(spark):
         # the least one, of equals the first in order
         best = min(fits, key=lambda c: (c.bit_count(), [i for i in range(7) if c >> i & 1]))
         assert sorted(got[k]) == ["abcdefg"[i] for i in range(7) if best >> i & 1]
+
+
+def test_paths_have_no_bound(spark):
+    assert list(inspect.signature(graphs.paths).parameters) == ["edge_rows", "keys"]
+    # six diamonds in a row have 64 paths, and an edge of its own one
+    edges = [(1, 3 * i, 3 * i + k) for i in range(6) for k in (1, 2)] + [(1, 3 * i + k, 3 * i + 3) for i in range(6) for k in (1, 2)] + [(2, 5, 7)]
+    frame = spark.createDataFrame(edges, "k int, src bigint, dst bigint")
+    got = sorted((r["k"], tuple(r["path"])) for r in graphs.paths(frame, ["k"]).collect())
+    want = {(0,)}
+    for i in range(6):
+        want = {(*p, 3 * i + k, 3 * i + 3) for p in want for k in (1, 2)}
+    assert got == sorted([(1, p) for p in want] + [(2, (5, 7))])
+    assert graphs.paths(frame.limit(0), ["k"]).collect() == []
