@@ -4,7 +4,7 @@ group, nothing written or compared more often than it must be, no bounds on resu
 import inspect
 import random
 
-from splicework.operators import cover, graphs
+from splicework.operators import cover, graphs, isoforms
 
 
 def plan(frame):
@@ -40,3 +40,20 @@ def test_paths_have_no_bound(spark):
         want = {(*p, 3 * i + k, 3 * i + 3) for p in want for k in (1, 2)}
     assert got == sorted([(1, p) for p in want] + [(2, (5, 7))])
     assert graphs.paths(frame.limit(0), ["k"]).collect() == []
+
+
+def copies(spark):
+    """Two chains of many copies, and one that the second extends; 9 lies in the first."""
+    of = {1: [(10, 20), (40, 50), (70, 80)], 2: [(42, 50), (70, 80), (100, 120)], 9: [(12, 20), (40, 48)]}
+    rows = [(7, tid, i + 1, s, e) for tid in range(1, 30) for i, (s, e) in enumerate(of[9] if tid == 9 else of[1 + tid % 2])]
+    return spark.createDataFrame(rows, "locus int, tid int, ord int, gen_start int, gen_end int")
+
+
+def test_equal_chains_are_compared_once(spark):
+    one, members = isoforms.shapes(isoforms.exon_arrays(copies(spark), ["locus"]), ["locus"])
+    assert sorted(r["tid"] for r in one.collect()) == [1, 2, 9]
+    assert sorted((r["shape"], r["tid"]) for r in members.collect()) == sorted((9 if t == 9 else 1 if t % 2 else 2, t) for t in range(1, 30))
+    got = {(r["tid1"], r["tid2"], r["at"], r["relation"]) for r in isoforms.chain_pairs(copies(spark), ["locus"]).collect()}
+    want = {(a, b, 0, "included") for a in range(1, 30) for b in range(1, 30) if a != b and a != 9 and b != 9 and a % 2 == b % 2}
+    want |= {(a, b, 1, "extends") for a in range(1, 30, 2) if a != 9 for b in range(2, 30, 2)} | {(9, b, 0, "included") for b in range(2, 30, 2)}
+    assert got == want
