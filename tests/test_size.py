@@ -57,3 +57,10 @@ def test_equal_chains_are_compared_once(spark):
     want = {(a, b, 0, "included") for a in range(1, 30) for b in range(1, 30) if a != b and a != 9 and b != 9 and a % 2 == b % 2}
     want |= {(a, b, 1, "extends") for a in range(1, 30, 2) if a != 9 for b in range(2, 30, 2)} | {(9, b, 0, "included") for b in range(2, 30, 2)}
     assert got == want
+
+
+def test_contained_copies_are_compared_once(spark):
+    left = isoforms.without_contained(copies(spark), ["locus"])
+    # the different chains, written once
+    assert "Scan parquet" in plan(left)
+    assert sorted(r["tid"] for r in left.collect()) == [1, 2]
