@@ -4,7 +4,9 @@ group, nothing written or compared more often than it must be, no bounds on resu
 import inspect
 import random
 
-from splicework.operators import cover, graphs, isoforms
+import pytest
+
+from splicework.operators import cover, graphs, isoforms, seeds
 
 
 def plan(frame):
@@ -64,3 +66,29 @@ def test_contained_copies_are_compared_once(spark):
     # the different chains, written once
     assert "Scan parquet" in plan(left)
     assert sorted(r["tid"] for r in left.collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("letters", ["ACGT", "A*", "AC#N", "ab\u00e9\U0001f600"])
+def test_matches_of_two_texts(monkeypatch, letters):
+    monkeypatch.setattr(seeds, "HITS", 5)
+    rng = random.Random(letters)
+    for _ in range(40):
+        k = rng.randint(1, 4)
+        a, b = ("".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in "ab")
+        fine = lambda p, t, l: a[p : p + l] == b[t : t + l] and len(a[p : p + l]) == l and not set(a[p : p + l]) & set("*#")  # noqa: B023, E731
+        want = set()
+        for p in range(len(a)):
+            for t in range(len(b)):
+                if not (p and t and fine(p - 1, t - 1, 1)):
+                    l = max((x for x in range(len(a) + 1) if fine(p, t, x)), default=0)
+                    want |= {(p, t, l)} if l >= k else set()
+        got = list(zip(*seeds.exact_matches(a, b, k).tolist(), strict=True))
+        assert sorted(got) == sorted(want)
+
+
+def test_seeds_shuffle_texts_only(spark):
+    text = "ACGTACGTTTACG"
+    frame = lambda c: spark.createDataFrame([(1, 5, text), (2, 6, None)], f"g int, {c} int, seq string")
+    found = seeds.seed_matches(frame("est_id"), frame("gen_id"), ["g"], 4)
+    assert "kmer" not in plan(found)
+    assert (0, 0, len(text)) in {(r["p"], r["t"], r["l"]) for r in found.collect()}
