@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.sequence import allowed_errors, dust_scores
 from ..session import computed_once
@@ -135,12 +137,13 @@ def without_contained_alignments(rows: DataFrame, ids: Sequence[str], site: int
     """Alignments of each transcript that no other one covers (P09), in their order:
     an equal one widens the outer ends of the one that stays, a contained one goes, and
     one that contains another takes its place. ``rows`` has ids, fact_no and exons, an
-    array of structs (gen_start, gen_end); a transcript has few alignments."""
+    array of structs (gen_start, gen_end); a transcript has few alignments, which are one
+    row, and many transcripts are solved in a call."""
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
+    def alone(facts: list[dict]) -> list[dict]:
         kept: list[list] = []
-        for no, exons in sorted(zip(part["fact_no"], part["exons"], strict=True), key=lambda x: x[0]):
-            new, place = [[e["gen_start"], e["gen_end"]] for e in exons], None
+        for fact in facts:
+            no, new, place = fact["fact_no"], [[e["gen_start"], e["gen_end"]] for e in fact["exons"]], None
             for old in list(kept):
                 how = _relation(old[1], new, site, out)
                 if how == "equal":
@@ -152,10 +155,16 @@ def without_contained_alignments(rows: DataFrame, ids: Sequence[str], site: int
                     kept.remove(old)
             if place is None:
                 kept.append([no, new])
-        head = {c: part[c].iloc[0] for c in ids}
-        return pd.DataFrame([{**head, "fact_no": no, "exons": [{"gen_start": s, "gen_end": e} for s, e in x]} for no, x in kept])
+        return [{"fact_no": no, "exons": [{"gen_start": s, "gen_end": e} for s, e in x]} for no, x in kept]
 
-    return rows.select(*ids, "fact_no", "exons").groupBy(*ids).applyInPandas(solve, rows.select(*ids, "fact_no", "exons").schema)
+    kinds = rows.select("fact_no", "exons").schema
+
+    @arrow_udf(f"array<{kinds.simpleString()}>")
+    def solve(transcripts: pa.Array) -> pa.Array:
+        return pa.array([alone(x) for x in transcripts.to_pylist()], transcripts.type)
+
+    gathered = rows.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("fact_no", "exons"))).alias("_all"))
+    return gathered.select(*ids, F.explode(solve("_all")).alias("_x")).select(*ids, "_x.fact_no", "_x.exons")
 
 
 def polya_flags(uses: DataFrame, keys: Sequence[str]) -> DataFrame:

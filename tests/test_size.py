@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from splicework.operators import cover, graphs, isoforms, seeds
+from splicework.operators import cover, graphs, isoforms, refine, seeds
 
 
 def plan(frame):
@@ -92,3 +92,12 @@ def test_seeds_shuffle_texts_only(spark):
     found = seeds.seed_matches(frame("est_id"), frame("gen_id"), ["g"], 4)
     assert "kmer" not in plan(found)
     assert (0, 0, len(text)) in {(r["p"], r["t"], r["l"]) for r in found.collect()}
+
+
+def test_transcripts_are_solved_in_batches(spark):
+    rows = [(t, no, [(10 + no, 20), (40, 50 - no)]) for t in range(50) for no in range(3)] + [(50, 0, [(1, 5)]), (50, 1, [(1, 9)])]
+    frame = spark.createDataFrame(rows, "est int, fact_no int, exons array<struct<gen_start: int, gen_end: int>>")
+    kept = refine.without_contained_alignments(frame, ["est"])
+    assert "FlatMapGroups" not in plan(kept)
+    got = {r["est"]: (r["fact_no"], [tuple(e) for e in r["exons"]]) for r in kept.collect()}
+    assert got == {t: (0, [(10, 20), (40, 50)]) for t in range(50)} | {50: (1, [(1, 9)])}
