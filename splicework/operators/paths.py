@@ -93,12 +93,18 @@ def with_cuts(edge_rows: DataFrame, genome: DataFrame, on: Sequence[str], least:
     """Edges (p1, t1, l1, p2, t2, l2) with ``cuts``: the frequency of the splice pattern at
     each place where their overlap on the transcript may be cut. ``genome`` has ``on`` and seq."""
     low, high = F.greatest(F.col("p1") + least, F.col("p2")), F.least(F.col("p2") + F.col("l2") - least, F.col("p1") + F.col("l1"))
-    donor = lambda c: F.substring("_g", (c - F.col("p1") + F.col("t1") + 1).cast("int"), F.lit(2))
-    acceptor = lambda c: F.substring("_g", (c - F.col("p2") + F.col("t2") - 1).cast("int"), F.lit(2))
-    here = lambda c: F.when(c - F.col("p2") + F.col("t2") >= 2, pattern_frequency(donor(c), acceptor(c))).otherwise(0).cast("int")
     overlap = (F.col("p2") < F.col("p1") + F.col("l1")) & (low <= high)
-    cuts = F.when(overlap, F.transform(F.sequence(low, F.greatest(high, low)), here)).otherwise(F.array().cast("array<int>"))
-    return edge_rows.join(genome.select(*on, F.col("seq").alias("_g")), list(on)).withColumn("cuts", cuts).drop("_g")
+    # the pieces of the genome with all donors and all acceptors, so that whole texts are gone
+    # through once for an edge; an acceptor that starts before the text has no pattern
+    first = low - F.col("p2") + F.col("t2") - 1
+    piece = lambda at: F.when(overlap, F.substring("_g", at.cast("int"), (high - low + 2).cast("int")))
+    rows = edge_rows.join(genome.select(*on, F.col("seq").alias("_g")), list(on))
+    rows = rows.withColumns({"_low": low, "_high": high, "_skip": F.greatest(1 - first, F.lit(0)), "_d": piece(low - F.col("p1") + F.col("t1") + 1), "_a": piece(F.greatest(first, F.lit(1)))}).drop("_g")
+    rows = computed_once(rows, "_low", "_high", "_skip", "_d", "_a")
+    two = lambda text, at: F.substring(text, at.cast("int"), F.lit(2))
+    here = lambda i: F.when(i >= F.col("_skip"), pattern_frequency(two("_d", i + 1), two("_a", i - F.col("_skip") + 1))).otherwise(0).cast("int")
+    cuts = F.when(F.col("_d").isNotNull(), F.transform(F.sequence(F.lit(0), F.greatest(F.col("_high") - F.col("_low"), F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn("cuts", cuts).drop("_low", "_high", "_skip", "_d", "_a")
 
 
 def maximal_paths(pairings: DataFrame, edge_rows: DataFrame, ids: Sequence[str], ends: DataFrame | None = None, least: int = 15, min_intron: int = 40) -> DataFrame:

@@ -56,17 +56,27 @@ def graph(pairings: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """Pairings (ids, length, p, t, l) and edges of each transcript's graph.
     Transcripts whose graph is too complex are tried again with seeds one base longer, until
     none is, or the seed is as long as the transcript (G03, G04); a longer seed only leaves
-    out pairings, so nothing is matched again."""
-    k, parts, open_ = config.min_factor_length, [], pairings
+    out pairings, so nothing is matched again. Twice as many lengths are tried in each round
+    as in the one before, side by side, and the least that does counts: rounds are as many
+    as doublings of the length, and not as bases."""
+    low, tried, parts, open_ = config.min_factor_length, 1, [], pairings
+    k, on = F.col("_k"), [*_IDS, "_k"]
     while True:
-        kept = cut_lineage(seeds.drop_low_complexity(open_.filter(F.col("l") >= k), [*_IDS, "length"]))
-        linked = cut_lineage(seeds.prune(seeds.edges(kept, _IDS, k, config.max_intron_length), 2 * k + 1, config.min_intron_length))
-        sizes = graphs.statistics(kept, linked, _IDS).join(kept.groupBy(*_IDS).agg(F.max("length").alias("length")), _IDS)
-        again = cut_lineage(graphs.too_complex(sizes, "length", k).filter((F.col("length") > k + 3) & F.col("too_complex")).select(*_IDS))
-        parts.append((kept.join(again, _IDS, "left_anti"), linked.join(again, _IDS, "left_anti")))
+        high = low + tried - 1
+        last = F.least(F.lit(high), "l", F.greatest(F.lit(low), F.col("length") - 3))
+        rows = open_.filter(F.col("l") >= low).withColumn("_k", F.explode(F.sequence(F.lit(low), last)))
+        kept = cut_lineage(seeds.drop_low_complexity(rows, [*on, "length"]))
+        linked = cut_lineage(seeds.prune(seeds.edges(kept, on, k, config.max_intron_length), 2 * k + 1, config.min_intron_length))
+        sizes = graphs.statistics(kept, linked, on).join(kept.groupBy(*on).agg(F.max("length").alias("length")), on)
+        bad = graphs.too_complex(sizes, "length", k).filter((F.col("length") > k + 3) & F.col("too_complex"))
+        run = F.filter(F.array_sort(F.collect_list("_k")), lambda x, i: x == low + i)
+        least = cut_lineage(bad.groupBy(*_IDS).agg((low + F.size(run)).alias("_least")))
+        chosen = lambda rows: rows.join(least, _IDS, "left").filter(k == F.coalesce("_least", F.lit(low))).drop("_k", "_least")  # noqa: B023, E731
+        parts.append((chosen(kept), chosen(linked)))
+        again = least.filter(F.col("_least") > high).select(*_IDS)
         if again.isEmpty():
             break
-        open_, k = open_.join(again, _IDS, "left_semi"), k + 1
+        open_, low, tried = open_.join(again, _IDS, "left_semi"), high + 1, 2 * tried
     return functools.reduce(DataFrame.unionByName, (p for p, _ in parts)), functools.reduce(DataFrame.unionByName, (e for _, e in parts))
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from splicework.operators import cover, graphs, isoforms, refine, seeds
+from splicework.plans import pipeline
 
 
 def plan(frame):
@@ -101,3 +102,15 @@ def test_transcripts_are_solved_in_batches(spark):
     assert "FlatMapGroups" not in plan(kept)
     got = {r["est"]: (r["fact_no"], [tuple(e) for e in r["exons"]]) for r in kept.collect()}
     assert got == {t: (0, [(10, 20), (40, 50)]) for t in range(50)} | {50: (1, [(1, 9)])}
+
+
+def test_rounds_double_the_seeds_tried(spark, monkeypatch):
+    # too complex until seeds are longer than its pairings, and one that isn't
+    rows = [(1, "a", 60, 3 * i, 3 * i, 25) for i in range(15)] + [(1, "b", 60, 0, 0, 20), (1, "b", 60, 22, 22, 12)]
+    frame = spark.createDataFrame(rows, "locus int, est_id string, length int, p int, t int, l int")
+    counted, rounds = graphs.statistics, []
+    monkeypatch.setattr(graphs, "statistics", lambda *x: rounds.append(1) or counted(*x))
+    kept, linked = pipeline.graph(frame, pipeline.Config(min_factor_length=10))
+    assert len(rounds) <= 5
+    assert sorted((r["est_id"], r["p"]) for r in kept.collect()) == [("b", 0), ("b", 22)]
+    assert [(r["est_id"], r["p1"], r["p2"]) for r in linked.collect()] == [("b", 0, 22)]
